@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def batches(it, max_chars: int = 8_000_000):
         if b.nbytes <= max_chars:
             yield b
             continue
-        size = pa.compute.binary_length(b.column(b.schema.get_field_index("text"))).to_pylist()
+        size = pc.binary_length(b.column(b.schema.get_field_index("text"))).to_pylist()
         start, held = 0, 0
         for i, x in enumerate(size):
             if held and held + (x or 0) > max_chars:
