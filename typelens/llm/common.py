@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import array
+import json
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -101,7 +104,7 @@ class ChunkIds:
     which bounds memory and changes nothing else.
     """
 
-    def __init__(self, encode, lead: str, most: int = 700_000):
+    def __init__(self, encode, lead: str, most: int = 400_000):
         self.encode, self.lead, self.most = encode, lead, most
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {} if lead else self.first
@@ -127,53 +130,106 @@ class ChunkIds:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.chunks(t) if t else [] for t in texts]
         first, rest, lead = self.first, self.rest, self.lead
-        if len(first) + len(rest) > self.most:
-            for d in (first, rest):
+        for d in [first, *[rest] * (rest is not first)]:
+            if len(d) > self.most:
                 for c in list(d)[len(d) // 2 :]:
                     del d[c]
-        new_rest = {c for p in cut for c in p[1:] if c not in rest}
-        new_first = {p[0] for p in cut if p and p[0] not in first}
-        if rest is first:
-            new_first -= new_rest
-        for known, new, before in ((rest, list(new_rest), lead), (first, list(new_first), "")):
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                known.update(zip(part, map(packed, self.encode([before + c for c in part] if before else part))))
-        return [first[p[0]] + b"".join([rest[c] for c in p[1:]]) if p else b"" for p in cut]
+        out: list = []
+        missing: dict[tuple[bool, str], None] = {}
+        holes = []  # (text, place, chunk) still to be filled
+        for k, t in enumerate(texts):
+            if not t:
+                out.append(b"")
+                continue
+            p = self.chunks(t)
+            got = list(map(rest.get, p))
+            got[0] = first.get(p[0])
+            if None in got:
+                for i, g in enumerate(got):
+                    if g is None:
+                        key = (i == 0 and rest is not first, p[i])
+                        missing[key] = None
+                        holes.append((k, i, key))
+                out.append(got)
+            else:
+                out.append(b"".join(got))
+        keys = list(missing)
+        for at in range(0, len(keys), 20_000):
+            part = keys[at : at + 20_000]
+            for (is_first, c), ids in zip(part, self.encode([c if is_first or not lead else lead + c for is_first, c in part])):
+                (first if is_first else rest)[c] = missing[is_first, c] = packed(ids)
+        for k, i, key in holes:
+            out[k][i] = missing[key]
+        return [x if isinstance(x, bytes) else b"".join(x) for x in out]
 
 
 def packed(ids) -> bytes:
-    import array
-
     return array.array("I", ids).tobytes()
 
 
-_ENCODERS: dict[tuple, ChunkIds] = {}
+_ENCODERS: dict[tuple, object] = {}
 
 
-def byte_bpe_chunks(path: str) -> ChunkIds:
-    """The chunk table of a byte-level BPE file of the tokenizers library, kept by the Python worker.
+def _vocabulary(path: str) -> dict[str, int]:
+    with open(path, encoding="utf-8") as f:
+        return {w: i for w, i in json.load(f)["model"]["vocab"].items() if not w.startswith("<|")}
 
-    Chunks that are not in the table yet go through tiktoken with the same vocabulary and the same ranks,
-    which gives the same ids several times faster (tests hold them against the tokenizers library).
-    """
-    if (path, "ranks") not in _ENCODERS:
-        import json
 
+def _byte_of() -> dict[str, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+
+def _ids(encoding, text: str) -> bytes:
+    return encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+
+def byte_bpe(path: str):
+    """Function from texts to packed ids for a byte-level BPE file of the tokenizers library.
+
+    The texts go through tiktoken with the file's vocabulary, whose ids are the ranks of its merges: the same ids several
+    times faster (tests hold them against the tokenizers library).  Special tokens' strings are ordinary text.
+    """
+    if (path, "byte") not in _ENCODERS:
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        # the byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        ranks = {bytes(byte[c] for c in word): i for word, i in vocab.items() if all(c in byte for c in word) and not word.startswith("<|")}
+        byte = _byte_of()
+        ranks = {bytes(byte[c] for c in w): i for w, i in _vocabulary(path).items()}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        one = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _ENCODERS[path, "ranks"] = ChunkIds(lambda x: [one(c) for c in x], " ")
-    return _ENCODERS[path, "ranks"]
+        one = tiktoken.Encoding("byte", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path, "byte"] = lambda texts: [_ids(one, t) for t in texts]
+    return _ENCODERS[path, "byte"]
+
+
+def word_bpe(path: str):
+    """Function from texts to packed ids for a BPE file with word ends that drops white space and case.
+
+    Texts of ASCII, white space and Latin letters up to U+017F, whose normal form and lower case are plain, are cut into
+    words here, each ended by a control character that they don't hold, and go through tiktoken, where that
+    character stands for the word end (ids are ranks, a character with its word end has a smaller one than any merge,
+    so the merges are the same).  All other texts go through the tokenizers library, by a table of chunks.
+    """
+    if (path, "word") not in _ENCODERS:
+        import tiktoken
+
+        byte, end, mark = _byte_of(), "</w>", "\x01"
+        ranks = {bytes(byte[c] for c in w.removesuffix(end)) + mark.encode() * w.endswith(end): i for w, i in _vocabulary(path).items()}
+        one = tiktoken.Encoding("word", pat_str=f"[^{mark}]+{mark}", mergeable_ranks=ranks, special_tokens={})
+        words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ſ]+|[0-9]|[^\sA-Za-z0-9À-ÖØ-öø-ſ]+").findall
+        plain = re.compile(r"[\x20-\x7e\t\n\r\x0b\x0cÀ-ſ]*").fullmatch
+        others = hf_chunks(path, "")
+
+        def encode(texts: list[str]) -> list[bytes]:
+            out = []
+            for t in texts:
+                w = words(t.lower()) if plain(t) else None
+                out.append(others([t])[0] if w is None else _ids(one, mark.join(w) + mark) if w else b"")
+            return out
+
+        _ENCODERS[path, "word"] = encode
+    return _ENCODERS[path, "word"]
 
 
 def hf_chunks(path: str, lead: str) -> ChunkIds:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, byte_bpe_chunks, mapped, settle, table, texts
+from .common import batches, byte_bpe, mapped, settle, table, texts
 
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -33,10 +33,10 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, size: int = 1024, with_i
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids, if asked for)."""
 
     def run(it):
-        chunks, end = byte_bpe_chunks(path), np.array([end_id], "<u4").tobytes()
+        encode, end = byte_bpe(path), np.array([end_id], "<u4").tobytes()
         for b in batches(it):
             rows: list[list] = [[] for _ in range(5 + with_ids)]
-            for doc, ids in zip(b.column(0).to_pylist(), chunks(b.column(1).to_pylist())):
+            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
                 ids += end
                 n = len(ids) // 4
                 cuts = [0, *range(n % size or size, n + 1, size)]
