@@ -31,6 +31,7 @@ from .components import components
 
 SEED = 42
 STEP = 1 << 16
+NODE = ["node", "fp", "v1", "v2"]
 
 
 def simhash(text: str, words: int = 3) -> int:
@@ -140,7 +141,7 @@ def plan(nodes: DataFrame, distance: int, choices=(2, 3, 4)) -> tuple[list[list[
     n = nodes.count()
     both = bit_counts(nodes)
     p = np.diag(both) / max(n, 1)
-    layouts = [correlated_parts(both, n, m) for m in choices if m <= distance + 1]
+    layouts = [correlated_parts(both, n, m) for m in choices if m <= distance + 1]  # more parts than that would leave some out for nothing
     flat = [part for parts in layouts for part in parts]
 
     def keys(it):
@@ -159,7 +160,8 @@ def plan(nodes: DataFrame, distance: int, choices=(2, 3, 4)) -> tuple[list[list[
             grow = w / max(w[0], 1e-300)
             probes = np.cumsum([1.0, *np.cumprod([(len(part) - j) / (j + 1) for j in range(distance)])])
             pairs = [min(equal.get(k, 0.0) * g, float(n) * n) for g in grow[: distance + 1]]
-            rows.append([0.0] + [c + 20.0 * n * q for c, q in zip(pairs, probes)])  # writing a probe costs about 20 comparisons
+            row = [0.0] + [c + 20.0 * n * q for c, q in zip(pairs, probes)]
+            rows.append(row + [float("inf")] * (distance + 2 - len(row)))  # writing a probe costs about 20 comparisons
             k += 1
         cost, chosen = allocate(rows, distance)
         if best is None or cost < best[0]:
@@ -171,24 +173,24 @@ def plan(nodes: DataFrame, distance: int, choices=(2, 3, 4)) -> tuple[list[list[
 
 
 def _probe(nodes: DataFrame, parts: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(key, mask, fp): each node under its own value and the values within the threshold of each part."""
-    schema = "key long, mask long, fp long"
+    """(key, mask, node, fp, v1, v2): each node under its own value and the values within the threshold of each part."""
+    schema = "key long, mask long, node long, fp long, v1 long, v2 long"
 
     def run(it):
         for b in it:
-            whole = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            whole = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, (part, t) in enumerate(zip(parts, thresholds)):
                 mask = sum(1 << x for x in part)
                 for r in range(t + 1):
                     for flip in itertools.combinations(range(len(part)), r):
                         v = _gather(whole.view(np.uint64), part) ^ np.uint64(sum(1 << x for x in flip))
                         key = _mix(_mix(v) ^ np.uint64(i + 1))
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(v), np.uint64(mask), np.uint64).view(np.int64)), pa.array(whole)], ["key", "mask", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(v), np.uint64(mask), np.uint64).view(np.int64)), *b.columns], ["key", "mask", *NODE])
 
-    return mapped(nodes.select("fp"), run, schema)
+    return mapped(nodes.select(*NODE), run, schema)
 
 
-def forest(fps: np.ndarray, run: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def forest(node: np.ndarray, fp: np.ndarray, v1: np.ndarray, v2: np.ndarray, run: np.ndarray, distance: int, also: int) -> list[tuple[int, int]]:
     """Spanning forest of the links inside runs (run: ascending numbers of buckets), each link to the smaller root."""
     up: dict[int, int] = {}
 
@@ -198,10 +200,13 @@ def forest(fps: np.ndarray, run: np.ndarray, distance: int) -> list[tuple[int, i
             x = y
         return x
 
-    at, k = np.arange(len(fps)), 1
-    while len(at := at[at + k < len(fps)]) and len(at := at[run[at] == run[at + k]]):
-        close = at[np.bitwise_count(fps[at] ^ fps[at + k]) <= distance]
-        for x, y in zip(fps[close].tolist(), fps[close + k].tolist()):
+    at, k = np.arange(len(fp)), 1
+    while len(at := at[at + k < len(fp)]) and len(at := at[run[at] == run[at + k]]):
+        close = at[np.bitwise_count(fp[at] ^ fp[at + k]) <= distance]
+        if len(close):
+            differ = np.bitwise_count(v1[close] ^ v1[close + k]).astype(int) + np.bitwise_count(v2[close] ^ v2[close + k])
+            close = close[differ <= also]
+        for x, y in zip(node[close].tolist(), node[close + k].tolist()):
             x, y = root(x), root(y)
             if x != y:
                 up[max(x, y)] = min(x, y)
@@ -209,79 +214,131 @@ def forest(fps: np.ndarray, run: np.ndarray, distance: int) -> list[tuple[int, i
     return [(x, root(x)) for x in up if root(x) != x]
 
 
-def _verify(rows: DataFrame, distance: int, cap: int, floor_bits: int = 8) -> DataFrame:
-    """One pass over buckets: (kind 0, a, b): link; (kind 1, key, mask, fp): a row for a finer bucket."""
-    schema = "kind int, a long, b long, fp long"
+def _verify(rows: DataFrame, distance: int, also: int, cap: int, floor_bits: int = 8) -> DataFrame:
+    """One pass over sorted buckets: rows with null key are links (node, fp), others go to finer buckets."""
+    schema = "key long, mask long, node long, fp long, v1 long, v2 long"
     u = np.uint64
 
-    def finer(key: int, mask: int, fps: np.ndarray):
+    def pack(key, mask, *of_node):
+        cols = [pa.array(np.asarray(x, u).view(np.int64)) for x in of_node]
+        ends = [pa.nulls(len(of_node[0]), pa.int64()) if x is None else pa.array(np.asarray(x, u).view(np.int64)) for x in (key, mask)]
+        return pa.RecordBatch.from_arrays([*ends, *cols], ["key", "mask", *NODE])
+
+    def finer(key: int, mask: int, node, fp, v1, v2):
         free = [x for x in range(64) if not mask >> x & 1]
         for j in range(distance + 1):
             piece = free[j :: distance + 1]
-            k = _mix(_mix(_gather(fps, piece)) ^ u((key * 31 + j + 1) & (2**64 - 1)))
-            m = np.full(len(fps), u(mask | sum(1 << x for x in piece)), u)
-            yield 1, k, m, fps
-
-    def pack(kind, a, b, fp):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *[pa.array(np.asarray(x, u).view(np.int64)) for x in (a, b, fp)]], ["kind", "a", "b", "fp"])
-
-    def out(key, mask, fps):
-        run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(key) else key
-        links = forest(fps, run, distance)
-        if links:
-            a, b = zip(*links)
-            yield pack(0, np.array(a, u), np.array(b, u), np.zeros(len(a), u))
+            if piece:
+                k = _mix(_mix(_gather(fp, piece)) ^ u((key * 31 + j + 1) & (2**64 - 1)))
+                yield pack(k, np.full(len(fp), u(mask | sum(1 << x for x in piece)), u), node, fp, v1, v2)
+
+    def linked(key, *of_node):
+        if len(key):
+            links = forest(*of_node, np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])), distance, also)
+            if links:
+                a, b = (np.array(x, u) for x in zip(*links))
+                none = np.zeros(len(a), u)
+                yield pack(None, None, a, b, none, none)
 
     def run(it):
-        held = [np.zeros(0, u)] * 3
-        hot = None  # (key, mask) of a bucket that has gone over the cap
+        held = [np.zeros(0, u)] * 6
+        hot = None  # key of a bucket that has gone over the cap
         for b in it:
-            new = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(u) for i in range(3)]
-            key, mask, fps = (np.concatenate([x, y]) for x, y in zip(held, new))
+            new = [c.to_numpy(zero_copy_only=False).astype(np.int64).view(u) for c in b.columns]
+            now = [np.concatenate([x, y]) for x, y in zip(held, new)]
+            key, mask = now[:2]
             if not len(key):
                 continue
             starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
             ends = np.append(starts[1:], len(key))
             keep = np.ones(len(key), bool)
             for s, e in zip(starts.tolist(), ends.tolist()):
-                free = 64 - int(mask[s]).bit_count()
-                is_hot = hot is not None and int(key[s]) == hot
-                if is_hot or (e - s > cap and free > floor_bits):
-                    yield from (pack(*x) for x in finer(int(key[s]), int(mask[s]), fps[s:e]))
+                if int(key[s]) == hot or (e - s > cap and 64 - int(mask[s]).bit_count() > floor_bits):
+                    yield from finer(int(key[s]), int(mask[s]), *(x[s:e] for x in now[2:]))
                     keep[s:e] = False
                     hot = int(key[s])
-            last = starts[-1]
-            tail = np.arange(len(key)) >= last
+            tail = np.arange(len(key)) >= starts[-1]
             done = keep & ~tail
-            yield from out(key[done], mask[done], fps[done])
-            held = [x[keep & tail] for x in (key, mask, fps)]
-        yield from out(*held)
+            yield from linked(key[done], *(x[done] for x in now[2:]))
+            held = [x[keep & tail] for x in now]
+        yield from linked(held[0], *held[2:])
 
-    return mapped(rows, run, schema)
+    return mapped(rows.select("key", "mask", *NODE), run, schema)
 
 
-def near_links(nodes: DataFrame, distance: int = 3, cap: int = 2048) -> DataFrame:
-    """(a, b): links that connect exactly the nodes (distinct fp) which chains of Hamming distances <= distance connect."""
-    parts, thresholds = plan(nodes, distance)
+def near_links(nodes: DataFrame, distance: int = 3, also: int = 128, cap: int = 2048, choices=(2, 3, 4)) -> DataFrame:
+    """(a, b): links that connect exactly the nodes which chains of links connect.
+
+    nodes (node, fp, v1, v2) are distinct; two are linked if fp differs in at most ``distance`` bits and (v1, v2) in at most ``also``.
+    """
+    parts, thresholds = plan(nodes, distance, choices)
     rows, links = _probe(nodes, parts, thresholds), None
     while True:
-        # a probe's bucket may hold the same node twice (own value and flipped); sorted, equal rows are neighbours
-        done = settle(_verify(rows.repartition("key").sortWithinPartitions("key", "fp"), distance, cap))
-        new = done.filter("kind = 0").select("a", "b")
+        # a bucket may hold a node twice (own value and flipped): no harm
+        done = settle(_verify(rows.repartition("key").sortWithinPartitions("key", "node"), distance, also, cap))
+        new = done.filter("key is null").select(F.col("node").alias("a"), F.col("fp").alias("b"))
         links = new if links is None else links.unionByName(new)
-        rows = done.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("mask"), "fp")
+        rows = done.filter("key is not null")
         if rows.isEmpty():
             return links
 
 
+def grouped(fps: DataFrame, links_of) -> DataFrame:
+    """fps (doc_id, node, ...) with component_id, the smallest doc_id of the documents that links connect."""
+    nodes = settle(fps.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in NODE[1:]]))
+    roots = components(links_of(nodes)).withColumnRenamed("node", "_n")
+    rooted = nodes.join(roots, nodes["node"] == roots["_n"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return fps.join(rooted.select("node", "root").join(least, "root").select("node", "root", "component_id"), "node")
+
+
 def near_groups(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links)."""
-    fps = settle(fingerprints(docs, words))
-    nodes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(near_links(nodes, distance))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
+    zero = F.lit(0).cast("long")
+    fps = settle(fingerprints(docs, words)).select("doc_id", F.col("fp").alias("node"), "fp", zero.alias("v1"), zero.alias("v2"))
+    return grouped(fps, lambda nodes: near_links(nodes, distance)).select("doc_id", "fp", "component_id")
+
+
+# -- near copies by shingles of five words ------------------------------------------------------------------------
+
+
+def _vote(hashes: np.ndarray) -> int:
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) if len(hashes) else np.zeros(64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def sketch(text: str, words: int = 5) -> tuple[int, int, int]:
+    """Three signed longs: SimHash of the different words (to search by), 128 bits of SimHash of the different shingles."""
+    from xxhash import xxh3_128_digest, xxh64_intdigest
+
+    w = text.encode().lower().split()
+    own = np.array([xxh64_intdigest(x, SEED) for x in set(w)], "<u8")
+    shingles = {b" ".join(w[k : k + words]) for k in range(max(len(w) - words + 1, 1 if w else 0))}
+    wide = np.frombuffer(b"".join(map(xxh3_128_digest, shingles)), "<u8").reshape(-1, 2)
+    return _vote(own), _vote(np.ascontiguousarray(wide[:, 0])), _vote(np.ascontiguousarray(wide[:, 1]))
+
+
+def keep_one_of_near(docs: DataFrame, words: int = 5, distance: int = 8, also: int = 26, choices=(4, 6, 8, 9)) -> DataFrame:
+    """The documents, all columns, without near copies: of each group of linked ones that with the smallest doc_id stays.
+
+    Candidates are found by the SimHash of the different words within ``distance`` of 64 bits (a text of which a few words
+    are changed keeps nearly all its words); they are linked if the 128-bit SimHashes of their five-word shingles
+    differ in at most ``also`` bits: an estimated cosine of the shingle sets of cos(pi * 26 / 128) = 0.8.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns]
+    tagged = docs.withColumn("_tl_row", F.xxhash64(*others))
+    rows = tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), "_tl_row")
+
+    def run(it):
+        for b in batches(it):
+            got = np.array([sketch(t, words) for t in b.column(1).to_pylist()], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(got[:, k]) for k in range(3)]], ["doc_id", "_tl_row", "fp", "v1", "v2"])
+
+    fps = settle(mapped(rows, run, "doc_id long, _tl_row long, fp long, v1 long, v2 long")).withColumn("node", F.xxhash64("fp", "v1", "v2"))
+    roots = grouped(fps, lambda nodes: near_links(nodes, distance, also, choices=choices))
+    stays = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_tl_row"))).alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k._tl_row").alias("_r"))
+    hit = tagged.join(stays, (F.col("_tl_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    return hit.drop("_tl_row")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship, table, texts
 
@@ -193,7 +194,7 @@ def _parse(words: int, buckets: int, with_text: bool):
             out["text"].append(_cut(text, w, keep).decode() if with_text and spans else text.decode() if with_text else None)
         span = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("block", pa.int64())]))
         kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "spans": span, "text": pa.string()}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()} | {"row": pa.array([docs["row"][i].as_py() for i in b.order], pa.int64())})
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()} | {"rest": docs["rest"].take(pa.array(b.order, pa.int64()))})
 
     return run
 
@@ -211,23 +212,37 @@ def _cut(text: bytes, words: list[bytes], keep: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def duplicate_spans(docs: DataFrame, words: int = 13, block: int = 256, bucket_chars: int = 24_000_000, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, spans, text (without the spans; only ``with_text``), row (as given, if docs has it)."""
-    spark = docs.sparkSession
+def _spans(rows: DataFrame, words: int, block: int, bucket_chars: int, with_text: bool) -> DataFrame:
+    """rows (doc_id, text, rest) -> doc_id, n_words, n_removed, kept_sha256, spans, text, rest."""
+    spark = rows.sparkSession
     ship(spark)
-    rows = texts(docs) if "row" not in docs.columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "row")
-    rows = rows if "row" in rows.columns else rows.withColumn("row", F.lit(0).cast("long"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_chars))
     spread = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) + F.lit(NULLS)
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("doc_id") / block), spread))
     asked = rows.groupBy("block").applyInArrow(_ask(words, buckets), "bucket int, block long, hashes binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "block long, bucket int, bits binary, refs binary, which binary")
-    span = "array<struct<start: long, words: long, block: long>>"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _parse(words, buckets, with_text), f"doc_id long, n_words long, n_removed long, kept_sha256 string, spans {span}, text string, row long"
-    )
+    out = T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, words: long, block: long>>, text string")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_parse(words, buckets, with_text), T.StructType([*out.fields, rows.schema["rest"]]))
+
+
+def duplicate_spans(docs: DataFrame, words: int = 13, block: int = 256, bucket_chars: int = 24_000_000) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, spans (start: first word, words: length, block: reference)."""
+    rows = texts(docs).withColumn("rest", F.lit(0))
+    return _spans(rows, words, block, bucket_chars, False).drop("rest", "text")
+
+
+def remove_spans(docs: DataFrame, words: int = 50, block: int = 256, bucket_chars: int = 24_000_000) -> DataFrame:
+    """The documents, all columns, their texts without duplicate spans; n_chars, if there, is counted anew."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col("text").isNull().alias("none"))
+    rows = _spans(texts(docs).withColumn("rest", F.lit(0)) if not others else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest")), words, block, bucket_chars, True)
+    text = F.col("text") if not others else F.when(~F.col("rest.none"), F.col("text"))
+    value = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text} | {c: F.col(f"rest.c{i}") for i, c in enumerate(others)}
+    if "n_chars" in others:
+        value["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(value["n_chars"])
+    return rows.select(*[value[c].alias(c) for c in docs.columns])
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").alias("n_factors"))
+    return duplicate_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches, mapped, table, texts
 from .labelled import crc, sample
@@ -242,6 +243,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return mapped(texts(docs), run, "doc_id long, score double")
 
 
+def reject(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The documents, all columns, whose score is under the limit."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("_tl_score", T.DoubleType())])
+    at = docs.columns.index("text")
+
+    def run(it):
+        for b in batches(it):
+            scores = model.scores([t or "" for t in b.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*b.schema.names, "_tl_score"])
+
+    return mapped(docs, run, schema).filter(F.col("_tl_score") < limit).drop("_tl_score")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = score(docs, fit(docs, table(spark, sf_dir, "labels")))
