@@ -13,7 +13,7 @@ QUERIES = {
 }
 
 _OP1 = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 win AS (SELECT doc_id, k, array_to_string(ws[k:k + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 11, 1))) AS k FROM w)),
 least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
 hit AS (SELECT win.doc_id, win.k FROM win JOIN least USING (s) WHERE least.m < win.doc_id),
@@ -28,7 +28,7 @@ _OP6 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS holder FROM p)
 SELECT page_id, payload_bytes,
-       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            CAST(((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
        CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
