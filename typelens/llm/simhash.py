@@ -160,8 +160,8 @@ def plan(nodes: DataFrame, distance: int, choices=(2, 3, 4)) -> tuple[list[list[
             grow = w / max(w[0], 1e-300)
             probes = np.cumsum([1.0, *np.cumprod([(len(part) - j) / (j + 1) for j in range(distance)])])
             pairs = [min(equal.get(k, 0.0) * g, float(n) * n) for g in grow[: distance + 1]]
-            row = [0.0] + [c + 20.0 * n * q for c, q in zip(pairs, probes)]
-            rows.append(row + [float("inf")] * (distance + 2 - len(row)))  # writing a probe costs about 20 comparisons
+            row = [0.0] + [c + 400.0 * n * q for c, q in zip(pairs, probes)]
+            rows.append(row + [float("inf")] * (distance + 2 - len(row)))  # a probe (written, shuffled, sorted) costs about 400 comparisons
             k += 1
         cost, chosen = allocate(rows, distance)
         if best is None or cost < best[0]:
@@ -191,27 +191,27 @@ def _probe(nodes: DataFrame, parts: list[list[int]], thresholds: list[int]) -> D
 
 
 def forest(node: np.ndarray, fp: np.ndarray, v1: np.ndarray, v2: np.ndarray, run: np.ndarray, distance: int, also: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links inside runs (run: ascending numbers of buckets), each link to the smaller root."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
+    """Spanning forest of the links inside runs (run: ascending numbers of buckets), each link to its tree's first row."""
+    up = np.arange(len(fp))  # parents; flat before every step, so equal parents mean one tree
     at, k = np.arange(len(fp)), 1
     while len(at := at[at + k < len(fp)]) and len(at := at[run[at] == run[at + k]]):
-        close = at[np.bitwise_count(fp[at] ^ fp[at + k]) <= distance]
+        new = at[up[at] != up[at + k]]
+        close = new[np.bitwise_count(fp[new] ^ fp[new + k]) <= distance]
         if len(close):
             differ = np.bitwise_count(v1[close] ^ v1[close + k]).astype(int) + np.bitwise_count(v2[close] ^ v2[close + k])
             close = close[differ <= also]
-        for x, y in zip(node[close].tolist(), node[close + k].tolist()):
-            x, y = root(x), root(y)
-            if x != y:
-                up[max(x, y)] = min(x, y)
+        for x, y in zip(close.tolist(), (close + k).tolist()):
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            up[max(x, y)] = min(x, y)
+        if len(close):
+            while (up != (flat := up[up])).any():
+                up = flat
         k += 1
-    return [(x, root(x)) for x in up if root(x) != x]
+    child = np.flatnonzero(node[up] != node)
+    return list(zip(node[child].tolist(), node[up[child]].tolist()))
 
 
 def _verify(rows: DataFrame, distance: int, also: int, cap: int, floor_bits: int = 8) -> DataFrame:
@@ -266,7 +266,7 @@ def _verify(rows: DataFrame, distance: int, also: int, cap: int, floor_bits: int
     return mapped(rows.select("key", "mask", *NODE), run, schema)
 
 
-def near_links(nodes: DataFrame, distance: int = 3, also: int = 128, cap: int = 2048, choices=(2, 3, 4)) -> DataFrame:
+def near_links(nodes: DataFrame, distance: int = 3, also: int = 128, cap: int = 32_768, choices=(2, 3, 4)) -> DataFrame:
     """(a, b): links that connect exactly the nodes which chains of links connect.
 
     nodes (node, fp, v1, v2) are distinct; two are linked if fp differs in at most ``distance`` bits and (v1, v2) in at most ``also``.
