@@ -3,7 +3,7 @@
 A text is brought to a canonical form (NFKC, lower case, NFKC again, runs of white space as one space, no white
 space at the ends) and that form is hashed to 128 bits by two seeded XXH64.  Documents are grouped by
 (hash, canonical form), so bytes are compared inside equal buckets; were two different forms to share a hash, the
-later ones (in byte order) get a number behind the hash, so that fingerprints are equal exactly when forms are.
+later ones (in the order of their SHA-256) get a number behind the hash, so that fingerprints are equal exactly when forms are.
 
 Main path: DataFrame functions only; the normaliser is ICU's, which Spark ships, called by ``reflect``, and only
 for texts with other characters than ASCII.
@@ -51,9 +51,10 @@ def digest(canon):
 def fingerprint_groups(rows: DataFrame) -> DataFrame:
     """From (doc_id, canon): one row per different canonical form - fingerprint, canon, class_id, n_documents."""
     forms = rows.groupBy(digest(F.col("canon")).alias("hash"), "canon").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_documents"))
-    clash = Window.partitionBy("hash").orderBy("canon")
+    forms = forms.select("hash", F.sha2("canon", 256).alias("canon_sha256"), "class_id", "n_documents")  # no text goes on from here
+    clash = Window.partitionBy("hash").orderBy("canon_sha256")
     return forms.withColumn("_k", F.row_number().over(clash)).select(
-        F.when(F.col("_k") == 1, F.col("hash")).otherwise(F.concat_ws("-", "hash", "_k")).alias("fingerprint"), "hash", F.sha2("canon", 256).alias("canon_sha256"), "class_id", "n_documents"
+        F.when(F.col("_k") == 1, F.col("hash")).otherwise(F.concat_ws("-", "hash", "_k")).alias("fingerprint"), "hash", "canon_sha256", "class_id", "n_documents"
     )
 
 
