@@ -196,6 +196,8 @@ def test_sentencepiece(docs, rows, empty):
     path = P.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     got = {r["doc_id"]: r for r in sentencepieces.decode(sentencepieces.encode(docs, path), path).collect()}
+    assert sorted(map(str, sentencepieces.round_trip(docs, path).collect())) == sorted(map(str, sentencepieces.decode(sentencepieces.encode(docs, path), path).collect()))
+    assert sentencepieces.round_trip(empty, path).count() == 0
     for i, t in rows:
         if i not in (None, 108):
             ids = sp.encode(t or "", add_bos=True, add_eos=True)
