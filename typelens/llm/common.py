@@ -220,12 +220,26 @@ def word_bpe(path: str):
         words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ſ]+|[0-9]|[^\sA-Za-z0-9À-ÖØ-öø-ſ]+").findall
         plain = re.compile(r"[\x20-\x7e\t\n\r\x0b\x0cÀ-ſ]*").fullmatch
         others = hf_chunks(path, "")
+        known: dict[str, bytes] = {}  # ids of short words, kept as ChunkIds keeps its chunks
+
+        def plain_ids(w: list[str]) -> bytes:
+            got = list(map(known.get, w))
+            if None in got:
+                for i, g in enumerate(got):
+                    if g is None and (g := known.get(w[i])) is None:
+                        g = packed(one.encode_ordinary(w[i] + mark))
+                        if len(w[i]) <= 32:
+                            known[w[i]] = g
+                    got[i] = g
+            return b"".join(got)
 
         def encode(texts: list[str]) -> list[bytes]:
             out = []
             for t in texts:
-                w = words(t.lower()) if plain(t) else None
-                out.append(others([t])[0] if w is None else _ids(one, mark.join(w) + mark) if w else b"")
+                if len(known) > 400_000:
+                    for c in list(known)[200_000:]:
+                        del known[c]
+                out.append(plain_ids(words(t.lower())) if plain(t) else others([t])[0])
             return out
 
         _ENCODERS[path, "word"] = encode

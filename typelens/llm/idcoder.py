@@ -29,7 +29,9 @@ def _pairs(*rows: tuple[int, int]) -> np.ndarray:
 
 #: Targets of adaptation: the bounds of a distribution that gives all but one in 4096 for each other symbol to one symbol.
 _TO = _pairs((ONE - 2, ONE - 1), (1, ONE - 1), (1, 2))
-_TO_CLASS = np.array([[j + 1 if j < s else ONE - (CLASSES - 1 - j) for s in range(CLASSES)] for j in range(CLASSES - 1)], np.int16)
+_TO_CLASS = np.array([[j + 1 if j < s else ONE - (CLASSES - 1 - j) for j in range(CLASSES - 1)] for s in range(CLASSES)], np.int16)
+#: All class bounds of a lane as one item, gathered and scattered at once.
+_BOUNDS = np.dtype((np.void, 2 * (CLASSES - 1)))
 #: Weights (of 16) of the order-2, order-1 and order-0 distributions, by 4 * order-2 confidence + order-1 confidence.
 _W2 = [3 + 3 * c2 - (c1 > c2) for c2 in range(4) for c1 in range(4)]
 _W1 = [min(12 - w, 3 + 2 * (k % 4)) for k, w in enumerate(_W2)]
@@ -46,7 +48,7 @@ class Lanes:
         self.t1, self.t2 = np.zeros(n * S1, np.int32), np.zeros(n * S2, np.int32)  # id + confidence * CONF
         even = _pairs((ONE // 3, 2 * ONE // 3))
         self.by2, self.by1, self.by0 = np.tile(even, n * 4), np.tile(even, n * 4), np.tile(even, n)
-        self.mag = np.tile(((np.arange(1, CLASSES) * ONE) // CLASSES).astype(np.int16)[:, None], (1, n))  # class bound, lane
+        self.mag = np.tile(((np.arange(1, CLASSES) * ONE) // CLASSES).astype(np.int16), (n, 1)).view(_BOUNDS).ravel()
         self.four, self.rows = np.arange(n) * 4, np.arange(n)
         self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
@@ -76,8 +78,16 @@ class Lanes:
         d = self.by0.view(np.int32)
         d += (t - d) >> RATE0
 
+    def magnitude(self, who: np.ndarray) -> np.ndarray:
+        """Class bounds of some lanes, one row each."""
+        return self.mag.take(who).view(np.int16).reshape(-1, CLASSES - 1)
+
     def magnitude_was(self, m: np.ndarray, who: np.ndarray, k: np.ndarray) -> None:
-        self.mag[:, who] = m + ((_TO_CLASS[:, k] - m) >> RATE0)
+        new = _TO_CLASS.take(k, 0)
+        new -= m
+        new >>= RATE0
+        new += m
+        self.mag[who] = new.view(_BOUNDS).ravel()
 
     def seen(self, x: np.ndarray) -> None:
         """Put the ids into the tables and move the contexts on."""
@@ -86,6 +96,15 @@ class Lanes:
         self.p2, self.p1 = self.p1, x.astype(np.int64)
 
 
+def _span(d: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of class k in each row of class bounds."""
+    bound, at = d.ravel(), np.arange(0, d.size, CLASSES - 1) + k
+    start, end = bound.take(at - 1, mode="wrap").astype(np.int64), bound.take(at, mode="clip").astype(np.int64)
+    start[k == 0] = 0
+    end[k == CLASSES - 1] = ONE
+    return start, end
+
+
 def _classes(ids: np.ndarray) -> np.ndarray:
     """Number of binary digits: 0 for 0, 16 for 32768 and more."""
     return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
@@ -147,9 +166,9 @@ def encode(blocks: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
         if len(who):
             literal[t, who] = True
             k = klass[t, who]
-            d, r = m.mag[:, who], np.arange(len(who))
-            start, end = np.where(k > 0, d[k - 1, r], 0), np.where(k < CLASSES - 1, d[np.minimum(k, CLASSES - 2), r], ONE)
-            put(who, low[who], rng[who], start.astype(np.int64), end.astype(np.int64))
+            d = m.magnitude(who)
+            start, end = _span(d, k)
+            put(who, low[who], rng[who], start, end)
             m.magnitude_was(d, who, k)
         m.seen(x)
     for _ in range(2):
@@ -231,15 +250,16 @@ def decode(coded: list[tuple[bytes, bytes]], sizes: list[int]) -> list[np.ndarra
         x = np.where(is2, m.g2, m.g1)
         who = np.flatnonzero(s == 2)
         if len(who):
-            d, at = m.mag[:, who], np.arange(len(who))
+            d = m.magnitude(who)
+            bound, at = d.ravel(), np.arange(0, d.size, CLASSES - 1)
             r, c = rng[who] >> BITS, code[who]
             v = np.minimum((c / r).astype(np.int16), ONE - 1)
             k = np.zeros(len(who), np.int64)
             for step in (8, 4, 2, 1):  # the number of bounds that are not over v
-                k += np.where(d[k + step - 1, at] <= v, step, 0)
-            k += (k == CLASSES - 2) & (d[CLASSES - 2, at] <= v)
-            start, end = np.where(k > 0, d[k - 1, at], 0), np.where(k < CLASSES - 1, d[np.minimum(k, CLASSES - 2), at], ONE)
-            take(who, c, r, start.astype(np.int64), end.astype(np.int64))
+                k += (bound.take(at + (k + (step - 1))) <= v) * step
+            k += (k == CLASSES - 2) & (d[:, CLASSES - 2] <= v)
+            start, end = _span(d, k)
+            take(who, c, r, start, end)
             m.magnitude_was(d, who, k)
             digits = np.maximum(k - 1, 0)
             b = bit[who]
