@@ -225,12 +225,12 @@ def word_bpe(path: str):
         def plain_ids(w: list[str]) -> bytes:
             got = list(map(known.get, w))
             if None in got:
-                for i, g in enumerate(got):
-                    if g is None and (g := known.get(w[i])) is None:
-                        g = packed(one.encode_ordinary(w[i] + mark))
-                        if len(w[i]) <= 32:
-                            known[w[i]] = g
-                    got[i] = g
+                new = {x for x, g in zip(w, got) if g is None}
+                known.update((x, packed(one.encode_ordinary(x + mark))) for x in new)
+                got = list(map(known.get, w))
+                for x in new:
+                    if len(x) > 32:
+                        del known[x]
             return b"".join(got)
 
         def encode(texts: list[str]) -> list[bytes]:

@@ -16,7 +16,7 @@ import numpy as np
 
 BITS = 12
 ONE = 1 << BITS
-S1, S2 = 1024, 2048
+S1, S2 = 512, 1024
 CLASSES = 17
 RATE, RATE0 = 4, 5
 CONF = 1 << 16
@@ -30,6 +30,8 @@ def _pairs(*rows: tuple[int, int]) -> np.ndarray:
 #: Targets of adaptation: the bounds of a distribution that gives all but one in 4096 for each other symbol to one symbol.
 _TO = _pairs((ONE - 2, ONE - 1), (1, ONE - 1), (1, 2))
 _TO_CLASS = np.array([[j + 1 if j < s else ONE - (CLASSES - 1 - j) for j in range(CLASSES - 1)] for s in range(CLASSES)], np.int16)
+#: Number of binary digits of an id: 0 for 0, 16 for 32768 and more.
+_CLASS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int64)
 #: All class bounds of a lane as one item, gathered and scattered at once.
 _BOUNDS = np.dtype((np.void, 2 * (CLASSES - 1)))
 #: Weights (of 16) of the order-2, order-1 and order-0 distributions, by 4 * order-2 confidence + order-1 confidence.
@@ -105,11 +107,6 @@ def _span(d: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
-def _classes(ids: np.ndarray) -> np.ndarray:
-    """Number of binary digits: 0 for 0, 16 for 32768 and more."""
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
-
-
 def encode(blocks: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
     """Blocks of ids (the longest first is fastest) -> (range-coded words, lower bits) of each."""
     if not blocks:
@@ -120,7 +117,6 @@ def encode(blocks: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
     ids = np.zeros((steps, n), np.uint16)
     for lane, k in enumerate(order):
         ids[: size[lane], lane] = blocks[k]
-    klass = _classes(ids)
     m = Lanes(n)
     low, rng = np.zeros(n, np.int64), np.full(n, 0xFFFFFFFF, np.int64)
     out = np.zeros((n, 2 * steps + 8), np.uint16)
@@ -165,7 +161,7 @@ def encode(blocks: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
         who = np.flatnonzero(s == 2)
         if len(who):
             literal[t, who] = True
-            k = klass[t, who]
+            k = _CLASS.take(x.take(who))
             d = m.magnitude(who)
             start, end = _span(d, k)
             put(who, low[who], rng[who], start, end)
@@ -179,7 +175,7 @@ def encode(blocks: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
     result: list = [None] * n
     for lane, k in enumerate(order):
         own = literal[: size[lane], lane]
-        result[k] = (out[lane, : pos[lane]].astype("<u2").tobytes(), _pack_bits(blocks[k][own], klass[: size[lane], lane][own]))
+        result[k] = (out[lane, : pos[lane]].astype("<u2").tobytes(), _pack_bits(blocks[k][own]))
     return result
 
 
@@ -190,9 +186,9 @@ def _shrink(m: Lanes, live: int) -> None:
         setattr(m, name, getattr(m, name)[:live])
 
 
-def _pack_bits(ids: np.ndarray, klass: np.ndarray) -> bytes:
+def _pack_bits(ids: np.ndarray) -> bytes:
     """The digits below the leading one of each id, lowest first."""
-    width = np.maximum(klass - 1, 0)
+    width = np.maximum(_CLASS.take(ids) - 1, 0)
     total = int(width.sum())
     if not total:
         return b""

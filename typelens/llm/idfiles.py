@@ -1,7 +1,7 @@
 """Token-ID output: files of blocks coded by an adaptive context-mixing range coder, in ascending doc_id order.
 
 The documents are range-partitioned by doc_id; each partition is a file, a row of blocks in ascending order.  A block
-holds at most 4096 ids, resets the model (see ``idcoder``) and can be read without any other:
+holds at most 1024 ids, resets the model (see ``idcoder``) and can be read without any other:
 
     4 bytes  magic ``TLI1``          4 bytes  number of ids        4 bytes  CRC-32 of the ids (little-endian unsigned 16-bit)
     4 bytes  documents in the block  4 bytes  length of the range-coded words   4 bytes  length of the lower bits
@@ -31,7 +31,7 @@ from .common import batches, mapped, scratch, settle, table, texts, word_bpe
 from .idcoder import decode, encode
 
 MAGIC, HEAD, DOC = b"TLI1", struct.Struct("<4s5I"), struct.Struct("<qIB")
-BLOCK, LANES = 4096, 2048
+BLOCK, LANES = 1024, 4096
 
 
 def pack_blocks(ids: list[np.ndarray], docs: list[list[tuple[int, int, int]]]) -> list[bytes]:
