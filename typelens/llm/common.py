@@ -236,8 +236,8 @@ def word_bpe(path: str):
         def encode(texts: list[str]) -> list[bytes]:
             out = []
             for t in texts:
-                if len(known) > 400_000:
-                    for c in list(known)[200_000:]:
+                if len(known) > 200_000:
+                    for c in list(known)[100_000:]:
                         del known[c]
                 out.append(plain_ids(words(t.lower())) if plain(t) else others([t])[0])
             return out

@@ -109,8 +109,18 @@ def write_ids(docs: DataFrame, tokenizer: str, out: str, end_id: int = 1, file_c
     return out
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document, from the files: file, place (in its file), doc_id, ids (binary: unsigned 32-bit)."""
+def _as_binary(ids: np.ndarray) -> tuple:
+    return (ids.astype("<u4").tobytes(),)
+
+
+def read_ids(spark: SparkSession, path: str, of=_as_binary, columns: str = "ids binary") -> DataFrame:
+    """One row per document, from the files: file, place (in its file), doc_id, and what ``of`` makes of its ids.
+
+    By default that is ids, unsigned 32-bit ones in a binary; ``of`` gets an array and returns a tuple for ``columns``.
+    """
+    schema = f"file int, place long, doc_id long, {columns}"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
 
     def run(it):
         held: list[np.ndarray] = []
@@ -121,13 +131,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         def give():
             cols = list(zip(*rows))
             rows.clear()
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["file", "place", "doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
         def done():
             nonlocal place
             if who is not None:
-                rows.append((who[0], place, who[1], np.concatenate(held).astype("<u4").tobytes()))
+                rows.append((who[0], place, who[1], *of(np.concatenate(held))))
                 place += 1
                 held.clear()
 
@@ -151,7 +160,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             yield give()
 
     blocks = spark.read.schema("file int, block int, data binary").parquet(path)
-    return mapped(blocks.repartition("file").sortWithinPartitions("file", "block"), run, "file int, place long, doc_id long, ids binary")
+    return mapped(blocks.repartition("file").sortWithinPartitions("file", "block"), run, schema)
 
 
 def offsets(rows: DataFrame) -> DataFrame:
@@ -167,10 +176,8 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch(spark, "ids"))
 
-    def crc(it):
-        for b in it:
-            ids = [memoryview(x.as_buffer()) for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["file", "place", "doc_id", "n", "ids_crc32"])
+    def digest(ids):
+        return len(ids), zlib.crc32(ids.astype("<u4").tobytes())
 
-    rows = settle(mapped(read_ids(spark, path), crc, "file int, place long, doc_id long, n long, ids_crc32 long"))
+    rows = settle(read_ids(spark, path, digest, "n long, ids_crc32 long"))
     return offsets(rows).select("doc_id", "start", F.col("n").alias("n_tokens"), "ids_crc32")
