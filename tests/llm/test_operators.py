@@ -279,3 +279,31 @@ def test_pipeline(spark, docs, rows):
         out = spark.read.parquet(path)
         counts.append(out.count())
     assert counts[0] > counts[1] >= counts[2] == counts[3] > 100
+
+
+def brute_jaccard(x, y):
+    own = lambda t: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(max(len(w) - 4, 1))}
+    a, b = own(x), own(y)
+    return len(a & b) / len(a | b)
+
+
+def near_copies(seed, kinds, least, most, n=40, passage=()):
+    """Pairs (text, changed text) with a Jaccard similarity in [least, most)."""
+    rng, out = np.random.default_rng(seed), []
+    word = lambda k: [f"w{x}" for x in np.minimum(rng.zipf(1.2, k), 20_000)]
+    while len(out) < n * len(kinds):
+        a, kind = [*passage, *word(int(rng.choice([60, 200, 800])))], kinds[len(out) % len(kinds)]
+        k = int(len(a) * rng.uniform(0.02, 0.3))
+        at = int(rng.integers(0, len(a) - k))
+        b = {"truncated": a[: len(a) - k], "appended": a + word(k), "block": a[:at] + word(k) + a[at + k :]}.get(kind) or [f"z{i}" if rng.random() < 0.05 else x for i, x in enumerate(a)]
+        if least <= brute_jaccard(" ".join(a), " ".join(b)) < most:
+            out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+@pytest.mark.parametrize("passage, settings", [((), {}), (tuple(f"p{k}" for k in range(60)), {"cap": 6, "one_in": 1}), (tuple(f"p{k}" for k in range(60)), {"cap": 6, "often": 10**6})])
+def test_near_copies_are_found(spark, passage, settings):
+    pairs = near_copies(3, ("truncated", "appended", "block"), 0.8, 0.9, passage=passage)
+    docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one_of_near(docs, **settings).collect()}
+    assert kept == {2 * i for i in range(len(pairs))}

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, mapped, settle, table, texts
 from .components import components
+from .jaccard import keep_one_of_near as keep_one_of_near
 
 SEED = 42
 STEP = 1 << 16
@@ -299,48 +300,6 @@ def near_groups(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame
     return grouped(fps, lambda nodes: near_links(nodes, distance)).select("doc_id", "fp", "component_id")
 
 
-# -- near copies by shingles of five words ------------------------------------------------------------------------
-
-
-def _vote(hashes: np.ndarray) -> int:
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) if len(hashes) else np.zeros(64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
-
-
-def sketch(text: str, words: int = 5) -> tuple[int, int, int]:
-    """Three signed longs: SimHash of the different words (to search by), 128 bits of SimHash of the different shingles."""
-    from xxhash import xxh3_128_digest, xxh64_intdigest
-
-    w = text.encode().lower().split()
-    own = np.array([xxh64_intdigest(x, SEED) for x in set(w)], "<u8")
-    shingles = {b" ".join(w[k : k + words]) for k in range(max(len(w) - words + 1, 1 if w else 0))}
-    wide = np.frombuffer(b"".join(map(xxh3_128_digest, shingles)), "<u8").reshape(-1, 2)
-    return _vote(own), _vote(np.ascontiguousarray(wide[:, 0])), _vote(np.ascontiguousarray(wide[:, 1]))
-
-
-def keep_one_of_near(docs: DataFrame, words: int = 5, distance: int = 8, also: int = 26, choices=(4, 6, 8, 9)) -> DataFrame:
-    """The documents, all columns, without near copies: of each group of linked ones that with the smallest doc_id stays.
-
-    Candidates are found by the SimHash of the different words within ``distance`` of 64 bits (a text of which a few words
-    are changed keeps nearly all its words); they are linked if the 128-bit SimHashes of their five-word shingles
-    differ in at most ``also`` bits: an estimated cosine of the shingle sets of cos(pi * 26 / 128) = 0.8.
-    """
-    others = [F.col(f"`{c}`") for c in docs.columns]
-    tagged = docs.withColumn("_tl_row", F.xxhash64(*others))
-    rows = tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), "_tl_row")
-
-    def run(it):
-        for b in batches(it):
-            got = np.array([sketch(t, words) for t in b.column(1).to_pylist()], np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(got[:, k]) for k in range(3)]], ["doc_id", "_tl_row", "fp", "v1", "v2"])
-
-    fps = settle(mapped(rows, run, "doc_id long, _tl_row long, fp long, v1 long, v2 long")).withColumn("node", F.xxhash64("fp", "v1", "v2"))
-    roots = grouped(fps, lambda nodes: near_links(nodes, distance, also, choices=choices))
-    stays = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_tl_row"))).alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k._tl_row").alias("_r"))
-    hit = tagged.join(stays, (F.col("_tl_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    return hit.drop("_tl_row")
-
-
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"), words=3, distance=3)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
