@@ -307,3 +307,12 @@ def test_near_copies_are_found(spark, passage, settings):
     docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
     kept = {r["doc_id"] for r in simhash.keep_one_of_near(docs, **settings).collect()}
     assert kept == {2 * i for i in range(len(pairs))}
+
+
+def test_no_copies_below_the_similarity(spark):
+    pairs = near_copies(4, ("truncated", "appended", "block", "scattered"), 0.6, 0.8, n=15)
+    docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
+    assert simhash.keep_one_of_near(docs).count() == 2 * len(pairs)
+    edge = [" ".join(f"w{k}" for k in range(n)) for n in (94, 76, 75)]  # 90, 72 and 71 shingles: 72 of 90 is 0.8, 71 of 90 is less
+    for texts, n in ((edge[:2], 1), (edge[::2], 2)):
+        assert simhash.keep_one_of_near(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == n
