@@ -128,3 +128,36 @@ def test_band_merge():
     assert merge_bands([(0, 2), (3, 13)], 10) == [(0, 13)]
     assert merge_bands([(0, 10), (30, 40)], 10) == [(0, 10), (30, 40)]
     assert merge_bands([(0, 2)], 10) == [(0, 2)]
+
+
+def brute_kmeans(points, k, rounds=16):
+    """First centre: the first point; then the farthest from all centres; empty clusters keep their centre; first on ties."""
+    centres = [points[0]]
+    while len(centres) < k:
+        centres.append(points[int(np.argmax(np.min([((points - c) ** 2).sum(1) for c in centres], 0)))])
+    c, last = np.array(centres), None
+    for _ in range(rounds):
+        own = np.argmin(((points[:, None] - c[None]) ** 2).sum(2), 1)
+        if last is not None and (own == last).all():
+            break
+        last = own
+        for j in range(k):
+            if (own == j).any():
+                c[j] = points[own == j].mean(0)
+    return c
+
+
+def test_kmeans_takes_all_points(spark, tmp_path):
+    from typelens.plans import raster
+
+    rng = np.random.default_rng(2)
+    near, late = rng.normal(-0.3, 0.02, (6000, 3)), rng.normal(0.3, 0.1, (1500, 3))  # the late ones follow after 6000 rows
+    rows = [(i, 1, [float(x) for x in v]) for i, v in enumerate(np.concatenate([near, late]))] + [(9000, 2, [0.1, 0.2, 0.3]), (9001, 2, [0.3, 0.2, 0.1])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    p = raster.lab_points(spark, str(tmp_path)).toPandas().sort_values("vec_id")
+    got = {(r["label"], r["cluster"]): (r["l"], r["a"], r["bb"]) for r in raster.kmeans_farthest(spark, str(tmp_path)).collect()}
+    want = {}
+    for label, own in ((1, p["vec_id"] < 9000), (2, p["vec_id"] >= 9000)):
+        for k, c in enumerate(brute_kmeans(p[own][["l", "a", "bb"]].to_numpy(), min(3, int(own.sum())))):
+            want[label, k] = tuple(c)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-5) for k in want)

@@ -209,38 +209,39 @@ def nearest_palette(spark, d):
     return p.groupBy(best.alias("colour")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def kmeans(points: np.ndarray, k: int, rounds: int = 16) -> np.ndarray:
-    """First centre: the first point; then the farthest from all centres; empty clusters keep their centre; first on ties."""
-    centres = [points[0]]
-    while len(centres) < k:
-        centres.append(points[int(np.argmax(np.min([((points - c) ** 2).sum(1) for c in centres], 0)))])
-    c, last = np.array(centres), None
-    for _ in range(rounds):
-        own = np.argmin(((points[:, None] - c[None]) ** 2).sum(2), 1)
-        if last is not None and (own == last).all():
-            break
-        last = own
-        for j in range(k):
-            if (own == j).any():
-                c[j] = points[own == j].mean(0)
-    return c
-
-
 @query()
 def kmeans_farthest(spark, d):
-    """Palette training per vector group (label): a bounded sample of 6000 points each, as the palette's rule has it."""
-    ship(spark)
-    e = table(spark, d, "embeddings").select("label", "vec_id")
-    p = lab_points(spark, d).join(e, "vec_id")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    p = p.withColumn("i", F.row_number().over(w)).filter("i <= 6000")
+    """k-means per vector group (label) over all its points: the first point, then the farthest; empty clusters keep their centre.
 
-    def run(pdf):
-        pdf = pdf.sort_values("vec_id")
-        c = kmeans(pdf[["l", "a", "bb"]].to_numpy(), min(3, len(pdf)))
-        return pd.DataFrame({"label": int(pdf["label"].iloc[0]), "cluster": np.arange(len(c)), "l": c[:, 0].round(6), "a": c[:, 1].round(6), "bb": c[:, 2].round(6)})
-
-    return p.groupBy("label").applyInPandas(run, "label long, cluster long, l double, a double, bb double")
+    The driver holds the centres (three a label); points are only aggregated.
+    """
+    e = table(spark, d, "embeddings").select("label", "vec_id")
+    p = lab_points(spark, d).join(e, "vec_id").persist()
+    own = [F.col(c) for c in ("l", "a", "bb")]
+    point = F.array(*own)
+
+    def beside(centres):
+        c = spark.createDataFrame(list(centres.items()), "of long, centres array<array<double>>")
+        return p.join(F.broadcast(c), p["label"].cast("long").eqNullSafe(c["of"]))
+
+    far = F.transform("centres", lambda c: C.distance2(own, [c[0], c[1], c[2]]))
+    n, centres = {}, {}
+    for r in p.groupBy(F.col("label").cast("long").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min_by(point, "vec_id").alias("first")).collect():
+        n[r["of"]], centres[r["of"]] = r["n"], [r["first"]]
+    for k in (1, 2):
+        for r in beside(centres).groupBy("of").agg(F.max_by(point, F.struct(F.array_min(far), -F.col("vec_id"))).alias("next")).collect() if centres else []:
+            if k < n[r["of"]]:
+                centres[r["of"]].append(r["next"])
+    nearest = F.array_min(F.transform(far, lambda x, k: F.struct(x.alias("d"), k.alias("k"))))["k"]
+    for _ in range(16 if centres else 0):
+        before = {x: list(c) for x, c in centres.items()}
+        for r in beside(centres).groupBy("of", nearest.alias("k")).agg(F.array(*[F.avg(c) for c in own]).alias("mean")).collect():
+            centres[r["of"]][r["k"]] = r["mean"]
+        if all(abs(x - y) < 1e-12 for of in centres for b, c in zip(before[of], centres[of]) for x, y in zip(b, c)):
+            break
+    p.unpersist()
+    rows = [(of, k, *[round(x, 6) for x in c]) for of, cs in centres.items() for k, c in enumerate(cs)]
+    return spark.createDataFrame(rows, "label long, cluster long, l double, a double, bb double")
 
 
 @query(sql(""", b AS (SELECT sheet_id, x, y, CAST(floor((value + 0.6) * 16) AS BIGINT) AS bucket, value FROM pixels_v WHERE x IN (0, 7) OR y IN (0, 7)),
