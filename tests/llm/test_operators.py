@@ -6,6 +6,7 @@ import re
 import unicodedata
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from typelens.llm import exact_dedup, fingerprint, idfiles, packing, quality, sentencepieces, simhash, substring, toxicity, warc
 from typelens.llm.common import byte_bpe, scratch, word_bpe
-from typelens.llm.idcoder import decode, encode
+from typelens.llm.idcoder import Prior, decode, encode
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, block string, node long, start string"
@@ -183,7 +184,7 @@ def test_tokenizers_agree():
     from tokenizers import Tokenizer
 
     rng = random.Random(1)
-    alpha = ["a", "B", " ", "  ", "\n", "é", "́", "'s", "'", ".", "1", "Σ", "\xa0", "\x85", "日", "🙂", "İ", "\x00", "\x01", "ſ", "×"]
+    alpha = ["a", "B", " ", "  ", "\n", "é", "́", "'s", "'", ".", "1", "Σ", "\xa0", "\x85", "日", "🙂", "İ", "\x00", "\x01", "ſ", "×", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "'S"]
     texts = ["".join(rng.choice(alpha) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     for name, fn in (("byte_bpe_50k.json", byte_bpe), ("word_bpe_49k.json", word_bpe)):
         want = [e.ids for e in Tokenizer.from_file(P.path(name)).encode_batch(texts, add_special_tokens=False)]
@@ -210,10 +211,27 @@ def test_sentencepiece(docs, rows, empty):
 
 def test_idcoder_round_trip():
     rng = np.random.default_rng(1)
-    blocks = [rng.integers(0, h, n).astype(np.uint16) for h, n in ((65536, 700), (3, 3000), (1, 50), (65536, 0), (400, 1))]
-    coded = encode(blocks)
-    assert all((a == b).all() for a, b in zip(blocks, decode(coded, [len(b) for b in blocks])))
-    assert sum(len(x) + len(y) for x, y in [coded[1]]) < 1500  # a quarter of the ids as they are
+    blocks = [rng.integers(0, h, n).astype(np.uint16) for h, n in ((65536, 700), (3, 3000), (1, 50), (65536, 0), (400, 1), (65536, 40_000))]
+    blocks += [np.repeat(np.arange(60, dtype=np.uint16), 50), np.zeros(0, np.uint16)]
+    prior = Prior.of(blocks)
+    again = Prior.load(prior.dump())
+    coded = encode(blocks, prior)
+    assert all((a == b).all() for a, b in zip(blocks, decode(coded, [len(b) for b in blocks], again)))
+    alone = [decode([c], [len(b)], again)[0] for b, c in zip(blocks, coded)]  # no block needs another
+    assert all((a == b).all() for a, b in zip(blocks, alone))
+    assert len(coded[6]) < 700 and Prior.of([]).dump() and encode([], prior) == [] == decode([], [], prior)
+
+
+def test_idcoder_is_smaller_than_zlib():
+    texts = [r[0] or "" for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()]
+    ids = np.frombuffer(b"".join(word_bpe(P.path("word_bpe_49k.json"))(texts)), "<u4").astype(np.uint16)
+    blocks = [ids[k : k + idfiles.BLOCK] for k in range(0, len(ids), idfiles.BLOCK)]
+    prior = Prior.of(blocks)
+    ours, theirs = [len(x) for x in encode(blocks, prior)], [len(zlib.compress(x.tobytes(), 9)) for x in blocks]
+    assert sum(ours) + len(prior.dump()) < 0.8 * sum(theirs)
+    assert sum(a < b for a, b in zip(ours, theirs)) > 0.97 * len(blocks)
+    share = np.bincount(ids) / len(ids)
+    assert sum(ours) * 8 < -(share[share > 0] * np.log2(share[share > 0])).sum() * len(ids)  # less than the ids' entropy without context
 
 
 def test_idfiles(spark, docs, rows, empty):
@@ -229,11 +247,21 @@ def test_idfiles(spark, docs, rows, empty):
     text = dict(rows)
     assert all(np.frombuffer(r["ids"], "<u4").tolist() == t.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids + [1] for r in got if r["doc_id"] not in (None, 108))
     assert len(got) == len(rows)
-    block = spark.read.parquet(path).first()["data"]
+    first, block = (r["data"] for r in spark.read.parquet(path).orderBy("file", "block").limit(2).collect())
+    prior = idfiles.unpack_prior(first)
+    assert len(idfiles.unpack_blocks([block], prior)) == 1
+    for bad in (block[:-1], block[:8] + b"\0\0\0\0" + block[12:]):
+        with pytest.raises(ValueError):
+            idfiles.unpack_blocks([bad], prior)
     with pytest.raises(ValueError):
-        idfiles.unpack_blocks([block[:-1]])
+        idfiles.unpack_blocks([block], None)
     with pytest.raises(ValueError):
-        idfiles.unpack_blocks([block[:8] + b"\0\0\0\0" + block[12:]])
+        idfiles.unpack_prior(first[:-1])
+    repeated = {i: sorted(x for j, x in rows if j == i) for i in (108,)} | {None: sorted(x or "" for j, x in rows if j is None)}
+    for i, all_texts in repeated.items():
+        own = [np.frombuffer(r["ids"], "<u4").tolist() for r in sorted(got, key=lambda r: r["start"]) if r["doc_id"] == i]
+        assert own == [t.encode(x, add_special_tokens=False).ids + [1] for x in all_texts]
+    assert max(r["start"] for r in got if r["doc_id"] is not None) < min(r["start"] for r in got if r["doc_id"] is None)
     assert idfiles.read_ids(spark, idfiles.write_ids(empty, P.path("word_bpe_49k.json"), scratch(spark, "e"))).count() == 0
 
 

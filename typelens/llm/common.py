@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import array
+import itertools
 import json
 import os
 import re
@@ -11,6 +12,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the separator of words in every contract of this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
+#: How the strings of the added tokens of the vocabularies begin (fixed value).
+ADDED = "<|"
 
 
 def ship(spark: SparkSession) -> None:
@@ -190,7 +194,8 @@ def byte_bpe(path: str):
     """Function from texts to packed ids for a byte-level BPE file of the tokenizers library.
 
     The texts go through tiktoken with the file's vocabulary, whose ids are the ranks of its merges: the same ids several
-    times faster (tests hold them against the tokenizers library).  Special tokens' strings are ordinary text.
+    times faster (tests hold them against the tokenizers library).  Texts that may hold the string of an added token go
+    through the tokenizers library itself.
     """
     if (path, "byte") not in _ENCODERS:
         import tiktoken
@@ -199,17 +204,20 @@ def byte_bpe(path: str):
         ranks = {bytes(byte[c] for c in w): i for w, i in _vocabulary(path).items()}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         one = tiktoken.Encoding("byte", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _ENCODERS[path, "byte"] = lambda texts: [_ids(one, t) for t in texts]
+        others = hf_chunks(path, " ")
+        _ENCODERS[path, "byte"] = lambda texts: [_ids(one, t) if ADDED not in t else others([t])[0] for t in texts]
     return _ENCODERS[path, "byte"]
 
 
 def word_bpe(path: str):
     """Function from texts to packed ids for a BPE file with word ends that drops white space and case.
 
-    Texts of ASCII, white space and Latin letters up to U+017F, whose normal form and lower case are plain, are cut into
-    words here, each ended by a control character that they don't hold, and go through tiktoken, where that
-    character stands for the word end (ids are ranks, a character with its word end has a smaller one than any merge,
-    so the merges are the same).  All other texts go through the tokenizers library, by a table of chunks.
+    Texts of ASCII, white space and Latin letters up to U+017F, whose normal form and lower case are plain, are cut at white
+    space, which no token reaches over.  Each different piece is cut into words, each ended by a control character that it
+    doesn't hold, and these go through tiktoken, where that character stands for the word end (ids are ranks, a character
+    with its word end has a smaller one than any merge, so the merges are the same).  The ids of short pieces are kept in
+    a table of bounded size, as in ``ChunkIds``.  All other texts go through the tokenizers library, those that may hold
+    the string of an added token as they are.
     """
     if (path, "word") not in _ENCODERS:
         import tiktoken
@@ -217,44 +225,76 @@ def word_bpe(path: str):
         byte, end, mark = _byte_of(), "</w>", "\x01"
         ranks = {bytes(byte[c] for c in w.removesuffix(end)) + mark.encode() * w.endswith(end): i for w, i in _vocabulary(path).items()}
         one = tiktoken.Encoding("word", pat_str=f"[^{mark}]+{mark}", mergeable_ranks=ranks, special_tokens={})
+        is_end = np.zeros(max(ranks.values()) + 1, bool)
+        is_end[[i for w, i in ranks.items() if w.endswith(mark.encode())]] = True
         words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ſ]+|[0-9]|[^\sA-Za-z0-9À-ÖØ-öø-ſ]+").findall
         plain = re.compile(r"[\x20-\x7e\t\n\r\x0b\x0cÀ-ſ]*").fullmatch
         others = hf_chunks(path, "")
-        known: dict[str, bytes] = {}  # ids of short words, kept as ChunkIds keeps its chunks
-
-        def plain_ids(w: list[str]) -> bytes:
-            got = list(map(known.get, w))
+        known: dict[str, bytes] = {}
+
+        def encode_pieces(pieces: list[str]) -> None:
+            """Put the ids of new pieces into the table."""
+            cut = list(map(words, map(str.lower, pieces)))
+            flat = "".join([w + mark for x in cut for w in x])
+            ids = one.encode_to_numpy(flat, disallowed_special=()).astype("<u4")
+            ends = 4 * (np.flatnonzero(is_end[ids]) + 1)
+            if len(ends) != sum(map(len, cut)):
+                raise ValueError("word ends and tokens disagree")
+            last = np.cumsum([len(x) for x in cut])
+            at = np.concatenate([[0], ends])[np.concatenate([[0], last])].tolist()
+            raw = ids.tobytes()
+            known.update(zip(pieces, [raw[s:e] for s, e in zip(at, at[1:])]))
+
+        def encode_group(texts: list[str]) -> list[bytes]:
+            parts = list(map(str.split, texts))
+            flat = list(itertools.chain.from_iterable(parts))
+            got = list(map(known.get, flat))
             if None in got:
-                new = {x for x, g in zip(w, got) if g is None}
-                known.update((x, packed(one.encode_ordinary(x + mark))) for x in new)
-                got = list(map(known.get, w))
+                holes = [i for i, g in enumerate(got) if g is None]
+                new = list(dict.fromkeys(flat[i] for i in holes))
+                encode_pieces(new)
+                for i in holes:
+                    got[i] = known[flat[i]]
                 for x in new:
                     if len(x) > 32:
                         del known[x]
-            return b"".join(got)
+            ends = [0, *itertools.accumulate(map(len, parts))]
+            return [b"".join(got[s:e]) for s, e in zip(ends, ends[1:])]
 
         def encode(texts: list[str]) -> list[bytes]:
-            out = []
-            for t in texts:
-                if len(known) > 200_000:
-                    for c in list(known)[100_000:]:
-                        del known[c]
-                out.append(plain_ids(words(t.lower())) if plain(t) else others([t])[0])
+            out: list = [None] * len(texts)
+            group, held = [], 0
+            for k, t in enumerate(texts):
+                if not plain(t) or ADDED in t:
+                    out[k] = others([t])[0]
+                    continue
+                group.append(k)
+                held += len(t)
+                if held > 1_000_000 or k + 1 == len(texts):
+                    if len(known) > 600_000:
+                        for c in list(known)[300_000:]:
+                            del known[c]
+                    for i, x in zip(group, encode_group([texts[i] for i in group])):
+                        out[i] = x
+                    group, held = [], 0
+            for i, x in zip(group, encode_group([texts[i] for i in group])):
+                out[i] = x
             return out
 
         _ENCODERS[path, "word"] = encode
     return _ENCODERS[path, "word"]
 
 
-def hf_chunks(path: str, lead: str) -> ChunkIds:
-    """The chunk table of a tokenizers file, kept by the Python worker."""
+def hf_chunks(path: str, lead: str):
+    """Function from texts to packed ids by the chunk table of a tokenizers file, kept by the Python worker."""
     key = (path, lead)
     if key not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
         batch = getattr(t, "encode_batch_fast", t.encode_batch)
-        _ENCODERS[key] = ChunkIds(lambda x: [e.ids for e in batch(x, add_special_tokens=False)], lead)
+        table = ChunkIds(lambda x: [e.ids for e in batch(x, add_special_tokens=False)], lead)
+        # the string of an added token may hold white space and takes some of its neighbours' with it: such texts are not cut
+        _ENCODERS[key] = lambda texts: [packed(t.encode(x, add_special_tokens=False).ids) if ADDED in x else table([x])[0] for x in texts]
     return _ENCODERS[key]

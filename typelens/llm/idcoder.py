@@ -1,114 +1,177 @@
 """Adaptive context-mixing range coder for token ids below 65,536; many blocks are coded side by side.
 
-A block starts from a reset model.  For each id, an order-2 and an order-1 table (hashed contexts) predict one id each,
-with a confidence of 0 to 3.  The decision "order-2 id / order-1 id / neither" is coded by a range coder with a
-mixture of three adaptive distributions: given the order-2 confidence, given the order-1 confidence, and the
-order-0 one; the weights of the mixture follow the two confidences.  An id that neither predicts is
-coded by an adaptive order-0 distribution over its magnitude (17 classes), its lower bits follow as they are.
-
-All arithmetic is on integers, so a block decodes alike on every machine.  numpy does one step for all blocks at once:
-the state of block k is row k of each array.
+The probability of an id is a mixture of three predictions: the id that followed the last two ids before (order 2), the id
+that followed the last one (order 1), and the frequencies of ids (order 0).  The weights of the mixture are adaptive:
+one set for each pair of confidences (0 to 3) of the order-2 and order-1 predictions, moved after every id towards the
+order that was right.  The order-0 frequencies are two factors: the ids are sorted into 8 bands of about equal weight by
+their frequency in all blocks coded together (the ``Prior``, which is stored with them); the weights of the bands, given the band
+of the last id, adapt inside a block; inside its band an id has its frequency of the prior.  All of an id goes through the
+range coder, no bit is stored as it is.
+
+A block starts from a reset model, the prior, and decodes without any other block.  All arithmetic is on integers, so that
+it does so alike on every machine.  numpy does one step for all blocks at once: the state of block k is row k of each array.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 BITS = 12
 ONE = 1 << BITS
-S1, S2 = 512, 1024
-CLASSES = 17
+S1, S2 = 128, 256
+BANDS = 8
 RATE, RATE0 = 4, 5
 CONF = 1 << 16
+#: Bits of the frequencies inside a band: of a band with few ids, of any other.
+FEW, MANY = 12, 16
+#: The range coder works on numbers of TOP bits and gives out words of 16 bits when the range is below 2**LEAST; the three steps of an id take 40 bits at most.
+TOP, LEAST = 60, 44
+
+
+def _fours(*rows: tuple[int, ...]) -> np.ndarray:
+    """Rows of four 16-bit numbers as 64-bit ones, so that a row is gathered and scattered at once."""
+    return np.array(rows, np.int16).view(np.int64).ravel()
+
+
+#: Where the bounds of the three weights go when order 2, 1 or 0 was right: all but one in 4096 each for the others.
+_TO = _fours((0, ONE - 2, ONE - 1, ONE), (0, 1, ONE - 1, ONE), (0, 1, 2, ONE))
+#: Weights (of 16) of order 2 and order 1 that a block starts with, by 4 * order-2 confidence + order-1 confidence.
+_W2 = [(0, 5, 9, 13)[c2] for c2 in range(4) for c1 in range(4)]
+_W1 = [min(15 - w, (0, 4, 8, 11)[k % 4]) for k, w in enumerate(_W2)]
+_START = _fours(*((0, (4 * a + 1) * ONE // 68, (4 * (a + b) + 2) * ONE // 68, ONE) for a, b in zip(_W2, _W1)))
+#: Where the lower bounds of the bands go when a band was right, 16 bytes a row.
+_TO_BAND = np.array([[j + (ONE - BANDS) * (j > s) for j in range(BANDS)] for s in range(BANDS)], np.int16).view(np.complex128).ravel()
 
 
-def _pairs(*rows: tuple[int, int]) -> np.ndarray:
-    """Pairs of 32-bit numbers as 64-bit ones, so that a pair is gathered and scattered at once."""
-    return np.array(rows, np.int32).view(np.int64).ravel()
+class Prior:
+    """Order-0 frequencies that the blocks of a group start from."""
 
+    def __init__(self, counts: np.ndarray):
+        """counts: 65,536 numbers below 65,536; an id with count 0 can't be coded."""
+        self.counts = counts
+        by = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        c = counts[by].astype(np.int64)
+        total = max(int(c.sum()), 1)
+        of = np.minimum((np.cumsum(c) - c // 2 - 1) * BANDS // total, BANDS - 1)
+        self.band, self.start, self.width = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
+        self.band[by] = of
+        self.bits, self.base = np.full(BANDS, FEW, np.int64), np.zeros(BANDS, np.int64)
+        slots, weight = [], np.zeros(BANDS)
+        for k in range(BANDS):
+            ids, own = by[of == k], c[of == k]
+            weight[k] = own.sum()
+            if len(ids) > 1 << FEW - 3:
+                self.bits[k] = MANY
+            room = 1 << int(self.bits[k])
+            if len(ids):
+                w = 1 + own * (room - len(ids)) // own.sum()
+                w[0] += room - w.sum()  # the most frequent one
+                self.start[ids], self.width[ids] = np.cumsum(w) - w, w
+            self.base[k] = sum(map(len, slots))
+            slots.append(np.repeat(ids, w).astype(np.uint16) if len(ids) else np.zeros(room, np.uint16))
+        self.slot = np.concatenate(slots)
+        share = 1 + np.floor(weight / max(weight.sum(), 1) * (ONE - BANDS)).astype(np.int64)
+        share[int(np.argmax(share))] += ONE - share.sum()
+        self.bounds = (np.cumsum(share) - share).astype(np.int16)
 
-#: Targets of adaptation: the bounds of a distribution that gives all but one in 4096 for each other symbol to one symbol.
-_TO = _pairs((ONE - 2, ONE - 1), (1, ONE - 1), (1, 2))
-_TO_CLASS = np.array([[j + 1 if j < s else ONE - (CLASSES - 1 - j) for j in range(CLASSES - 1)] for s in range(CLASSES)], np.int16)
-#: Number of binary digits of an id: 0 for 0, 16 for 32768 and more.
-_CLASS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int64)
-#: All class bounds of a lane as one item, gathered and scattered at once.
-_BOUNDS = np.dtype((np.void, 2 * (CLASSES - 1)))
-#: Weights (of 16) of the order-2, order-1 and order-0 distributions, by 4 * order-2 confidence + order-1 confidence.
-_W2 = [3 + 3 * c2 - (c1 > c2) for c2 in range(4) for c1 in range(4)]
-_W1 = [min(12 - w, 3 + 2 * (k % 4)) for k, w in enumerate(_W2)]
-_W0 = [16 - a - b for a, b in zip(_W2, _W1)]
-_WEIGHT = [_pairs(*zip(w, w)) for w in (_W2, _W1, _W0)]
+    @classmethod
+    def of(cls, blocks: list[np.ndarray]) -> Prior:
+        n = np.zeros(1 << 16, np.int64)
+        for x in blocks:
+            n += np.bincount(x, minlength=1 << 16)
+        most = max(int(n.max()), 1)
+        return cls(np.where(n > 0, np.maximum(n * min(65535, most) // most, 1), 0))
+
+    def dump(self) -> bytes:
+        at = np.flatnonzero(self.counts)
+        return zlib.compress(np.concatenate([np.diff(at, prepend=0), self.counts[at]]).astype("<u2").tobytes(), 9)
+
+    @classmethod
+    def load(cls, data: bytes) -> Prior:
+        gaps, n = np.frombuffer(zlib.decompress(data), "<u2").reshape(2, -1).astype(np.int64)
+        counts = np.zeros(1 << 16, np.int64)
+        counts[np.cumsum(gaps)] = n
+        return cls(counts)
 
 
 class Lanes:
     """Model state of n blocks."""
 
-    def __init__(self, n: int):
-        self.n = n
-        self.base1, self.base2 = np.arange(n) * S1, np.arange(n) * S2
+    def __init__(self, n: int, prior: Prior):
+        self.n, self.prior = n, prior
+        self.base1, self.base2, self.base16, self.base8, self.base4 = (np.arange(n) * k for k in (S1, S2, 16, BANDS, 4))
         self.t1, self.t2 = np.zeros(n * S1, np.int32), np.zeros(n * S2, np.int32)  # id + confidence * CONF
-        even = _pairs((ONE // 3, 2 * ONE // 3))
-        self.by2, self.by1, self.by0 = np.tile(even, n * 4), np.tile(even, n * 4), np.tile(even, n)
-        self.mag = np.tile(((np.arange(1, CLASSES) * ONE) // CLASSES).astype(np.int16), (n, 1)).view(_BOUNDS).ravel()
-        self.four, self.rows = np.arange(n) * 4, np.arange(n)
+        self.weights = np.tile(_START, n)
+        self.bands = np.tile(prior.bounds.view(np.complex128), n * BANDS)
         self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
-    def predict(self):
-        """Predicted ids (order 2, order 1), and the two inner bounds of the mixed distribution of the decision."""
+    def shrink(self, live: int) -> None:
+        """Forget the lanes behind ``live``; lanes are sorted by length, so they are the ones that have ended."""
+        self.n = live
+        for name in ("base1", "base2", "base16", "base8", "base4", "p1", "p2"):
+            setattr(self, name, getattr(self, name)[:live])
+
+    def predict(self) -> np.ndarray:
+        """The predicted ids become g1 and g2; returns the bounds of the weights of orders 2, 1 and 0, one row each."""
         h = self.p1 * 40503
-        self.at1 = self.base1 + ((h >> 6) & (S1 - 1))
-        self.at2 = self.base2 + (((h + self.p2 * 24593) >> 5) & (S2 - 1))
-        self.e1, self.e2 = self.t1[self.at1], self.t2[self.at2]
-        self.g1, self.g2 = self.e1 & (CONF - 1), self.e2 & (CONF - 1)
-        c1, c2 = self.e1 >> 16, self.e2 >> 16
-        self.k1, self.k2 = self.four + c1, self.four + c2
-        k = c2 * 4 + c1
-        self.d2, self.d1 = self.by2[self.k2], self.by1[self.k1]
-        mixed = self.d2.view(np.int32) * _WEIGHT[0][k].view(np.int32)
-        mixed += self.d1.view(np.int32) * _WEIGHT[1][k].view(np.int32)
-        mixed += self.by0.view(np.int32) * _WEIGHT[2][k].view(np.int32)
-        mixed >>= 4
-        return mixed[0::2], mixed[1::2]
+        at1, at2 = h >> 6, h + self.p2 * 24593
+        at1 &= S1 - 1
+        at1 += self.base1
+        at2 >>= 5
+        at2 &= S2 - 1
+        at2 += self.base2
+        self.at1, self.at2 = at1, at2
+        self.e1, self.e2 = self.t1.take(at1), self.t2.take(at2)
+        self.g1, self.g2 = self.e1 & CONF - 1, self.e2 & CONF - 1
+        self.k = self.base16 + ((self.e2 >> 16 << 2) + (self.e1 >> 16))
+        self.w = self.weights.take(self.k).view(np.int16)
+        return self.w
 
     def decided(self, s: np.ndarray) -> None:
-        """Adapt the three distributions to the decisions."""
-        t = _TO[s].view(np.int32)
-        for table, at, was in ((self.by2, self.k2, self.d2), (self.by1, self.k1, self.d1)):
-            d = was.view(np.int32)
-            table[at] = (d + ((t - d) >> RATE)).view(np.int64)
-        d = self.by0.view(np.int32)
-        d += (t - d) >> RATE0
-
-    def magnitude(self, who: np.ndarray) -> np.ndarray:
-        """Class bounds of some lanes, one row each."""
-        return self.mag.take(who).view(np.int16).reshape(-1, CLASSES - 1)
-
-    def magnitude_was(self, m: np.ndarray, who: np.ndarray, k: np.ndarray) -> None:
-        new = _TO_CLASS.take(k, 0)
-        new -= m
-        new >>= RATE0
-        new += m
-        self.mag[who] = new.view(_BOUNDS).ravel()
+        """Move the weights towards the order that was right."""
+        t = _TO.take(s).view(np.int16)
+        t -= self.w
+        t >>= RATE
+        t += self.w
+        self.weights[self.k] = t.view(np.int64)
+
+    def bounds(self, who: np.ndarray) -> np.ndarray:
+        """Lower bounds of the bands of some lanes, one row each."""
+        self.at = self.base8.take(who) + self.prior.band.take(self.p1.take(who))
+        self.d = self.bands.take(self.at).view(np.int16)
+        return self.d
+
+    def banded(self, k: np.ndarray) -> None:
+        """Move the weights of the bands."""
+        t = _TO_BAND.take(k).view(np.int16)
+        t -= self.d
+        t >>= RATE0
+        t += self.d
+        self.bands[self.at] = t.view(np.complex128)
 
     def seen(self, x: np.ndarray) -> None:
-        """Put the ids into the tables and move the contexts on."""
+        """Put the ids (32-bit) into the tables and move the contexts on."""
+        most = x + 3 * CONF
         for table, at, e, g in ((self.t1, self.at1, self.e1, self.g1), (self.t2, self.at2, self.e2, self.g2)):
-            table[at] = np.where(g == x, np.where(e < 3 * CONF, e + CONF, e), np.where(e >= CONF, e - CONF, x))
+            new = e - CONF
+            np.copyto(new, x, where=e < CONF)
+            np.copyto(new, np.minimum(e + CONF, most), where=g == x)
+            table[at] = new
         self.p2, self.p1 = self.p1, x.astype(np.int64)
 
 
-def _span(d: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of class k in each row of class bounds."""
-    bound, at = d.ravel(), np.arange(0, d.size, CLASSES - 1) + k
-    start, end = bound.take(at - 1, mode="wrap").astype(np.int64), bound.take(at, mode="clip").astype(np.int64)
-    start[k == 0] = 0
-    end[k == CLASSES - 1] = ONE
-    return start, end
+def _band_span(d: np.ndarray, cell: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of the bands that stand in some cells of the bounds."""
+    start = d.take(cell)
+    end = d.take(cell + 1, mode="clip")
+    np.copyto(end, ONE, where=k == BANDS - 1)
+    return start, end - start
 
 
-def encode(blocks: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-    """Blocks of ids (the longest first is fastest) -> (range-coded words, lower bits) of each."""
+def encode(blocks: list[np.ndarray], prior: Prior) -> list[bytes]:
+    """The range-coded words of each block of ids."""
     if not blocks:
         return []
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
@@ -117,154 +180,138 @@ def encode(blocks: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
     ids = np.zeros((steps, n), np.uint16)
     for lane, k in enumerate(order):
         ids[: size[lane], lane] = blocks[k]
-    m = Lanes(n)
-    low, rng = np.zeros(n, np.int64), np.full(n, 0xFFFFFFFF, np.int64)
-    out = np.zeros((n, 2 * steps + 8), np.uint16)
-    pos = np.zeros(n, np.int64)
-    literal = np.zeros((steps, n), bool)
-
-    def put(who, some_low, some_rng, start, end):
-        r = some_rng >> BITS
-        new, width = some_low + r * start, r * (end - start)
-        low[who], rng[who] = new, width
-        over = np.flatnonzero(new > 0xFFFFFFFF)
-        if len(over):
-            lane = over if isinstance(who, slice) else who[over]
-            low[lane] &= 0xFFFFFFFF
-            at = pos[lane] - 1
-            while len(lane):
-                out[lane, at] += 1  # a word that overflows to 0 carries on
-                on = out[lane, at] == 0
-                lane, at = lane[on], at[on] - 1
-        small = np.flatnonzero(width < 0x10000)
-        if len(small):
-            lane = small if isinstance(who, slice) else who[small]
-            x = low[lane]
-            out[lane, pos[lane]] = x >> 16
-            low[lane] = (x & 0xFFFF) << 16
-            rng[lane] <<= 16
-            pos[lane] += 1
+    m = Lanes(n, prior)
+    low, rng = np.zeros(n, np.int64), np.full(n, 1 << TOP, np.int64)
+    out, size_of = np.zeros((n, 3 * steps + 8), np.uint16), [0] * n
+    flat, pos = out.ravel(), np.arange(n) * out.shape[1]
+
+    def carry(lane):
+        low[lane] &= (1 << TOP) - 1
+        at = pos[lane] - 1
+        while len(at):
+            flat[at] += 1  # a word that overflows to 0 carries on
+            at = at[flat[at] == 0] - 1
 
     live = n
     for t in range(steps):
         while size[live - 1] <= t:
             live -= 1
         if live < m.n:
-            _shrink(m, live)
+            m.shrink(live)
+            low, rng, pos = low[:live], rng[:live], pos[:live]
         x = ids[t, :live].astype(np.int32)
-        lo, hi = m.predict()
-        is2 = x == m.g2
-        s = np.where(is2, 0, np.where(x == m.g1, 1, 2))
-        every = slice(0, live)
-        put(every, low[every], rng[every], np.where(is2, 0, np.where(s == 1, lo, hi)), np.where(is2, lo, np.where(s == 1, hi, ONE)))
+        w = m.predict()
+        s = x != m.g2
+        s = s.view(np.uint8) + (s & (x != m.g1))
+        cell = m.base4 + s
+        start, end = w.take(cell), w.take(cell + 1)
+        end -= start
+        r = rng >> BITS
+        low += r * start
+        rng[:] = r * end
         m.decided(s)
         who = np.flatnonzero(s == 2)
         if len(who):
-            literal[t, who] = True
-            k = _CLASS.take(x.take(who))
-            d = m.magnitude(who)
-            start, end = _span(d, k)
-            put(who, low[who], rng[who], start, end)
-            m.magnitude_was(d, who, k)
+            y = x.take(who)
+            k, d = prior.band.take(y), m.bounds(who)
+            start, width = _band_span(d, np.arange(0, d.size, BANDS) + k, k)
+            m.banded(k)
+            r = rng.take(who) >> BITS
+            add = r * start
+            r *= width
+            r >>= prior.bits.take(k)
+            add += r * prior.start.take(y)
+            low[who] += add
+            rng[who] = r * prior.width.take(y)
         m.seen(x)
-    for _ in range(2):
-        every = np.arange(n)
-        out[every, pos] = low >> 16
-        low = (low & 0xFFFF) << 16
-        pos += 1
-    result: list = [None] * n
-    for lane, k in enumerate(order):
-        own = literal[: size[lane], lane]
-        result[k] = (out[lane, : pos[lane]].astype("<u2").tobytes(), _pack_bits(blocks[k][own]))
-    return result
-
-
-def _shrink(m: Lanes, live: int) -> None:
-    """Forget the lanes behind ``live``; lanes are sorted by length, so they are the ones that have ended."""
-    m.n = live
-    for name in ("base1", "base2", "four", "p1", "p2", "rows", "by0"):
-        setattr(m, name, getattr(m, name)[:live])
-
-
-def _pack_bits(ids: np.ndarray) -> bytes:
-    """The digits below the leading one of each id, lowest first."""
-    width = np.maximum(_CLASS.take(ids) - 1, 0)
-    total = int(width.sum())
-    if not total:
-        return b""
-    which = np.repeat(np.arange(len(ids)), width)
-    digit = np.arange(total) - np.repeat(np.cumsum(width) - width, width)
-    return np.packbits((ids[which].astype(np.int64) >> digit & 1).astype(np.uint8), bitorder="little").tobytes()
+        over = np.flatnonzero(low >> TOP)
+        if len(over):
+            carry(over)
+        small = np.flatnonzero(rng < 1 << LEAST)
+        while len(small):
+            v, at = low[small], pos[small]
+            flat[at] = v >> LEAST
+            low[small] = (v & (1 << LEAST) - 1) << 16
+            pos[small] = at + 1
+            r = rng[small] << 16
+            rng[small] = r
+            small = small[r < 1 << LEAST]
+        if t + 1 == steps or size[live - 1] == t + 1:  # one word more tells a block that ends from all others
+            ends = np.flatnonzero(size[:live] == t + 1)
+            low[ends] += (1 << LEAST) - 1
+            carry(ends[low[ends] >> TOP > 0])
+            flat[pos[ends]] = low[ends] >> LEAST
+            pos[ends] += 1
+            for lane, end in zip(ends.tolist(), pos[ends].tolist()):
+                size_of[order[lane]] = end - lane * out.shape[1]
+    return [out[lane, : size_of[k]].astype("<u2").tobytes() for k, lane in sorted((k, lane) for lane, k in enumerate(order))]
 
 
-def decode(coded: list[tuple[bytes, bytes]], sizes: list[int]) -> list[np.ndarray]:
+def decode(coded: list[bytes], sizes: list[int], prior: Prior) -> list[np.ndarray]:
     """The ids of the blocks."""
     if not coded:
         return []
     order = sorted(range(len(coded)), key=lambda k: -sizes[k])
     size = np.array([sizes[k] for k in order])
     n, steps = len(order), int(size[0])
-    words = np.zeros((n, max(len(coded[k][0]) for k in order) // 2 + 4), np.uint16)
-    bits = np.zeros((n, max(len(coded[k][1]) for k in order) + 8), np.uint8)
+    words = np.zeros((n, max(len(x) for x in coded) // 2 + 8), np.uint16)
     for lane, k in enumerate(order):
-        w, b = np.frombuffer(coded[k][0], "<u2"), np.frombuffer(coded[k][1], np.uint8)
-        words[lane, : len(w)], bits[lane, : len(b)] = w, b
-    width = bits.shape[1]
-    flat = bits.ravel()
-    m = Lanes(n)
-    code = (words[:, 0].astype(np.int64) << 16) | words[:, 1]
-    rng = np.full(n, 0xFFFFFFFF, np.int64)
-    pos, bit = np.full(n, 2, np.int64), np.zeros(n, np.int64)
+        w = np.frombuffer(coded[k], "<u2")
+        words[lane, : len(w)] = w
+    m = Lanes(n, prior)
+    a, b, c, d = (words[:, k].astype(np.int64) for k in range(4))
+    code, rng = a << 44 | b << 28 | c << 12 | d >> 4, np.full(n, 1 << TOP, np.int64)
+    following = (words[:, 3:-1] << 12 | words[:, 4:] >> 4).ravel()  # 16 bits each behind the first 60
+    pos = np.arange(n) * (words.shape[1] - 4)
     ids = np.zeros((steps, n), np.uint16)
-    flat_words, row = words.ravel(), np.arange(n) * words.shape[1]
-
-    def take(who, c, r, start, end):
-        c = c - r * start
-        width = r * (end - start)
-        code[who], rng[who] = c, width
-        small = np.flatnonzero(width < 0x10000)
-        if len(small):
-            lane = small if isinstance(who, slice) else who[small]
-            code[lane] = (c[small] << 16) | flat_words[row[lane] + pos[lane]]
-            rng[lane] = width[small] << 16
-            pos[lane] += 1
-
     live = n
     for t in range(steps):
         while size[live - 1] <= t:
             live -= 1
         if live < m.n:
-            _shrink(m, live)
-        lo, hi = m.predict()
-        every = slice(0, live)
-        r, c = rng[every] >> BITS, code[every]
-        v = np.minimum((c / r).astype(np.int32), ONE - 1)  # the quotient is far enough from whole numbers for doubles
-        is2, is1 = v < lo, v < hi
-        s = np.where(is2, 0, np.where(is1, 1, 2))
-        take(every, c, r, np.where(is2, 0, np.where(is1, lo, hi)), np.where(is2, lo, np.where(is1, hi, ONE)))
+            m.shrink(live)
+            code, rng, pos = code[:live], rng[:live], pos[:live]
+        w = m.predict()
+        r = rng >> BITS
+        v = code // r
+        s = (v >= w[1::4]).view(np.uint8) + (v >= w[2::4])
+        cell = m.base4 + s
+        start, end = w.take(cell), w.take(cell + 1)
+        end -= start
+        code -= r * start
+        rng[:] = r * end
         m.decided(s)
-        x = np.where(is2, m.g2, m.g1)
+        x = m.g1
+        np.copyto(x := x.copy(), m.g2, where=s == 0)
         who = np.flatnonzero(s == 2)
         if len(who):
-            d = m.magnitude(who)
-            bound, at = d.ravel(), np.arange(0, d.size, CLASSES - 1)
-            r, c = rng[who] >> BITS, code[who]
-            v = np.minimum((c / r).astype(np.int16), ONE - 1)
-            k = np.zeros(len(who), np.int64)
-            for step in (8, 4, 2, 1):  # the number of bounds that are not over v
-                k += (bound.take(at + (k + (step - 1))) <= v) * step
-            k += (k == CLASSES - 2) & (d[:, CLASSES - 2] <= v)
-            start, end = _span(d, k)
-            take(who, c, r, start, end)
-            m.magnitude_was(d, who, k)
-            digits = np.maximum(k - 1, 0)
-            b = bit[who]
-            byte = who * width + (b >> 3)
-            some = flat[byte].astype(np.int64) | flat[byte + 1].astype(np.int64) << 8 | flat[byte + 2].astype(np.int64) << 16
-            x[who] = np.where(k > 0, (some >> (b & 7) & ((1 << digits) - 1)) | (1 << digits), 0)
-            bit[who] = b + digits
+            d = m.bounds(who)
+            c, r = code.take(who), rng.take(who) >> BITS
+            v = c // r
+            cell = np.arange(0, d.size, BANDS)
+            for step in (4, 2, 1):  # the last bound that is not over v
+                cell += (d.take(cell + step) <= v) * step
+            k = cell & BANDS - 1
+            start, width = _band_span(d, cell, k)
+            m.banded(k)
+            c -= r * start
+            r *= width
+            r >>= prior.bits.take(k)
+            v = c // r
+            y = prior.slot.take(prior.base.take(k) + v, mode="clip").astype(np.int64)
+            code[who] = c - r * prior.start.take(y)
+            rng[who] = r * prior.width.take(y)
+            x[who] = y
         ids[t, :live] = x
         m.seen(x)
+        small = np.flatnonzero(rng < 1 << LEAST)
+        while len(small):
+            at = pos[small]
+            code[small] = code[small] << 16 | following.take(at, mode="clip")
+            pos[small] = at + 1
+            r = rng[small] << 16
+            rng[small] = r
+            small = small[r < 1 << LEAST]
     result: list = [None] * n
     for lane, k in enumerate(order):
         result[k] = ids[: size[lane], lane].copy()

@@ -1,19 +1,23 @@
 """Token-ID output: files of blocks coded by an adaptive context-mixing range coder, in ascending doc_id order.
 
-The documents are range-partitioned by doc_id; each partition is a file, a row of blocks in ascending order.  A block
-holds at most 1024 ids, resets the model (see ``idcoder``) and can be read without any other:
+The documents are range-partitioned by doc_id; each partition is a file, a row of items in ascending order.  An item is a
+prior (the frequencies of ids that the blocks behind it, up to the next prior, start from) or a block.  A block holds at
+most 1024 ids, resets the model to its prior (see ``idcoder``) and can be read with nothing but that:
 
-    4 bytes  magic ``TLI1``          4 bytes  number of ids        4 bytes  CRC-32 of the ids (little-endian unsigned 16-bit)
-    4 bytes  documents in the block  4 bytes  length of the range-coded words   4 bytes  length of the lower bits
+    4 bytes  magic ``TLI2``          4 bytes  number of ids        4 bytes  CRC-32 of the ids (little-endian unsigned 16-bit)
+    4 bytes  documents in the block  4 bytes  length of the range-coded words
     per document 13 bytes: doc_id (8, signed), ids of it in this block (4), flags (1: no doc_id, 2: goes on from before)
-    the range-coded words, the lower bits
+    the range-coded words
 
-All numbers are little-endian.  The blocks are stored as (file, block, data) rows through Spark's own writer, so that a
+    a prior: 4 bytes magic ``TLIP``, 4 bytes CRC-32 of the rest, the rest as ``idcoder.Prior.dump`` gives it
+
+All numbers are little-endian.  The items are stored as (file, block, data) rows through Spark's own writer, so that a
 task that is run again replaces its file, on any storage that Spark writes to; the data column of a file in block order
-is the file.  Many blocks are coded side by side; a task holds a bounded number of ids at a time.
+is the file.  Many blocks are coded side by side; a task holds a bounded number of ids at a time (4 million and one batch).
 
 Defined results: a null or empty text has the end id only; a null doc_id comes last; rows that repeat a doc_id follow each
-other in the order of their texts; an empty table writes no blocks; a damaged block raises; extra columns are ignored.
+other in the order of their texts; an empty table writes no blocks; a damaged block or prior raises, and so do ids that
+don't fit in 16 bits; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,30 +32,42 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batches, mapped, scratch, settle, table, texts, word_bpe
-from .idcoder import decode, encode
+from .idcoder import Prior, decode, encode
 
-MAGIC, HEAD, DOC = b"TLI1", struct.Struct("<4s5I"), struct.Struct("<qIB")
+MAGIC, HEAD, DOC = b"TLI2", struct.Struct("<4s4I"), struct.Struct("<qIB")
+PRIOR, PRIOR_HEAD = b"TLIP", struct.Struct("<4sI")
 BLOCK, LANES = 1024, 4096
 
 
 def pack_blocks(ids: list[np.ndarray], docs: list[list[tuple[int, int, int]]]) -> list[bytes]:
-    out = []
-    for x, entries, (words, bits) in zip(ids, docs, encode(ids)):
-        head = HEAD.pack(MAGIC, len(x), zlib.crc32(x.astype("<u2").tobytes()), len(entries), len(words), len(bits))
-        out.append(head + b"".join(DOC.pack(*e) for e in entries) + words + bits)
+    """The prior of some blocks, and they."""
+    prior = Prior.of(ids)
+    data = prior.dump()
+    out = [PRIOR_HEAD.pack(PRIOR, zlib.crc32(data)) + data]
+    for x, entries, words in zip(ids, docs, encode(ids, prior)):
+        head = HEAD.pack(MAGIC, len(x), zlib.crc32(x.astype("<u2").tobytes()), len(entries), len(words))
+        out.append(head + b"".join(DOC.pack(*e) for e in entries) + words)
     return out
 
 
-def unpack_blocks(blocks: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int, int]]]]:
+def unpack_prior(item: bytes) -> Prior:
+    magic, crc = PRIOR_HEAD.unpack_from(item)
+    if magic != PRIOR or zlib.crc32(item[PRIOR_HEAD.size :]) != crc:
+        raise ValueError("a prior of token ids fails its checksum")
+    return Prior.load(item[PRIOR_HEAD.size :])
+
+
+def unpack_blocks(blocks: list[bytes], prior: Prior | None) -> list[tuple[np.ndarray, list[tuple[int, int, int]]]]:
+    """The ids and the documents of blocks that start from one prior."""
     heads = [HEAD.unpack_from(b) for b in blocks]
     coded, entries = [], []
-    for b, (magic, _, _, n_docs, n_words, n_bits) in zip(blocks, heads):
+    for b, (magic, _, _, n_docs, n_words) in zip(blocks, heads):
         at = HEAD.size + n_docs * DOC.size
-        if magic != MAGIC or len(b) != at + n_words + n_bits:
-            raise ValueError("not a block of token ids, or cut short")
+        if prior is None or magic != MAGIC or len(b) != at + n_words:
+            raise ValueError("not a block of token ids, or cut short, or without its prior")
         entries.append(list(DOC.iter_unpack(b[HEAD.size : at])))
-        coded.append((b[at : at + n_words], b[at + n_words :]))
-    ids = decode(coded, [h[1] for h in heads])
+        coded.append(b[at:])
+    ids = decode(coded, [h[1] for h in heads], prior)
     for x, h in zip(ids, heads):
         if zlib.crc32(x.astype("<u2").tobytes()) != h[2]:
             raise ValueError("a block of token ids fails its checksum")
@@ -66,7 +82,7 @@ def write_ids(docs: DataFrame, tokenizer: str, out: str, end_id: int = 1, file_c
     rows = rows.withColumn("none", F.col("doc_id").isNull()).repartitionByRange(files, "none", "doc_id", F.xxhash64("text")).sortWithinPartitions("none", "doc_id", "text")
 
     def run(it):
-        encode_texts, end = word_bpe(tokenizer), np.array([end_id], np.uint16)
+        encode_texts, end = word_bpe(tokenizer), np.array([end_id], "<u4").tobytes()
         file, number = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         entries: list[list[tuple[int, int, int]]] = []
@@ -88,9 +104,15 @@ def write_ids(docs: DataFrame, tokenizer: str, out: str, end_id: int = 1, file_c
             return pa.RecordBatch.from_arrays([pa.array([file] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["file", "block", "data"])
 
         for b in batches(it):
-            for doc, raw in zip(b.column(0).to_pylist(), encode_texts(b.column(1).to_pylist())):
-                x = np.concatenate([np.frombuffer(raw, "<u4").astype(np.uint16), end])
-                at = 0
+            raw = encode_texts(b.column(1).to_pylist())
+            every = np.frombuffer(b"".join([x for r in raw for x in (r, end)]), "<u4")
+            if every.max() > 0xFFFF:
+                raise ValueError("an id doesn't fit in 16 bits")
+            every = every.astype(np.uint16)
+            stop = 0
+            for doc, r in zip(b.column(0).to_pylist(), raw):
+                start, stop = stop, stop + len(r) // 4 + 1
+                x, at = every[start:stop], 0
                 while at < len(x):
                     part = x[at : at + BLOCK - open_n]
                     open_ids.append(part)
@@ -140,21 +162,35 @@ def read_ids(spark: SparkSession, path: str, of=_as_binary, columns: str = "ids
                 place += 1
                 held.clear()
 
+        prior, waiting = None, []  # blocks of one prior that are decoded together
+
+        def unpacked():
+            nonlocal place, now, who
+            for file, (ids, entries) in zip([f for f, _ in waiting], unpack_blocks([x for _, x in waiting], prior)):
+                at = 0
+                for doc, n, flags in entries:
+                    if not flags & 2:
+                        done()
+                        if file != now:
+                            now, place = file, 0
+                        who = (file, None if flags & 1 else doc)
+                    held.append(ids[at : at + n])
+                    at += n
+            waiting.clear()
+
         for b in it:
-            for s in range(0, b.num_rows, LANES):
-                part = b.slice(s, LANES)
-                for file, (ids, entries) in zip(part.column(0).to_pylist(), unpack_blocks(part.column(2).to_pylist())):
-                    at = 0
-                    for doc, n, flags in entries:
-                        if not flags & 2:
-                            done()
-                            if file != now:
-                                now, place = file, 0
-                            who = (file, None if flags & 1 else doc)
-                        held.append(ids[at : at + n])
-                        at += n
-                if rows:
-                    yield give()
+            for file, item in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                is_prior = item[:4] == PRIOR
+                if waiting and (is_prior or len(waiting) == LANES):
+                    unpacked()
+                if is_prior:
+                    prior = unpack_prior(item)
+                else:
+                    waiting.append((file, item))
+            if rows:
+                yield give()
+        if waiting:
+            unpacked()
         done()
         if rows:
             yield give()
