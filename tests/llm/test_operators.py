@@ -1,6 +1,7 @@
 """Operators on small fixtures: nulls, empty and long texts, ties, repeated rows, clashing columns, brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 import unicodedata
@@ -91,16 +92,36 @@ def brute_windows(rows, n):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("n", [3, 13])
-def test_substring(docs, rows, empty, n):
-    got = substring.duplicate_spans(docs, words=n, block=8)
-    assert sorted((tuple(r)[:4] for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == brute_windows(rows, n)
-    cut = substring.remove_spans(docs, words=n, block=8)
-    assert cut.columns == docs.columns and cut.count() == len(rows)
-    text = {r["doc_id"]: r["text"] for r in cut.collect()}
-    kept = {i: h for i, _, _, h in brute_windows([r for r in rows if r[0] not in (None, 108)], n)}
-    assert all(hashlib.sha256(" ".join(WORDS.findall(text[i] or "")).encode()).hexdigest() == h for i, h in kept.items())
-    assert substring.duplicate_spans(empty).count() == 0
+@pytest.mark.parametrize("n, bits, block", [(3, 64, 600), (13, 64, 600), (3, 6, 600), (3, 0, 3000), (13, 4, 1), (5, 64, 10**9)])
+def test_substring(docs, rows, empty, n, bits, block):
+    """Against brute force, with weak hashes too: other words under one hash, in a block and between blocks."""
+    spans = substring.duplicate_spans(docs, words=n, block_bytes=block, hash_bits=bits)
+    got = spans.select("doc_id", "n_words", "n_removed", "kept_sha256", "spans").collect()
+    assert sorted((tuple(r)[:4] for r in got), key=repr) == brute_windows(rows, n)
+    words = {}
+    for i, t in rows:
+        words.setdefault(i, []).append(WORDS.findall(t or ""))
+    for r in got:  # a span is a factor: its words stand at its place in its reference
+        for x in r["spans"]:
+            assert r["doc_id"] is None or x["doc"] < r["doc_id"]
+            piece = lambda i, s: [w[s : s + x["words"]] for w in words[i]]
+            assert x["words"] >= n and any(a == b and len(a) == x["words"] for a in piece(r["doc_id"], x["start"]) for b in piece(x["doc"], x["at"]))
+    if bits == 64 and block < 10**9:
+        cut = substring.remove_spans(docs, words=n, block_bytes=block)
+        assert cut.columns == docs.columns and cut.count() == len(rows)
+        text = {r["doc_id"]: r["text"] for r in cut.collect()}
+        kept = {i: h for i, _, _, h in brute_windows([r for r in rows if r[0] not in (None, 108)], n)}
+        assert all(hashlib.sha256(" ".join(WORDS.findall(text[i] or "")).encode()).hexdigest() == h for i, h in kept.items())
+        assert substring.duplicate_spans(empty).count() == 0 == substring.remove_spans(empty).count()
+
+
+def test_substring_tells_words_apart(spark):
+    """Two words that any polynomial modulo 2**64 hashes alike: a Thue-Morse word and its complement."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{word} {tail}"), (2**62, f"{other} {tail}"), (-(2**62), f"{tail} {word}"), (3, f"{word} {tail}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.duplicate_spans(docs, block_bytes=100).collect()} == {1: 0, 2**62: 0, -(2**62): 0, 3: 13}
 
 
 def brute_simhash(t, n=3):
@@ -180,6 +201,32 @@ def test_packing(docs, rows, empty):
     assert packing.pack(packing.pieces(empty, P.path("byte_bpe_50k.json"))).count() == 0
 
 
+def check_bins(out, size):
+    bins = {}
+    for r in out:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for v in bins.values():
+        ends = list(itertools.accumulate([0, *[n for _, n in sorted(v)]]))
+        assert [o for o, _ in sorted(v)] == ends[:-1] and ends[-1] <= size
+    return len(bins)
+
+
+def test_packing_over_levels(spark):
+    """Many small leaves: pieces of all sizes end in few bins; large pieces that fit into nothing end the levels; equal rows are spread."""
+    rng = random.Random(2)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    lengths = [rng.randint(1, 63) for _ in range(3000)]
+    items = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], schema)
+    out = packing.pack(items, size=64, leaf=100).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(3000)) and check_bins(out, 64) <= 1.06 * sum(lengths) / 64
+    assert check_bins(packing.pack(items, size=64).collect(), 64) <= 1.02 * sum(lengths) / 64  # one leaf
+    same = spark.createDataFrame([(7, 0, 0, 40, 0)] * 500 + [(None, 0, 0, 20, 0)] * 500 + [(8, 0, 0, 64, 0)] * 3, schema)
+    out = packing.pack(same, size=64, leaf=50).collect()
+    assert len(out) == 1003 and check_bins(out, 64) <= 520
+    big = spark.createDataFrame([(i, 0, 0, 40, 0) for i in range(2000)], schema)
+    assert check_bins(packing.pack(big, size=64, leaf=50).collect(), 64) == 2000
+
+
 def test_tokenizers_agree():
     from tokenizers import Tokenizer
 
@@ -293,24 +340,84 @@ def test_classifiers(spark, docs, empty, module, label, hold):
     assert module.score(empty, model).count() == 0
 
 
-def test_pipeline(spark, docs, rows):
+def brute_cut(rows, n):
+    """The texts without words that a window which a smaller doc_id has covers, and without the white space behind them."""
+    first = {}
+    for i, t in sorted(rows):
+        w = WORDS.findall(t)
+        for k in range(len(w) - n + 1):
+            first.setdefault(tuple(w[k : k + n]), i)
+    out = {}
+    for i, t in rows:
+        w = WORDS.findall(t)
+        gone = {k + j for k in range(len(w) - n + 1) if first[tuple(w[k : k + n])] < i for j in range(n)}
+        lead, *_ = re.split("[^\x20\x09-\x0d]", t, maxsplit=1)
+        out[i] = (lead if 0 not in gone else "") + "".join(x for k, x in enumerate(re.findall("[^\x20\x09-\x0d]+[\x20\x09-\x0d]*", t)) if k not in gone)
+    return out
+
+
+def test_pipeline(spark, tmp_path):
+    """run() against every stage done by hand, on documents with exact and near copies, shared passages and toxic ones."""
+    import corpus_pipeline as C
+    from tokenizers import Tokenizer
+
+    d = "/root/testdata/sf0.01"
+    labels, docs = spark.read.parquet(f"{d}/labels.parquet"), spark.read.parquet(f"{d}/documents.parquet").limit(600)
+    pairs = near_copies(8, ("truncated", "appended", "block", "scattered"), 0.7, 0.95, n=8)
+    passage = " ".join(f"q{k}" for k in range(70))
+    more = [x for i, p in enumerate(pairs) for x in ((10**6 + 2 * i, p[0]), (10**6 + 2 * i + 1, p[1]))]
+    more += [(2 * 10**6 + i, f"start {i} {i} {passage}\n end {i}") for i in range(5)] + [(3 * 10**6, pairs[0][0].replace(" ", "  ")), (3 * 10**6 + 1, None), (3 * 10**6 + 2, " ")]
+    extra = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in more], docs.schema)
+    docs.unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    rows = sorted((r["doc_id"], r["text"] or "") for r in table.select("doc_id", "text").collect())
+    model = toxicity.fit(table, labels)
+    calm = [(i, t) for (i, t), x in zip(rows, model.scores([t for _, t in rows])) if x < 0.5]
+    first = {}
+    for i, t in calm:
+        first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", t), (i, t))
+    single = sorted(first.values())
+    root = {i: i for i, _ in single}
+    for k, (i, t) in enumerate(single):
+        for j, u in single[:k]:
+            own = [len(set(WORDS.findall(x))) for x in (t, u)]
+            if min(own) >= 0.3 * max(own) and brute_jaccard(t, u) >= 0.8:
+                a, b = root[i], root[j]
+                root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+    cut = brute_cut([(i, t) for i, t in single if root[i] == i], 50)
+    assert len(rows) > len(calm) > len(single) > len(cut) and any(t != cut[i] for i, t in single if i in cut)
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = []
+    for i, t in cut.items():
+        ids = tok.encode(t, add_special_tokens=False).ids + [2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        want += [(i, k, s, e - s, zlib.crc32(np.array(ids[s:e], "<u4").tobytes())) for k, (s, e) in enumerate(zip(cuts, cuts[1:]))]
+    out = C.run(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r)[:5] for r in out) == sorted(want)
+    assert check_bins(out, 1024) <= 1.03 * sum(x[3] for x in want) / 1024 + 1
+
+
+def test_stages_with_odd_rows(spark, docs, empty):
+    """Clashing names, repeated rows, nulls and empty tables in every stage."""
     import corpus_pipeline as C
 
-    d = "/root/testdata/sf0.001"
-    out = spark.read.parquet(f"{d}/documents.parquet")
-    counts = []
-    for _, stage in C.STAGES[:-1]:
-        new = stage(spark, out, d)
-        assert new.columns == out.columns
-        path = scratch(spark, "p")
-        new.write.parquet(path)
-        out = spark.read.parquet(path)
-        counts.append(out.count())
-    assert counts[0] > counts[1] >= counts[2] == counts[3] > 100
+    names = ["_tl_row", "_r", "_d", "score", "score_", "row", "tag", "norm", "h1", "copies", "root", "key", "rest", "bits"]
+    odd = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d  e f g"), (None, None), (4, None), (5, ""), (None, "x y z")], "doc_id long, text string")
+    odd = odd.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    model = toxicity.Model(0.1)
+    assert toxicity.reject(odd, model).columns == odd.columns and toxicity.reject(odd, model).count() == 7 and toxicity.reject(odd, toxicity.Model(0.9)).count() == 0
+    for stage, ids in ((C.drop_copies, [1, 4, None]), (C.drop_near_copies, [1, 4, None]), (C.cut_repeats, [1, 1, 2, 4, 5, None, None])):
+        out = stage(spark, odd, "")
+        assert out.columns == odd.columns and sorted((r["doc_id"] for r in out.collect()), key=lambda x: (x is None, x)) == ids
+        assert all(tuple(r)[2:] == tuple(range(len(names))) for r in out.collect())
+        assert stage(spark, odd.limit(0), "").count() == 0
+    assert C.pack(spark, odd, "").count() == 7 and C.pack(spark, odd.limit(0), "").count() == 0
 
 
 def brute_jaccard(x, y):
-    own = lambda t: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(max(len(w) - 4, 1))}
+    own = lambda t: {tuple(w[k : k + 5]) for w in [WORDS.findall(t.lower())] for k in range(max(len(w) - 4, 1))}
     a, b = own(x), own(y)
     return len(a & b) / len(a | b)
 

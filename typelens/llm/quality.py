@@ -23,7 +23,48 @@ from pyspark.sql import functions as F
 
 from .common import batches, mapped, table, texts
 from .labelled import crc, sample
-from .substring import PART, word_hashes
+
+U = np.uint64
+BASE = U(0x9E3779B97F4A7C15)
+BASE_INVERSE = U(pow(int(BASE), -1, 2**64))
+PART = 1 << 21
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((BASE, BASE_INVERSE)):
+            a = np.full(max(n, PART + 1), x, np.uint64)
+            a[0] = 1
+            _POWERS[k] = np.multiply.accumulate(a)
+    return _POWERS
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """One hash per word: prefix sums of a polynomial over the bytes, cut at white space into steps of bounded size."""
+    out, at = [], 0
+    while at < len(text):
+        end = min(at + PART, len(text))
+        if end < len(text):
+            cut = max(text.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            end = cut + 1 if cut > at else len(text)
+        b = np.frombuffer(text, np.uint8, end - at, at)
+        space = (b == 32) | ((b >= 9) & (b <= 13))
+        edge = np.diff(np.concatenate([[True], space, [True]]).view(np.int8))
+        start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        up, down = _powers(len(b) + 1)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + U(1)) * up[: len(b)], out=sums[1:])
+        out.append(mix((sums[stop] - sums[start]) * down[start]))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
 
 WORDS = 2048
 #: Classes of bytes: lower, upper, digit, space, line end, full stop, comma, exclamation, bar, other marks, bytes of other letters.

@@ -2,52 +2,49 @@
 
 A reference block holds the documents of a range of doc_ids.  All blocks are indexed: each sends every different
 window of ``words`` words in it, as a 64-bit hash, to the bucket that owns the hash's range, and a bucket tells each
-block which of its windows stand in an earlier block, and in which (the first).  Windows that stand in an earlier
-document of the same block are found inside the block.  A document is then parsed from left to right: a factor goes on
-for as long as consecutive windows are found in the same reference; where a factor ends, the windows over the boundary
-have been looked up like all others, so passages are covered to their last word.  Factors have at least ``words``
-words and become duplicate spans.
-
-Scale: the text is shuffled once, by block, and that exchange serves both passes; a block sends a window once however
-often it holds it, so that a passage which a third of all documents share is sent once per block; the answer is a bit
-per window and a reference per duplicate.  Blocks and buckets have bounded sizes (``block`` documents; about 24 million
-characters).  A collision of 64-bit hashes would remove a window too many: with n different windows the expected
-number is n * n / 2**65, 5e-4 for a billion characters.
+block which of its hashes an earlier block has, and which block (the first).  That only says where to look.  The words of
+such a stretch then go to the reference block, which parses them from left to right: the window that comes next is looked up
+in the block's index and compared word by word; from its first place there the factor goes on for as long as the words
+agree; the next factor starts with the first window that isn't inside this one, so that windows over the boundary
+are looked up like all others.  Windows that stand in an earlier document of the same block are found inside the block, in
+the same way.  Factors have at least ``words`` words and become duplicate spans.
+
+A window whose words the first block doesn't have, only its hash, goes on to every other earlier block that sent the
+hash; so the result doesn't depend on the hashes.
+
+Scale: the text is shuffled once, by block, and that exchange serves all passes; a block sends a hash once however often
+it holds it, so that a passage which a third of all documents share is sent once per block; the answer is a bit per hash
+and a reference per duplicate; the words of duplicates travel once more.  A block holds about ``block_bytes`` bytes of text
+if doc_ids are spread evenly (one document at least), a bucket the hashes of about ``bucket_chars`` characters and eight
+bytes a block for each window that all blocks share.
 
 Defined results: a null text has no words; a document with fewer words than a window keeps them all; equal doc_ids are
 not earlier than each other; a row with null doc_id has all others before it and is before none; an empty table gives no
-rows; extra columns are ignored (``remove_spans`` keeps them).
+rows; extra columns are ignored (``remove_spans`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from .common import ship, table, texts
 
 U = np.uint64
-BASE, STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
-BASE_INVERSE = U(pow(int(BASE), -1, 2**64))
+STEP = U(0xD6E8FEB86659FD93)
 #: Blocks of rows without doc_id start here.
 NULLS = 1 << 62
-PART = 1 << 21
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, x in enumerate((BASE, BASE_INVERSE)):
-            a = np.full(max(n, PART + 1), x, np.uint64)
-            a[0] = 1
-            _POWERS[k] = np.multiply.accumulate(a)
-    return _POWERS
+#: A message to a block: a stretch of words to be parsed (words), or a factor (n windows from word ``at`` of the block's words).
+MESSAGE = "key long, block long, at long, n long, ref_doc long, ref_at long, hash long, words binary"
+_MESSAGE = pa.schema([(c, pa.int64()) for c in ("key", "block", "at", "n", "ref_doc", "ref_at", "hash")] + [("words", pa.binary())])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,72 +53,129 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """One hash per word: prefix sums of a polynomial over the bytes, cut at white space into steps of bounded size."""
-    out, at = [], 0
-    while at < len(text):
-        end = min(at + PART, len(text))
-        if end < len(text):
-            cut = max(text.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-            end = cut + 1 if cut > at else len(text)
-        b = np.frombuffer(text, np.uint8, end - at, at)
-        space = (b == 32) | ((b >= 9) & (b <= 13))
-        edge = np.diff(np.concatenate([[True], space, [True]]).view(np.int8))
-        start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        up, down = _powers(len(b) + 1)
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + U(1)) * up[: len(b)], out=sums[1:])
-        out.append(mix((sums[stop] - sums[start]) * down[start]))
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def windows(hashes: np.ndarray, words: int) -> np.ndarray:
+def windows(hashes: np.ndarray, words: int, bits: int = 64) -> np.ndarray:
+    """A hash for each run of ``words`` word hashes, of which the upper ``bits`` count."""
     n = len(hashes) - words + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    acc = np.zeros(n, np.uint64)
+        return np.zeros(0, U)
+    acc = np.zeros(n, U)
     for j in range(words):
         acc = acc * STEP + hashes[j : j + n]
-    return mix(acc)
+    return mix(acc) >> U(64 - bits) << U(64 - bits)
 
 
-class Block:
-    """Windows of the documents of one block, in ascending doc_id order."""
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
-    def __init__(self, t: pa.Table, words: int):
+
+class Docs:
+    """The words of a block's documents, in ascending doc_id order: the order is the same in every pass."""
+
+    def __init__(self, t: pa.Table):
         rows = sorted(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), range(t.num_rows)), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
-        self.ids = [r[0] for r in rows]
-        self.order = [r[2] for r in rows]
+        self.ids, self.order = [r[0] for r in rows], [r[2] for r in rows]
         self.texts = [r[1].encode() for r in rows]
-        # texts of a block in one buffer would do too, but one very long text would double it
-        each = [windows(word_hashes(x), words) for x in self.texts]
-        self.counts = np.array([len(x) for x in each], np.int64)
-        self.all = np.concatenate(each) if each else np.zeros(0, np.uint64)
-        self.unique, self.first, self.inverse = np.unique(self.all, return_index=True, return_inverse=True)
-
-    def earlier_here(self) -> np.ndarray:
+        self.split = [x.split() for x in self.texts]
+        self.ends = np.cumsum([len(w) for w in self.split])
+        self.starts = self.ends - [len(w) for w in self.split]
+
+
+class Block(Docs):
+    """The index of a block: windows in classes of equal words."""
+
+    def __init__(self, t: pa.Table, words: int, bits: int = 64):
+        super().__init__(t)
+        self.size, self.bits = words, bits
+        self.words = list(itertools.chain.from_iterable(self.split))
+        self.number: defaultdict = defaultdict(itertools.count().__next__)
+        self.flat = np.fromiter(map(self.number.__getitem__, self.words), np.int64, len(self.words))
+        self.number.default_factory = None
+        self.hashes = np.fromiter(map(xxh3_64_intdigest, self.number), U, len(self.number))
+        n = np.maximum(self.ends - self.starts - words + 1, 0)
+        self.owner = np.repeat(np.arange(len(n)), n)
+        self.at = np.arange(n.sum()) + np.repeat(self.starts - (np.cumsum(n) - n), n)
+        self.h = windows(self.hashes[self.flat], words, bits)[self.at] if len(self.at) else np.zeros(0, U)
+        self._classes()
+
+    def _classes(self) -> None:
+        """kind: the class of each window; first: the first window of each class; head: its hash (ascending)."""
+        self.head, self.first, self.kind = np.unique(self.h, return_index=True, return_inverse=True)
+        rep = self.at[self.first][self.kind]
+        same = np.ones(len(self.at), bool)
+        for j in range(self.size):
+            same &= self.flat[self.at + j] == self.flat[rep + j]
+        if not same.all():  # different words under one hash
+            some = np.flatnonzero(np.isin(self.kind, self.kind[~same]))
+            rows = self.flat[self.at[some][:, None] + np.arange(self.size)]
+            self.kind[some] = len(self.head) + np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+            _, first, kind = np.unique(self.kind, return_index=True, return_inverse=True)
+            by = np.argsort(self.h[first], kind="stable")
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            self.first, self.kind = first[by], place[kind]
+            self.head = self.h[self.first]
+
+    def earlier(self) -> np.ndarray:
         """Per window: whether a document of this block with a smaller doc_id has it."""
-        number, last, k = [], object(), -1
-        for i in self.ids:  # equal ids have equal numbers
+        rank, last, k = [], object(), -1
+        for i in self.ids:  # equal ids have equal ranks
             if i is None or i != last:
                 k, last = k + 1, i
-            number.append(k)
-        owner = np.repeat(np.array(number, np.int64), self.counts)
-        null = np.repeat(np.array([i is None for i in self.ids], bool), self.counts)
-        first = self.first[self.inverse]
-        return (owner[first] < owner) & ~null[first]
+            rank.append(k)
+        rank, null = np.array(rank, np.int64), np.array([i is None for i in self.ids], bool)
+        first = self.owner[self.first][self.kind]
+        return (rank[first] < rank[self.owner]) & ~null[first] if len(self.at) else np.zeros(0, bool)
+
+    def own_factors(self, here: np.ndarray) -> list[tuple]:
+        """(at, windows, doc_id, place) of the factors whose reference is this block."""
+        k = np.flatnonzero(here)
+        if not len(k):
+            return []
+        ref = self.first[self.kind[k]]
+        new = np.concatenate([[True], (np.diff(self.at[k]) != 1) | (np.diff(self.owner[k]) != 0) | (np.diff(self.at[ref]) != 1) | (np.diff(self.owner[ref]) != 0)])
+        heads = np.flatnonzero(new)
+        sizes = np.diff(np.append(heads, len(k)))
+        doc = self.owner[ref[heads]]
+        return [(int(at), int(n), self.ids[d], int(p)) for at, n, d, p in zip(self.at[k[heads]], sizes, doc, self.at[ref[heads]] - self.starts[doc])]
+
+    def parse(self, stretch: list[bytes]) -> tuple[list[tuple], list[tuple]]:
+        """Factors (first word, windows, doc_id, place) of some words by this block; windows that it doesn't have (first word, hash)."""
+        ids = np.array([self.number.get(w, -1) for w in stretch], np.int64)
+        own = np.array([self.hashes[i] if i >= 0 else xxh3_64_intdigest(w) for i, w in zip(ids.tolist(), stretch)], U)
+        h = windows(own, self.size, self.bits)
+        lo, hi = np.searchsorted(self.head, h, "left").tolist(), np.searchsorted(self.head, h, "right").tolist()
+        factors, missing, i = [], [], 0
+        while i < len(h):
+            for k in range(lo[i], hi[i]):
+                p = int(self.at[self.first[k]])
+                if (self.flat[p : p + self.size] == ids[i : i + self.size]).all():
+                    doc = int(self.owner[self.first[k]])
+                    n = min(len(ids) - i, int(self.ends[doc]) - p)
+                    differ = np.flatnonzero(self.flat[p : p + n] != ids[i : i + n])
+                    n = (int(differ[0]) if len(differ) else n) - self.size + 1
+                    factors.append((i, n, self.ids[doc], p - int(self.starts[doc])))
+                    i += n
+                    break
+            else:
+                missing.append((i, int(h[i].view(np.int64))))
+                i += 1
+        return factors, missing
+
+
+def _messages(rows: list[tuple], *tables: pa.Table) -> pa.Table:
+    cols = list(zip(*rows)) or [()] * len(_MESSAGE)
+    return pa.concat_tables([pa.table([pa.array(c, f.type) for c, f in zip(cols, _MESSAGE)], schema=_MESSAGE), *(t.select(_MESSAGE.names).cast(_MESSAGE) for t in tables)])
+
+
+def _ask(words: int, bits: int, buckets: int):
+    """A block's different hashes, to the buckets: key is -1 - bucket."""
 
-
-def _ask(words: int, buckets: int):
     def run(key, t):
-        b = Block(t, words)
-        block = key[0].as_py()
-        where = ((b.unique >> U(32)) * U(buckets) >> U(32)).astype(np.int64)  # ascending, as the hashes are
-        ends = np.searchsorted(where, np.arange(buckets + 1))
+        head = np.unique(Block(t, words, bits).head)
+        ends = np.searchsorted(bucket_of(head, buckets), np.arange(buckets + 1))  # ascending, as the hashes are
         some = [k for k in range(buckets) if ends[k + 1] > ends[k]]
-        parts = [b.unique[ends[k] : ends[k + 1]].astype("<u8").tobytes() for k in some]
-        return pa.table({"bucket": pa.array(some, pa.int32()), "block": pa.array([block] * len(some), pa.int64()), "hashes": pa.array(parts, pa.binary())})
+        parts = [head[ends[k] : ends[k + 1]].astype("<u8").tobytes() for k in some]
+        return pa.table({"key": pa.array([-1 - k for k in some], pa.int64()), "block": pa.array([key[0].as_py()] * len(some), pa.int64()), "hashes": pa.array(parts, pa.binary())})
 
     return run
 
@@ -147,52 +201,100 @@ def _answer(key, t):
             refs, which = np.unique(source[s:e][hit], return_inverse=True)
             for to, x in zip(out, (block, np.packbits(hit).tobytes(), refs.astype("<i8").tobytes(), which.astype("<u4").tobytes())):
                 to.append(x)
-    b = pa.array([key[0].as_py()] * len(out[0]), pa.int32())
-    return pa.table({"block": pa.array(out[0], pa.int64()), "bucket": b, **{n: pa.array(x, pa.binary()) for n, x in zip(("bits", "refs", "which"), out[1:])}})
-
+    b = pa.array([-1 - key[0].as_py()] * len(out[0]), pa.int32())
+    return pa.table({"key": pa.array(out[0], pa.int64()), "bucket": b, **{n: pa.array(x, pa.binary()) for n, x in zip(("bits", "refs", "which"), out[1:])}})
 
-def _factors(hit: np.ndarray, ref: np.ndarray, words: int) -> list[tuple[int, int, int]]:
-    """(first word, words, reference block) of the factors, from left to right."""
-    at = np.flatnonzero(hit)
-    if not len(at):
-        return []
-    new = np.concatenate([[True], (np.diff(at) > 1) | (ref[at[1:]] != ref[at[:-1]])])
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(at)) - 1
-    return [(int(at[s]), int(at[e] - at[s]) + words, int(ref[at[s]])) for s, e in zip(heads, tails)]
 
+def _request(words: int, bits: int, buckets: int):
+    """Stretches of words to the blocks that may have them; factors inside the block to the block itself."""
 
-def _parse(words: int, buckets: int, with_text: bool):
     def run(key, docs, answers):
-        b = Block(docs, words)
-        block = key[0].as_py()
-        found = np.zeros(len(b.unique), bool)
-        source = np.full(len(b.unique), block if block is not None else -1, np.int64)
-        where = ((b.unique >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-        ends = np.searchsorted(where, np.arange(buckets + 1))
-        for bucket, bits, refs, which in zip(*[answers[c].to_pylist() for c in ("bucket", "bits", "refs", "which")]):
+        if not docs.num_rows:
+            return _messages([])
+        b, block = Block(docs, words, bits), key[0].as_py()
+        head = np.unique(b.head)
+        source = np.full(len(head), -1, np.int64)
+        ends = np.searchsorted(bucket_of(head, buckets), np.arange(buckets + 1))
+        for bucket, hit, refs, which in zip(*[answers[c].to_pylist() for c in ("bucket", "bits", "refs", "which")]):
             s, e = ends[bucket], ends[bucket + 1]
-            hit = np.unpackbits(np.frombuffer(bits, np.uint8), count=e - s).astype(bool)
-            found[s:e] = hit
-            source[s:e][hit] = np.frombuffer(refs, "<i8")[np.frombuffer(which, "<u4")]
-        hits = found[b.inverse] | b.earlier_here()
-        refs = source[b.inverse]
+            at = s + np.flatnonzero(np.unpackbits(np.frombuffer(hit, np.uint8), count=e - s))
+            source[at] = np.frombuffer(refs, "<i8")[np.frombuffer(which, "<u4")]
+        here = b.earlier()
+        out = [(block, None, at, n, doc, place, None, None) for at, n, doc, place in b.own_factors(here)]
+        ref = source[np.searchsorted(head, b.h)]
+        k = np.flatnonzero(~here & (ref >= 0)) if len(ref) else []
+        if len(k):
+            new = np.concatenate([[True], (np.diff(b.at[k]) != 1) | (np.diff(b.owner[k]) != 0) | (np.diff(ref[k]) != 0)])
+            heads = np.flatnonzero(new)
+            for s, e in zip(heads.tolist(), np.append(heads[1:], len(k)).tolist()):
+                at = int(b.at[k[s]])
+                out.append((int(ref[k[s]]), block, at, None, None, None, None, b" ".join(b.words[at : at + e - s + words - 1])))
+        return _messages(out)
+
+    return run
+
+
+def _reply(words: int, bits: int, buckets: int, last: bool):
+    """Parses of what came to a block; windows that it doesn't have go to their bucket, unless it is the last pass."""
+
+    def run(key, docs, messages):
+        asked = messages.filter(messages["words"].is_valid())
+        known = messages.filter(messages["words"].is_null())
+        out: list[tuple] = []
+        if asked.num_rows and docs.num_rows:
+            b, block = Block(docs, words, bits), key[0].as_py()
+            for target, at, stretch in zip(*[asked[c].to_pylist() for c in ("block", "at", "words")]):
+                stretch = stretch.split(b" ")
+                factors, missing = b.parse(stretch)
+                out += [(target, None, at + i, n, doc, place, None, None) for i, n, doc, place in factors]
+                for i, h in [] if last else missing:
+                    bucket = int(bucket_of(np.array([h]).view(U), buckets)[0])
+                    out.append((-1 - bucket, target, at + i, block, None, None, h, b" ".join(stretch[i : i + words])))
+        return _messages(out, known)
+
+    return run
+
+
+def _elsewhere(key, hashes, messages):
+    """Windows that their first block doesn't have (n: that block), to all other earlier blocks that sent the hash."""
+    lost = messages.filter(messages["words"].is_valid())
+    known = messages.filter(messages["words"].is_null())
+    out: list[tuple] = []
+    if lost.num_rows:
+        parts = [np.frombuffer(x.as_buffer(), "<u8") for x in hashes["hashes"]]
+        h, owner = np.concatenate(parts), np.repeat(hashes["block"].to_numpy(), [len(p) for p in parts])
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], owner[order]
+        for target, at, tried, own, stretch in zip(*[lost[c].to_pylist() for c in ("block", "at", "n", "hash", "words")]):
+            own = np.array([own]).view(U)[0]
+            for block in owner[np.searchsorted(h, own, "left") : np.searchsorted(h, own, "right")].tolist():
+                if block < target and block < NULLS and block != tried:
+                    out.append((block, target, at, None, None, None, None, stretch))
+    return _messages(out, known)
+
+
+def _cover(words: int, with_text: bool):
+    """The documents of a block with their spans."""
+
+    def run(key, docs, messages):
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "text")}
-        at = 0
-        for doc, text, n in zip(b.ids, b.texts, b.counts.tolist()):
-            w = text.split()
-            spans = _factors(hits[at : at + n], refs[at : at + n], words)
+        b = Docs(docs)
+        spans: dict[int, set] = defaultdict(set)
+        at = messages["at"].to_numpy()
+        for k, s, n, doc, place in zip(np.searchsorted(b.ends, at, "right").tolist(), at.tolist(), *[messages[c].to_pylist() for c in ("n", "ref_doc", "ref_at")]):
+            spans[k].add((s - int(b.starts[k]), n + words - 1, doc, place))
+        for k, (doc, text, w) in enumerate(zip(b.ids, b.texts, b.split)):
+            own = sorted(spans.get(k, ()))
             keep = np.ones(len(w), bool)
-            for s, k, _ in spans:
-                keep[s : s + k] = False
-            at += n
+            for s, n, _, _ in own:
+                keep[s : s + n] = False
             out["doc_id"].append(doc)
             out["n_words"].append(len(w))
             out["n_removed"].append(int(len(w) - keep.sum()))
-            out["kept_sha256"].append(hashlib.sha256(b" ".join(itertools.compress(w, keep.tolist()) if spans else w)).hexdigest())
-            out["spans"].append([{"start": s, "words": k, "block": r} for s, k, r in spans])
-            out["text"].append(_cut(text, w, keep).decode() if with_text and spans else text.decode() if with_text else None)
-        span = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("block", pa.int64())]))
+            out["kept_sha256"].append(hashlib.sha256(b" ".join(itertools.compress(w, keep.tolist()) if own else w)).hexdigest())
+            out["spans"].append([{"start": s, "words": n, "doc": d, "at": p} for s, n, d, p in own])
+            out["text"].append(_cut(text, w, keep).decode() if with_text and own else text.decode() if with_text else None)
+        span = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "words", "doc", "at")]))
         kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "spans": span, "text": pa.string()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()} | {"rest": docs["rest"].take(pa.array(b.order, pa.int64()))})
 
@@ -212,33 +314,48 @@ def _cut(text: bytes, words: list[bytes], keep: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _spans(rows: DataFrame, words: int, block: int, bucket_chars: int, with_text: bool) -> DataFrame:
+def _spans(rows: DataFrame, words: int, block_bytes: int, bucket_chars: int, hash_bits: int, with_text: bool) -> DataFrame:
     """rows (doc_id, text, rest) -> doc_id, n_words, n_removed, kept_sha256, spans, text, rest."""
     spark = rows.sparkSession
     ship(spark)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, low, high = rows.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
+    size = size or 0
+    width = 1 if low is None else min(max(1, (high - low + 1) * block_bytes // max(size, 1)), 1 << 62)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_chars))
     spread = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) + F.lit(NULLS)
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("doc_id") / block), spread))
-    asked = rows.groupBy("block").applyInArrow(_ask(words, buckets), "bucket int, block long, hashes binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "block long, bucket int, bits binary, refs binary, which binary")
-    out = T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, words: long, block: long>>, text string")
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_parse(words, buckets, with_text), T.StructType([*out.fields, rows.schema["rest"]]))
-
-
-def duplicate_spans(docs: DataFrame, words: int = 13, block: int = 256, bucket_chars: int = 24_000_000) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, spans (start: first word, words: length, block: reference)."""
+    number = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low or 0)) / F.lit(width)).cast("long")
+    rows = rows.withColumn("key", F.coalesce(number, spread))
+    by = lambda df: df.groupBy("key")
+    settings = (words, hash_bits, buckets)
+    asked = by(rows).applyInArrow(_ask(*settings), "key long, block long, hashes binary")
+    answers = by(asked).applyInArrow(_answer, "key long, bucket int, bits binary, refs binary, which binary")
+    requests = by(rows).cogroup(by(answers)).applyInArrow(_request(*settings), MESSAGE)
+    replies = by(rows).cogroup(by(requests)).applyInArrow(_reply(*settings, False), MESSAGE)
+    others = by(asked).cogroup(by(replies)).applyInArrow(_elsewhere, MESSAGE)
+    factors = by(rows).cogroup(by(others)).applyInArrow(_reply(*settings, True), MESSAGE)
+    out = T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, words: long, doc: long, at: long>>, text string")
+    return by(rows).cogroup(by(factors)).applyInArrow(_cover(words, with_text), T.StructType([*out.fields, rows.schema["rest"]]))
+
+
+def duplicate_spans(docs: DataFrame, words: int = 13, block_bytes: int = 1_000_000, bucket_chars: int = 24_000_000, hash_bits: int = 64) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, spans (start: first word, words: length, doc and at: document and word of the reference).
+
+    A weak hash (``hash_bits``) makes it slower, nothing else.
+    """
     rows = texts(docs).withColumn("rest", F.lit(0))
-    return _spans(rows, words, block, bucket_chars, False).drop("rest", "text")
+    return _spans(rows, words, block_bytes, bucket_chars, hash_bits, False).drop("rest", "text")
+
 
+def remove_spans(docs: DataFrame, words: int = 50, block_bytes: int = 1_000_000, bucket_chars: int = 24_000_000) -> DataFrame:
+    """The documents, all columns, their texts without duplicate spans; n_chars, if there, is counted anew.
 
-def remove_spans(docs: DataFrame, words: int = 50, block: int = 256, bucket_chars: int = 24_000_000) -> DataFrame:
-    """The documents, all columns, their texts without duplicate spans; n_chars, if there, is counted anew."""
+    Null texts stay null; rows that repeat a doc_id or all columns stay, each on its own; columns may have any names.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col("text").isNull().alias("none"))
-    rows = _spans(texts(docs).withColumn("rest", F.lit(0)) if not others else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest")), words, block, bucket_chars, True)
-    text = F.col("text") if not others else F.when(~F.col("rest.none"), F.col("text"))
-    value = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text} | {c: F.col(f"rest.c{i}") for i, c in enumerate(others)}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
+    rows = _spans(rows, words, block_bytes, bucket_chars, 64, True)
+    value = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.when(~F.col("rest.none"), F.col("text"))} | {c: F.col(f"rest.c{i}") for i, c in enumerate(others)}
     if "n_chars" in others:
         value["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(value["n_chars"])
     return rows.select(*[value[c].alias(c) for c in docs.columns])
