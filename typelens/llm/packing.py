@@ -2,11 +2,10 @@
 
 Documents are cut only if they are longer than a sequence: full pieces, and one shorter first piece.  A full piece
 is a sequence.  The rest is dealt over leaves of bounded size; each leaf packs its items best-fit, largest
-first, emits the bins that are nearly full and hands the underfull bins on, as items, to the next level, where
-``fan_in`` leaves meet; so on until one node is left.  After best fit no two bins of a node fit together, so a node
-has at most one bin that is at most half full, and only bins with room can still take something: a node hands on at
-most ``carry`` bins, those with the most room; the others are emitted as they are.  No node holds more than its leaf
-or fan_in * carry bins, whatever the corpus.
+first, emits the bins that are nearly full and hands all underfull bins on, as items, to the next level, which has as many
+nodes as they need.  So it goes on until one node is left, or until a level saves less than one bin in 200: then those
+that are left don't fit into each other, and are emitted as they are.  Bins are dealt anew at each level, by a hash of
+their number and the level.  A node holds about ``leaf`` bins or ``10 * leaf`` pieces, whatever the corpus.
 
 Defined results: a null or empty text is one piece with the end id only; null doc_ids and repeated rows are packed
 like all others; an empty table gives no rows; extra columns are ignored.
@@ -74,13 +73,14 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def _pack_node(rows: DataFrame, size: int, level: int, nearly: float, carry: int, last: bool) -> DataFrame:
+def _pack_node(rows: DataFrame, size: int, level: int, nearly: float) -> DataFrame:
     """rows: pieces with seq (the bin they are in) and offset -> the same with new bins; open: goes to the next level."""
 
     def run(it):
-        t = pa.Table.from_batches(list(it))  # a leaf or fan_in * carry bins
-        if not t.num_rows:
+        parts = [b for b in it if b.num_rows]  # one node
+        if not parts:
             return
+        t = pa.Table.from_batches(parts)
         t = t.sort_by([("seq", "ascending"), ("offset", "ascending")])
         seq, length = t["seq"].to_numpy(), t["length"].to_numpy()
         heads = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
@@ -88,10 +88,6 @@ def _pack_node(rows: DataFrame, size: int, level: int, nearly: float, carry: int
         fill = np.add.reduceat(length, heads)
         packed = best_fit(fill.tolist(), size)
         full = np.array([fill[x].sum() for x in packed])
-        room = np.argsort(full, kind="stable")
-        goes_on = np.zeros(len(packed), bool)
-        if not last:
-            goes_on[[k for k in room[:carry] if full[k] < nearly * size]] = True
         order = np.concatenate([np.arange(heads[i], ends[i]) for x in packed for i in x])
         n_rows = np.array([sum(int(ends[i] - heads[i]) for i in x) for x in packed])
         bins = np.repeat(np.arange(len(packed)), n_rows)
@@ -100,26 +96,27 @@ def _pack_node(rows: DataFrame, size: int, level: int, nearly: float, carry: int
         offset = before - np.repeat(before[first], n_rows)
         base = (level << 56) | (TaskContext.get().partitionId() << 32)
         out = t.take(pa.array(order)).drop_columns(["seq", "offset"])
-        out = out.append_column("seq", pa.array(base + bins)).append_column("offset", pa.array(offset)).append_column("open", pa.array(goes_on[bins]))
+        out = out.append_column("seq", pa.array(base + bins)).append_column("offset", pa.array(offset)).append_column("open", pa.array((full < nearly * size)[bins]))
         yield from out.to_batches(max_chunksize=50_000)
 
     return mapped(rows.select(*COLUMNS, "seq", "offset"), run, PIECE + ", seq long, offset long, open boolean")
 
 
-def pack(items: DataFrame, size: int = 1024, leaf: int = 50_000, fan_in: int = 8, nearly: float = 0.98, carry: int = 4096) -> DataFrame:
-    """Pieces (as from ``pieces``) with sequence_id and offset."""
+def pack(items: DataFrame, size: int = 1024, leaf: int = 50_000, nearly: float = 0.98, least_gain: float = 0.005) -> DataFrame:
+    """Pieces (as from ``pieces``, settled) with sequence_id and offset."""
     whole = items.filter(F.col("length") >= size).withColumn("seq", F.monotonically_increasing_id() + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))
-    rest = items.filter(F.col("length") < size)
-    nodes = max(1, math.ceil(rest.count() / leaf))
-    rows = rest.repartition(nodes, F.xxhash64("doc_id", "piece", "length")).withColumn("seq", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    rows = items.filter(F.col("length") < size).withColumn("seq", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    bins = n_pieces = rows.count()
     out, level = whole.select(*COLUMNS, "seq", "offset"), 1
     while True:
-        done = settle(_pack_node(rows, size, level, nearly, carry, nodes == 1))
+        nodes = max(1, math.ceil(bins / leaf), math.ceil(n_pieces / (10 * leaf)))
+        done = settle(_pack_node(rows.repartition(nodes, F.xxhash64("seq", F.lit(level))), size, level, nearly))
+        n = {r["open"]: r for r in done.groupBy("open").agg(F.countDistinct("seq").alias("bins"), F.count(F.lit(1)).alias("pieces")).collect()}  # two rows
+        total = sum(r["bins"] for r in n.values())
+        if nodes == 1 or True not in n or (level > 1 and bins - total < least_gain * bins):
+            return out.unionByName(done.select(*COLUMNS, "seq", "offset")).withColumnRenamed("seq", "sequence_id")
         out = out.unionByName(done.filter("not open").select(*COLUMNS, "seq", "offset"))
-        if nodes == 1:
-            return out.withColumnRenamed("seq", "sequence_id")
-        nodes, level = math.ceil(nodes / fan_in), level + 1
-        rows = done.filter("open").repartition(nodes, "seq")
+        rows, bins, n_pieces, level = done.filter("open"), n[True]["bins"], n[True]["pieces"], level + 1
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
