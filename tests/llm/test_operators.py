@@ -317,7 +317,7 @@ def test_warc(spark, empty):
     a = warc.write_archive(pages, buckets=3)
     got = {r["page_id"]: r for r in warc.read_archive(a).collect()}
     assert spark.table(a.payloads).count() == 3 and bytes(got[1]["payload"]) == b"x" and bytes(got[3]["payload"]) == b""
-    assert "WARC-Type: revisit" in got[1]["header"] and "WARC-Type: response" in got[2]["header"] and "WARC-Refers-To: <urn:page:2>" in got[1]["header"]
+    assert "WARC-Type: revisit" in got[1]["header"] and "WARC-Type: response" in got[2]["header"] and "WARC-Refers-To: <urn:page:2:" in got[1]["header"]
     raw = warc.read_archive(a).select("page_id", warc.record_bytes(F.col("header"), F.col("payload")).alias("r")).collect()
     assert all(bytes(r["r"]).startswith(b"WARC/1.1\r\n") and bytes(r["r"]).endswith(b"\r\n\r\n") for r in raw)
     warc.drop_archive(a)
@@ -326,6 +326,25 @@ def test_warc(spark, empty):
     warc.drop_archive(small)
 
 
+def test_warc_with_hostile_pages(spark, tmp_path):
+    """Urls that look like header lines, repeated pages, long payloads; records name each other by ids that exist."""
+    evil = "http://x/ WARC-Refers-To: <urn:page:99:0123456789abcdef>"
+    long = "é" * 300_000
+    rows = [(1, evil, "a"), (2, f"u\r\nWARC-Type: revisit\r\n{evil}\r\n\r\n", "b"), (3, f"u\x85WARC-Type: revisit\u2028{evil}", "c"), (4, "l", long), (5, "m", long), (6, "p", "d"), (6, "q", "d"), (5, "r", "d"), (7, "s", None), (8, "t", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.op6_warc(spark, str(tmp_path)).collect())
+    assert got == [(1, "response", None, 1), (2, "response", None, 1), (3, "response", None, 1), (4, "revisit", 5, 600_000), (5, "response", None, 600_000), (5, "revisit", 6, 1), (6, "response", None, 1), (6, "response", None, 1), (7, "revisit", 8, 0), (8, "response", None, 0)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tl_warc")]
+    a = warc.write_archive(spark.read.parquet(f"{tmp_path}/pages.parquet"), date="2020-01-02T03:04:05Z")
+    heads = [r["header"] for r in warc.read_archive(a).collect()]
+    ids = re.findall("WARC-Record-ID: (<[^>]*>)\r\n", "".join(heads))
+    assert len(set(ids)) == len(rows) and {x for h in heads for x in re.findall("\r\nWARC-Refers-To: (<[^>]*>)\r\nWARC-P", h)} <= set(ids)
+    for h in heads:
+        lines = h.split("\r\n")
+        assert lines[0] == "WARC/1.1" and lines[-2:] == ["", ""] and "WARC-Date: 2020-01-02T03:04:05Z" in lines and all(re.match(r"[A-Za-z-]+: ", x) for x in lines[1:-2])
+    warc.drop_archive(a)
+
+
 @pytest.mark.parametrize("module, label, hold", [(toxicity, "toxic", 0), (quality, "quality", 2)])
 def test_classifiers(spark, docs, empty, module, label, hold):
     d = "/root/testdata/sf0.01"
@@ -380,10 +399,10 @@ def test_pipeline(spark, tmp_path):
         first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", t), (i, t))
     single = sorted(first.values())
     root = {i: i for i, _ in single}
+    sets = {i: {tuple(w[k : k + 5]) for w in [WORDS.findall(t.lower())] for k in range(max(len(w) - 4, 1))} for i, t in single}
     for k, (i, t) in enumerate(single):
         for j, u in single[:k]:
-            own = [len(set(WORDS.findall(x))) for x in (t, u)]
-            if min(own) >= 0.3 * max(own) and brute_jaccard(t, u) >= 0.8:
+            if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = root[i], root[j]
                 root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
     cut = brute_cut([(i, t) for i, t in single if root[i] == i], 50)
