@@ -42,19 +42,22 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents without later copies: all columns of the rows that stay, exactly one row a group."""
-    tag = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_tl_row"))
-    norm = normalised(F.coalesce(F.col("text"), F.lit("")))
-    # the row's own columns take part in the choice between rows that repeat a doc_id
-    rows = docs.withColumn("_tl_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    named = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    # only the kept row of each group carries its columns over the shuffle: the partial minimum is per partition
-    return (
-        rows.select(*hash128(norm), norm.alias("norm"), tag.alias("tag"), named.alias("row"))
-        .groupBy("h1", "h2", "norm")
-        .agg(F.min_by("row", "tag").alias("row"))
-        .select("row.*")
-    )
+    """The documents without later copies: all columns of the rows that stay, exactly one row a group.
+
+    Null texts count as empty; a null doc_id is the largest; of rows that repeat a doc_id the one with the smallest hash of
+    all its columns stays; columns may have any names.
+    """
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    others = [c for c in docs.columns if c != "text"]
+    text = F.col("text").cast("string")
+    norm = normalised(F.coalesce(text, F.lit("")))
+    tag = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*every))
+    # only the kept row of each group carries its columns over the shuffle: the partial minimum is per partition;
+    # its text goes with it only where it isn't its own normal form
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.when(text != norm, text).alias("t"), text.isNull().alias("none"))
+    groups = docs.select(*hash128(norm), norm.alias("norm"), tag.alias("tag"), row.alias("row")).groupBy("h1", "h2", "norm").agg(F.min_by("row", "tag").alias("row"))
+    value = {c: F.col(f"row.c{i}") for i, c in enumerate(others)} | {"text": F.when(~F.col("row.none"), F.coalesce("row.t", "norm")).cast(docs.schema["text"].dataType)}
+    return groups.select(*[value[c].alias(c) for c in docs.columns])
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, mapped, table, texts
+from .common import batches, free_name, mapped, table, texts
 from .labelled import crc, sample
 
 EDGES = "\"'`.,;:!?()[]{}<>|/\\*#$%&@~^_-+=«»„“”‘’…¡¿"
@@ -244,16 +244,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """The documents, all columns, whose score is under the limit."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_tl_score", T.DoubleType())])
+    """The documents, all columns, whose score is under the limit.
+
+    Null and empty texts have the score of an empty one; null doc_ids and repeated rows are judged each on their own;
+    columns may have any names.
+    """
+    name = free_name(docs, "score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(it):
         for b in batches(it):
             scores = model.scores([t or "" for t in b.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*b.schema.names, "_tl_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*b.schema.names, name])
 
-    return mapped(docs, run, schema).filter(F.col("_tl_score") < limit).drop("_tl_score")
+    return mapped(docs, run, schema).filter(F.col(name) < limit).drop(name)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
