@@ -42,9 +42,11 @@ U = np.uint64
 STEP = U(0xD6E8FEB86659FD93)
 #: Blocks of rows without doc_id start here.
 NULLS = 1 << 62
-#: A message to a block: a stretch of words to be parsed (words), or a factor (n windows from word ``at`` of the block's words).
-MESSAGE = "key long, block long, at long, n long, ref_doc long, ref_at long, hash long, words binary"
-_MESSAGE = pa.schema([(c, pa.int64()) for c in ("key", "block", "at", "n", "ref_doc", "ref_at", "hash")] + [("words", pa.binary())])
+#: What a block (or bucket) tells another, one row for each that it tells something: stretches of words to be parsed (words), or
+#: factors (n windows from word ``at`` of the block's words).
+MESSAGE = "key long, block long, at array<long>, n array<long>, ref_doc array<long>, ref_at array<long>, hash array<long>, words array<binary>"
+_LISTS = ("at", "n", "ref_doc", "ref_at", "hash", "words")
+_MESSAGE = pa.schema([("key", pa.int64()), ("block", pa.int64())] + [(c, pa.list_(pa.binary() if c == "words" else pa.int64())) for c in _LISTS])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -163,10 +165,23 @@ class Block(Docs):
 
 
 def _messages(rows: list[tuple], *tables: pa.Table) -> pa.Table:
-    cols = list(zip(*rows)) or [()] * len(_MESSAGE)
+    """rows (key, block, at, n, ref_doc, ref_at, hash, words) as messages, and those of the tables."""
+    groups: dict[tuple, list] = {}
+    for key, block, *rest in rows:
+        groups.setdefault((key, block, rest[-1] is None), []).append(rest)
+    cols: list[list] = [[k[0] for k in groups], [k[1] for k in groups]]
+    for i, name in enumerate(_LISTS):
+        cols.append([None if name == "words" and k[2] else [r[i] for r in g] for k, g in groups.items()])
     return pa.concat_tables([pa.table([pa.array(c, f.type) for c, f in zip(cols, _MESSAGE)], schema=_MESSAGE), *(t.select(_MESSAGE.names).cast(_MESSAGE) for t in tables)])
 
 
+def _each(t: pa.Table, *names: str):
+    """block and some columns of the rows that messages stand for."""
+    for block, *lists in zip(t["block"].to_pylist(), *[t[c].to_pylist() for c in names]):
+        for row in zip(*lists):
+            yield block, *row
+
+
 def _ask(words: int, bits: int, buckets: int):
     """A block's different hashes, to the buckets: key is -1 - bucket."""
 
@@ -243,7 +258,7 @@ def _reply(words: int, bits: int, buckets: int, last: bool):
         out: list[tuple] = []
         if asked.num_rows and docs.num_rows:
             b, block = Block(docs, words, bits), key[0].as_py()
-            for target, at, stretch in zip(*[asked[c].to_pylist() for c in ("block", "at", "words")]):
+            for target, at, stretch in _each(asked, "at", "words"):
                 stretch = stretch.split(b" ")
                 factors, missing = b.parse(stretch)
                 out += [(target, None, at + i, n, doc, place, None, None) for i, n, doc, place in factors]
@@ -265,7 +280,7 @@ def _elsewhere(key, hashes, messages):
         h, owner = np.concatenate(parts), np.repeat(hashes["block"].to_numpy(), [len(p) for p in parts])
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
-        for target, at, tried, own, stretch in zip(*[lost[c].to_pylist() for c in ("block", "at", "n", "hash", "words")]):
+        for target, at, tried, own, stretch in _each(lost, "at", "n", "hash", "words"):
             own = np.array([own]).view(U)[0]
             for block in owner[np.searchsorted(h, own, "left") : np.searchsorted(h, own, "right")].tolist():
                 if block < target and block < NULLS and block != tried:
@@ -280,8 +295,8 @@ def _cover(words: int, with_text: bool):
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "text")}
         b = Docs(docs)
         spans: dict[int, set] = defaultdict(set)
-        at = messages["at"].to_numpy()
-        for k, s, n, doc, place in zip(np.searchsorted(b.ends, at, "right").tolist(), at.tolist(), *[messages[c].to_pylist() for c in ("n", "ref_doc", "ref_at")]):
+        for _, s, n, doc, place in _each(messages, "at", "n", "ref_doc", "ref_at"):
+            k = int(np.searchsorted(b.ends, s, "right"))
             spans[k].add((s - int(b.starts[k]), n + words - 1, doc, place))
         for k, (doc, text, w) in enumerate(zip(b.ids, b.texts, b.split)):
             own = sorted(spans.get(k, ()))
