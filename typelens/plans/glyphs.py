@@ -193,13 +193,13 @@ def variant_union(spark, d):
     return base.withColumn("suffix", F.lit("")).unionByName(more.join(base, ["face", "ch"], "left_semi").withColumn("suffix", F.lit("alt")))
 
 
-@query(sql(_PROF + """, base AS (SELECT face, ch, min(sheet_id) AS sheet_id FROM prof WHERE sheet_id % 3 = 0 GROUP BY 1, 2), more AS (SELECT face, ch, min(sheet_id) AS sheet_id FROM prof WHERE sheet_id % 3 = 1 GROUP BY 1, 2)
+@query(sql(_PROF + """, base AS (SELECT face, ch, min(sheet_id) AS sheet_id FROM prof WHERE sheet_id % 3 = 0 GROUP BY 1, 2), more AS (SELECT face, ch, min(sheet_id) AS sheet_id FROM prof WHERE sheet_id % 3 <> 0 GROUP BY 1, 2)
 SELECT face, ch, sheet_id FROM base UNION ALL SELECT m.face, m.ch, m.sheet_id FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.face = m.face AND b.ch = m.ch)""", "pixels_v"))
 def supplement_anti(spark, d):
-    """Base glyphs and, of a supplement, the first of each character that the base lacks."""
+    """Base glyphs (every third sheet) and, of all others as supplement, the first of each character that the base lacks."""
     p = profiles(spark, d)
     base = p.filter("sheet_id % 3 = 0").groupBy("face", "ch").agg(F.min("sheet_id").alias("sheet_id"))
-    more = S.first_wins(p.filter("sheet_id % 3 = 1").select("face", "ch", "sheet_id"), ["face", "ch"], F.col("sheet_id"))
+    more = S.first_wins(p.filter("sheet_id % 3 <> 0").select("face", "ch", "sheet_id"), ["face", "ch"], F.col("sheet_id"))
     return base.unionByName(more.join(base, ["face", "ch"], "left_anti"))
 
 

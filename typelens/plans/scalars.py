@@ -114,9 +114,9 @@ def charset_rows(spark, d):
 
 
 @query("""SELECT doc_id, CAST(count(*) AS BIGINT) AS distinct_chars, CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS repeated FROM
-(SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(substr(text, 1, 40), '')) AS c FROM documents) GROUP BY 1, 2) GROUP BY doc_id""")
+(SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) WHERE c NOT IN (' ', chr(10)) GROUP BY 1, 2) GROUP BY doc_id""")
 def charset_problems(spark, d):
-    """Of the first line's worth of characters, as a character set: how many differ, how many come again."""
-    c = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.substring("text", 1, 40), "")).alias("c"))
+    """Of all characters of a text, as a character set (spaces and line ends are none): how many differ, how many come again."""
+    c = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "")).alias("c")).filter(~F.col("c").isin(" ", "\n", ""))
     n = c.groupBy("doc_id", "c").agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy("doc_id").agg(F.count(F.lit(1)).alias("distinct_chars"), F.count_if(F.col("n") > 1).alias("repeated"))

@@ -81,10 +81,12 @@ def set_null_owner(spark, d):
     return T.cascade({"owned": owned(spark, d).select("id", "owner_id")}, gone, "id", {}, {"owned": "owner_id"})["owned"]
 
 
-@query(sql("SELECT u.segment, u.handle || '-v2' AS handle, count(o.id) AS items FROM user_v u JOIN owned_v o ON o.owner_id = u.id WHERE u.id % 100 = 0 GROUP BY u.segment, u.handle", "user_v", "owned_v"))
+@query(sql("SELECT o.id, CASE WHEN u.id % 100 = 0 THEN u.handle || '-v2' ELSE u.handle END AS handle FROM owned_v o JOIN user_v u ON o.owner_id = u.id", "user_v", "owned_v"))
 def rename_cascade(spark, d):
-    renamed = users(spark, d).filter("id % 100 = 0").withColumn("handle", F.concat("handle", F.lit("-v2"))).withColumnRenamed("id", "u_id")
-    return owned(spark, d).join(renamed, F.col("owner_id") == F.col("u_id")).groupBy("segment", "handle").agg(F.count("id").alias("items"))
+    """Some users get a new handle; every owned item takes its owner's handle, the new one where there is one."""
+    u = users(spark, d)
+    renamed = T.patched(u.select("id", "handle"), u.filter("id % 100 = 0").select("id", F.concat("handle", F.lit("-v2")).alias("handle")), ["id"], ["handle"])
+    return owned(spark, d).join(renamed.withColumnRenamed("id", "owner_id"), "owner_id").select("id", "handle")
 
 
 @query(sql("SELECT id, 'font' AS target_type, CASE WHEN id % 4 = 0 THEN 'resolved' ELSE 'open' END AS status FROM owned_v", "owned_v"))
