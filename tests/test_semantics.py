@@ -161,3 +161,15 @@ def test_kmeans_takes_all_points(spark, tmp_path):
         for k, c in enumerate(brute_kmeans(p[own][["l", "a", "bb"]].to_numpy(), min(3, int(own.sum())))):
             want[label, k] = tuple(c)
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
+
+
+def test_messages_and_sizes(spark):
+    """Messages of each class, the order of the classes, empty messages and unknown sizes."""
+    cases = {
+        "The engine did not load": "engine_load", "No glyphs were traced": "no_glyphs", "found 5 rows but your charset has 6": "rows_mismatch",
+        "no character rows found": "no_rows", "Charset is empty": "charset", "Worker stopped": "worker", "boom": "other", "": "other", None: "other",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "m string, want string").select("want", X.failure_class(F.col("m")).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in rows)
+    one = spark.createDataFrame([(" \n ", None)], "m string, n long").select(X.redacted(F.col("m")).alias("m"), X.kilobytes(F.col("n")).alias("n"), X.kilobytes(F.lit(31_744)).alias("k")).first()
+    assert tuple(one) == ("No error message provided.", "–", "31 KB")

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Failure classes by the first marker that a lower-cased message holds (fixed values).
-FAILURES = [("timeout", "timeout"), ("memory", "memory"), ("no glyph", "empty"), ("charset", "charset"), ("trace", "trace"), ("worker", "worker"), ("font", "font")]
+FAILURES = [
+    ("engine did not load", "engine_load"), ("no glyphs", "no_glyphs"), ("rows but your charset", "rows_mismatch"),
+    ("no character rows", "no_rows"), ("charset", "charset"), ("worker", "worker"),
+]
 
 
 @F.pandas_udf(StringType())
@@ -48,7 +51,7 @@ def screened(x: Column, words: list[str], parts: list[str]) -> Column:
 def redacted(x: Column, limit: int = 1000) -> Column:
     s = F.regexp_replace(x, r"""(?i)(?:data:|blob:|https?://|file://)[^\s"'<>]+""", "[URL]")
     s = F.substring(F.trim(F.regexp_replace(s, r"\s+", " ")), 1, limit)
-    return F.coalesce(F.when(s != "", s), F.lit("Unknown failure"))
+    return F.coalesce(F.when(s != "", s), F.lit("No error message provided."))
 
 
 def failure_class(message: Column) -> Column:
@@ -69,4 +72,4 @@ def script_safe(x: Column) -> Column:
 
 
 def kilobytes(n: Column) -> Column:
-    return F.coalesce(F.concat(F.floor(n / 1024.0 + 0.5).cast("string"), F.lit(" KB")), F.lit("—"))
+    return F.coalesce(F.concat(F.floor(n / 1024.0 + 0.5).cast("string"), F.lit(" KB")), F.lit("–"))

@@ -14,7 +14,7 @@ from ..sources.bindings import activity, fonts, owned, sql, table, users, votes
 from . import query
 
 #: Events that count a label even where it is empty (fixed values).
-LABELLED = ("build_fail", "download", "library_download")
+LABELLED = ("build_ok", "build_fail", "download")
 EVENTS = ("make_view", "build_ok", "build_fail", "download", "library_download")
 CHOICES = (7, 30, 90)
 

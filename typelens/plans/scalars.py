@@ -36,7 +36,7 @@ def banned_words(spark, d):
     return fonts(spark, d).select("id", "name", X.screened(F.col("name"), ["redpart"], ["ring"]).alias("screened"))
 
 
-@query(r"""SELECT page_id, coalesce(nullif(substr(trim(regexp_replace(regexp_replace(html, '(?i)(?:data:|blob:|https?://|file://)[^\s"''<>]+', '[URL]', 'g'), '\s+', ' ', 'g')), 1, 1000), ''), 'Unknown failure') AS message FROM pages""")
+@query(r"""SELECT page_id, coalesce(nullif(substr(trim(regexp_replace(regexp_replace(html, '(?i)(?:data:|blob:|https?://|file://)[^\s"''<>]+', '[URL]', 'g'), '\s+', ' ', 'g')), 1, 1000), ''), 'No error message provided.') AS message FROM pages""")
 def redact_urls(spark, d):
     return table(spark, d, "pages").select("page_id", X.redacted(F.col("html")).alias("message"))
 
