@@ -13,6 +13,8 @@ from typelens.operators import components as K
 from typelens.operators import islands as I
 from typelens.operators import tables as T
 from typelens.plans import analytics as A
+from typelens.plans import glyphs as G
+from typelens.plans import raster as R
 from typelens.plans.glyphs import merge_bands
 
 
@@ -112,8 +114,10 @@ def test_metadata_goes():
     assert B.without_metadata(clean) == clean
     assert B.without_metadata(clean[:8] + chunk(b"tEXt", b"secret") + clean[8:]) == clean
     assert B.without_metadata(b"GIF89a") is None
-    jpeg = b"\xff\xd8\xff\xe1\x00\x04ab\xff\xda\x00\x02data"
-    assert B.without_metadata(jpeg) == b"\xff\xd8\xff\xda\x00\x02data"
+    scan = b"\xff\xe0\x00\x04JF\xff\xe5\x00\x04ab\xff\xda\x00\x02da\xff\x00\xff\xd1ta\xff\xda\x00\x02more\xff\xd9"
+    jpeg = b"\xff\xd8\xff\xe1\x00\x04ab\xff\xed\x00\x04ab\xff\xfe\x00\x04ab\xff\xe2\x00\x06MPF\0" + scan + b"\xff\xd8second picture"
+    assert B.without_metadata(jpeg) == b"\xff\xd8" + scan
+    assert B.without_metadata(b"\xff\xd8" + scan) == b"\xff\xd8" + scan and B.without_metadata(b"\xff\xd8" + scan[:-2]) is None
 
 
 def test_components_and_holes():
@@ -173,3 +177,39 @@ def test_messages_and_sizes(spark):
     assert all(r["want"] == r["got"] for r in rows)
     one = spark.createDataFrame([(" \n ", None)], "m string, n long").select(X.redacted(F.col("m")).alias("m"), X.kilobytes(F.col("n")).alias("n"), X.kilobytes(F.lit(31_744)).alias("k")).first()
     assert tuple(one) == ("No error message provided.", "–", "31 KB")
+
+
+def test_layouts(spark):
+    cases = [([26, 10], "A to Z and 0 to 9"), ([24, 27, 11], "A to Z, a to z and 0 to 9"), ([13, 13, 13, 13, 10], "A to Z, a to z and 0 to 9 in five rows"), ([40], None), ([26, 26, 10, 16], None), ([26, 26, 10, 15], "A to Z, a to z, 0 to 9 and a row of punctuation"), ([], None)]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, cells array<long>")
+    assert [r[0] for r in df.orderBy("i").select(G.best_layout(F.col("cells"))["n"]).collect()] == [x for _, x in cases]
+
+
+def test_short_rows(spark):
+    cases = [([5, 3], "ABCDE\nFGH"), ([9, 9, 9], "ABCDEFGHI\nJKLMNOPQR\nSTUVWXYZ□"), ([13, 13], None), ([26], None), ([10, 16], "ABCDEFGHIJ\nKLMNOPQRSTUVWXYZ"), ([12, 9], None), ([0, 3], None), ([], None)]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, cells array<long>")
+    assert [r[0] for r in df.orderBy("i").select(G.short_rows(F.col("cells"))).collect()] == [x for _, x in cases]
+
+
+def test_spacing(spark):
+    rows = [(1, c, 50.0, k) for c, k in zip("HOn", (4.0, 2.0, 3.0))] + [(2, c, 4.0, 0.0) for c in "HOn"] + [(3, c, 4.0, 1.0) for c in "HO"]
+    got = G.spacing(spark.createDataFrame(rows, "face long, ch string, width double, counter double")).orderBy("face").collect()
+    assert [tuple(r) for r in got] == [(1, "counters", 3, 6.0), (2, "proportions", 3, 3.3), (3, "fallback", 2, 3.5)]
+
+
+def test_dropped(spark):
+    # o: one pair seen twice votes once, rare pairs don't; p: a third of the seams to plain followers open gaps; w: gaps before entry joins don't count
+    rows = [(1, "o", "w", 1, 0, "worse", False), (2, "o", "w", 3, 2, "better", False), (3, "o", "x", 1, 0, "better", False), (4, "p", "a", 1, 0, "tie", True), (5, "p", "b", 1, 1, "tie", False), (6, "p", "c", 1, 0, "tie", False),
+            (7, "w", "z", 1, 2, "tie", True), (8, "w", "y", 1, 0, "tie", False), (9, "l", "l", 0, 0, "worse", True)]
+    df = spark.createDataFrame(rows, "sheet_id long, ch string, follower string, form long, follower_form long, verdict string, gap boolean")
+    assert sorted(r["ch"] for r in G.dropped(df, []).collect()) == ["o", "p"]
+
+
+def test_body_bounds(spark):
+    def bounds(cols, span=1):
+        df = spark.createDataFrame([(1, x, n, 0 if n else None, (9 if n > 4 else span - 1) if n else None) for x, n in enumerate(cols)], "sheet_id long, x long, n long, y0 long, y1 long")
+        return tuple(R.body_bounds(df).select("x0", "x1").first())
+
+    assert bounds([0, 1, 1, 1, 10, 10, 10, 10, 10, 10, 0]) == (3, 9)  # floor(9 * 0.3) = 2 columns at most
+    assert bounds([1, 10, 10, 10, 10]) == (0, 4)  # one column is too little
+    assert bounds([1, 1, 10, 10, 10, 10, 10, 10], span=8) == (0, 7)  # tall columns stay

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -89,21 +91,38 @@ def without_metadata(data: bytes) -> bytes | None:
     return None
 
 
+#: Two bytes that end a scan's data: a marker other than a stuffed byte or a restart.
+_AFTER_SCAN = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+
+
+def _jpeg_segments(data: bytes):
+    """(marker, start, stop) of every segment up to the end marker, a scan's data with its header; raises if the file is cut short or broken."""
+    at, kind = 2, 0
+    while kind != 0xD9:
+        lead = re.compile(rb"\xff+([^\x00\xff\xd8])").match(data, at)
+        if not lead:
+            raise ValueError("no marker")
+        kind, start, at = lead[1][0], lead.end() - 2, lead.end()
+        if kind not in (0xD9, 0x01, *range(0xD0, 0xD8)):
+            size = int.from_bytes(data[at : at + 2], "big")
+            if size < 2 or at + size > len(data):
+                raise ValueError("segment cut short")
+            at += size
+        if kind == 0xDA:
+            after = _AFTER_SCAN.search(data, at)
+            if not after:
+                raise ValueError("scan cut short")
+            at = after.start()
+        yield kind, start, at
+
+
 def _jpeg(data: bytes) -> bytes | None:
-    out, at = [data[:2]], 2
-    while at + 4 <= len(data):
-        if data[at] != 0xFF:
-            return None
-        kind = data[at + 1]
-        if kind == 0xDA:  # the picture itself, up to the end
-            return b"".join(out) + data[at:]
-        end = at + 2 + int.from_bytes(data[at + 2 : at + 4], "big")
-        if end > len(data):
-            return None
-        if not (0xE1 <= kind <= 0xEF and kind not in (0xE2, 0xEE)) and kind != 0xFE:
-            out.append(data[at:end])
-        at = end
-    return None
+    """Without APP1, APP13, comments, the index of further pictures and those pictures."""
+    try:
+        kept = [data[a:z] for kind, a, z in _jpeg_segments(data) if kind not in (0xE1, 0xED, 0xFE) and not (kind == 0xE2 and data[a + 4 : a + 8] == b"MPF\0")]
+    except ValueError:
+        return None
+    return data[:2] + b"".join(kept)
 
 
 def _png(data: bytes) -> bytes | None:

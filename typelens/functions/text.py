@@ -30,8 +30,7 @@ def handle(x: Column, limit: int = 32) -> Column:
     """Lower case, decomposed, word characters, dots and dashes only, dashes collapsed, at most ``limit`` characters."""
     s = F.regexp_replace(decomposed(F.lower(x)), r"[^A-Za-z0-9_\s.\-]", "")
     s = F.regexp_replace(F.regexp_replace(F.trim(s), r"[\s_]+", "-"), "-+", "-")
-    s = F.regexp_replace(s, r"^[-.]+|[-.]+$", "")
-    return F.regexp_replace(F.substring(s, 1, limit), r"[-.]+$", "")
+    return F.substring(F.regexp_replace(s, r"^[-.]+|[-.]+$", ""), 1, limit)
 
 
 def slug(x: Column, limit: int = 32) -> Column:
@@ -63,7 +62,7 @@ def failure_class(message: Column) -> Column:
 
 
 def initials(x: Column) -> Column:
-    parts = F.slice(F.filter(F.split(x, r"[\s@.#]+"), lambda p: p != ""), 1, 2)
+    parts = F.slice(F.filter(F.split(x, r"[\s@.]+"), lambda p: p != ""), 1, 2)
     return F.concat_ws("", F.transform(parts, lambda p: F.upper(F.substring(p, 1, 1))))
 
 

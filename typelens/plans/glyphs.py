@@ -34,32 +34,61 @@ def glyph_profile(spark, d):
     return profiles(spark, d).select("sheet_id", "face", "ch", "width", "height", "area")
 
 
-@query(sql(_PROF + """, m AS (SELECT face, list_sort(list(area) FILTER (WHERE area > 0))[CAST(floor(count(*) FILTER (WHERE area > 0) / 2) AS BIGINT) + 1] AS m FROM prof GROUP BY face)
-SELECT sheet_id, area, m AS median, CASE WHEN area > 1.9 * m THEN 'wide' WHEN area < 0.34 * m THEN 'narrow' ELSE '' END AS flag FROM prof JOIN m USING (face)""", "pixels_v"))
+@query(sql(_PROF + """, m AS (SELECT face, list_sort(list(width) FILTER (WHERE width > 0))[CAST(floor(count(*) FILTER (WHERE width > 0) / 2) AS BIGINT) + 1] AS m FROM prof GROUP BY face)
+SELECT sheet_id, width, m AS median, CASE WHEN width > 1.9 * m THEN 'wide' WHEN width < 0.34 * m THEN 'narrow' ELSE '' END AS flag FROM prof JOIN m USING (face)""", "pixels_v"))
 def glyph_outliers(spark, d):
+    """Widths far from the face's upper median; faces without ink have no flags."""
     p = profiles(spark, d)
-    m = p.groupBy("face").agg(S.upper_median(F.when(F.col("area") > 0, F.col("area"))).alias("median"))
-    flag = F.when(F.col("area") > 1.9 * F.col("median"), "wide").when(F.col("area") < 0.34 * F.col("median"), "narrow").otherwise("")
-    return p.join(m, "face").select("sheet_id", "area", "median", flag.alias("flag"))
+    m = p.groupBy("face").agg(S.upper_median(F.when(F.col("width") > 0, F.col("width"))).alias("median"))
+    flag = F.when(F.col("width") > 1.9 * F.col("median"), "wide").when(F.col("width") < 0.34 * F.col("median"), "narrow").otherwise("")
+    return p.join(m, "face").select("sheet_id", "width", "median", flag.alias("flag"))
 
 
-@query(sql(_PROF + """, s AS (SELECT face, ch, width, sheet_id, row_number() OVER (PARTITION BY face, ch ORDER BY sheet_id DESC) AS rn FROM prof WHERE ch IN ('H', 'O', 'n', 'o', 'u')),
-a AS (SELECT face, count(*) AS samples, median(width) AS w FROM s WHERE rn = 1 GROUP BY face) SELECT face, samples, CASE WHEN samples < 3 THEN 3.5 ELSE floor(least(7, greatest(2.5, 0.065 * w / 8 * 100)) * 10 + 0.5) / 10 END AS pct FROM a""", "pixels_v"))
+def spacing(samples):
+    """From (face, ch, width, counter), one row per face and character: side bearing in per cent of the em (8 pixels) and what it comes from."""
+    inner = (F.col("counter") > 0) & (F.col("counter") < F.col("width"))
+    a = samples.groupBy("face").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(inner).alias("k"), S.middle_median(F.col("width")).alias("w"), S.middle_median(F.when(inner, F.col("counter"))).alias("c")
+    )
+    few, enough = F.col("n") < 3, F.col("k") >= 3
+    pct = S.half_up(S.clamp(F.when(enough, F.col("c") * 0.16).otherwise(F.col("w") * 0.065) / 8 * 100, 2.5, 7.0) * 10) / 10
+    return a.select(
+        "face", F.when(few, "fallback").when(enough, "counters").otherwise("proportions").alias("source"),
+        F.when(~few & enough, F.col("k")).otherwise(F.col("n")).alias("samples"), F.when(few, F.lit(3.5)).otherwise(pct).alias("pct"),
+    )
+
+
+@query(sql(_PROF + """, gp AS (SELECT sheet_id, y, max(x - before - 1) AS c FROM (SELECT sheet_id, y, x, lag(x) OVER (PARTITION BY sheet_id, y ORDER BY x) AS before FROM pixels_v WHERE ink) GROUP BY 1, 2),
+ct AS (SELECT sheet_id, list_sort(list(c))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS counter FROM gp WHERE c > 0.32 GROUP BY 1),
+s AS (SELECT face, ch, width, coalesce(counter, 0) AS counter FROM prof LEFT JOIN ct USING (sheet_id) WHERE ch IN ('H', 'O', 'n', 'o', 'u') AND width > 0 QUALIFY row_number() OVER (PARTITION BY face, ch ORDER BY sheet_id DESC) = 1),
+a AS (SELECT face, count(*) AS n, count(*) FILTER (WHERE counter > 0 AND counter < width) AS k, median(width) AS w, median(counter) FILTER (WHERE counter > 0 AND counter < width) AS c FROM s GROUP BY face)
+SELECT face, CASE WHEN n < 3 THEN 'fallback' WHEN k >= 3 THEN 'counters' ELSE 'proportions' END AS source, CASE WHEN n >= 3 AND k >= 3 THEN k ELSE n END AS samples,
+CASE WHEN n < 3 THEN 3.5 ELSE floor(greatest(2.5, least(7.0, (CASE WHEN k >= 3 THEN c * 0.16 ELSE w * 0.065 END) / 8 * 100)) * 10 + 0.5) / 10 END AS pct FROM a""", "pixels_v"))
 def auto_spacing(spark, d):
-    """The last sample of each reference character; fewer than three give the fallback."""
-    p = S.first_wins(profiles(spark, d).filter(F.col("ch").isin(*"HOnou")), ["face", "ch"], F.desc("sheet_id"))
-    a = p.groupBy("face").agg(F.count(F.lit(1)).alias("samples"), S.middle_median(F.col("width")).alias("w"))
-    pct = S.clamp(0.065 * F.col("w") / 8 * 100, 2.5, 7.0)
-    return a.select("face", "samples", F.when(F.col("samples") < 3, F.lit(3.5)).otherwise(S.half_up(pct * 10) / 10).alias("pct"))
+    """Bearings by the counters of the last sample of each reference character; a counter is the upper median of the rows' widest gaps."""
+    w = Window.partitionBy("sheet_id", "y").orderBy("x")
+    rows = pixels(spark, d).filter("ink").withColumn("gap", F.col("x") - F.lag("x").over(w) - 1).groupBy("sheet_id", "y").agg(F.max("gap").alias("c"))
+    counters = rows.filter("c > 0.32").groupBy("sheet_id").agg(S.upper_median(F.col("c")).alias("counter"))
+    p = profiles(spark, d).filter(F.col("ch").isin(*"HOnou") & (F.col("width") > 0)).join(counters, "sheet_id", "left")
+    return spacing(S.first_wins(p.withColumn("counter", F.coalesce("counter", F.lit(0))), ["face", "ch"], F.desc("sheet_id")))
+
+
+_STEM = f"n >= 4 AND abs(slope) <= 0.08 AND off <= 0.32 AND {_CH} IN ('H', 'I', 'i', 'l')"
 
 
-@query(sql(""", pt AS (SELECT sheet_id, y, min(x) FILTER (WHERE ink) AS x FROM pixels_v GROUP BY 1, 2), """ + f"""f AS (SELECT sheet_id, regr_slope(x, y) AS slope, count(x) AS n FROM pt WHERE x IS NOT NULL GROUP BY 1)
-SELECT sheet_id // 50 AS face, count(DISTINCT {_CH}) FILTER (WHERE n >= 4 AND abs(slope) <= 0.2 AND {_CH} IN ('H', 'I', 'i', 'l')) AS votes, count(DISTINCT {_CH}) FILTER (WHERE n >= 4 AND abs(slope) <= 0.2 AND {_CH} IN ('H', 'I', 'i', 'l')) >= 3 AS upright FROM f GROUP BY 1""", "pixels_v"))
+@query(sql(""", pt AS (SELECT sheet_id, y, (min(x) + max(x)) / 2.0 AS x FROM pixels_v WHERE ink AND y BETWEEN 2 AND 5 GROUP BY 1, 2), """ + f"""f AS (SELECT sheet_id, regr_slope(x, y) AS slope, count(x) AS n, var_pop(x) AS vx, var_pop(y) AS vy FROM pt GROUP BY 1),
+g AS (SELECT sheet_id, n, slope, sqrt(greatest(0, vx - slope * slope * vy)) AS off FROM f), s AS (SELECT DISTINCT sheet_id FROM pixels_v)
+SELECT sheet_id // 50 AS face, count(DISTINCT {_CH}) FILTER (WHERE {_STEM}) AS votes, count(DISTINCT {_CH}) FILTER (WHERE {_STEM}) >= 3 AS upright FROM s LEFT JOIN g USING (sheet_id) GROUP BY 1""", "pixels_v"))
 def stem_vote(spark, d):
-    pt = pixels(spark, d).filter("ink").groupBy("sheet_id", "y").agg(F.min("x").alias("x"))
-    f = pt.groupBy("sheet_id").agg(F.regr_slope("x", "y").alias("slope"), F.count("x").alias("n"))
+    """Characters whose centre line between 0.2 and 0.7 of the x-height (8) over the base line (7) is straight and upright."""
+    p = pixels(spark, d)
+    ink = F.col("ink") & F.col("y").between(2, 5)
+    pt = p.groupBy("sheet_id", "y").agg(((F.min(F.when(ink, F.col("x"))) + F.max(F.when(ink, F.col("x")))) / 2).alias("x"))
+    at = F.when(F.col("x").isNotNull(), F.col("y"))
+    f = pt.groupBy("sheet_id").agg(F.regr_slope("x", "y").alias("slope"), F.count("x").alias("n"), F.var_pop("x").alias("vx"), F.var_pop(at).alias("vy"))
+    off = F.sqrt(F.greatest(F.lit(0.0), F.col("vx") - F.col("slope") * F.col("slope") * F.col("vy")))
     ch = F.substring(F.lit(ALPHABET), (F.col("sheet_id") % len(ALPHABET)).cast("int") + 1, F.lit(1))
-    good = (F.col("n") >= 4) & (F.abs("slope") <= 0.2) & ch.isin(*"HIil")
+    good = (F.col("n") >= 4) & (F.abs("slope") <= 0.08) & (off <= 0.32) & ch.isin(*"HIil")
     v = f.groupBy(F.floor(F.col("sheet_id") / 50).alias("face")).agg(F.count_distinct(F.when(good, ch)).alias("votes"))
     return v.withColumn("upright", F.col("votes") >= 3)
 
@@ -97,14 +126,14 @@ def pair_gaps(spark, d):
     return k.groupBy("face").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.stddev_pop("gap"), 6).alias("sd"), F.min("gap").alias("worst"), F.min_by("pair", F.struct("gap", "pair")).alias("worst_pair"))
 
 
-@query(sql(_PROF + """, pr AS (SELECT a.face, a.ch AS l, b.ch AS r, a.sheet_id * 1000 + b.sheet_id % 50 AS seq, a.width - b.width AS kern FROM prof a JOIN prof b ON a.face = b.face AND (b.sheet_id = a.sheet_id + 1 OR b.sheet_id = a.sheet_id + 13)),
+@query(sql(_PROF + """, pr AS (SELECT a.face, a.ch AS l, b.ch AS r, a.sheet_id * 1000 + b.sheet_id % 50 AS seq, greatest(-32768, least(32767, a.width - b.width)) AS kern FROM prof a JOIN prof b ON a.face = b.face AND (b.sheet_id = a.sheet_id + 1 OR b.sheet_id = a.sheet_id + 13)),
 d AS (SELECT *, row_number() OVER (PARTITION BY face, l, r ORDER BY seq DESC) AS rn FROM pr) SELECT face, l, r, CAST(kern AS BIGINT) AS kern FROM d WHERE rn = 1 AND kern <> 0""", "pixels_v"))
 def kern_dedupe(spark, d):
     """Pairs by a pair list (the next glyph, the 13th next); of equal pairs the last one counts, zero kerns go."""
     p = profiles(spark, d).select("face", "sheet_id", "ch", "width")
     steps = p.withColumn("right_id", F.explode(F.array(F.col("sheet_id") + 1, F.col("sheet_id") + 13)))
     r = p.select(F.col("face").alias("f2"), F.col("sheet_id").alias("right_id"), F.col("ch").alias("r"), F.col("width").alias("w2"))
-    j = steps.join(r, "right_id").filter("face = f2").select("face", F.col("ch").alias("l"), "r", (F.col("sheet_id") * 1000 + F.col("right_id") % 50).alias("seq"), (F.col("width") - F.col("w2")).alias("kern"))
+    j = steps.join(r, "right_id").filter("face = f2").select("face", F.col("ch").alias("l"), "r", (F.col("sheet_id") * 1000 + F.col("right_id") % 50).alias("seq"), S.clamp(F.col("width") - F.col("w2"), -32768, 32767).alias("kern"))
     return S.first_wins(j, ["face", "l", "r"], F.desc("seq")).filter("kern <> 0").select("face", "l", "r", "kern")
 
 
@@ -132,23 +161,31 @@ def seam_zones(spark, d):
     return zones(spark, d)
 
 
+#: Pairs whose crossings and pooling count for a vote (fixed values).
+BIGRAMS = "an ne en nn mi in re er ou un th he ic ck ow wn el ll or ab cd de ef ro br fr lo oo ee aw wa na am ma ar ra av va on no wo".split()
+
+
 def verdict(a, b):
-    """worse, better or tie: gaps first, then crossings by more than one, then pooling by a whole."""
+    """worse, better or tie: any gap more is worse; then crossings by more than two, then pooling by more than one."""
     g, c, p = a("gap_cols") - b("gap_cols"), a("cross_cols") - b("cross_cols"), a("pool") - b("pool")
-    return F.when(g > 0, "worse").when(g < 0, "better").when(c >= 2, "worse").when(c <= -2, "better").when(p >= 1, "worse").when(p <= -1, "better").otherwise("tie")
+    return F.when((g > 0) | (c > 2), "worse").when(c < -2, "better").when(p > 1, "worse").when(p < -1, "better").otherwise("tie")
 
 
-_V = "CASE WHEN g > 0 THEN 'worse' WHEN g < 0 THEN 'better' WHEN c >= 2 THEN 'worse' WHEN c <= -2 THEN 'better' WHEN p >= 1 THEN 'worse' WHEN p <= -1 THEN 'better' ELSE 'tie' END"
-_SEAM = _ZONE + f""", s AS (SELECT a.sheet_id, a.gap_cols - b.gap_cols AS g, a.cross_cols - b.cross_cols AS c, a.pool - b.pool AS p FROM z a JOIN z b ON b.sheet_id = a.sheet_id + 1 WHERE a.sheet_id % 2 = 0),
-v AS (SELECT sheet_id, {_V} AS verdict, g > 0 AS gap FROM s)"""
+_V = "CASE WHEN g > 0 OR c > 2 THEN 'worse' WHEN c < -2 THEN 'better' WHEN p > 1 THEN 'worse' WHEN p < -1 THEN 'better' ELSE 'tie' END"
+_SEAM = _ZONE + f""", s AS (SELECT a.sheet_id, a.sheet_id // 50 AS face, a.sheet_id // 2 AS k, a.gap_cols - b.gap_cols AS g, a.cross_cols - b.cross_cols AS c, a.pool - b.pool AS p FROM z a JOIN z b ON b.sheet_id = a.sheet_id + 1 WHERE a.sheet_id % 2 = 0),
+v AS (SELECT sheet_id, face, {_CH} AS ch, substr('{ALPHABET}', CAST((k + face) % {len(ALPHABET)} AS INT) + 1, 1) AS follower, k % 4 AS form, k // 4 % 4 AS follower_form, {_V} AS verdict, g > 0 AS gap FROM s)"""
 
 
 def seams(spark, d):
-    """Even sheets as the joined form, the next sheet as the plain form."""
+    """Even sheets as the joined form, the next sheet as the plain form; the pair and its join forms (0 to 3) come from the sheet number."""
     z = zones(spark, d)
     a, b = z.filter("sheet_id % 2 = 0").alias("a"), z.withColumn("sheet_id", F.col("sheet_id") - 1).alias("b")
-    j = a.join(b, "sheet_id")
-    return j.select("sheet_id", verdict(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")).alias("verdict"), (F.col("a.gap_cols") > F.col("b.gap_cols")).alias("gap"))
+    k, face = F.floor(F.col("sheet_id") / 2), F.floor(F.col("sheet_id") / 50)
+    letter = lambda n: F.substring(F.lit(ALPHABET), (n % len(ALPHABET)).cast("int") + 1, F.lit(1))
+    return a.join(b, "sheet_id").select(
+        "sheet_id", face.alias("face"), letter(F.col("sheet_id")).alias("ch"), letter(k + face).alias("follower"), (k % 4).alias("form"), (F.floor(k / 4) % 4).alias("follower_form"),
+        verdict(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")).alias("verdict"), (F.col("a.gap_cols") > F.col("b.gap_cols")).alias("gap"),
+    )
 
 
 @query(sql(_SEAM + " SELECT sheet_id, verdict FROM v", "pixels_v"))
@@ -156,31 +193,80 @@ def seam_verdict(spark, d):
     return seams(spark, d).select("sheet_id", "verdict")
 
 
-@query(sql(_SEAM + f""", t AS (SELECT {_CH} AS ch, count(*) AS n, count(*) FILTER (WHERE gap) AS gaps, count(*) FILTER (WHERE verdict = 'worse') AS worse, count(*) FILTER (WHERE verdict = 'better') AS better FROM v GROUP BY 1)
-SELECT ch, worse, better FROM t WHERE gaps * 3 >= n OR worse > better""", "pixels_v"))
+_BIG = ", ".join(f"'{b}'" for b in BIGRAMS)
+
+
+@query(sql(_SEAM + f""", u AS (SELECT * FROM v WHERE form IN (1, 3) QUALIFY row_number() OVER (PARTITION BY face, ch, follower ORDER BY sheet_id) = 1),
+t AS (SELECT face, ch, count(*) FILTER (WHERE follower_form < 2) AS base_seams, count(*) FILTER (WHERE follower_form < 2 AND gap) AS gaps, count(*) FILTER (WHERE ch || follower IN ({_BIG}) AND verdict = 'worse') AS worse,
+count(*) FILTER (WHERE ch || follower IN ({_BIG}) AND verdict = 'better') AS better FROM u GROUP BY 1, 2) SELECT face, ch, base_seams, gaps, worse, better FROM t WHERE (base_seams > 0 AND gaps * 3 >= base_seams) OR worse > better""", "pixels_v"))
 def seam_drops(spark, d):
-    ch = F.substring(F.lit(ALPHABET), (F.col("sheet_id") % len(ALPHABET)).cast("int") + 1, F.lit(1))
-    t = seams(spark, d).groupBy(ch.alias("ch")).agg(F.count(F.lit(1)).alias("n"), F.count_if("gap").alias("gaps"), F.count_if(F.col("verdict") == "worse").alias("worse"), F.count_if(F.col("verdict") == "better").alias("better"))
-    return t.filter("gaps * 3 >= n or worse > better").select("ch", "worse", "better")
+    """By face, the characters whose exit join is given up."""
+    return dropped(seams(spark, d), ["face"])
+
+
+def dropped(seams, keys):
+    """Characters with exit joins (form 1 or 3) of which a third or more of the seams to followers without an entry join (form 2 or 3) open
+    gaps, or whose common pairs are more often worse than better; a pair counts once, as it is first seen."""
+    u = S.first_wins(seams.filter("form in (1, 3)"), [*keys, "ch", "follower"], F.col("sheet_id"))
+    plain, common = F.col("follower_form") < 2, F.concat("ch", "follower").isin(BIGRAMS)
+    t = u.groupBy(*keys, "ch").agg(
+        F.count_if(plain).alias("base_seams"), F.count_if(plain & F.col("gap")).alias("gaps"),
+        F.count_if(common & (F.col("verdict") == "worse")).alias("worse"), F.count_if(common & (F.col("verdict") == "better")).alias("better"),
+    )
+    return t.filter("(base_seams > 0 and gaps * 3 >= base_seams) or worse > better")
+
+
+_AZ, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_FIVE = ["ABCDEFGHIJKLM", "NOPQRSTUVWXYZ", "abcdefghijklm", "nopqrstuvwxyz", _DIGITS]
+#: Known layouts and their rows (fixed values).
+LAYOUTS = [
+    ("A to Z", [_AZ]), ("0 to 9", [_DIGITS]), ("A to Z and 0 to 9", [_AZ, _DIGITS]), ("A to Z and a to z", [_AZ, _AZ.lower()]), ("A to Z, a to z and 0 to 9", [_AZ, _AZ.lower(), _DIGITS]),
+    ("A to Z, a to z, 0 to 9 and a row of punctuation", [_AZ, _AZ.lower(), _DIGITS, ".,!?:;'-&@#"]), ("A to Z in two rows", _FIVE[:2]), ("A to Z in two rows, then 0 to 9", [*_FIVE[:2], _DIGITS]),
+    ("A to Z and a to z in four rows", _FIVE[:4]), ("A to Z, a to z and 0 to 9 in five rows", _FIVE), ("A to Z, a to z and 0 to 9 in five rows, then a row of punctuation", [*_FIVE, ".,!?:;'\"-&@#"]),
+    ("A to Z, a to z and 0 to 9 in five rows, then 2 rows of symbols", [*_FIVE, "!?@#$%^&*()-_+=[]", "{};:'\",.<>/\\|"]),
+]
+
+
+def row_tolerance(line: str) -> tuple[int, int]:
+    """A row's length and by how much a count may differ from it; rows of symbols have more room."""
+    n, symbols = len(line), not any(c.isalnum() for c in line)
+    return n, max(3, int(n * 0.35 + 0.5)) if symbols else max(1, int(n * 0.15 + 0.5))
+
+
+def layout_drift(cells, lines):
+    """Sum over the rows of the differences in units of tolerance; null if one is out of it or the numbers of rows differ."""
+    off = [(F.abs(F.get(cells, F.lit(i)) - n), tol) for i, (n, tol) in enumerate(map(row_tolerance, lines))]
+    fits, total = F.size(cells) == len(lines), F.lit(0.0)
+    for x, tol in off:
+        fits, total = fits & (x <= tol), total + x / tol
+    return F.when(fits, F.round(total, 9))
 
 
-#: Layouts: name, letters, symbols.
-LAYOUTS = [("basic", 52, 10), ("extended", 60, 20), ("digits", 10, 0), ("caps", 26, 4)]
-_LAY = ", ".join(f"('{n}', {a}, {b})" for n, a, b in LAYOUTS)
+def best_layout(cells):
+    """(d, n): drift and name of the layout that fits best; no name if two fit alike, null if none fits."""
+    fit = F.array_sort(F.filter(F.array(*[F.struct(layout_drift(cells, lines).alias("d"), F.lit(n).alias("n")) for n, lines in LAYOUTS]), lambda x: x["d"].isNotNull()))
+    first, second = F.get(fit, F.lit(0)), F.get(fit, F.lit(1))
+    return F.struct(first["d"].alias("d"), F.when(second["d"].isNull() | (second["d"] > first["d"]), first["n"]).alias("n"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) % 70 AS a, length(regexp_replace(text, '[A-Za-z\\s]', '', 'g')) % 25 AS b FROM documents),
-l AS (SELECT * FROM (VALUES {_LAY}) t(name, la, lb)),
-x AS (SELECT doc_id, name, round(abs(a - la) / greatest(1, floor(0.15 * la + 0.5)) + abs(b - lb) / greatest(3, floor(0.35 * lb + 0.5)), 9) AS drift FROM s, l), r AS (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY drift) AS rk FROM x),
-b AS (SELECT doc_id, min(name) AS layout, min(drift) AS drift, count(*) AS n FROM r WHERE rk = 1 GROUP BY doc_id) SELECT doc_id, CASE WHEN n = 1 THEN layout END AS layout, round(drift, 6) AS drift FROM b""")
+def sheet_cells(spark, d, cells):
+    """An order as a sheet, its lines as rows: the number of cells in each."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("i"), cells.cast("long").alias("c"))
+    return li.groupBy("sheet").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("cells"))
+
+
+_ROWS = ", ".join(f"({k}, '{name}', {len(lines)}, {i + 1}, {n}, {tol})" for k, (name, lines) in enumerate(LAYOUTS) for i, (n, tol) in enumerate(map(row_tolerance, lines)))
+
+
+@query(f"""WITH o AS (SELECT l_orderkey AS sheet, CAST(l_quantity AS BIGINT) AS cells, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity AS BIGINT)) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n_rows FROM lineitem),
+l AS (SELECT * FROM (VALUES {_ROWS}) t(k, name, n_rows, pos, n, tol)),
+x AS (SELECT sheet, name, round(sum(abs(cells - n) / tol), 9) AS drift FROM o JOIN l USING (n_rows, pos) GROUP BY sheet, name HAVING bool_and(abs(cells - n) <= tol)),
+b AS (SELECT sheet, min(name) AS name, min(drift) AS drift, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY sheet ORDER BY drift) AS rk FROM x) WHERE rk = 1 GROUP BY sheet)
+SELECT s.sheet, CASE WHEN n = 1 THEN name END AS layout, round(drift, 6) AS drift FROM (SELECT DISTINCT sheet FROM o) s LEFT JOIN b USING (sheet)""")
 def layout_match(spark, d):
-    """Every document against a few fixed layouts, inside the row; a tie gives none."""
-    t = table(spark, d, "documents").select("doc_id", (F.length(F.regexp_replace("text", "[^A-Za-z]", "")) % 70).alias("a"), (F.length(F.regexp_replace("text", r"[A-Za-z\s]", "")) % 25).alias("b"))
-    drift = lambda la, lb: F.round(F.abs(F.col("a") - la) / max(1, int(0.15 * la + 0.5)) + F.abs(F.col("b") - lb) / max(3, int(0.35 * lb + 0.5)), 9)
-    all_ = F.array_sort(F.array(*[F.struct(drift(a, b).alias("d"), F.lit(n).alias("n")) for n, a, b in LAYOUTS]))
-    t = t.select("doc_id", all_.alias("s"))
-    first, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
-    return t.select("doc_id", F.when(first["d"] < second["d"], first["n"]).alias("layout"), F.round(first["d"], 6).alias("drift"))
+    """Every sheet's counts against the known layouts, row by row."""
+    t = sheet_cells(spark, d, F.col("l_quantity"))
+    return t.select("sheet", best_layout(F.col("cells")).alias("b")).select("sheet", F.col("b.n").alias("layout"), F.round("b.d", 6).alias("drift"))
 
 
 @query(sql(_PROF + """, base AS (SELECT face, ch, min(sheet_id) AS sheet_id FROM prof WHERE sheet_id % 2 = 0 GROUP BY 1, 2), more AS (SELECT face, ch, min(sheet_id) AS sheet_id FROM prof WHERE sheet_id % 2 = 1 GROUP BY 1, 2)
@@ -203,12 +289,22 @@ def supplement_anti(spark, d):
     return base.unionByName(more.join(base, ["face", "ch"], "left_anti"))
 
 
-@query(sql(_PROF + """, n AS (SELECT face, ch, sheet_id, row_number() OVER (PARTITION BY face ORDER BY sheet_id) AS i, count(*) OVER (PARTITION BY face) AS n FROM prof WHERE ch IN ('i', 'l', 'I'))
-SELECT face, ch, sheet_id, i AS slot, substr('0123456789.,!?', CAST(1 + (i - 1) % 14 AS INT), 1) AS expected FROM n""", "pixels_v"))
+def short_rows(cells):
+    """Consecutive capitals for a narrow grid (or both cases for 52 cells), one line per row, further cells unassigned; null where nothing is clear."""
+    total = F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + c)
+    every = lambda n: F.forall(cells, lambda c: c == n)
+    clear = (F.size(cells) > 0) & F.forall(cells, lambda c: c.between(1, 26)) & (F.forall(cells, lambda c: c < 10) | total.isin(26, 52)) & ~every(13) & ~every(26)
+    line = F.rpad(F.when(total == 52, _AZ + _AZ.lower()).otherwise(_AZ), total.cast("int"), "□")
+    start = lambda i: F.aggregate(F.slice(cells, F.lit(1), i), F.lit(0).cast("long"), lambda a, c: a + c)
+    return F.when(clear, F.array_join(F.transform(cells, lambda c, i: F.substring(line, (start(i) + 1).cast("int"), c.cast("int"))), "\n"))
+
+
+@query(f"""WITH o AS (SELECT l_orderkey AS sheet, list(CAST(ceil(l_quantity / 5) AS BIGINT) ORDER BY l_linenumber, CAST(ceil(l_quantity / 5) AS BIGINT)) AS cells FROM lineitem GROUP BY 1),
+t AS (SELECT sheet, cells, list_sum(cells) AS total, rpad(CASE WHEN list_sum(cells) = 52 THEN '{_AZ + _AZ.lower()}' ELSE '{_AZ}' END, CAST(list_sum(cells) AS INT), '□') AS line FROM o)
+SELECT sheet, CASE WHEN list_min(cells) >= 1 AND list_max(cells) <= 26 AND (list_max(cells) < 10 OR total IN (26, 52)) AND NOT (list_min(cells) = list_max(cells) AND list_max(cells) IN (13, 26))
+THEN array_to_string(list_transform(cells, lambda c, i: substr(line, CAST(coalesce(list_sum(cells[1:i - 1]), 0) AS BIGINT) + 1, c)), chr(10)) END AS charset FROM t""")
 def short_row_charset(spark, d):
-    w = Window.partitionBy("face").orderBy("sheet_id")
-    p = profiles(spark, d).filter(F.col("ch").isin(*"ilI")).withColumn("slot", F.row_number().over(w).cast("long"))
-    return p.select("face", "ch", "sheet_id", "slot", F.substring(F.lit("0123456789.,!?"), (1 + (F.col("slot") - 1) % 14).cast("int"), F.lit(1)).alias("expected"))
+    return sheet_cells(spark, d, F.ceil(F.col("l_quantity") / 5)).select("sheet", short_rows(F.col("cells")).alias("charset"))
 
 
 @query(sql(""", b AS (SELECT sheet_id, y, ink, ink AND NOT coalesce(lag(ink) OVER (PARTITION BY sheet_id, y ORDER BY x), false) AS begins, x FROM pixels_v),

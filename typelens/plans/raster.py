@@ -119,12 +119,12 @@ def morph_dilate(spark, d):
 
 @query(sql(""", r AS (SELECT sheet_id, y, count(*) FILTER (WHERE ink) AS ink FROM pixels_v GROUP BY 1, 2), s AS (SELECT *, avg(ink) OVER (PARTITION BY sheet_id ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM r),
 p AS (SELECT *, max(v) OVER (PARTITION BY sheet_id ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l, max(v) OVER (PARTITION BY sheet_id ORDER BY y ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rr FROM s)
-SELECT sheet_id, y, round(v, 6) AS v FROM p WHERE v <= 0.6 * least(l, rr) OR v <= 0.5 * greatest(l, rr)""", "pixels_v"))
+SELECT sheet_id, y, round(v, 6) AS v FROM p WHERE v <= 0.6 * least(l, rr)""", "pixels_v"))
 def valley_split(spark, d):
     w = Window.partitionBy("sheet_id").orderBy("y")
     r = ink_rows(spark, d).withColumn("v", F.avg("ink").over(w.rowsBetween(-2, 2)))
     r = r.withColumn("l", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rr", F.max("v").over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return r.filter((F.col("v") <= 0.6 * F.least("l", "rr")) | (F.col("v") <= 0.5 * F.greatest("l", "rr"))).select("sheet_id", "y", F.round("v", 6).alias("v"))
+    return r.filter(F.col("v") <= 0.6 * F.least("l", "rr")).select("sheet_id", "y", F.round("v", 6).alias("v"))
 
 
 _COMP = """, ink AS (SELECT sheet_id, x, y, y * 8 + x AS p FROM pixels_v WHERE ink),
@@ -147,10 +147,10 @@ def components_diagonal(spark, d):
     return c.groupBy("sheet_id", "component").agg(F.min(F.col("y") * 8 + F.col("x")).alias("root"), F.count(F.lit(1)).alias("area")).select("sheet_id", "root", "area")
 
 
-@query(sql(_COMP.format(near=_FOUR) + ", a AS (SELECT sheet_id, root, count(*) AS area FROM root GROUP BY 1, 2) SELECT sheet_id, root, area FROM a QUALIFY area >= greatest(3, 0.3 * max(area) OVER (PARTITION BY sheet_id))", "pixels_v", recursive=True))
+@query(sql(_COMP.format(near=_FOUR) + ", a AS (SELECT sheet_id, root, count(*) AS area FROM root GROUP BY 1, 2) SELECT sheet_id, root, area FROM a QUALIFY area >= greatest(12, 0.03 * max(area) OVER (PARTITION BY sheet_id))", "pixels_v", recursive=True))
 def large_components(spark, d):
     a = components_8x8(spark, d)
-    return a.withColumn("m", F.max("area").over(Window.partitionBy("sheet_id"))).filter(F.col("area") >= F.greatest(F.lit(3), 0.3 * F.col("m"))).drop("m")
+    return a.withColumn("m", F.max("area").over(Window.partitionBy("sheet_id"))).filter(F.col("area") >= F.greatest(F.lit(12), 0.03 * F.col("m"))).drop("m")
 
 
 @query()
@@ -311,13 +311,33 @@ def min_ink_seam(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "sheet_id long, seam string")
 
 
-@query()
+@query(sql(""", c AS (SELECT sheet_id, x, count(*) FILTER (WHERE ink) AS n, min(y) FILTER (WHERE ink) AS y0, max(y) FILTER (WHERE ink) AS y1 FROM pixels_v GROUP BY 1, 2),
+g AS (SELECT sheet_id, min(x) FILTER (WHERE n > 0) AS a, max(x) FILTER (WHERE n > 0) AS z, sum(n) AS total, max(n) AS peak, max(y1) - min(y0) + 1 AS h FROM c GROUP BY 1),
+t AS (SELECT *, n < 0.5 * peak AND (n = 0 OR y1 - y0 + 1 <= 0.55 * h) AS thin, sum(n) OVER (PARTITION BY sheet_id ORDER BY x) AS l, sum(n) OVER (PARTITION BY sheet_id ORDER BY x DESC) AS r FROM c JOIN g USING (sheet_id) WHERE x BETWEEN a AND z),
+b AS (SELECT sheet_id, any_value(a) AS a, any_value(z) AS z, min(x) FILTER (WHERE NOT (thin AND l <= 0.08 * total AND x - a < floor((z - a + 1) * 0.3))) AS lo, max(x) FILTER (WHERE NOT (thin AND r <= 0.08 * total AND z - x < floor((z - a + 1) * 0.3))) AS hi FROM t GROUP BY 1)
+SELECT sheet_id, CASE WHEN lo - a < greatest(2, floor((z - a + 1) * 0.04 + 0.5)) THEN a ELSE lo END AS x0, CASE WHEN z - hi < greatest(2, floor((z - a + 1) * 0.04 + 0.5)) THEN z ELSE hi END AS x1 FROM b""", "pixels_v"))
 def dense_body_bounds(spark, d):
-    """Column bounds of the body: thin columns (at most half the peak) are trimmed at either end within 8 % of the ink."""
-    w = Window.partitionBy("sheet_id").orderBy("x")
-    n = ink_cols(spark, d).withColumn("peak", F.max("ink").over(Window.partitionBy("sheet_id"))).withColumn("total", F.sum("ink").over(Window.partitionBy("sheet_id")))
-    n = n.withColumn("left", F.sum("ink").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("right", F.sum("ink").over(w.rowsBetween(0, Window.unboundedFollowing)))
-    thin = F.col("ink") <= 0.5 * F.col("peak")
-    n = n.withColumn("lk", thin & (F.col("left") <= 0.08 * F.col("total"))).withColumn("rk", thin & (F.col("right") <= 0.08 * F.col("total")))
-    n = n.withColumn("lrun", F.min(F.col("lk").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rrun", F.min(F.col("rk").cast("int")).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return n.groupBy("sheet_id").agg(F.min(F.when(F.col("lrun") == 0, F.col("x"))).alias("x0"), F.max(F.when(F.col("rrun") == 0, F.col("x"))).alias("x1"))
+    """Column bounds of the body of each sheet that has ink."""
+    ink = lambda c: F.when(F.col("ink"), F.col(c))
+    c = pixels(spark, d).groupBy("sheet_id", "x").agg(F.count_if("ink").alias("n"), F.min(ink("y")).alias("y0"), F.max(ink("y")).alias("y1"))
+    return body_bounds(c)
+
+
+def body_bounds(cols):
+    """From (sheet_id, x, n, y0, y1): thin (under half the peak) and low (up to 0.55 of the height) columns go at either end, within 8 % of
+    the ink and 30 % of the width, if that takes two columns and 4 % of the width at least."""
+    own, w = Window.partitionBy("sheet_id"), Window.partitionBy("sheet_id").orderBy("x")
+    inked = F.when(F.col("n") > 0, F.col("x"))
+    t = cols.select(
+        "*", F.min(inked).over(own).alias("a"), F.max(inked).over(own).alias("z"), F.sum("n").over(own).alias("total"), F.max("n").over(own).alias("peak"), (F.max("y1").over(own) - F.min("y0").over(own) + 1).alias("h"),
+        F.sum("n").over(w).alias("l"), F.sum("n").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("r"),
+    ).filter("x between a and z")
+    width = F.col("z") - F.col("a") + 1
+    thin = (F.col("n") < 0.5 * F.col("peak")) & ((F.col("n") == 0) | (F.col("y1") - F.col("y0") + 1 <= 0.55 * F.col("h")))
+    goes = lambda spent, far: thin & (spent <= 0.08 * F.col("total")) & (far < F.floor(width * 0.3))
+    b = t.groupBy("sheet_id").agg(
+        F.first("a").alias("a"), F.first("z").alias("z"), F.min(F.when(~goes(F.col("l"), F.col("x") - F.col("a")), F.col("x"))).alias("lo"),
+        F.max(F.when(~goes(F.col("r"), F.col("z") - F.col("x")), F.col("x"))).alias("hi"),
+    )
+    least = F.greatest(F.lit(2), S.half_up(width * 0.04))
+    return b.select("sheet_id", F.when(F.col("lo") - F.col("a") < least, F.col("a")).otherwise(F.col("lo")).alias("x0"), F.when(F.col("z") - F.col("hi") < least, F.col("z")).otherwise(F.col("hi")).alias("x1"))

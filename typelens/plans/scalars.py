@@ -11,7 +11,7 @@ from ..sources.bindings import activity, fonts, sql, table, users
 from ..sources.shipping import ship
 from . import query
 
-_SLUG = """regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower({x}), '[^a-z0-9_\\s.\\-]', '', 'g')), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 32), '[-.]+$', '', 'g')"""
+_SLUG = """substr(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower({x}), '[^a-z0-9_\\s.\\-]', '', 'g')), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 32)"""
 
 
 @query(sql(f"SELECT id, coalesce(nullif({_SLUG.format(x='name')}, ''), 'untitled') AS slug, {_SLUG.format(x='maker_handle')} AS handle, length({_SLUG.format(x='maker_handle')}) BETWEEN 2 AND 32 AND {_SLUG.format(x='maker_handle')} NOT IN ('admin', 'about') AS valid FROM fonts_v", "fonts_v"))
@@ -67,7 +67,7 @@ def context_whitelist(spark, d):
     return p.select("event_id", F.concat_ws("\n", line("k", F.col("p.k")), line("event", F.col("p.event")), line("meta", F.col("p.meta"))).alias("context"), (F.col("p.meta") != "").alias("substance"))
 
 
-@query(sql("SELECT id, upper(substr(split_part(handle, '#', 1), 1, 1)) || upper(substr(split_part(handle, '#', 2), 1, 1)) AS initials FROM user_v", "user_v"))
+@query(sql(r"SELECT id, array_to_string(list_transform(list_filter(regexp_split_to_array(handle, '[\s@.]+'), lambda p: p <> '')[1:2], lambda p: upper(substr(p, 1, 1))), '') AS initials FROM user_v", "user_v"))
 def initials(spark, d):
     return users(spark, d).select("id", X.initials(F.col("handle")).alias("initials"))
 
