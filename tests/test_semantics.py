@@ -213,3 +213,28 @@ def test_body_bounds(spark):
     assert bounds([0, 1, 1, 1, 10, 10, 10, 10, 10, 10, 0]) == (3, 9)  # floor(9 * 0.3) = 2 columns at most
     assert bounds([1, 10, 10, 10, 10]) == (0, 4)  # one column is too little
     assert bounds([1, 1, 10, 10, 10, 10, 10, 10], span=8) == (0, 7)  # tall columns stay
+
+
+def test_meta_edit(spark):
+    cases = [('{"treat":"mono","og":true,"n":1.0,"deep":{"a":[1,2.5]}}', True, '{"treat":"mono","og":false,"n":1,"deep":{"a":[1,2.5]},"family":"Öl","license":"ofl"}', True),
+             ('{"license":"cc0","og":true}', False, '{"license":"ofl","og":true,"family":"Öl"}', False), ('{"og":"true"}', True, '{"og":"true","family":"Öl","license":"ofl"}', False),
+             ("{broken", True, '{"family":"Öl","license":"ofl"}', False), ("[1]", True, '{"family":"Öl","license":"ofl"}', False), (None, True, '{"family":"Öl","license":"ofl"}', False)]
+    df = spark.createDataFrame([(i, r, c) for i, (r, c, _, _) in enumerate(cases)], "i int, raw string, changed boolean")
+    got = df.orderBy("i").select(X.edited_meta("raw", F.lit("Öl"), F.lit("ofl"), "changed").alias("e")).select("e.*").collect()
+    assert [tuple(r) for r in got] == [c[2:] for c in cases]
+
+
+def test_lists(spark):
+    rows = spark.createDataFrame([(0, [2]), (1, [1, 3]), (2, [1, 2, 4]), (3, [])], "i int, r array<int>").orderBy("i")
+    assert [r[0] for r in rows.select(X.row_list(F.col("r"))).collect()] == ["Row 2", "Rows 1 and 3", "Rows 1, 2 and 4", None]
+    assert one(rows.limit(1).select(X.plural(F.lit(1), "row", "rows"))) == "1 row" and one(rows.limit(1).select(X.plural(F.lit(0), "row", "rows"))) == "0 rows"
+    assert [r[0] for r in rows.select(X.allowed(F.lit("A@x.org"), F.lit(" b@x.org, a@X.org ,"))).limit(1).collect()] == [True]
+    raw = spark.createDataFrame([(0, '["é","b"]'), (1, '["a",1]'), (2, "[]"), (3, None), (4, "{"), (5, '{"a":"b"}')], "i int, raw string").orderBy("i")
+    assert [r[0] for r in raw.select(X.armed(F.col("raw"))).collect()] == ["é\nb", None, None, None, None, None]
+
+
+def test_spacing_problem(spark):
+    cases = [((600.0, 50.0, 550.0), False, False), ((0.0, 0.0, 10.0), True, True), ((None, 0.0, 10.0), True, True), ((float("inf"), 0.0, 1.0), True, True), ((300.0, -20.0, 500.0), True, False), ((600.0, -90.0, 600.0), False, False)]
+    df = spark.createDataFrame([(i, *c) for i, (c, _, _) in enumerate(cases)], "i int, a double, l double, r double").orderBy("i")
+    f = lambda overlap: [r[0] for r in df.select(S.spacing_problem(F.col("a"), F.col("l"), F.col("r"), F.lit(1000.0), overlap)).collect()]
+    assert f(False) == [c[1] for c in cases] and f(True) == [c[2] for c in cases]

@@ -49,3 +49,14 @@ def first_wins(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def clamp(x: Column, lo, hi) -> Column:
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+
+
+def spacing_problem(advance: Column, left: Column, right: Column, upm: Column, overlap: bool = False) -> Column:
+    """No usable advance, or ink that severely leaves it; only the former where overlaps are meant. Nulls, NaN and infinities are problems."""
+    inf = F.lit(float("inf"))
+    broken = (advance <= 0) | (upm <= 0)
+    for x in (advance, left, right, upm):
+        broken = broken | x.isNull() | F.isnan(x) | (F.abs(x) == inf)
+    ink, over = right - left, F.greatest(F.lit(0.0), -left) + F.greatest(F.lit(0.0), right - advance)
+    severe = (ink > 0) & (over > upm * 0.1) & ((advance < ink * 0.75) | (over > F.greatest(ink * 0.35, upm * 0.2)))
+    return F.coalesce(broken, F.lit(True)) if overlap else F.coalesce(broken | severe, F.lit(True))

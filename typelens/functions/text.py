@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructType
 
 #: Failure classes by the first marker that a lower-cased message holds (fixed values).
 FAILURES = [
@@ -72,3 +73,67 @@ def script_safe(x: Column) -> Column:
 
 def kilobytes(n: Column) -> Column:
     return F.coalesce(F.concat(F.floor(n / 1024.0 + 0.5).cast("string"), F.lit(" KB")), F.lit("–"))
+
+
+def allowed(email: Column, listed: Column) -> Column:
+    """Whether a comma list has the address, whatever its case."""
+    return F.array_contains(F.filter(F.transform(F.split(listed, ","), lambda x: F.lower(F.trim(x))), lambda x: x != ""), F.lower(email))
+
+
+def plural(n: Column, one: str, many: str) -> Column:
+    return F.concat(n.cast("string"), F.when(n == 1, f" {one}").otherwise(f" {many}"))
+
+
+def row_list(rows: Column) -> Column:
+    """Row 2; Rows 1 and 2; Rows 1, 2 and 3. Null for none."""
+    text = F.transform(rows, lambda r: r.cast("string"))
+    head = F.array_join(F.slice(text, F.lit(1), F.greatest(F.size(text) - 1, F.lit(1))), ", ")
+    return F.when(F.size(text) == 1, F.concat(F.lit("Row "), head)).when(F.size(text) > 1, F.concat(F.lit("Rows "), head, F.lit(" and "), F.element_at(text, -1)))
+
+
+def crowded(cells: Column, chars: list[int]) -> Column:
+    """(row, chars, shapes) of the rows, from 1, that list three characters or more and show half as many shapes at most; none if the numbers of rows differ."""
+    row = lambda i, n: F.struct(F.lit(i + 1).alias("row"), F.lit(n).alias("chars"), F.get(cells, F.lit(i)).alias("shapes"))
+    found = F.filter(F.array(*[row(i, n) for i, n in enumerate(chars)]), lambda x: (x["chars"] >= 3) & (x["shapes"] <= F.floor(x["chars"] / 2)))
+    return F.when(F.size(cells) == len(chars), found)
+
+
+def source_keys(font: Column, meta: Column) -> Column:
+    keys = F.transform(F.from_json(meta, "sourceSheets array<struct<key string>>")["sourceSheets"], lambda s: s["key"])
+    prefix = F.concat(F.lit("sources/"), font, F.lit("/"))
+    own = lambda k: F.startswith(k, prefix) & F.regexp_like(F.substr(k, F.length(prefix) + 1), F.lit(r"^(base|variation-[12]|supplement)\.(png|jpg|webp)$"))
+    return F.coalesce(F.filter(keys, own), F.array().cast("array<string>"))
+
+
+@F.pandas_udf(StringType())
+def nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+def armed(raw: Column) -> Column:
+    """The strings of a JSON array, composed, one per line; null for anything else, and for an empty array."""
+    lines = F.array_join(F.from_json(raw, "array<string>"), "\n")
+    text = F.when(F.schema_of_variant(F.try_parse_json(raw)) == "ARRAY<STRING>", lines)
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(nfc(text))
+
+
+def _number(x: str):
+    """A number as JSON writers print it: whole ones without a point."""
+    v = float(x)
+    return int(v) if v.is_integer() and abs(v) < 1e21 else v
+
+
+@F.pandas_udf(StructType().add("meta", StringType()).add("drop_og", BooleanType()))
+def edited_meta(raw: pd.Series, name: pd.Series, license: pd.Series, specimen_changed: pd.Series) -> pd.DataFrame:
+    """Types and order of unknown keys must stay, which no schema of a built-in parser keeps; what is no object counts as an empty one."""
+    rows = []
+    for text, family, terms, changed in zip(raw, name, license, specimen_changed):
+        try:
+            old = json.loads(text, parse_float=_number)
+        except (TypeError, ValueError):
+            old = None
+        meta = dict(old) if isinstance(old, dict) else {}
+        drop = bool(changed) and meta.get("og") is True
+        meta |= {"family": family, "license": terms} | ({"og": False} if drop else {})
+        rows.append((json.dumps(meta, ensure_ascii=False, separators=(",", ":")), drop))
+    return pd.DataFrame(rows, columns=["meta", "drop_og"])

@@ -97,10 +97,10 @@ def wall_search(spark, d):
     return wall(spark, d, term=" RING ", size=600)
 
 
-@query(sql("SELECT id, replace(name, ' ', '_') AS name FROM fonts_v WHERE replace(name, ' ', '_') ILIKE '%a\\_b%' ESCAPE '\\' OR contains(name, '100%')", "fonts_v"))
+@query(sql("SELECT id, replace(name, ' ', '_') AS name FROM fonts_v WHERE replace(name, ' ', '_') ILIKE '%l\\_r%' ESCAPE '\\' OR contains(name, '100%')", "fonts_v"))
 def search_escaped(spark, d):
     f = fonts(spark, d).select("id", F.replace("name", F.lit(" "), F.lit("_")).alias("name"), F.col("name").alias("plain"))
-    pattern = F.concat(F.lit("%"), S.escape_like(F.lit("a_b")), F.lit("%"))
+    pattern = F.concat(F.lit("%"), S.escape_like(F.lit("l_r")), F.lit("%"))
     return f.filter(F.call_function("ilike", F.col("name"), pattern) | F.contains("plain", F.lit("100%"))).select("id", "name")
 
 

@@ -11,7 +11,7 @@ from ..functions import color as C
 from ..functions import semantics as S
 from ..operators import components as K
 from ..operators import islands as I
-from ..sources.bindings import pixels, sql, table
+from ..sources.bindings import INK, pixels, sql, table
 from ..sources.shipping import ship
 from . import query
 
@@ -96,20 +96,20 @@ def baseline_mode(spark, d):
     return g.select("sheet_id", F.when(F.col("m").isNull(), F.lit(7)).when(F.col("m.n") >= 0.12 * F.col("cols"), F.col("m.y")).otherwise(F.get("ys", F.floor(0.7 * F.col("cols")).cast("int"))).cast("long").alias("baseline"))
 
 
-def _window3(spark, d):
+def _window3(spark, d, over=INK):
     """Ink of the 3 x 3 neighbourhood by two passes of row and column windows: (n: ink around, whole: all 9 exist)."""
     rows = Window.partitionBy("sheet_id", "y").orderBy("x").rowsBetween(-1, 1)
     cols = Window.partitionBy("sheet_id", "x").orderBy("y").rowsBetween(-1, 1)
-    p = pixels(spark, d).withColumn("a", F.sum(F.col("ink").cast("int")).over(rows)).withColumn("c", F.count(F.lit(1)).over(rows))
+    p = pixels(spark, d, over).withColumn("a", F.sum(F.col("ink").cast("int")).over(rows)).withColumn("c", F.count(F.lit(1)).over(rows))
     return p.withColumn("n", F.sum("a").over(cols)).withColumn("whole", F.sum("c").over(cols))
 
 
 _NEAR = ", nb AS (SELECT a.sheet_id, a.x, a.y, CAST(sum(CASE WHEN b.ink THEN 1 ELSE 0 END) AS BIGINT) AS n, count(*) AS whole FROM pixels_v a JOIN pixels_v b ON a.sheet_id = b.sheet_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY 1, 2, 3)"
 
 
-@query(sql(_NEAR + " SELECT sheet_id, x, y FROM nb WHERE n = 9", "pixels_v"))
+@query(sql(_NEAR.replace("pixels_v", "paint_v") + " SELECT sheet_id, x, y FROM nb WHERE n = 9", "paint_v"))
 def morph_erode(spark, d):
-    return _window3(spark, d).filter("n = 9").select("sheet_id", "x", "y")
+    return _window3(spark, d, 0).filter("n = 9").select("sheet_id", "x", "y")
 
 
 @query(sql(_NEAR + " SELECT sheet_id, x, y FROM nb WHERE n > 0", "pixels_v"))
@@ -147,9 +147,11 @@ def components_diagonal(spark, d):
     return c.groupBy("sheet_id", "component").agg(F.min(F.col("y") * 8 + F.col("x")).alias("root"), F.count(F.lit(1)).alias("area")).select("sheet_id", "root", "area")
 
 
-@query(sql(_COMP.format(near=_FOUR) + ", a AS (SELECT sheet_id, root, count(*) AS area FROM root GROUP BY 1, 2) SELECT sheet_id, root, area FROM a QUALIFY area >= greatest(12, 0.03 * max(area) OVER (PARTITION BY sheet_id))", "pixels_v", recursive=True))
+@query(sql(_COMP.format(near=_FOUR).replace("pixels_v", "paint_v") + ", a AS (SELECT sheet_id, root, count(*) AS area FROM root GROUP BY 1, 2) SELECT sheet_id, root, area FROM a QUALIFY area >= greatest(12, 0.03 * max(area) OVER (PARTITION BY sheet_id))", "paint_v", recursive=True))
 def large_components(spark, d):
-    a = components_8x8(spark, d)
+    ship(spark)
+    c = K.sheet_components(pixels(spark, d, 0))
+    a = c.groupBy("sheet_id", "component").agg(F.min(F.col("y") * 8 + F.col("x")).alias("root"), F.count(F.lit(1)).alias("area")).drop("component")
     return a.withColumn("m", F.max("area").over(Window.partitionBy("sheet_id"))).filter(F.col("area") >= F.greatest(F.lit(12), 0.03 * F.col("m"))).drop("m")
 
 

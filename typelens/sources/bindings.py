@@ -48,10 +48,10 @@ def activity(spark, d):
     )
 
 
-def pixels(spark, d):
-    """One row per pixel of the 8 x 8 views of the vectors."""
+def pixels(spark, d, over=INK):
+    """One row per pixel of the 8 x 8 views of the vectors; ink is what is over a value."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("sheet_id"), F.posexplode("embedding").alias("i", "value"))
-    return v.select("sheet_id", (F.col("i") % 8).cast("long").alias("x"), F.floor(F.col("i") / 8).alias("y"), F.col("value").cast("double").alias("value"), (F.col("value").cast("double") > INK).alias("ink"))
+    return v.select("sheet_id", (F.col("i") % 8).cast("long").alias("x"), F.floor(F.col("i") / 8).alias("y"), F.col("value").cast("double").alias("value"), (F.col("value").cast("double") > over).alias("ink"))
 
 
 def pixel_rows(spark, d):
@@ -76,6 +76,9 @@ VIEWS = {
         FROM (SELECT vec_id AS sheet_id, embedding, unnest(range(0, 64)) AS i FROM embeddings)""",
 }
 
+#: The same pixels with twice the ink and more.
+VIEWS["paint_v"] = VIEWS["pixels_v"].replace(f"> {INK} AS ink", "> 0 AS ink")
+
 
 def sql(body: str, *names: str, recursive: bool = False) -> str:
     """SQL text with the named views (and those they need) in front; body may start with further expressions ``, x AS (...)``."""
