@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,11 +94,9 @@ def as_of(probes: DataFrame, facts: DataFrame, at: str, date: str, value: str, u
 
 def first_non_empty(parts: list[DataFrame]) -> DataFrame:
     """The rows of the first part that has any."""
-    tagged = None
-    for k, p in enumerate(parts):
-        p = p.withColumn("_part", F.lit(k))
-        tagged = p if tagged is None else tagged.unionByName(p)
-    return tagged.withColumn("_least", F.min("_part").over(Window.partitionBy(F.lit(0)))).filter("_part = _least").drop("_part", "_least")
+    tagged = reduce(DataFrame.unionByName, [p.withColumn("_part", F.lit(k)) for k, p in enumerate(parts)])
+    least = tagged.agg(F.min("_part").alias("_part"))  # one row
+    return tagged.join(F.broadcast(least), "_part", "left_semi").drop("_part")
 
 
 def ordered_fetch(ids: DataFrame, key: str, df: DataFrame, id_col: str) -> DataFrame:

@@ -58,7 +58,7 @@ def change_text(cur, prev):
 
 @query(sql(f"SELECT event, CAST(coalesce(sum(CASE WHEN {_IN} THEN 1 END), 0) AS BIGINT) AS current, CAST(coalesce(sum(CASE WHEN {_PREV} THEN 1 END), 0) AS BIGINT) AS previous FROM activity_v WHERE {_IN} OR {_PREV} GROUP BY event", "activity_v"))
 def funnel_totals(spark, d):
-    return totals(cube(activity(spark, d)), START, END, BEFORE)
+    return totals(cube(activity(spark, d).filter(F.col("day").between(F.lit(BEFORE), F.lit(END)))), START, END, BEFORE)
 
 
 @query(sql(f""", days AS (SELECT CAST(unnest(generate_series(DATE '{START}', DATE '{END}' + 3, INTERVAL 1 DAY)) AS DATE) AS day)
@@ -161,7 +161,7 @@ def review_summary(spark, d):
 
 @query(sql("SELECT event_id, user_id, source, meta FROM activity_v WHERE event = 'build_fail' AND ts < DATE '2024-01-29' + 1 ORDER BY ts DESC, event_id DESC LIMIT 50", "activity_v"))
 def recent_failures(spark, d):
-    a = activity(spark, d).filter((F.col("event") == "build_fail") & (F.col("ts") < F.date_add(F.lit("2024-01-29").cast("date"), 1).cast("timestamp_ntz")))
+    a = activity(spark, d, "build_fail").filter((F.col("ts") < F.date_add(F.lit("2024-01-29").cast("date"), 1).cast("timestamp_ntz")))
     return a.orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id", "source", "meta")
 
 
@@ -177,7 +177,7 @@ def rate_limit_admit(spark, d):
 @query(sql(f""", c AS (SELECT k AS font_id, row_number() OVER (PARTITION BY user_id % 10, k, {_BUCKET.format(s=3600)} ORDER BY ts, event_id) AS rn FROM activity_v WHERE event = 'download')
 SELECT font_id, count(*) AS downloads FROM c JOIN fonts_v ON id = font_id WHERE rn = 1 AND visibility = 'public' GROUP BY 1""", "activity_v", "fonts_v"))
 def download_dedupe(spark, d):
-    a = activity(spark, d).filter("event = 'download'").withColumn("ip", F.col("user_id") % 10).withColumnRenamed("k", "font_id")
+    a = activity(spark, d, "download").withColumn("ip", F.col("user_id") % 10).withColumnRenamed("k", "font_id")
     ok = T.admitted(a, ["ip", "font_id"], "ts", 3600, 1, F.col("event_id")).filter("allowed")
     public = fonts(spark, d).filter("visibility = 'public'").select(F.col("id").alias("font_id"))
     return ok.join(public, "font_id", "left_semi").groupBy("font_id").agg(F.count(F.lit(1)).alias("downloads"))

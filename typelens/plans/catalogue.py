@@ -18,7 +18,7 @@ GROUP BY font_id ORDER BY votes DESC, font_id LIMIT 6"""
 
 def featured(spark, d, start: str, stop: str, k: int = 6):
     """The most liked public items of a half-open window, ties by id."""
-    v = votes(spark, d).filter((F.col("created_at") >= F.lit(start).cast("timestamp_ntz")) & (F.col("created_at") < F.lit(stop).cast("timestamp_ntz")))
+    v = votes(spark, d, stop).filter((F.col("created_at") >= F.lit(start).cast("timestamp_ntz")) & (F.col("created_at") < F.lit(stop).cast("timestamp_ntz")))
     public = fonts(spark, d).filter("visibility = 'public'").select("id")
     return v.join(public, v["font_id"] == public["id"], "left_semi").groupBy("font_id").agg(F.count(F.lit(1)).alias("votes")).orderBy(F.desc("votes"), "font_id").limit(k)
 

@@ -30,17 +30,23 @@ def owned(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner_id"), vis.alias("visibility"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("priority"))
 
 
-def votes(spark, d):
-    """One row per (user, font): repeated votes are the first one."""
+def votes(spark, d, before: str | None = None):
+    """One row per (user, font): repeated votes are the first one. ``before`` leaves out later votes at the scan: they are the first of none
+    that has an earlier one."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
+    if before:
+        li = li.filter(F.col("l_shipdate") < F.lit(before).cast("timestamp_ntz"))
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).groupBy(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("font_id")).agg(F.min("l_shipdate").alias("created_at"))
 
 
-def activity(spark, d):
+def activity(spark, d, only: str | None = None):
+    """Events in the application's terms; ``only`` keeps one of them, by the stored name, which the scan can use."""
     k = F.get_json_object("props", "$.k").cast("long")
     event = F.create_map(*[F.lit(x) for kv in EVENT.items() for x in kv])[F.col("event_type")]
     rows = table(spark, d, "events").withColumn("k", k)
+    if only:
+        rows = rows.filter(F.col("event_type").isin([stored for stored, name in EVENT.items() if name == only]))
     return rows.select(
         "event_id", "ts", "user_id", F.to_date("ts").alias("day"), event.alias("event"), "value", "k",
         F.element_at(F.array(F.lit("upload"), F.lit("sample"), F.lit("unknown")), (F.col("k") % 3 + 1).cast("int")).alias("source"),

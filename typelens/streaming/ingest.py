@@ -53,7 +53,11 @@ def admitted(events: DataFrame, limit: int, seconds: int = 3600, late: str = "1
 
 
 def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over everything there is now into a table in memory (for tests and small reports)."""
+    """Run a stream over everything there is now: rows that are appended go to files beside the checkpoint; a whole result, which is as
+    small as its keys, goes to a table in memory."""
+    if mode == "append":
+        df.writeStream.format("parquet").option("path", f"{checkpoint}-rows").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return df.sparkSession.read.schema(df.schema).parquet(f"{checkpoint}-rows")
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
