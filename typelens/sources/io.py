@@ -17,7 +17,7 @@ def exists(df: DataFrame) -> bool:
 
 
 def objects(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Objects under a prefix: path, modificationTime, length, content."""
+    """Objects under a prefix: path, modificationTime, length, content. Spark's source passes over empty objects."""
     reader = spark.read.format("binaryFile")
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
@@ -33,31 +33,26 @@ def table_or_empty(spark: SparkSession, name: str, schema: T.StructType) -> Data
 
 
 def evolved(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
-    """The frame under a newer schema: missing columns get their default or null."""
+    """The frame under a newer schema: columns that it lacks get their default or null; nulls it has stay."""
     defaults = defaults or {}
-    out = []
-    for f in schema:
-        col = F.col(f.name) if f.name in df.columns else F.lit(None)
-        out.append((F.coalesce(col, F.lit(defaults[f.name])) if f.name in defaults else col).cast(f.dataType).alias(f.name))
-    return df.select(*out)
-
-
-def publish(parts: dict[str, DataFrame], row: DataFrame, root: str) -> None:
-    """All or nothing: objects first, under a staging path; the row that makes them visible last; the stage goes on failure."""
-    spark = row.sparkSession
-    fs_of = spark._jvm.org.apache.hadoop.fs.Path
-    stage, final = fs_of(f"{root}/_staging"), fs_of(f"{root}/objects")
-    fs = stage.getFileSystem(spark._jsc.hadoopConfiguration())
+    of = lambda f: F.col(f.name) if f.name in df.columns else F.lit(defaults.get(f.name))
+    return df.select(*[of(f).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def publish(parts: dict[str, DataFrame], row: DataFrame, root: str, name: str) -> None:
+    """All or nothing: the objects go to a place of their own, then the row that names it (``objects``) is added to ``rows``. Where a step
+    fails the place is cleared and no row shows it; what was published before is not touched. A name is used once."""
+    spark, place = row.sparkSession, f"{root}/objects/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        raise FileExistsError(place)
     try:
-        for name, df in parts.items():
-            df.write.mode("overwrite").parquet(f"{root}/_staging/{name}")
-        fs.delete(final, True)
-        if not fs.rename(stage, final):
-            raise OSError(f"cannot move {stage} to {final}")
-        row.write.mode("append").parquet(f"{root}/rows")
+        for part, df in parts.items():
+            df.write.parquet(f"{place}/{part}")
+        row.withColumn("objects", F.lit(place)).write.mode("append").parquet(f"{root}/rows")
     except Exception:
-        fs.delete(stage, True)
-        fs.delete(final, True)
+        fs.delete(path, True)
         raise
 
 
