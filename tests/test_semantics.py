@@ -238,3 +238,16 @@ def test_spacing_problem(spark):
     df = spark.createDataFrame([(i, *c) for i, (c, _, _) in enumerate(cases)], "i int, a double, l double, r double").orderBy("i")
     f = lambda overlap: [r[0] for r in df.select(S.spacing_problem(F.col("a"), F.col("l"), F.col("r"), F.lit(1000.0), overlap)).collect()]
     assert f(False) == [c[1] for c in cases] and f(True) == [c[2] for c in cases]
+
+
+def test_components_of_rows(spark):
+    """Rasters of any width, one row each; null, empty and blank ones have no component and no hole."""
+    ring = [x in (0, 3) or y in (0, 2) for y in range(3) for x in range(4)]
+    far = [True, False, False, False, True, False]
+    df = spark.createDataFrame([(1, ring, 4), (2, far, 3), (3, None, 4), (4, [], 4), (5, [False] * 8, 4)], "sheet_id long, ink array<boolean>, width int")
+    c = {(r.sheet_id, r.root): r for r in K.components(df).collect()}
+    assert sorted(c) == [(1, 0), (2, 0), (2, 4)]
+    r = c[1, 0]
+    assert (r.area, r.largest, r.x0, r.x1, r.y0, r.y1, r.top, r.bottom, r.left, r.right) == (10, 10, 0, 3, 0, 2, 4, 4, 3, 3)
+    assert [(r.sheet_id, r.area) for r in K.components(df.filter("sheet_id = 2"), diagonal=True).collect()] == [(2, 2)]
+    assert sorted(tuple(r) for r in K.hole_areas(df).collect()) == [(1, 2), (2, 0), (3, 0), (4, 0), (5, 0)]

@@ -1,11 +1,10 @@
-"""Connected components of small rasters, one group per sheet; the labelling itself is sequential."""
+"""Connected components of rasters that are one row each: labelled where the row lies, without a shuffle; the labelling is sequential."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def label(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
@@ -36,32 +35,52 @@ def holes(mask: np.ndarray) -> int:
     return int((outside & (lab != lab[0, 0])).sum())
 
 
-def _raster(pdf: pd.DataFrame, side: int) -> np.ndarray:
-    m = np.zeros((side, side), bool)
-    ink = pdf[pdf["ink"]]
-    m[ink["y"], ink["x"]] = True
-    return m
+PARTS = "sheet_id long, component long, root long, area long, largest long, x0 long, x1 long, y0 long, y1 long, top long, bottom long, left long, right long"
 
 
-def sheet_components(pixels: DataFrame, side: int = 8, diagonal: bool = False) -> DataFrame:
-    """sheet_id, x, y, component of every ink pixel."""
+def parts_of(mask: np.ndarray, diagonal: bool = False) -> dict[str, np.ndarray]:
+    """Per component: its first pixel in reading order, area, the sheet's largest area, box, and pixels on each edge of the sheet."""
+    lab = label(mask, diagonal)
+    y, x = np.nonzero(lab)
+    names, first, k = np.unique(lab[y, x], return_index=True, return_inverse=True)
+    count = lambda on: np.bincount(k[on], minlength=len(names))
+    area = count(slice(None))
+    out = {"component": names, "root": y[first] * mask.shape[1] + x[first], "area": area, "largest": np.full(len(names), area.max(initial=0))}
+    for axis, v in (("x", x), ("y", y)):
+        low, high = np.full(len(names), max(mask.shape)), np.zeros(len(names), np.int64)
+        np.minimum.at(low, k, v)
+        np.maximum.at(high, k, v)
+        out |= {f"{axis}0": low, f"{axis}1": high}
+    edges = {"top": y == 0, "bottom": y == mask.shape[0] - 1, "left": x == 0, "right": x == mask.shape[1] - 1}
+    return out | {name: count(on) for name, on in edges.items()}
 
-    def run(pdf):
-        lab = label(_raster(pdf, side), diagonal)
-        y, x = np.nonzero(lab)
-        return pd.DataFrame({"sheet_id": int(pdf["sheet_id"].iloc[0]), "x": x, "y": y, "component": lab[y, x]})
 
-    return pixels.groupBy("sheet_id").applyInPandas(run, "sheet_id long, x long, y long, component long")
+def _masks(batches):
+    for pdf in batches:
+        for sheet, ink, width in zip(pdf["sheet_id"], pdf["ink"], pdf["width"]):
+            flat = np.zeros(0, bool) if ink is None else np.asarray(ink, bool)
+            yield sheet, flat.reshape(-1, int(width)) if flat.size else np.zeros((0, 1), bool)
 
 
-def sheet_holes(pixels: DataFrame, side: int = 8) -> DataFrame:
-    def run(pdf):
-        return pd.DataFrame({"sheet_id": [int(pdf["sheet_id"].iloc[0])], "hole_area": [holes(_raster(pdf, side))]})
+def components(rasters: DataFrame, diagonal: bool = False) -> DataFrame:
+    """The components of rasters (sheet_id, ink array<boolean> in reading order, width); null and empty rasters have none."""
+    columns = [f.split()[0] for f in PARTS.split(", ")]
 
-    return pixels.groupBy("sheet_id").applyInPandas(run, "sheet_id long, hole_area long")
+    def run(batches):
+        for pdf in batches:
+            found = [(sheet, parts_of(mask, diagonal)) for sheet, mask in _masks([pdf])]
+            if found:
+                ids = np.repeat([s for s, _ in found], [len(p["component"]) for _, p in found])
+                yield pd.DataFrame({c: np.concatenate([p[c] for _, p in found]) if c != "sheet_id" else ids for c in columns})
 
+    return rasters.select("sheet_id", "ink", "width").mapInPandas(run, PARTS)
 
-def component_boxes(labelled: DataFrame, keys=("sheet_id", "component")) -> DataFrame:
-    return labelled.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("area"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.avg("x").alias("cx"), F.avg("y").alias("cy")
-    )
+
+def hole_areas(rasters: DataFrame) -> DataFrame:
+    """Enclosed background of each raster; 0 for null and empty ones."""
+
+    def run(batches):
+        rows = [(sheet, holes(mask)) for sheet, mask in _masks(batches)]
+        yield pd.DataFrame(rows, columns=["sheet_id", "hole_area"])
+
+    return rasters.select("sheet_id", "ink", "width").mapInPandas(run, "sheet_id long, hole_area long")

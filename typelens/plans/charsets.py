@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import color as C
 from ..operators import components as K
-from ..sources.bindings import pixels, sql, table
+from ..sources.bindings import rasters, sql, table
 from ..sources.shipping import ship
 from . import query
 from .glyphs import sheet_cells
@@ -85,12 +85,10 @@ def perimeter_frame(spark, d):
     """Components that run along an edge of their sheet for 22 per cent of it and span a quarter: a frame, unless nearly all is ink."""
     ship(spark)
     side = 8
-    c = K.sheet_components(pixels(spark, d), side, diagonal=True).groupBy("sheet_id", "component").agg(
-        F.min(F.col("y") * side + F.col("x")).alias("root"), F.count(F.lit(1)).alias("area"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"),
-        *[F.count_if(F.col(axis) == at).alias(f"{axis}{at}") for axis in ("x", "y") for at in (0, side - 1)],
-    )
-    along = lambda axis, span: (F.greatest(f"{axis}0", f"{axis}{side - 1}") >= side * 0.22) & (F.col(span) >= side * 0.25)
-    return c.select("sheet_id", "root", "area", ((F.col("area") < side * side * 0.85) & (along("y", "w") | along("x", "h"))).alias("frame"))
+    c = K.components(rasters(spark, d), diagonal=True)
+    along = lambda a, b, lo, hi: (F.greatest(a, b) >= side * 0.22) & (F.col(hi) - F.col(lo) + 1 >= side * 0.25)
+    frame = along("top", "bottom", "x0", "x1") | along("left", "right", "y0", "y1")
+    return c.select("sheet_id", "root", "area", ((F.col("area") < side * side * 0.85) & frame).alias("frame"))
 
 
 def pen_order(starts, ends, closed) -> list[tuple[int, bool]]:

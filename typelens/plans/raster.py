@@ -11,7 +11,7 @@ from ..functions import color as C
 from ..functions import semantics as S
 from ..operators import components as K
 from ..operators import islands as I
-from ..sources.bindings import INK, pixels, sql, table
+from ..sources.bindings import INK, pixels, rasters, sql, table
 from ..sources.shipping import ship
 from . import query
 
@@ -136,30 +136,27 @@ _FOUR, _EIGHT = "abs(a.x - b.x) + abs(a.y - b.y) = 1", "greatest(abs(a.x - b.x),
 @query(sql(_COMP.format(near=_FOUR) + " SELECT sheet_id, root, count(*) AS area FROM root GROUP BY 1, 2", "pixels_v", recursive=True))
 def components_8x8(spark, d):
     ship(spark)
-    c = K.sheet_components(pixels(spark, d))
-    return c.groupBy("sheet_id", "component").agg(F.min(F.col("y") * 8 + F.col("x")).alias("root"), F.count(F.lit(1)).alias("area")).select("sheet_id", "root", "area")
+    return K.components(rasters(spark, d)).select("sheet_id", "root", "area")
 
 
 @query(sql(_COMP.format(near=_EIGHT) + " SELECT sheet_id, root, count(*) AS area FROM root GROUP BY 1, 2", "pixels_v", recursive=True))
 def components_diagonal(spark, d):
     ship(spark)
-    c = K.sheet_components(pixels(spark, d), diagonal=True)
-    return c.groupBy("sheet_id", "component").agg(F.min(F.col("y") * 8 + F.col("x")).alias("root"), F.count(F.lit(1)).alias("area")).select("sheet_id", "root", "area")
+    return K.components(rasters(spark, d), diagonal=True).select("sheet_id", "root", "area")
 
 
 @query(sql(_COMP.format(near=_FOUR).replace("pixels_v", "paint_v") + ", a AS (SELECT sheet_id, root, count(*) AS area FROM root GROUP BY 1, 2) SELECT sheet_id, root, area FROM a QUALIFY area >= greatest(12, 0.03 * max(area) OVER (PARTITION BY sheet_id))", "paint_v", recursive=True))
 def large_components(spark, d):
     ship(spark)
-    c = K.sheet_components(pixels(spark, d, 0))
-    a = c.groupBy("sheet_id", "component").agg(F.min(F.col("y") * 8 + F.col("x")).alias("root"), F.count(F.lit(1)).alias("area")).drop("component")
-    return a.withColumn("m", F.max("area").over(Window.partitionBy("sheet_id"))).filter(F.col("area") >= F.greatest(F.lit(12), 0.03 * F.col("m"))).drop("m")
+    c = K.components(rasters(spark, d, 0))
+    return c.filter(F.col("area") >= F.greatest(F.lit(12), 0.03 * F.col("largest"))).select("sheet_id", "root", "area")
 
 
 @query()
 def body_extent(spark, d):
     """Columns of the largest component, widened by components that overlap it, again and again."""
     ship(spark)
-    boxes = K.component_boxes(K.sheet_components(pixels(spark, d)))
+    boxes = K.components(rasters(spark, d))
     w = Window.partitionBy("sheet_id").orderBy("x0", "x1", "component")
     reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     grouped = boxes.withColumn("new", F.when(reach.isNull() | (F.col("x0") > reach), 1).otherwise(0)).withColumn("g", F.sum("new").over(w))
@@ -172,7 +169,7 @@ out AS (SELECT sheet_id, x, y FROM bg WHERE x = -1 AND y = -1 UNION SELECT b.she
 SELECT b.sheet_id, CAST((SELECT count(*) FROM bg k WHERE k.sheet_id = b.sheet_id) - count(*) AS BIGINT) AS hole_area FROM out b GROUP BY b.sheet_id""", "pixels_v", recursive=True))
 def hole_area(spark, d):
     ship(spark)
-    return K.sheet_holes(pixels(spark, d))
+    return K.hole_areas(rasters(spark, d))
 
 
 _LIN = "CASE WHEN {c} / 255.0 <= 0.04045 THEN {c} / 255.0 / 12.92 ELSE pow(({c} / 255.0 + 0.055) / 1.055, 2.4) END"

@@ -60,6 +60,12 @@ def pixels(spark, d, over=INK):
     return v.select("sheet_id", (F.col("i") % 8).cast("long").alias("x"), F.floor(F.col("i") / 8).alias("y"), F.col("value").cast("double").alias("value"), (F.col("value").cast("double") > over).alias("ink"))
 
 
+def rasters(spark, d, over=INK):
+    """One row per sheet: its ink in reading order, and its width."""
+    ink = F.transform("embedding", lambda z: z.cast("double") > over)
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("sheet_id"), ink.alias("ink"), F.lit(8).alias("width"))
+
+
 def pixel_rows(spark, d):
     """One row per sheet and scan line: ink as an array of 0/1 - the form that needs no shuffle."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("sheet_id"), F.transform("embedding", lambda z: (z.cast("double") > INK).cast("int")).alias("bits"))
