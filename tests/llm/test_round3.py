@@ -4,12 +4,15 @@ import hashlib
 import random
 import re
 import struct
+import zlib
 
+
+import duckdb
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from typelens.llm import fill_middle, trie_bpe
+from typelens.llm import fill_middle, prefix_trie, trie_bpe
 
 SCHEMA = "doc_id long, text string, ids string, n string, output long, r int"
 PATH = P.path("word_bpe_49k.json")
@@ -122,3 +125,84 @@ def test_marks_at_the_cuts(spark):
     rows = [(i, t) for i, t in enumerate(["< <S <P <M < S> P> M>", "<S", "<<< S>S> <P", "M> <M <"] * 100)]
     got = fill_middle.restore(fill_middle.fill_middle(spark.createDataFrame(rows, "doc_id long, text string"), rate=100)).collect()
     assert all(r.restored == r.text for r in got) and len({r.form for r in got}) == 2
+
+
+def trie_model(rows, rebuild=True):
+    """Nodes by prefix tuples."""
+    turns = {}
+    for c, t, r, x in rows:
+        if c is not None:
+            r, x = r or "", x or ""
+            turns.setdefault(c, []).append((t is not None, t or 0, hashlib.sha256(f"{len(r.encode())}:{r}{x}".encode()).hexdigest()[:32], (r, x)))
+    own = {c: [x[3] for x in sorted(v)] for c, v in turns.items()}
+    full = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        full[c] = tuple(own.get(c - c % 5, [])[:h] + v[h:]) if rebuild else tuple(v)
+    members, ends, children = {}, {}, {}
+    for c, v in full.items():
+        for d in range(len(v) + 1):
+            members.setdefault(v[:d], set()).add(c)
+        ends.setdefault(v, []).append(c)
+    for v in members:
+        if v:
+            children.setdefault(v[:-1], []).append(v)
+    leaves, saved = {}, {}
+    for v in sorted(members, key=len, reverse=True):
+        kids = children.get(v, [])
+        leaves[v] = sum(leaves[k] for k in kids) or 1
+        saved[v] = sum(saved[k] for k in kids) + ((len(members[v]) - 1) * len(v[-1][1].encode()) if v else 0)
+    sha = lambda ids: hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest()
+    return sorted(
+        [(min(m), len(v), min(members[v[:-1]]) if v else None, len(m), len(children.get(v, [])), leaves[v], saved[v], sha(ends.get(v, []))) for v, m in members.items()], key=str
+    )
+
+
+CONVS = "conv_id long, turn int, role string, text string, head long, k1 long, up string"
+
+
+def conversations(kind):
+    rng = random.Random(kind)
+    if kind == "mixed":  # few different turns, so that prefixes are shared at all depths; nulls; repeated rows; a gap in the numbers
+        rows = [(c, t if rng.random() < 0.97 else None, rng.choice(["u", "a", None, ""]), rng.choice(["x", "yé", None, ""])) for c in range(200) if c % 11 for t in range(rng.randint(0, 9))]
+        return rows + rows[:40] + [(None, 0, "u", "lost"), (10**15, 3, "u", "x")]
+    if kind == "one":
+        return [(7, 0, "u", "x")]
+    if kind == "copies":  # a group of copies, one of them longer, and a turn that many begin with
+        return [(5 * c, t, "u", f"t{t}" if c % 3 else f"s{t and c}") for c in range(150) for t in range(6)] + [(5, 6, "u", "more")]
+    # long ones: a heavy path over several blocks, with a branch in each; a conversation that holds most rows
+    rows = [(c, t, "u", f"w{t if t < 7 * c else (c, t)}") for c in range(5, 40, 5) for t in range(40)]
+    return rows + [(50, t, "u", f"w{t}") for t in range(300)] + [(55, t, "u", f"w{t}") for t in range(290)]
+
+
+@pytest.mark.parametrize("kind, block", [("mixed", 4096), ("mixed", 2), ("one", 4096), ("copies", 4096), ("long", 4096), ("long", 8)])
+def test_prefix_trie(spark, monkeypatch, kind, block):
+    """The rebuilt trie against tuples, in blocks of any size, and the plain trie of conversations as they are."""
+    monkeypatch.setattr(prefix_trie, "BLOCK", block)
+    rows = conversations(kind)
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], CONVS).withColumn("a.b", F.create_map(F.lit(1), F.lit(2))).repartition(3)
+    got = prefix_trie.prefix_trie(*prefix_trie.rebuilt(df))
+    assert sorted([tuple(r) for r in got.select(*prefix_trie.COLUMNS).collect()], key=str) == trie_model(rows)
+    con = duckdb.connect()
+    pdf = df.drop("a.b").toPandas().astype({"conv_id": "Int64", "turn": "Int64"})
+    con.register("conversations", pdf)
+    assert sorted(con.execute(prefix_trie.SQL).fetchall(), key=str) == trie_model(rows)
+    if block == 4096:
+        turns = prefix_trie.numbered(df)
+        plain = prefix_trie.prefix_trie(turns.withColumn("depth", F.col("place") + 1).drop("place"), prefix_trie.sizes(turns))
+        assert sorted([tuple(r) for r in plain.select(*prefix_trie.COLUMNS).collect()], key=str) == trie_model(rows, rebuild=False)
+        level = plain.agg(F.max("level")).first()[0]
+        assert 2**level <= len({r[0] for r in rows})
+
+
+def test_prefix_trie_of_nothing(spark):
+    df = spark.createDataFrame([], CONVS)
+    assert prefix_trie.prefix_trie(*prefix_trie.rebuilt(df)).count() == 0
+
+
+def test_turnless_conversation(spark):
+    """Conversations whose base is absent lose their first turns; those without any left are members of the root alone."""
+    rows = [(c, 0, "u", "x") for c in range(1, 60) if c % 5]
+    got = prefix_trie.prefix_trie(*prefix_trie.rebuilt(spark.createDataFrame([(*r, 1, 2, "x") for r in rows], CONVS)))
+    want = trie_model(rows)
+    assert sorted([tuple(r) for r in got.select(*prefix_trie.COLUMNS).collect()], key=str) == want and want[0][3] > want[1][3]

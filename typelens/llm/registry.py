@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fill_middle, fingerprint, idfiles, packing, quality, sentencepieces, simhash, substring, toxicity, trie_bpe, warc
+from . import exact_dedup, fill_middle, fingerprint, idfiles, packing, prefix_trie, quality, sentencepieces, simhash, substring, toxicity, trie_bpe, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         substring.op1_substring_dedup, packing.op2_best_fit_packing, fingerprint.op3_fingerprint, quality.op4_quality, idfiles.op5_token_ids,
         warc.op6_warc, sentencepieces.op7_sentencepiece, simhash.op8_simhash_near_dedup, exact_dedup.op9_exact_dedup, toxicity.op10_toxicity,
-        trie_bpe.op11_trie_bpe, fill_middle.op13_fill_middle,
+        trie_bpe.op11_trie_bpe, prefix_trie.op12_prefix_trie, fill_middle.op13_fill_middle,
     )
 }
 
@@ -37,4 +37,4 @@ FROM d
 """
 
 #: Operators that SQL cannot express (hashes, tokenizers and models DuckDB does not have) are left out; tests hold them against brute force.
-SQL = {"op1_substring_dedup": _OP1, "op6_warc": _OP6, "op9_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_substring_dedup": _OP1, "op6_warc": _OP6, "op9_exact_dedup": exact_dedup.SQL, "op12_prefix_trie": prefix_trie.SQL}

@@ -224,7 +224,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
                 text = [None if x is None else bpe.decode(x) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string())], ["doc_id", "ids", "text"])
 
-    return mapped(rows.select("doc_id", "ids"), run, "doc_id long, ids binary, text string")
+    return mapped(rows.select(F.col("doc_id").cast("long"), F.col("ids").cast("binary")), run, "doc_id long, ids binary, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
