@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import half_up
+from ..sources.shipping import settle
 from . import components as K
 from . import islands as I
 
@@ -239,7 +240,7 @@ def has_accent(chars: Column) -> Column:
 def candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All ways to cut each row: (sheet_id, row, slicer, cell, x0, x1), and the components with the cells that own them, per slicer."""
     expected = count_of(F.col("chars"))
-    comps = components(rows)
+    comps = settle(components(rows))
     ranged = anchored(profile(rows), expected)
     found = runs(rows)
     clean = I.merged_narrow(found.filter(~F.col("alien")).select(*KEYS, F.col("x0").alias("start"), F.col("x1").alias("stop")), KEYS)
@@ -293,31 +294,36 @@ def grown(seed: np.ndarray, allowed: np.ndarray) -> np.ndarray:
         now = more
 
 
-def recovered(mask: np.ndarray, free: np.ndarray, a: int, b: int) -> tuple[int, int, np.ndarray]:
-    """A cell's first line and the one behind its last, and what may be its ink: ``mask`` is the ink of its columns, with lines around the
-    band [a, b); ``free`` is what no other cell owns.  Only ink that is joined to the band's middle half reaches beyond it."""
-    inside = np.zeros(mask.shape, bool)
-    inside[a:b] = True
-    may = free & inside
+def recovered(mask: np.ndarray, free: np.ndarray, a: int, b: int) -> tuple[int, int, np.ndarray | None]:
+    """A cell's first line, the one behind its last, and the ink that is joined to the middle half of the band [a, b) where that reaches
+    beyond the band (else none).  ``mask`` is the ink of the cell's columns, with lines around the band; ``free`` is what no other cell owns."""
     line = lambda y: mask[y] if 0 <= y < len(mask) else np.zeros(mask.shape[1], bool)
     beside = lambda v: v | np.append(v[1:], False) | np.append(False, v[:-1])
     if not ((line(a) & beside(line(a - 1))).any() or (line(b - 1) & beside(line(b))).any()):
-        return a, b, may
+        return a, b, None
     lines, reach = np.arange(len(mask))[:, None] - a, np.ceil((b - a) * REACH)
     seed = (lines >= np.ceil((b - a) * 0.25)) & (lines < (b - a) * 0.75)
-    marked = grown(mask & free & seed, mask & free & (lines >= -reach) & (lines < b - a + reach))
-    y = np.flatnonzero(marked.any(1))
-    top, bottom = min(a, y.min(initial=a)), max(b, y.max(initial=b - 1) + 1)
-    if (top, bottom) == (a, b):
-        return a, b, may
-    return top, bottom, may | (spread(marked) & ~inside)
-
-
-def padded(mask: np.ndarray, may: np.ndarray, top: int, bottom: int) -> np.ndarray:
-    """``may`` and, outside [top, bottom), what touches the cell's ink inside: padding has the edge's fringe, not other ink."""
-    inside = np.zeros(mask.shape, bool)
-    inside[top:bottom] = True
-    return (may & inside) | (spread(mask & may & inside) & ~inside)
+    joined = grown(mask & free & seed, mask & free & (lines >= -reach) & (lines < b - a + reach))
+    y = np.flatnonzero(joined.any(1))
+    top, bottom = int(min(a, y.min(initial=a))), int(max(b, y.max(initial=b - 1) + 1))
+    return top, bottom, None if (top, bottom) == (a, b) else joined
+
+
+def own_ink(mask: np.ndarray, free: np.ndarray, a: int, b: int, x0: int, x1: int) -> tuple[int, int, np.ndarray]:
+    """The lines of a cell in columns [x0, x1), and its ink in these columns: what is free in the band, what is joined to it outside (and
+    touches that), and in the padding beyond both only what touches the cell's ink."""
+    top, bottom, joined = recovered(mask[:, x0:x1], free[:, x0:x1], a, b)
+    lo, hi = max(0, x0 - 1), min(mask.shape[1], x1 + 1)  # what lies beside the columns counts as touching
+    lines = np.arange(len(mask))[:, None]
+    band, inside = (lines >= a) & (lines < b), (lines >= top) & (lines < bottom)
+    may = free[:, lo:hi] & band
+    if joined is not None:
+        here = np.zeros(may.shape, bool)
+        here[:, x0 - lo : x1 - lo] = joined
+        may = may | (spread(here) & ~band)
+    ink = mask[:, lo:hi]
+    may = (may & inside) | (spread(ink & may & inside) & ~inside)
+    return top, bottom, (ink & may)[:, x0 - lo : x1 - lo]
 
 
 def baseline(band: np.ndarray) -> int:
@@ -348,14 +354,9 @@ def glyphs(rows: DataFrame, cells: DataFrame, owners: DataFrame) -> DataFrame:
                 if c["x1"] <= c["x0"]:
                     continue
                 x0, x1 = max(0, c["x0"] - PAD), min(int(r.width), c["x1"] + PAD)
-                free = np.isin(owner, (-1, c["cell"]))
-                top, bottom, may = recovered(mask[:, x0:x1], free[:, x0:x1], a, b)
-                lo, hi = max(0, x0 - 1), min(int(r.width), x1 + 1)  # what lies beside the columns counts for the fringe
-                wide = free[:, lo:hi] & (np.arange(len(mask))[:, None] >= a) & (np.arange(len(mask))[:, None] < b)
-                wide[:, x0 - lo : x1 - lo] = may
+                top, bottom, ink = own_ink(mask, np.isin(owner, (-1, c["cell"])), a, b, x0, x1)
                 first, last = max(0, top + r.top - PAD), min(r.height, bottom + r.top + PAD)
-                keep = (mask[:, lo:hi] & padded(mask[:, lo:hi], wide, top, bottom))[first - r.top : last - r.top, x0 - lo : x1 - lo]
-                out.append((r.sheet_id, r.row, c["cell"], x0, x1, first, last, base - first, int(keep.sum())))
+                out.append((r.sheet_id, r.row, c["cell"], x0, x1, first, last, base - first, int(ink[first - r.top : last - r.top].sum())))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in GLYPHS.split(", ")])
 
     return rows.join(held, KEYS).join(own, KEYS, "left").mapInPandas(run, GLYPHS)

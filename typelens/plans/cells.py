@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import slicing as C
 from ..sources.bindings import table
-from ..sources.shipping import ship
+from ..sources.shipping import settle, ship
 from . import query
-from .sheets import _EVEN, DARK, SIDE, _luma, banded
+from .sheets import _EVEN, DARK, SIDE, _luma, banded, page_pixels
 
 #: What is written in the rows of a page, from the first.
 TEXTS = ("Hnou", "il", "#!?", "áčé", "wxyzwxyz")
@@ -37,12 +37,10 @@ def page_rasters(spark, d):
 
 
 def page_rows(spark, d):
-    from .sheets import page_pixels
-
     ship(spark)
     bands = banded(page_pixels(spark, d), len(TEXTS)).select(F.col("page").alias("sheet_id"), F.col("band").alias("row"), F.col("start").alias("y0"), F.col("stop").alias("y1"))
     bands = bands.withColumn("chars", F.get(F.array(*map(F.lit, TEXTS)), F.col("row").cast("int")))
-    return C.rows_of(page_rasters(spark, d), bands)
+    return settle(C.rows_of(page_rasters(spark, d), bands))
 
 
 _ROW = _EVEN.replace("WITH page_v", "WITH RECURSIVE page_v") + f""", line_v AS (SELECT page AS sheet_id, band AS row, start AS y0, stop AS y1, {list(TEXTS)}[band + 1] AS chars, length({list(TEXTS)}[band + 1]) AS expected FROM bands),
@@ -123,3 +121,75 @@ def cell_ink(spark, d):
     return cells.groupBy("sheet_id", "row", "cell", "x0", "x1").agg(F.sum(F.when(keep, n).otherwise(0)).alias("ink"), F.sum(F.when(~keep, n).otherwise(0)).alias("erased")).select(
         "sheet_id", "row", "cell", (F.col("x1") - F.col("x0")).alias("width"), "ink", "erased"
     )
+
+
+_RUNS = f""", page_ink AS (SELECT page AS sheet_id, x, y FROM page_v WHERE opaque AND luma < {DARK}),
+wsr AS (SELECT sheet_id, row, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY sheet_id, row ORDER BY x) AS g FROM cols WHERE n > 0) GROUP BY sheet_id, row, g),
+inside AS (SELECT w.sheet_id, w.row, w.x0, w.x1, any_value(i.y0) AS y0, any_value(i.y1) AS y1, min(i.y) AS top, max(i.y) AS bottom FROM wsr w JOIN ink i ON i.sheet_id = w.sheet_id AND i.row = w.row AND i.x >= w.x0 AND i.x < w.x1 GROUP BY 1, 2, 3, 4),
+over AS (SELECT DISTINCT n.sheet_id, n.row, n.x0, p.y < n.y0 AS head FROM inside n JOIN page_ink i ON i.sheet_id = n.sheet_id AND i.x >= n.x0 AND i.x < n.x1 AND i.y IN (n.y0, n.y1 - 1)
+    JOIN page_ink p ON p.sheet_id = i.sheet_id AND abs(p.x - i.x) <= 1 AND ((i.y = n.y0 AND p.y = n.y0 - 1) OR (i.y = n.y1 - 1 AND p.y = n.y1))),
+runs AS (SELECT n.sheet_id, n.row, n.x0, n.x1, coalesce(bool_or((o.head AND n.bottom < n.y0 + (n.y1 - n.y0) * 0.25e0) OR (NOT o.head AND n.top > n.y1 - (n.y1 - n.y0) * 0.25e0)), false) AS alien FROM inside n LEFT JOIN over o ON o.sheet_id = n.sheet_id AND o.row = n.row AND o.x0 = n.x0 GROUP BY 1, 2, 3, 4)"""
+_WAYS = _OWN + _BY_PARTS.removeprefix(_PARTS) + _RUNS + r""", tidy AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY sheet_id, row ORDER BY x0) AS gap, count(*) OVER (PARTITION BY sheet_id, row) AS k FROM runs WHERE NOT alien),
+tidy_m AS (SELECT sheet_id, row, coalesce(list_sort(list(gap) FILTER (WHERE gap IS NOT NULL))[count(gap) // 2 + 1], 1) AS m FROM tidy GROUP BY 1, 2),
+clean AS (SELECT sheet_id, row, min(x0) AS x0, max(x1) AS x1 FROM (SELECT t.*, sum((gap IS NULL OR k < 3 OR gap >= 0.35e0 * greatest(m, 1))::BIGINT) OVER (PARTITION BY t.sheet_id, t.row ORDER BY x0) AS s FROM tidy t JOIN tidy_m USING (sheet_id, row)) GROUP BY sheet_id, row, s),
+gap_v AS (SELECT r.*, l.y0, l.y1, l.expected, lead(x0) OVER w - x1 AS gap, lead(x0) OVER w AS nxt, count(*) OVER (PARTITION BY sheet_id, row) AS k FROM runs r JOIN line_v l USING (sheet_id, row) WINDOW w AS (PARTITION BY sheet_id, row ORDER BY x0)),
+gap_r AS (SELECT *, gap IS NOT NULL AND row_number() OVER (PARTITION BY sheet_id, row ORDER BY gap DESC NULLS LAST, x0) < expected AS cut FROM gap_v WHERE k > expected),
+gap_e AS (SELECT sheet_id, row, list_concat([min(x0)], list_sort(coalesce(list(CAST(floor((x1 + nxt) / 2 + 0.5) AS BIGINT)) FILTER (WHERE cut), [])), [max(x1)]) AS e FROM gap_r GROUP BY 1, 2 HAVING count(*) FILTER (WHERE cut AND gap < greatest(2, (y1 - y0) * 0.08e0)) = 0),
+ways AS (SELECT sheet_id, row, 'anchored' AS way, cell, x0, x1 FROM anch UNION ALL SELECT sheet_id, row, 'ownership', cell, x0, x1 FROM own_cells UNION ALL SELECT sheet_id, row, 'components', cell, x0, x1 FROM part_cells
+UNION ALL SELECT sheet_id, row, 'whitespace', row_number() OVER (PARTITION BY sheet_id, row ORDER BY x0) - 1, x0, x1 FROM runs UNION ALL SELECT sheet_id, row, 'clean', row_number() OVER (PARTITION BY sheet_id, row ORDER BY x0) - 1, x0, x1 FROM clean SEMI JOIN (SELECT sheet_id, row FROM runs WHERE alien) USING (sheet_id, row)
+UNION ALL SELECT sheet_id, row, 'gaps', i - 1, e[i], e[i + 1] FROM (SELECT *, unnest(range(1, len(e))) AS i FROM gap_e)),
+count_v AS (SELECT l.sheet_id, l.row, l.expected AS e, regexp_matches(chars, '[^\p{L}\p{N} ]') AS sym, strip_accents(chars) <> chars AS acc, count(*) FILTER (WHERE way = 'gaps') AS ga, count(*) FILTER (WHERE way = 'whitespace') AS ws, count(*) FILTER (WHERE way = 'clean') AS cl,
+    count(*) FILTER (WHERE way = 'components') AS co, count(*) FILTER (WHERE way = 'ownership') AS ow FROM line_v l LEFT JOIN ways USING (sheet_id, row) GROUP BY ALL),
+pick0 AS (SELECT *, CASE WHEN acc AND ga > 0 THEN 'gaps' WHEN sym THEN CASE WHEN co = e THEN 'components' WHEN ow = e THEN 'ownership' ELSE 'anchored' END WHEN ws = e THEN 'whitespace' WHEN ws > e AND cl = e THEN 'clean' WHEN co = e THEN 'components' WHEN ws > e AND ow = e THEN 'ownership' ELSE 'anchored' END AS way FROM count_v),
+pick AS (SELECT *, way = 'anchored' OR (way = 'ownership' AND NOT sym) AS forced FROM pick0)"""
+
+
+@query(_ROW + _PROFILE + _RUNS + " SELECT * FROM runs")
+def row_fragments(spark, d):
+    """Runs of columns in a row; shallow ones that go on in the row above or below are marked."""
+    return C.runs(page_rows(spark, d))
+
+
+@query(_ROW + _WAYS + """ SELECT p.sheet_id, p.row, CAST(w.cell AS BIGINT) AS cell, w.x0, w.x1, CASE WHEN p.way IN ('gaps', 'clean') THEN 'whitespace' ELSE p.way END AS slicer, forced,
+CASE WHEN forced AND sym THEN greatest(co, ow) WHEN forced THEN ws ELSE e END AS natural FROM pick p JOIN ways w ON w.sheet_id = p.sheet_id AND w.row = p.row AND w.way = p.way""")
+def row_cells(spark, d):
+    """The cells of each row by the first of five ways that finds as many as its text has characters, and whether that had to be forced."""
+    rows = page_rows(spark, d)
+    cells, _ = C.candidates(rows)
+    return cells.withColumnRenamed("slicer", "way").join(C.chosen(rows, cells), ["sheet_id", "row", "way"]).select("sheet_id", "row", "cell", "x0", "x1", "slicer", "forced", "natural")
+
+
+_GLYPHS = _WAYS + f""", owns AS (SELECT 'components' AS way, sheet_id, row, root, cell FROM by_parts UNION ALL SELECT 'ownership', sheet_id, row, root, cell FROM by_place),
+spot AS (SELECT i.sheet_id, i.row, i.x, i.y, coalesce(o.cell, -1) AS owner FROM ink i JOIN pick p ON p.sheet_id = i.sheet_id AND p.row = i.row JOIN seg s ON s.sheet_id = i.sheet_id AND s.row = i.row AND s.y = i.y AND i.x >= s.x0 AND i.x < s.x1
+    JOIN root r ON r.sheet_id = s.sheet_id AND r.row = s.row AND r.id = s.id LEFT JOIN owns o ON o.way = p.way AND o.sheet_id = r.sheet_id AND o.row = r.row AND o.root = r.root),
+cell_v AS (SELECT l.sheet_id, l.row, w.cell, l.y0, l.y1, l.y1 - l.y0 AS h, greatest(0, w.x0 - 2) AS x0, least({SIDE}, w.x1 + 2) AS x1 FROM pick p JOIN ways w ON w.sheet_id = p.sheet_id AND w.row = p.row AND w.way = p.way JOIN line_v l ON l.sheet_id = p.sheet_id AND l.row = p.row WHERE w.x1 > w.x0 AND w.cell < l.expected),
+near AS (SELECT c.sheet_id, c.row, c.cell, c.y0, c.y1, c.x0, c.x1, i.x, i.y, i.y >= c.y0 AND i.y < c.y1 AS band, i.y >= c.y0 - ceil(c.h * 0.4e0) AND i.y < c.y1 + ceil(c.h * 0.4e0) AS reachable, i.x >= c.x0 AND i.x < c.x1 AS col, i.y >= ceil(c.y0 + c.h * 0.25e0) AND i.y < c.y0 + c.h * 0.75e0 AS mid,
+    coalesce(s.owner, -1) IN (-1, c.cell) AS free FROM cell_v c JOIN page_ink i ON i.sheet_id = c.sheet_id AND i.x >= c.x0 - 1 AND i.x <= c.x1 AND i.y >= c.y0 - ceil(c.h * 0.4e0) - 3 AND i.y < c.y1 + ceil(c.h * 0.4e0) + 3 LEFT JOIN spot s ON s.sheet_id = i.sheet_id AND s.row = c.row AND s.x = i.x AND s.y = i.y),
+crosses AS (SELECT DISTINCT a.sheet_id, a.row, a.cell FROM near a JOIN near b ON a.sheet_id = b.sheet_id AND a.row = b.row AND a.cell = b.cell AND abs(a.x - b.x) <= 1 AND a.col AND b.col AND ((a.y = a.y0 AND b.y = a.y0 - 1) OR (a.y = a.y1 - 1 AND b.y = a.y1))),
+flow AS (SELECT n.sheet_id, n.row, n.cell, n.x, n.y FROM near n JOIN crosses USING (sheet_id, row, cell) WHERE mid AND free AND col
+    UNION SELECT n.sheet_id, n.row, n.cell, n.x, n.y FROM flow f JOIN near n ON n.sheet_id = f.sheet_id AND n.row = f.row AND n.cell = f.cell AND abs(n.x - f.x) <= 1 AND abs(n.y - f.y) <= 1 WHERE n.free AND n.col AND n.reachable),
+ext AS (SELECT c.sheet_id, c.row, c.cell, c.x0, c.x1, c.y0, c.y1, least(c.y0, coalesce(min(f.y), c.y0)) AS top, greatest(c.y1, coalesce(max(f.y) + 1, c.y1)) AS bottom FROM cell_v c LEFT JOIN flow f ON f.sheet_id = c.sheet_id AND f.row = c.row AND f.cell = c.cell GROUP BY c.sheet_id, c.row, c.cell, c.x0, c.x1, c.y0, c.y1),
+joined AS (SELECT f.* FROM flow f JOIN ext e USING (sheet_id, row, cell) WHERE e.top < e.y0 OR e.bottom > e.y1),
+may AS (SELECT DISTINCT n.sheet_id, n.row, n.cell, n.x, n.y, n.col FROM near n JOIN ext e USING (sheet_id, row, cell) LEFT JOIN joined j ON j.sheet_id = n.sheet_id AND j.row = n.row AND j.cell = n.cell AND abs(j.x - n.x) <= 1 AND abs(j.y - n.y) <= 1
+    WHERE n.y >= e.top AND n.y < e.bottom AND ((n.band AND n.free) OR (NOT n.band AND j.x IS NOT NULL))),
+fringe AS (SELECT DISTINCT n.sheet_id, n.row, n.cell, n.x, n.y, n.col FROM near n JOIN ext e USING (sheet_id, row, cell) JOIN may m ON m.sheet_id = n.sheet_id AND m.row = n.row AND m.cell = n.cell AND abs(m.x - n.x) <= 1 AND abs(m.y - n.y) <= 1 WHERE n.y < e.top OR n.y >= e.bottom),
+kept AS (SELECT sheet_id, row, cell, count(*) AS ink FROM (SELECT * FROM may UNION ALL SELECT * FROM fringe) WHERE col GROUP BY ALL),
+last_v AS (SELECT sheet_id, row, x, max(y) - min(y0) AS y FROM (SELECT * FROM ink) GROUP BY 1, 2, 3), last_n AS (SELECT sheet_id, row, y, count(*) AS n FROM last_v GROUP BY 1, 2, 3),
+base_v AS (SELECT l.sheet_id, l.row, l.y0 + CASE WHEN m.n IS NULL THEN l.y1 - l.y0 - 1 WHEN m.n >= t.c * 0.12e0 THEN m.y ELSE t.p END AS base FROM line_v l
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY sheet_id, row ORDER BY n DESC, y) AS k FROM last_n) m ON m.sheet_id = l.sheet_id AND m.row = l.row AND m.k = 1 LEFT JOIN (SELECT sheet_id, row, count(*) AS c, list_sort(list(y))[CAST(floor(count(*) * 0.7e0) AS BIGINT) + 1] AS p FROM last_v GROUP BY 1, 2) t ON t.sheet_id = l.sheet_id AND t.row = l.row),
+tall AS (SELECT page AS sheet_id, {SIDE} AS height FROM page_v GROUP BY page)
+SELECT e.sheet_id, e.row, CAST(e.cell AS BIGINT) AS cell, substr(l.chars, CAST(e.cell + 1 AS INT), 1) AS char, e.x1 - e.x0 AS cell_w, least(t.height, e.bottom + 2) - greatest(0, e.top - 2) AS cell_h, CAST(b.base - greatest(0, e.top - 2) AS BIGINT) AS baseline, CAST(coalesce(k.ink, 0) AS BIGINT) AS ink
+FROM ext e JOIN line_v l USING (sheet_id, row) JOIN base_v b USING (sheet_id, row) JOIN tall t USING (sheet_id) LEFT JOIN kept k ON k.sheet_id = e.sheet_id AND k.row = e.row AND k.cell = e.cell"""
+
+
+@query(_ROW + _GLYPHS)
+def row_glyphs(spark, d):
+    """A glyph for each character of a row that has a cell: its box with what is joined to it above and below, its base line and its ink."""
+    rows = page_rows(spark, d)
+    cells, owners = C.candidates(rows)
+    picked = C.chosen(rows, cells).select("sheet_id", "row", "way")
+    at = rows.select("sheet_id", "row", "chars")
+    cells = cells.withColumnRenamed("slicer", "way").join(picked, ["sheet_id", "row", "way"]).join(at, ["sheet_id", "row"]).filter(F.col("cell") < C.count_of(F.col("chars")))
+    owners = owners.withColumnRenamed("slicer", "way").join(picked, ["sheet_id", "row", "way"])
+    g = C.glyphs(rows, cells, owners).join(at, ["sheet_id", "row"])
+    return g.select("sheet_id", "row", "cell", F.substr("chars", F.col("cell") + 1, F.lit(1)).alias("char"), (F.col("x1") - F.col("x0")).alias("cell_w"), (F.col("bottom") - F.col("top")).alias("cell_h"), "baseline", "ink")

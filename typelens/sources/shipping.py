@@ -1,4 +1,4 @@
-"""Give executors this package, so that their Python can import it."""
+"""Give executors this package, so that their Python can import it; settle what is read several times."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,3 +22,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(top.parent)))
     sc.addPyFile(out)
     sc._typelens_shipped = True
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a frame that several steps read to the folder that driver and executors share (spark.checkpoint.dir), and go on from there."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="typelens-shared-"))
+    return df.checkpoint(eager=True)
