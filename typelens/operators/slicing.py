@@ -59,6 +59,8 @@ def components(rows: DataFrame) -> DataFrame:
         for r, mask, a, b in _rasters(batches):
             lab = K.label(mask[a:b])
             y, x = np.nonzero(lab)
+            if not len(y):
+                continue
             each = pd.DataFrame({"component": lab[y, x], "x": x, "y": y + r.y0})
             g = each.groupby("component")
             out = pd.DataFrame({"x0": g["x"].min(), "x1": g["x"].max() + 1, "y0": g["y"].min(), "y1": g["y"].max() + 1, "area": g.size(), "centroid": g["x"].sum() / g.size()}).reset_index()
@@ -147,8 +149,8 @@ def owned_components(comps: DataFrame, ranged: DataFrame) -> DataFrame:
                     if home is not None:
                         cells[home].append(p)
                 settle_empty(cells, [(b - a) * 0.25 for a, b in edges])
-                out = [(sheet, row, p["component"], i) for i, cell in enumerate(cells) for p in cell]
-                yield pd.DataFrame(out, columns=["sheet_id", "row", "component", "cell"])
+                if out := [(sheet, row, p["component"], i) for i, cell in enumerate(cells) for p in cell]:
+                    yield pd.DataFrame(out, columns=["sheet_id", "row", "component", "cell"])
 
     homes = held.withColumn("parts", each).join(ranged.select(*KEYS, "ranges"), KEYS).mapInPandas(run, "sheet_id long, row long, component long, cell long")
     return comps.join(homes, [*KEYS, "component"]).select(*comps.columns, "cell")
@@ -196,7 +198,8 @@ def runs(rows: DataFrame) -> DataFrame:
                 head = lines[-1] < (b - a) * 0.25 and over(a, a - 1)
                 foot = lines[0] > (b - a) - (b - a) * 0.25 and over(b - 1, b)
                 out.append((r.sheet_id, r.row, x0, x1, bool(head or foot)))
-            yield pd.DataFrame(out, columns=["sheet_id", "row", "x0", "x1", "alien"])
+            if out:
+                yield pd.DataFrame(out, columns=["sheet_id", "row", "x0", "x1", "alien"])
 
     return rows.mapInPandas(run, RUNS)
 
@@ -357,6 +360,7 @@ def glyphs(rows: DataFrame, cells: DataFrame, owners: DataFrame) -> DataFrame:
                 top, bottom, ink = own_ink(mask, np.isin(owner, (-1, c["cell"])), a, b, x0, x1)
                 first, last = max(0, top + r.top - PAD), min(r.height, bottom + r.top + PAD)
                 out.append((r.sheet_id, r.row, c["cell"], x0, x1, first, last, base - first, int(ink[first - r.top : last - r.top].sum())))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in GLYPHS.split(", ")])
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in GLYPHS.split(", ")])
 
     return rows.join(held, KEYS).join(own, KEYS, "left").mapInPandas(run, GLYPHS)
