@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import skeleton as K
+from ..operators import strokes as T
 from ..sources.shipping import ship
 from . import query
 from .cells import page_rasters
@@ -67,3 +68,11 @@ def skeleton_branches(spark, d):
     each = s.select("sheet_id", "skeleton", F.posexplode("branch").alias("i", "branches")).filter(F.get("skeleton", F.col("i")))
     each = each.select("sheet_id", "branches", near(F.col("i")).alias("near"))
     return each.groupBy("sheet_id", "branches").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("near") == 1).alias("ends"))
+
+
+@query(None)
+def page_strokes(spark, d):
+    """What a pen would draw along the skeletons of pages: per stroke its length and the points that it needs."""
+    ship(spark)
+    s = T.strokes(K.skeletons(page_rasters(spark, d)))
+    return s.select("sheet_id", "stroke", "closed", F.round("length", 3).alias("length"), F.size("xs").cast("long").alias("points"), F.regexp_count("path", F.lit("C")).cast("long").alias("curves"))
