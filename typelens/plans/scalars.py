@@ -106,17 +106,24 @@ def specimen_style(spark, d):
     return fonts(spark, d).select("id", X.kilobytes(F.col("glyph_count") * 300).alias("size"), px.cast("long").alias("px"), F.concat_ws(";", "name", F.when(F.col("badge") == "LARGE", "big"), F.lit("end")).alias("style"))
 
 
-@query("""SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_rows, CAST(coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) AS BIGINT) AS chars FROM
-(SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: rtrim(x, ' ')), lambda x: x <> '') AS lines FROM documents)""")
-def charset_rows(spark, d):
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.rtrim(x)), lambda x: x != "")
-    return table(spark, d, "documents").select("doc_id", lines.alias("l")).select("doc_id", F.size("l").cast("long").alias("n_rows"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
+@query(r"""SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_rows, CAST(coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) AS BIGINT) AS chars, list_distinct(lines)[1] IS NOT NULL AS any_row FROM
+(SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r?\n'), lambda x: nfc_normalize(regexp_replace(x, '[ \t]+$', ''))), lambda x: x <> '') AS lines FROM documents)""")
+def charset_lines(spark, d):
+    """The lines of a text as rows of a charset: without blanks at their ends, composed, empty ones dropped."""
+    ship(spark)
+    lines = F.transform(F.split(X.nfc(F.coalesce("text", F.lit(""))), "\r?\n"), lambda x: F.regexp_replace(x, "[ \t]+$", ""))
+    rows = table(spark, d, "documents").select("doc_id", F.filter(lines, lambda x: x != "").alias("l"))
+    size = F.size("l").cast("long")
+    return rows.select("doc_id", size.alias("n_rows"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"), (size > 0).alias("any_row"))
 
 
 @query("""SELECT doc_id, CAST(count(*) AS BIGINT) AS distinct_chars, CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS repeated FROM
 (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) WHERE c NOT IN (' ', chr(10)) GROUP BY 1, 2) GROUP BY doc_id""")
 def charset_problems(spark, d):
     """Of all characters of a text, as a character set (spaces and line ends are none): how many differ, how many come again."""
-    c = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "")).alias("c")).filter(~F.col("c").isin(" ", "\n", ""))
-    n = c.groupBy("doc_id", "c").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("doc_id").agg(F.count(F.lit(1)).alias("distinct_chars"), F.count_if(F.col("n") > 1).alias("repeated"))
+    chars = F.filter(F.split("text", ""), lambda c: ~c.isin(" ", "\n", ""))
+    rows = table(spark, d, "documents").select("doc_id", F.array_sort(chars).alias("c")).filter("size(c) > 0")
+    # in sorted order a character differs from the one before when it is new, and comes again when it is the second of its run
+    new = F.filter("c", lambda x, i: (i == 0) | (F.get("c", i - 1) != x))
+    again = F.filter("c", lambda x, i: (i > 0) & (F.get("c", i - 1) == x) & ((i == 1) | (F.get("c", i - 2) != x)))
+    return rows.select("doc_id", F.size(new).cast("long").alias("distinct_chars"), F.size(again).cast("long").alias("repeated"))
