@@ -162,7 +162,8 @@ LEFT JOIN user_v reported ON reported.id = r.owner_id LEFT JOIN user_v reporter
 WHERE r.priority = '1-URGENT' ORDER BY r.created_at DESC, r.id DESC LIMIT 200""", "owned_v", "fonts_v", "user_v"))
 def moderation_queue(spark, d):
     r = owned(spark, d).filter("priority = '1-URGENT'").orderBy(F.desc("created_at"), F.desc("id")).limit(200)  # the limit first: left joins on keys keep its rows
-    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("font_id"))
+    of = F.broadcast(r.select(F.col("id").alias("l_orderkey")))  # 200 rows: only their lines are grouped
+    li = table(spark, d, "lineitem").join(of, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.min("l_partkey").alias("font_id"))
     f = fonts(spark, d).select(F.col("id").alias("f_id"), F.col("name").alias("font_name"))
     u = users(spark, d)
     a, b = u.select(F.col("id").alias("a_id"), F.col("handle").alias("reported")), u.select(F.col("id").alias("b_id"), F.col("handle").alias("reporter"))
@@ -173,8 +174,9 @@ def moderation_queue(spark, d):
 @query(sql("""SELECT u.id, u.handle, (SELECT count(*) FROM owned_v o WHERE o.owner_id = u.id) AS fonts, (SELECT coalesce(CAST(sum(glyphs) AS BIGINT), 0) FROM
 (SELECT o_custkey, CAST(o_totalprice AS BIGINT) % 7 AS glyphs FROM orders) g WHERE g.o_custkey = u.id) AS glyphs FROM user_v u ORDER BY u.id DESC LIMIT 500""", "owned_v", "user_v"))
 def user_list_scalars(spark, d):
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("fonts"), F.sum(F.rint("o_totalprice").cast("long") % 7).alias("glyphs"))
     u = users(spark, d).orderBy(F.desc("id")).limit(500)
+    of = F.broadcast(u.select(F.col("id").alias("o_custkey")))  # 500 rows: only their orders are grouped
+    o = table(spark, d, "orders").join(of, "o_custkey", "left_semi").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("fonts"), F.sum(F.rint("o_totalprice").cast("long") % 7).alias("glyphs"))
     return u.join(o, u["id"] == o["o_custkey"], "left").select("id", "handle", F.coalesce("fonts", F.lit(0)).alias("fonts"), F.coalesce("glyphs", F.lit(0)).alias("glyphs"))
 
 

@@ -115,15 +115,57 @@ def baseline_alignment(spark, d):
     return p.join(m, "face").select("sheet_id", F.when((F.abs(gap) <= 0.001) | (F.abs(gap) > 4), F.lit(0.0)).otherwise(F.round(gap, 6)).alias("shift"))
 
 
-@query(sql(_PROF + """, k AS (SELECT face, ch, area, lag(area) OVER w AS before, lag(ch) OVER w AS left_ch FROM prof WINDOW w AS (PARTITION BY face ORDER BY sheet_id)),
-p AS (SELECT *, CAST(floor(16 - (area + before) / 4.0 + 0.5) AS BIGINT) AS gap FROM k WHERE before IS NOT NULL)
-SELECT face, count(*) AS pairs, round(stddev_pop(gap), 6) AS sd, min(gap) AS worst, arg_min(left_ch || ch, (gap, left_ch || ch)) AS worst_pair FROM p GROUP BY face""", "pixels_v"))
+#: Letters with straight sides, and those that lean or cross (fixed values of the two classes of pairs).
+STRAIGHT = "HIilnu"
+STRIP = (0, 6)  # lines of a glyph (of 8) between 0.15 and 1.1 of the x-height over the base line
+
+
+def facing(lines, glyphs):
+    """Lines (sheet_id, y, left, right: columns of a glyph's box with ink, half-open) and glyphs (sheet_id, face, ch, width) -> per pair of
+    neighbouring glyphs of a face the least distance between the right side of one and the left side of the next, over the lines of the strip
+    that both have; negative where they reach into each other.  A glyph's advance is its box and one column, kerned by the difference of widths.
+    """
+    g = glyphs.select("face", "sheet_id", "ch", F.col("width").alias("w"), (F.col("sheet_id") + 1).alias("next_id"))
+    r = g.select(F.col("sheet_id").alias("next_id"), F.col("face").alias("next_face"), F.col("ch").alias("next_ch"), F.col("w").alias("next_w"))
+    pairs = g.join(r, "next_id").filter("face = next_face and w > 0 and next_w > 0")
+    strip = lines.filter(F.col("y").between(*STRIP))
+    both = pairs.join(strip.select("sheet_id", "y", "right"), "sheet_id").join(strip.select(F.col("sheet_id").alias("next_id"), "y", "left"), ["next_id", "y"])
+    gap = F.col("w") + 1 + (F.col("w") - F.col("next_w")) + F.col("left") - F.col("right")
+    kind = F.when(F.lit(STRAIGHT).contains(F.col("ch")) & F.lit(STRAIGHT).contains(F.col("next_ch")), "straight").otherwise("crossing")
+    return both.groupBy("face", "sheet_id", F.concat("ch", "next_ch").alias("pair"), kind.alias("kind")).agg(F.min(gap).alias("gap"))
+
+
+def side_lines(spark, d):
+    """Per line of a glyph's box the first column with ink and the one behind the last, from the box's left."""
+    p = pixels(spark, d).filter("ink").groupBy("sheet_id", "y").agg(F.min("x").alias("a"), (F.max("x") + 1).alias("b"))
+    left = p.groupBy("sheet_id").agg(F.min("a").alias("x0"))
+    return p.join(left, "sheet_id").select("sheet_id", "y", (F.col("a") - F.col("x0")).alias("left"), (F.col("b") - F.col("x0")).alias("right"))
+
+
+_FACING = _PROF + f""", sl AS (SELECT sheet_id, y, min(x) AS a, max(x) + 1 AS b FROM pixels_v WHERE ink GROUP BY 1, 2), sd AS (SELECT *, min(a) OVER (PARTITION BY sheet_id) AS x0 FROM sl),
+fc AS (SELECT l.face, l.sheet_id, l.ch || r.ch AS pair, CASE WHEN contains('{STRAIGHT}', l.ch) AND contains('{STRAIGHT}', r.ch) THEN 'straight' ELSE 'crossing' END AS kind, min(l.width + 1 + l.width - r.width + (q.a - q.x0) - (p.b - p.x0)) AS gap
+FROM prof l JOIN prof r ON r.sheet_id = l.sheet_id + 1 AND r.face = l.face JOIN sd p ON p.sheet_id = l.sheet_id JOIN sd q ON q.sheet_id = r.sheet_id AND q.y = p.y WHERE p.y BETWEEN {STRIP[0]} AND {STRIP[1]} GROUP BY ALL)"""
+
+
+@query(sql(_FACING + " SELECT face, kind, count(*) AS pairs, round(stddev_pop(gap), 6) AS sd, greatest(0, max(-gap)) AS depth, CASE WHEN min(gap) < 0 THEN arg_min(pair, (gap, sheet_id)) ELSE '' END AS worst_pair FROM fc GROUP BY 1, 2", "pixels_v"))
 def pair_gaps(spark, d):
-    """Neighbouring glyphs of a face as pairs: spread of the gaps and the worst pair."""
-    w = Window.partitionBy("face").orderBy("sheet_id")
-    k = profiles(spark, d).withColumn("before", F.lag("area").over(w)).withColumn("pair", F.concat(F.lag("ch").over(w), F.col("ch"))).filter("before is not null")
-    k = k.withColumn("gap", S.half_up(16 - (F.col("area") + F.col("before")) / 4.0))
-    return k.groupBy("face").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.stddev_pop("gap"), 6).alias("sd"), F.min("gap").alias("worst"), F.min_by("pair", F.struct("gap", "pair")).alias("worst_pair"))
+    """Neighbouring glyphs of a face as pairs, by class: the spread of their gaps, and the pair that reaches deepest into each other."""
+    f = facing(side_lines(spark, d), profiles(spark, d))
+    g = f.groupBy("face", "kind").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.stddev_pop("gap"), 6).alias("sd"), F.min("gap").alias("least"), F.min_by("pair", F.struct("gap", "sheet_id")).alias("pair"))
+    return g.select("face", "kind", "pairs", "sd", F.greatest(F.lit(0), -F.col("least")).alias("depth"), F.when(F.col("least") < 0, F.col("pair")).otherwise("").alias("worst_pair"))
+
+
+@query(sql(_FACING + """, rk AS (SELECT *, row_number() OVER (PARTITION BY face ORDER BY gap, sheet_id) - 1 AS k, count(*) OVER (PARTITION BY face) AS n FROM fc)
+SELECT face, any_value(n) AS pairs, max(gap) FILTER (WHERE k = n // 2) AS median, max(gap) AS widest, arg_max(pair, (gap, -sheet_id)) AS widest_pair, round(sqrt(avg(gap * gap) - avg(gap) * avg(gap)), 5) AS rhythm FROM rk GROUP BY face""", "pixels_v"))
+def face_rhythm(spark, d):
+    """A face's gaps: their upper median, the widest one and its pair, and the spread."""
+    f = facing(side_lines(spark, d), profiles(spark, d))
+    w = Window.partitionBy("face")
+    r = f.withColumns({"k": F.row_number().over(w.orderBy("gap", "sheet_id")) - 1, "n": F.count(F.lit(1)).over(w)})
+    return r.groupBy("face").agg(
+        F.first("n").alias("pairs"), F.max(F.when(F.col("k") == F.floor(F.col("n") / 2), F.col("gap"))).alias("median"), F.max("gap").alias("widest"), F.max_by("pair", F.struct("gap", -F.col("sheet_id"))).alias("widest_pair"),
+        F.round(F.stddev_pop("gap"), 5).alias("rhythm"),
+    )
 
 
 @query(sql(_PROF + """, pr AS (SELECT a.face, a.ch AS l, b.ch AS r, a.sheet_id * 1000 + b.sheet_id % 50 AS seq, greatest(-32768, least(32767, a.width - b.width)) AS kern FROM prof a JOIN prof b ON a.face = b.face AND (b.sheet_id = a.sheet_id + 1 OR b.sheet_id = a.sheet_id + 13)),

@@ -269,20 +269,6 @@ def gradient_bins(spark, d):
     return j.select(F.col("label").cast("long").alias("label"), "bin", pick["b"].alias("from_bin"), F.round(pick["v"], 6).alias("v"))
 
 
-@query(sql(""", r AS (SELECT sheet_id, y, stddev_pop(value) AS sd, CAST(floor(avg(value) * 20 + 0.5) AS BIGINT) AS shade FROM pixels_v GROUP BY 1, 2), f AS (SELECT * FROM r WHERE sd < 0.13),
-b AS (SELECT *, CASE WHEN y = lag(y) OVER w + 1 AND shade = lag(shade) OVER w THEN 0 ELSE 1 END AS brk FROM f WINDOW w AS (PARTITION BY sheet_id ORDER BY y)),
-s AS (SELECT *, sum(brk) OVER (PARTITION BY sheet_id ORDER BY y) AS g FROM b), l AS (SELECT sheet_id, g, count(*) AS n FROM s GROUP BY 1, 2)
-SELECT p.sheet_id, CAST(coalesce(sum(CASE WHEN n >= 2 THEN n END), 0) AS BIGINT) AS flat_rows, coalesce(sum(CASE WHEN n >= 2 THEN n END), 0) / 8.0 >= 0.25 AS screenshot FROM (SELECT DISTINCT sheet_id FROM pixels_v) p LEFT JOIN l USING (sheet_id) GROUP BY p.sheet_id""", "pixels_v"))
-def flat_band_share(spark, d):
-    r = pixels(spark, d).groupBy("sheet_id", "y").agg(F.stddev_pop("value").alias("sd"), F.floor(F.avg("value") * 20 + 0.5).alias("shade"))
-    w = Window.partitionBy("sheet_id").orderBy("y")
-    f = r.filter("sd < 0.13").withColumn("brk", ~F.coalesce((F.col("y") == F.lag("y").over(w) + 1) & (F.col("shade") == F.lag("shade").over(w)), F.lit(False)))
-    n = I.sessions(f, ["sheet_id"], F.col("brk"), F.col("y")).groupBy("sheet_id", "session").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").groupBy("sheet_id").agg(F.sum("n").alias("flat_rows"))
-    sheets = table(spark, d, "embeddings").select(F.col("vec_id").alias("sheet_id"))
-    j = sheets.join(n, "sheet_id", "left").withColumn("flat_rows", F.coalesce("flat_rows", F.lit(0)))
-    return j.withColumn("screenshot", F.col("flat_rows") / 8.0 >= 0.25)
-
-
 @query()
 def min_ink_seam(spark, d):
     """Per sheet, the path from top to bottom with the least ink, steps of at most one column."""

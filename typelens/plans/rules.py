@@ -104,14 +104,6 @@ def meta_edit(spark, d):
     return f.select("id", "e.meta", "e.drop_og")
 
 
-@query(sql("""SELECT event_id, handle, 'event: ' || event || chr(10) || 'k: ' || CAST(k AS VARCHAR) AS context FROM activity_v LEFT JOIN user_v ON user_v.id = activity_v.user_id WHERE event = 'build_fail' ORDER BY ts DESC, event_id DESC LIMIT 100""", "activity_v", "user_v"))
-def bug_queue(spark, d):
-    """The newest 100 reports with their senders, if known."""
-    a = activity(spark, d, "build_fail").orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
-    context = F.concat_ws("\n", F.concat(F.lit("event: "), "event"), F.concat(F.lit("k: "), F.col("k").cast("string")))
-    return a.join(users(spark, d).select(F.col("id").alias("user_id"), "handle"), "user_id", "left").select("event_id", "handle", context.alias("context"))
-
-
 _PAIRS = [("H", "O"), ("n", "o"), ("o", "u"), ("o", "o")]
 
 

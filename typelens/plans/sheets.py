@@ -502,10 +502,3 @@ def charset_check(spark, d):
     line = X.nfc(F.expr(_LINE.format("decode(unhex('CC81'), 'UTF-8')")))
     c = fonts(spark, d).select("id", line.alias("line")).filter("line <> ''")
     return c.select("id", F.length("line").cast("long").alias("size"), (~F.col("line").rlike(r"\p{M}")).alias("accepted"))
-
-
-@query(sql("SELECT id, greatest(glyph_count * 30, glyph_count * 20) < 800 AS small, id % 20 / 100 >= 0.05e0 AS screenshot FROM fonts_v", "fonts_v"))
-def sheet_signals(spark, d):
-    """Sheets that are small, and those whose share of flat bands is a screenshot's."""
-    w, h = F.col("glyph_count") * 30, F.col("glyph_count") * 20
-    return fonts(spark, d).select("id", (F.greatest(w, h) < 800).alias("small"), (F.col("id") % 20 / 100 >= 0.05).alias("screenshot"))
