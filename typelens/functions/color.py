@@ -16,11 +16,16 @@ def linear(c: Column) -> Column:
 
 
 def lab(r: Column, g: Column, b: Column) -> list[Column]:
-    lin = [linear(c) for c in (r, g, b)]
-    f = []
-    for row, w in zip(XYZ, WHITE):
-        t = sum((k * c for k, c in zip(row, lin)), F.lit(0.0)) / w
-        f.append(F.when(t > 216 / 24389, F.pow(t, F.lit(1 / 3))).otherwise((24389 / 27 * t + 16) / 116))
+    return from_tones(tones([linear(c) for c in (r, g, b)]))
+
+
+def tones(lin: list[Column]) -> list[Column]:
+    """X, Y and Z of linear channels, as shares of the white point."""
+    return [sum((k * c for k, c in zip(row, lin)), F.lit(0.0)) / w for row, w in zip(XYZ, WHITE)]
+
+
+def from_tones(t: list[Column]) -> list[Column]:
+    f = [F.when(x > 216 / 24389, F.pow(x, F.lit(1 / 3))).otherwise((24389 / 27 * x + 16) / 116) for x in t]
     return [116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])]
 
 

@@ -34,12 +34,24 @@ def background(px: DataFrame) -> DataFrame:
     return best.select("sheet_id", F.col("m.r").alias("br"), F.col("m.g").alias("bg"), F.col("m.b").alias("bb"))
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed here, once a row: those built on them don't repeat the expressions (a generator is not merged)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_lab(df: DataFrame, rgb: tuple[str, ...], names: tuple[str, ...]) -> DataFrame:
+    """df with the Lab colour of three channels."""
+    kept = [n for n in df.columns]
+    df = once(df, {f"_{i}": C.linear(F.col(c)) for i, c in enumerate(rgb)})
+    df = once(df, {f"_t{i}": t for i, t in enumerate(C.tones([F.col(f"_{i}") for i in range(3)]))})
+    return once(df, dict(zip(names, C.from_tones([F.col(f"_t{i}") for i in range(3)])))).select(*kept, *names)
+
+
 def measured(px: DataFrame, paper: DataFrame) -> DataFrame:
     """Pixels with their Lab colour and the squared distance from the sheet's paper."""
-    names = ["l", "a", "v"]
-    p = px.join(paper, "sheet_id")
-    p = p.withColumns(dict(zip(names, C.lab(F.col("r"), F.col("g"), F.col("b"))))).withColumns(dict(zip(["pl", "pa", "pv"], C.lab(F.col("br"), F.col("bg"), F.col("bb")))))
-    return p.withColumn("d2", C.distance2([F.col(c) for c in names], [F.col(c) for c in ("pl", "pa", "pv")])).drop("pl", "pa", "pv")
+    white = with_lab(paper, ("br", "bg", "bb"), ("pl", "pa", "pv"))
+    p = with_lab(px.join(white, "sheet_id"), ("r", "g", "b"), ("l", "a", "v"))
+    return once(p, {"d2": C.distance2([F.col(c) for c in ("l", "a", "v")], [F.col(c) for c in ("pl", "pa", "pv")])}).drop("pl", "pa", "pv")
 
 
 def inked() -> Column:
@@ -140,8 +152,7 @@ def shadows(px: DataFrame, inks: DataFrame) -> DataFrame:
     """Sheets with two inks and more: whether the darkest grey one is a shadow (sheet_id, paired, score, shadow), that is, whether in most components
     that have it it lies to one side of the other ink, by no more than a part of their width.  ``inks`` are palettes."""
     paper = background(px)
-    lab = dict(zip(["l", "a", "v"], C.lab(F.col("r"), F.col("g"), F.col("b"))))
-    i = inks.withColumns(lab).groupBy("sheet_id").agg(F.array_sort(F.collect_list(F.struct("place", "r", "g", "b", "l", "a", "v"))).alias("inks")).filter("size(inks) > 1")
+    i = with_lab(inks, ("r", "g", "b"), ("l", "a", "v")).groupBy("sheet_id").agg(F.array_sort(F.collect_list(F.struct("place", "r", "g", "b", "l", "a", "v"))).alias("inks")).filter("size(inks) > 1")
     dark = F.array_min(F.transform(F.filter("inks", lambda c: (c["l"] < MOST_L) & (F.hypot(c["a"], c["v"]) < MOST_CHROMA)), lambda c: F.struct(c["l"].alias("l"), c["place"].alias("place"))))["place"]
     own, white = [F.col(c) for c in "rgb"], [F.col(c) for c in ("br", "bg", "bb")]
     best = F.array_min(F.transform("inks", lambda c: F.struct(C.to_segment2(own, white, [c["r"], c["g"], c["b"]]).alias("d"), c["place"].alias("place"))))["place"]
