@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..sources.bindings import table
+from ..functions import semantics as S
+from ..operators import trim as T
+from ..sources.bindings import pixels, sql, table
 from . import query
+from .glyphs import _PROF, profiles
+from .raster import body_bounds
+from .sheets import _MET, ascents, metrics
 
 #: The commands of a vector's path, and how many numbers each has.
 SHAPE = (("M", 2), ("L", 2), ("C", 6), ("Q", 4), ("L", 2), ("Z", 0), ("M", 2), ("L", 2), ("C", 6), ("Z", 0))
@@ -67,3 +72,64 @@ def path_measure(spark, d):
     """Outlines with their boxes and the way round of the first."""
     p = drawn(spark, d).select("vec_id", P.parsed(F.col("path")).alias("p"))
     return p.select("vec_id", P.text(F.col("p")).alias("path"), P.box(F.col("p")).alias("b"), P.turn(F.col("p")).alias("turn")).select("vec_id", "path", "b.x0", "b.y0", "b.x1", "b.y1", "turn")
+
+
+PAD, PEN = 0, 0  # of glyphs that are 8 columns wide
+
+
+def bodied(spark, d):
+    """Glyphs with ink by face: their ink's columns, and the body by the rules of their face (script or not); whole ones have none."""
+    ink = lambda c: F.when(F.col("ink"), F.col(c))
+    cols = pixels(spark, d).groupBy("sheet_id", "x").agg(F.count_if("ink").alias("n"), F.min(ink("y")).alias("y0"), F.max(ink("y")).alias("y1"))
+    span = cols.filter("n > 0").groupBy("sheet_id").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    g = profiles(spark, d).select("sheet_id", "face", "ch").join(span, "sheet_id").join(body_bounds(cols), "sheet_id")
+    deep = body_bounds(cols, area=1.0, most=0.45, thin_share=0.65).select("sheet_id", F.col("x0").alias("s0"), F.col("x1").alias("s1"))
+    g = g.join(T.scripts(g), "face").join(deep, "sheet_id")
+    g = g.withColumns({"x0": F.when(F.col("script"), F.col("s0")).otherwise(F.col("x0")), "x1": F.when(F.col("script"), F.col("s1")).otherwise(F.col("x1"))})
+    tail = (F.col("x0") != F.col("first")) | (F.col("x1") != F.col("last"))
+    right = F.when(F.lit(T.RIGHT).contains(F.col("ch")), F.col("last")).otherwise(F.col("x1"))
+    return g.select("sheet_id", "face", "ch", "script", "first", "last", F.when(tail, F.col("x0")).alias("x0"), F.when(tail, right).alias("x1"), F.lit(8).cast("long").alias("cell"))
+
+
+_INKED = """, cl AS (SELECT sheet_id, x, count(*) FILTER (WHERE ink) AS n, min(y) FILTER (WHERE ink) AS y0, max(y) FILTER (WHERE ink) AS y1 FROM pixels_v GROUP BY 1, 2),
+cg AS (SELECT sheet_id, min(x) FILTER (WHERE n > 0) AS a, max(x) FILTER (WHERE n > 0) AS z, sum(n) AS total, max(n) AS peak, max(y1) - min(y0) + 1 AS h FROM cl GROUP BY 1)"""
+
+
+def _bounds(name: str, area: float, most: float, thin: float) -> str:
+    edge = "NOT (thin AND {s} <= {area}e0 * total AND {far} < floor((z - a + 1) * {most}e0))"
+    lo, hi = edge.format(s="l", far="x - a", area=area, most=most), edge.format(s="r", far="z - x", area=area, most=most)
+    return f""", {name}_t AS (SELECT *, n < {thin}e0 * peak AND (n = 0 OR y1 - y0 + 1 <= 0.55e0 * h) AS thin, sum(n) OVER (PARTITION BY sheet_id ORDER BY x) AS l, sum(n) OVER (PARTITION BY sheet_id ORDER BY x DESC) AS r FROM cl JOIN cg USING (sheet_id) WHERE x BETWEEN a AND z),
+{name}_b AS (SELECT sheet_id, any_value(a) AS a, any_value(z) AS z, min(x) FILTER (WHERE {lo}) AS lo, max(x) FILTER (WHERE {hi}) AS hi FROM {name}_t GROUP BY 1),
+{name} AS (SELECT sheet_id, a, z, CASE WHEN lo - a < greatest(2, floor((z - a + 1) * 0.04e0 + 0.5)) THEN a ELSE lo END AS x0, CASE WHEN z - hi < greatest(2, floor((z - a + 1) * 0.04e0 + 0.5)) THEN z ELSE hi END AS x1 FROM {name}_b)"""
+
+
+_TRIM = _PROF + _INKED + _bounds("bd", 0.08, 0.3, 0.5) + _bounds("sc", 1.0, 0.45, 0.65) + f""", fs AS (SELECT face, count(*) FILTER (WHERE greatest(x0 - a, z - x1) >= (z - a + 1) * 0.08e0) / count(*) >= 0.4e0 AS script FROM bd JOIN prof USING (sheet_id) GROUP BY 1),
+bs AS (SELECT p.sheet_id, p.face, p.ch, fs.script, b.a AS first, b.z AS last, CASE WHEN script THEN s.x0 ELSE b.x0 END AS x0, CASE WHEN script THEN s.x1 ELSE b.x1 END AS x1 FROM prof p JOIN bd b USING (sheet_id) JOIN sc s USING (sheet_id) JOIN fs ON fs.face = p.face),
+bo AS (SELECT sheet_id, face, ch, script, first, last, CASE WHEN x0 <> first OR x1 <> last THEN x0 END AS x0, CASE WHEN x0 <> first OR x1 <> last THEN CASE WHEN contains('{T.RIGHT}', ch) THEN last ELSE x1 END END AS x1 FROM bs),
+le AS (SELECT *, row_number() OVER (PARTITION BY face ORDER BY ch) AS i FROM (SELECT * FROM bo QUALIFY row_number() OVER (PARTITION BY face, ch ORDER BY sheet_id) = 1)),
+sp AS (SELECT DISTINCT m.face, CAST(floor(8 - (m.xh * 0.15e0 + m.xh * 0.95e0 * s / 32) + 0.5) AS BIGINT) AS y FROM (SELECT face, coalesce(CAST(xh AS DOUBLE), max_asc * 0.5e0) AS xh FROM met) m, range(0, 33) q(s)),
+pr AS (SELECT k, l, r FROM (VALUES {", ".join(f"({k}, '{p[0]}', '{p[1]}')" for k, p in enumerate(T.PAIRS))}) v(k, l, r)),
+sd AS (SELECT sheet_id, y, min(x) AS lft, max(x) AS rgt FROM pixels_v WHERE ink GROUP BY 1, 2),
+dp AS (SELECT a.face, k, any_value(a.i) AS li, any_value(b.i) AS ri, min(v.lft - u.rgt) AS d FROM pr JOIN le a ON a.ch = pr.l JOIN le b ON b.ch = pr.r AND b.face = a.face JOIN sp ON sp.face = a.face JOIN sd u ON u.sheet_id = a.sheet_id AND u.y = sp.y JOIN sd v ON v.sheet_id = b.sheet_id AND v.y = sp.y GROUP BY a.face, k),
+ord AS (SELECT *, row_number() OVER (PARTITION BY face ORDER BY k) AS t, count(*) OVER (PARTITION BY face) AS n FROM dp),
+s0 AS (SELECT face, list(first ORDER BY i) AS f, list(last ORDER BY i) AS z, list(x0 ORDER BY i) AS a, list(x1 ORDER BY i) AS b FROM le GROUP BY 1),
+st AS (SELECT face, f, z, a, b, CAST(0 AS BIGINT) AS t FROM s0 UNION ALL
+SELECT face, f, z, list_transform(range(1, len(a) + 1), lambda j: CASE WHEN j = ri THEN a[j] - back ELSE a[j] END), list_transform(range(1, len(b) + 1), lambda j: CASE WHEN j = li THEN b[j] + given ELSE b[j] END), t FROM
+(SELECT *, CASE WHEN a[ri] IS NULL THEN 0 ELSE least(miss - given, greatest(0, a[ri] - f[ri])) END AS back FROM (SELECT *, CASE WHEN a[li] IS NULL THEN 0 ELSE least(miss, greatest(0, z[li] - b[li])) END AS given FROM
+(SELECT st.face, f, z, a, b, o.t, o.li, o.ri, greatest(0, -(CASE WHEN a[li] IS NULL THEN 8 ELSE b[li] - a[li] + 1 + {2 * PAD} END + CASE WHEN a[ri] IS NULL THEN 0 ELSE {PAD} - a[ri] END - CASE WHEN a[li] IS NULL THEN 0 ELSE {PAD} - a[li] END + d) - {PEN}) AS miss FROM st JOIN ord o ON o.face = st.face AND o.t = st.t + 1)))),
+en AS (SELECT face, arg_max(a, t) AS a, arg_max(b, t) AS b FROM st GROUP BY 1)"""
+
+
+@query(sql(_MET.replace(_PROF, _TRIM.split(", fs AS")[0], 1) + ", fs AS" + _TRIM.split(", fs AS", 1)[1] + " SELECT le.face, le.ch, script, first, last, le.x0 AS body_x0, le.x1 AS body_x1, a[i] AS x0, b[i] AS x1 FROM le JOIN en USING (face)", "pixels_v", recursive=True))
+def flourish_trim(spark, d):
+    """The first glyph of each character of a face: its ink, its body, and what is left of the trim when pairs have taken theirs back."""
+    g = S.first_wins(bodied(spark, d), ["face", "ch"], F.col("sheet_id"))
+    p = pixels(spark, d).filter("ink").groupBy("sheet_id", "y").agg(F.min("x").alias("left"), F.max("x").alias("right"))
+    lines = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda s: S.half_up(8 - (F.col("xh") * 0.15 + F.col("xh") * 0.95 * s / 32)))
+    strip = metrics(ascents(spark, d)).select("face", F.explode(F.array_distinct(lines)).alias("y"))
+    pairs = T.depths(p, g.select("face", "ch", "sheet_id"), strip).groupBy("face").agg(F.array_sort(F.collect_list(F.struct("k", "l", "r", "d"))).alias("pairs"))
+    one = F.struct("ch", "first", "last", F.col("x0").alias("body_x0"), F.col("x1").alias("body_x1"), "x0", "x1", "cell")
+    faces = g.groupBy("face").agg(F.first("script").alias("script"), F.array_sort(F.collect_list(one)).alias("letters")).join(pairs, "face", "left")
+    none = F.array().cast("array<struct<k:int,l:string,r:string,d:bigint>>")
+    done = T.fold(F.col("letters"), F.coalesce("pairs", none), PAD, F.lit(PEN))
+    return faces.select("face", "script", F.inline(done)).drop("cell")

@@ -308,9 +308,9 @@ def dense_body_bounds(spark, d):
     return body_bounds(c)
 
 
-def body_bounds(cols):
+def body_bounds(cols, area=0.08, most=0.3, thin_share=0.5):
     """From (sheet_id, x, n, y0, y1): thin (under half the peak) and low (up to 0.55 of the height) columns go at either end, within 8 % of
-    the ink and 30 % of the width, if that takes two columns and 4 % of the width at least."""
+    the ink and 30 % of the width, if that takes two columns and 4 % of the width at least; the shares can be others."""
     own, w = Window.partitionBy("sheet_id"), Window.partitionBy("sheet_id").orderBy("x")
     inked = F.when(F.col("n") > 0, F.col("x"))
     t = cols.select(
@@ -318,8 +318,8 @@ def body_bounds(cols):
         F.sum("n").over(w).alias("l"), F.sum("n").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("r"),
     ).filter("x between a and z")
     width = F.col("z") - F.col("a") + 1
-    thin = (F.col("n") < 0.5 * F.col("peak")) & ((F.col("n") == 0) | (F.col("y1") - F.col("y0") + 1 <= 0.55 * F.col("h")))
-    goes = lambda spent, far: thin & (spent <= 0.08 * F.col("total")) & (far < F.floor(width * 0.3))
+    thin = (F.col("n") < thin_share * F.col("peak")) & ((F.col("n") == 0) | (F.col("y1") - F.col("y0") + 1 <= 0.55 * F.col("h")))
+    goes = lambda spent, far: thin & (spent <= area * F.col("total")) & (far < F.floor(width * most))
     b = t.groupBy("sheet_id").agg(
         F.first("a").alias("a"), F.first("z").alias("z"), F.min(F.when(~goes(F.col("l"), F.col("x") - F.col("a")), F.col("x"))).alias("lo"),
         F.max(F.when(~goes(F.col("r"), F.col("z") - F.col("x")), F.col("x"))).alias("hi"),
