@@ -104,7 +104,7 @@ def test_rows_by_valleys():
     assert B.rows_by_valleys(np.zeros(50)) == [] and B.rows_by_valleys(np.array([0, 3, 0])) == [(1, 2)]
     assert len(B.rows_by_valleys(humps(100, 90, 95, 12))) == 4  # a faint row stays
     assert len(B.rows_by_valleys(humps(100, 90, 95, floor=3))) == 3  # joined by what lies between
-    assert B.peaks_of(np.array([0, 5, 5, 0, 6, 0, 0, 0, 1.0]), 1, 2) == [4]  # of near peaks the higher; none under the floor
+    assert B.peaks_of(np.array([0, 5, 5, 0, 6, 0, 0, 0, 1.0]), 1, 2) == [1, 4]  # the higher of neighbours; none under the floor
     assert B.peaks_of(np.array([0, 5.0, 0, 0, 0, 5.0]), 1, 1) == [1, 5]
 
 

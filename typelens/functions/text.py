@@ -110,6 +110,11 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+@F.pandas_udf(StringType())
+def nfd(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFD", x))
+
+
 def armed(raw: Column) -> Column:
     """The strings of a JSON array, composed, one per line; null for anything else, and for an empty array."""
     lines = F.array_join(F.from_json(raw, "array<string>"), "\n")

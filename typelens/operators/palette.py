@@ -203,8 +203,8 @@ def offset(bright: np.ndarray, dark: np.ndarray) -> tuple[int, float, bool]:
 PARTS = "ij"
 
 
-def labelled(px: DataFrame) -> DataFrame:
-    """Pixels (sheet_id, width, height, x, y) with their 4-connected component, its area, and the first of the largest ones of the sheet."""
+def labelled(px: DataFrame, diagonal: bool = False) -> DataFrame:
+    """Pixels (sheet_id, width, height, x, y) with their component (4-connected, or with diagonals), its area, and the first of the largest ones of the sheet."""
     g = px.groupBy("sheet_id").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.collect_list(F.col("y") * F.col("width") + F.col("x")).alias("s"))
 
     def run(batches):
@@ -212,7 +212,7 @@ def labelled(px: DataFrame) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 mask = np.zeros(int(r.height) * int(r.width), bool)
                 mask[np.asarray(r.s)] = True
-                lab = label(mask.reshape(int(r.height), int(r.width)))
+                lab = label(mask.reshape(int(r.height), int(r.width)), diagonal)
                 y, x = np.nonzero(lab)
                 area = np.bincount(lab[y, x])
                 yield pd.DataFrame({"sheet_id": r.sheet_id, "x": x, "y": y, "component": lab[y, x], "area": area[lab[y, x]], "main": int(area.argmax()), "largest": int(area.max())})

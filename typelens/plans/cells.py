@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..operators import marks as M
+from ..operators import palette as P
 from ..operators import slicing as C
 from ..sources.bindings import table
 from ..sources.shipping import settle, ship
@@ -193,3 +197,33 @@ def row_glyphs(spark, d):
     owners = owners.withColumnRenamed("slicer", "way").join(picked, ["sheet_id", "row", "way"])
     g = C.glyphs(rows, cells, owners).join(at, ["sheet_id", "row"])
     return g.select("sheet_id", "row", "cell", F.substr("chars", F.col("cell") + 1, F.lit(1)).alias("char"), (F.col("x1") - F.col("x0")).alias("cell_w"), (F.col("bottom") - F.col("top")).alias("cell_h"), "baseline", "ink")
+
+
+#: The parts of letters with marks (of those in TEXTS).
+_ACCENTS = [(c, unicodedata.normalize("NFD", c)[0], True, False) for c in "áčé"]
+_MARKS = _PROFILE + f""", page_ink AS (SELECT page AS sheet_id, x, y FROM page_v WHERE opaque AND luma < {DARK}),
+sg AS (SELECT sheet_id, y, min(x) AS x0, max(x) + 1 AS x1, y * {SIDE} + min(x) AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY sheet_id, y ORDER BY x) AS g FROM page_ink) GROUP BY sheet_id, y, g),
+tc AS (SELECT a.sheet_id, a.id AS p, b.id AS q FROM sg a JOIN sg b ON a.sheet_id = b.sheet_id AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+lb AS (SELECT sheet_id, id AS p, id AS q FROM sg UNION SELECT l.sheet_id, t.q, l.q FROM lb l JOIN tc t ON t.sheet_id = l.sheet_id AND t.p = l.p WHERE t.q > l.q),
+rt AS (SELECT sheet_id, p AS id, min(q) AS root FROM lb GROUP BY 1, 2), sh AS (SELECT sheet_id, root, min(x0) AS x0, max(x1) AS x1, min(y) AS y0, max(y) + 1 AS y1, sum(x1 - x0) AS area FROM sg JOIN rt USING (sheet_id, id) GROUP BY 1, 2),
+cv AS (SELECT a.sheet_id, a.row, a.cell, a.x0, a.x1, l.y0, l.y1, substr(l.chars, CAST(a.cell + 1 AS INT), 1) AS ch FROM anch a JOIN line_v l USING (sheet_id, row)),
+nn AS (SELECT c.sheet_id, c.row, c.cell, r.root, sum(least(s.x1, c.x1) - greatest(s.x0, c.x0)) AS n, min(s.y * {SIDE} + greatest(s.x0, c.x0)) AS at_ FROM cv c JOIN sg s ON s.sheet_id = c.sheet_id AND s.y >= c.y0 AND s.y < c.y1 AND s.x0 < c.x1 AND c.x0 < s.x1 JOIN rt r ON r.sheet_id = s.sheet_id AND r.id = s.id GROUP BY 1, 2, 3, 4),
+bo AS (SELECT c.*, ch IN ({", ".join(f"'{a[0]}'" for a in _ACCENTS)}) AS acc, n.root, s.x0 AS bx0, s.x1 AS bx1, s.y0 AS by0, s.y1 AS by1, s.area AS ba, s.y1 - s.y0 AS h, s.x1 - s.x0 AS w FROM cv c JOIN (SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY sheet_id, row, cell ORDER BY n DESC, at_) = 1) n USING (sheet_id, row, cell) JOIN sh s ON s.sheet_id = c.sheet_id AND s.root = n.root),
+ft AS (SELECT sheet_id, row, list_sort(list(by1) FILTER (WHERE regexp_matches(ch, '^\\p{{L}}$') AND NOT contains('gjpqy', ch)))[count(*) FILTER (WHERE regexp_matches(ch, '^\\p{{L}}$') AND NOT contains('gjpqy', ch)) // 2 + 1] AS foot FROM bo GROUP BY 1, 2),
+pa AS (SELECT m.sheet_id, m.root AS mark, b.row, b.cell, b.acc AND m.x1 >= bx0 - greatest(w * 0.25e0, h * 0.15e0) AND m.x0 <= bx1 + greatest(w * 0.25e0, h * 0.15e0) AND m.y1 <= by0 + 1 AND by0 - m.y1 <= h * 0.65e0 AS fits,
+    m.y0 >= by0 AND m.y1 <= by1 AND greatest(0, bx0 - m.x1, m.x0 - bx1) <= greatest(2, h * 0.12e0) AS inner_, m.y1 - m.y0 <= h * 0.55e0 AND m.x1 - m.x0 <= h * 0.9e0 AND m.area <= ba * 0.75e0 AS small, coalesce(m.y0 >= by1 AND by1 > foot + greatest(2, h * 0.05e0), false) AS has,
+    greatest(0, by0 - m.y1, m.y0 - by1) / h + 0.25e0 * abs((m.x0 + m.x1 - bx0 - bx1) / 2) / greatest(w, h * 0.5e0) AS score
+    FROM sh m JOIN bo b ON b.sheet_id = m.sheet_id LEFT JOIN ft ON ft.sheet_id = b.sheet_id AND ft.row = b.row WHERE m.area >= 2 AND NOT EXISTS (SELECT 1 FROM bo q WHERE q.sheet_id = m.sheet_id AND q.root = m.root)),
+bm AS (SELECT sheet_id, mark, arg_min({{'row': row, 'cell': cell}}, {{'s': score, 'row': row, 'cell': cell}}) FILTER (WHERE fits AND small AND NOT has) AS b, bool_or(inner_ AND NOT fits) AS own FROM pa GROUP BY 1, 2)"""
+
+
+@query(_ROW + _MARKS + f" SELECT sheet_id, b.row AS row, CAST(b.cell AS BIGINT) AS cell, mark % {SIDE} AS x, mark // {SIDE} AS y FROM bm WHERE NOT own AND b IS NOT NULL")
+def accent_owners(spark, d):
+    """Detached marks of pages (their first pixel) and the accented letter that each belongs to; letters are the cells of an even pitch."""
+    rows = page_rows(spark, d)
+    cells = C.anchored(C.profile(rows), C.count_of(F.col("chars"))).select("sheet_id", "row", "y0", "y1", "chars", F.posexplode("ranges").alias("cell", "r"))
+    cells = cells.select("sheet_id", "row", F.col("cell").cast("long").alias("cell"), "y0", "y1", "r.x0", "r.x1", F.substr("chars", F.col("cell") + 1, F.lit(1)).alias("char"))
+    px = page_pixels(spark, d).filter(F.col("opaque") & (F.col("luma") < DARK)).select(F.col("page").alias("sheet_id"), F.lit(SIDE).cast("long").alias("width"), F.lit(SIDE).cast("long").alias("height"), "x", "y")
+    lab = settle(P.labelled(px, diagonal=True).select("sheet_id", "x", "y", "component"))
+    at = lab.groupBy("sheet_id", F.col("component").alias("mark")).agg(F.min(F.struct("y", "x")).alias("at"))
+    return M.owners(lab, cells).join(at, ["sheet_id", "mark"]).select("sheet_id", "row", "cell", "at.x", "at.y")
