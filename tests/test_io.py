@@ -62,3 +62,20 @@ def test_text_sink(spark, tmp_path):
     url = F.concat(F.lit("<url><loc>"), F.replace("u", F.lit("&"), F.lit("&amp;")), F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), "d", F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))
     io.text_sink(df, url, str(tmp_path / "x"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "x")).collect()) == ["<url><loc>a&amp;b</loc><lastmod>2024-01-02</lastmod></url>", "<url><loc>c</loc></url>"]
+
+
+def test_commit(spark, tmp_path):
+    """Two tables appear together, or neither does; a later commit is what is read, a failed one leaves the one before."""
+    root = str(tmp_path / "tables")
+    assert io.committed(spark, root, "a") is None
+    a, b = spark.range(3), spark.range(5)
+    io.commit({"a": a, "b": b}, root, "0001")
+    assert io.committed(spark, root, "a").count() == 3 and io.committed(spark, root, "b").count() == 5
+    bad = spark.range(1).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception):
+        io.commit({"a": b, "b": bad}, root, "0002")
+    assert io.committed(spark, root, "a").count() == 3
+    io.commit({"a": b, "b": a}, root, "0003")
+    assert io.committed(spark, root, "a").count() == 5 and io.committed(spark, root, "b").count() == 3
+    with pytest.raises(FileExistsError):
+        io.commit({"a": a}, root, "0003")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
 #: Signatures (fixed values): kind, offset from 1, bytes.
 SIGNATURES = [("otf", 1, "4F54544F"), ("ttf", 1, "00010000"), ("woff2", 1, "774F4632"), ("png", 1, "89504E470D0A1A0A"), ("jpeg", 1, "FFD8FF")]
@@ -165,3 +165,44 @@ def metadata_status(s: pd.Series) -> pd.Series:
         return "unreadable" if kept is None else "clean" if kept == bytes(b) else "change"
 
     return s.map(one)
+
+
+@F.pandas_udf(BinaryType())
+def stripped(s: pd.Series) -> pd.Series:
+    """Images without their metadata; null for what can't be read."""
+    return pd.Series([None if b is None else without_metadata(bytes(b)) for b in s], dtype=object)
+
+
+DIRECTORY = ArrayType(StructType().add("tag", StringType()).add("checksum", LongType()).add("offset", LongType()).add("length", LongType()))
+
+
+@F.pandas_udf(DIRECTORY)
+def directory(s: pd.Series) -> pd.Series:
+    """The table records of font files; null where they are cut short."""
+
+    def one(b):
+        try:
+            return [dict(zip(("tag", "checksum", "offset", "length"), r[1:])) for r in sfnt_tables(bytes(b))]
+        except (ValueError, TypeError):
+            return None
+
+    return pd.Series([one(b) for b in s], dtype=object)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def font_errors(s: pd.Series) -> pd.Series:
+    """What is wrong with the checksums of font files; null for null."""
+    return pd.Series([None if b is None else sfnt_errors(bytes(b)) for b in s], dtype=object)
+
+
+@F.pandas_udf(BinaryType())
+def repaired(s: pd.Series) -> pd.Series:
+    """Font files with right checksums; null where the records are cut short."""
+
+    def one(b):
+        try:
+            return sfnt_repaired(bytes(b))
+        except (ValueError, TypeError):
+            return None
+
+    return pd.Series([one(b) for b in s], dtype=object)

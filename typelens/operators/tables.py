@@ -103,3 +103,20 @@ def ordered_fetch(ids: DataFrame, key: str, df: DataFrame, id_col: str) -> DataF
     """Rows of an id array in the array's order; ids without a row drop out."""
     wanted = ids.select(F.posexplode(key).alias("pos", "_id"))
     return wanted.join(df, wanted["_id"] == df[id_col]).drop("_id")
+
+
+def erased(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """All tables after accounts (gone: id) are erased, in the order that keeps references whole: what hangs on their items, the items, their votes
+    with a new count of the items voted for, what they made or was said of them; reports that they filed stay without a name; sessions and the accounts last.
+
+    Tables: fonts (id, owner_id, votes_count), votes and favorites (user_id, font_id), reports (font_id, reported_user_id, reporter_id), and user_id
+    tables bug_reports, maker_reviews, member_activity, session, account; users (id).
+    """
+    own = tables["fonts"].join(gone.select(F.col("id").alias("owner_id")), "owner_id", "left_semi").select("id")
+    t = cascade(tables, own, "id", {"votes": "font_id", "favorites": "font_id", "reports": "font_id", "fonts": "id"})
+    voted = t["votes"].join(gone.select(F.col("id").alias("user_id")), "user_id", "left_semi").select(F.col("font_id").alias("id")).distinct()
+    made = ("votes", "favorites", "bug_reports", "maker_reviews", "member_activity", "session", "account")
+    t = cascade(t, gone, "id", {n: "user_id" for n in made} | {"reports": "reported_user_id", "users": "id"})
+    t = cascade(t, gone, "id", {}, {"reports": "reporter_id"})
+    again = recount(voted, "id", t["votes"], "font_id", "votes_count")
+    return t | {"fonts": patched(t["fonts"], again, ["id"], ["votes_count"])}

@@ -56,6 +56,37 @@ def featured_asof(spark, d):
     return T.as_of(probes, featured_by_day(spark, d), "probe_day", "day", "font_ids").select(F.col("probe_day").cast("string").alias("probe_day"), "font_ids")
 
 
+@query(sql(_BY_DAY + """, d AS (SELECT CAST(votes_v.created_at AS DATE) AS day, font_id, count(*) AS n FROM votes_v JOIN fonts_v ON fonts_v.id = font_id WHERE visibility = 'public' AND votes_v.created_at >= TIMESTAMP '1998-08-23' AND votes_v.created_at < TIMESTAMP '1998-08-24' GROUP BY 1, 2)
+SELECT CAST(day AS VARCHAR) AS day, CASE WHEN day = DATE '1998-08-23' THEN font_ids WHEN day = DATE '1998-08-22' THEN 'edited' ELSE font_ids END AS font_ids FROM featured WHERE day <= DATE '1998-08-23' AND day >= DATE '1998-08-01'""", "votes_v", "fonts_v"))
+def featured_store(spark, d):
+    """The stored selections of a month after the nightly job: yesterday's six replace what was stored for that day, other days stay as they were."""
+    stored = featured_by_day(spark, d).filter("day >= '1998-08-01' and day <= '1998-08-23'")
+    stored = stored.withColumn("font_ids", F.when(F.col("day").cast("string").isin("1998-08-22"), "edited").when(F.col("day").cast("string") == "1998-08-23", "stale").otherwise(F.col("font_ids")))
+    six = featured(spark, d, "1998-08-23", "1998-08-24")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "font_id"))), lambda s: s["font_id"].cast("string"))
+    new = six.groupBy(F.lit("1998-08-23").cast("date").alias("day")).agg(F.concat_ws(",", ids).alias("font_ids"))
+    return T.replace_rows(stored, new, ["day"]).select(F.col("day").cast("string").alias("day"), "font_ids")
+
+
+@query(sql(_BY_DAY + """, probe AS (SELECT unnest([DATE '1991-06-01', DATE '1995-03-17', DATE '1998-08-23']) AS day), got AS (SELECT p.day, (SELECT font_ids FROM featured f WHERE f.day <= p.day ORDER BY f.day DESC LIMIT 1) AS ids FROM probe p),
+pop AS (SELECT id, row_number() OVER (ORDER BY n DESC, id DESC) - 1 AS pos FROM (SELECT f.id, count(v.user_id) AS n FROM fonts_v f LEFT JOIN votes_v v ON v.font_id = f.id WHERE f.visibility = 'public' GROUP BY 1) QUALIFY pos < 12)
+SELECT CAST(day AS VARCHAR) AS day, pos, id FROM (SELECT day, unnest(string_split(ids, ','))::BIGINT AS id, generate_subscripts(string_split(ids, ','), 1) - 1 AS pos FROM got WHERE ids IS NOT NULL) JOIN (SELECT id FROM fonts_v WHERE visibility = 'public') USING (id)
+UNION ALL SELECT CAST(day AS VARCHAR), pos, id FROM got, pop WHERE ids IS NULL""", "votes_v", "fonts_v"))
+def featured_current(spark, d):
+    """What the front page shows on a day: the latest stored selection in its order, or the twelve most liked public items where none was stored yet."""
+    days = spark.createDataFrame([(x,) for x in ("1991-06-01", "1995-03-17", "1998-08-23")], "s string").select(F.to_date("s").alias("probe"))
+    got = T.as_of(days, featured_by_day(spark, d), "probe", "day", "font_ids").select(F.col("probe").cast("string").alias("day"), "font_ids")
+    public = fonts(spark, d).filter("visibility = 'public'").select("id")
+    shown = got.filter("font_ids is not null").select("day", F.posexplode(F.split("font_ids", ",")).alias("pos", "s"))
+    shown = shown.select("day", F.col("pos").cast("long").alias("pos"), F.col("s").cast("long").alias("id")).join(public, "id", "left_semi")
+    n = votes(spark, d).groupBy(F.col("font_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    top = public.join(n, "id", "left").orderBy(F.coalesce("n", F.lit(0)).desc(), F.desc("id")).limit(12)
+    ids = top.agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("n", F.lit(0))).alias("n"), (-F.col("id")).alias("id")))).alias("t"))  # twelve rows
+    popular = ids.select(F.posexplode("t").alias("pos", "t")).select(F.col("pos").cast("long").alias("pos"), (-F.col("t.id")).alias("id"))
+    none = got.filter("font_ids is null").select("day")
+    return shown.select("day", "pos", "id").unionByName(none.crossJoin(F.broadcast(popular)).select("day", "pos", "id"))
+
+
 @query(sql("""SELECT CAST(w.pos AS BIGINT) AS pos, id, name FROM (SELECT unnest(range(0, 5)) AS pos, unnest([40, 7, 999999999, 12, 3]) AS wanted) w JOIN fonts_v ON id = wanted""", "fonts_v"))
 def featured_ordered_fetch(spark, d):
     ids = spark.range(1).select(F.array(*[F.lit(x).cast("long") for x in (40, 7, 999999999, 12, 3)]).alias("ids"))

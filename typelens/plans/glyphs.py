@@ -59,16 +59,20 @@ def spacing(samples):
 
 
 @query(sql(_PROF + """, gp AS (SELECT sheet_id, y, max(x - before - 1) AS c FROM (SELECT sheet_id, y, x, lag(x) OVER (PARTITION BY sheet_id, y ORDER BY x) AS before FROM pixels_v WHERE ink) GROUP BY 1, 2),
-ct AS (SELECT sheet_id, list_sort(list(c))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS counter FROM gp WHERE c > 0.32 GROUP BY 1),
+hh AS (SELECT sheet_id, 8 - min(y) AS h FROM pixels_v WHERE ink GROUP BY 1),
+ct AS (SELECT sheet_id, list_sort(list(c))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS counter FROM gp JOIN hh USING (sheet_id) WHERE c > h * 0.04e0 AND y >= greatest(0, ceil(8 - h * 0.7e0)) AND y <= least(7, 8 - h * 0.25e0) GROUP BY 1),
 s AS (SELECT face, ch, width, coalesce(counter, 0) AS counter FROM prof LEFT JOIN ct USING (sheet_id) WHERE ch IN ('H', 'O', 'n', 'o', 'u') AND width > 0 QUALIFY row_number() OVER (PARTITION BY face, ch ORDER BY sheet_id DESC) = 1),
 a AS (SELECT face, count(*) AS n, count(*) FILTER (WHERE counter > 0 AND counter < width) AS k, median(width) AS w, median(counter) FILTER (WHERE counter > 0 AND counter < width) AS c FROM s GROUP BY face)
 SELECT face, CASE WHEN n < 3 THEN 'fallback' WHEN k >= 3 THEN 'counters' ELSE 'proportions' END AS source, CASE WHEN n >= 3 AND k >= 3 THEN k ELSE n END AS samples,
 CASE WHEN n < 3 THEN 3.5 ELSE floor(greatest(2.5, least(7.0, (CASE WHEN k >= 3 THEN c * 0.16 ELSE w * 0.065 END) / 8 * 100)) * 10 + 0.5) / 10 END AS pct FROM a""", "pixels_v"))
 def auto_spacing(spark, d):
-    """Bearings by the counters of the last sample of each reference character; a counter is the upper median of the rows' widest gaps."""
+    """Bearings by the counters of the last sample of each reference character; a counter is the upper median of the widest gaps of the rows between
+    0.25 and 0.7 of the glyph's height over the base line (its foot), gaps of 0.04 of that height and less being none."""
     w = Window.partitionBy("sheet_id", "y").orderBy("x")
-    rows = pixels(spark, d).filter("ink").withColumn("gap", F.col("x") - F.lag("x").over(w) - 1).groupBy("sheet_id", "y").agg(F.max("gap").alias("c"))
-    counters = rows.filter("c > 0.32").groupBy("sheet_id").agg(S.upper_median(F.col("c")).alias("counter"))
+    ink = pixels(spark, d).filter("ink").withColumn("gap", F.col("x") - F.lag("x").over(w) - 1).withColumn("h", 8 - F.min("y").over(Window.partitionBy("sheet_id")))
+    rows = ink.groupBy("sheet_id", "y", "h").agg(F.max("gap").alias("c"))
+    body = (F.col("y") >= F.greatest(F.lit(0), F.ceil(8 - F.col("h") * 0.7))) & (F.col("y") <= F.least(F.lit(7), 8 - F.col("h") * 0.25))
+    counters = rows.filter(body & (F.col("c") > F.col("h") * 0.04)).groupBy("sheet_id").agg(S.upper_median(F.col("c")).alias("counter"))
     p = profiles(spark, d).filter(F.col("ch").isin(*"HOnou") & (F.col("width") > 0)).join(counters, "sheet_id", "left")
     return spacing(S.first_wins(p.withColumn("counter", F.coalesce("counter", F.lit(0))), ["face", "ch"], F.desc("sheet_id")))
 

@@ -81,19 +81,13 @@ def byte_signature(spark, d):
     return blobs.unionByName(more).select("doc_id", B.signature(F.col("b")).alias("kind"), F.octet_length("b").cast("long").alias("bytes"))
 
 
-@query()
+@query("""SELECT doc_id, CAST(coalesce(list_sum(list_transform(range(0, len(h) // 8), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT)), 0) % 4294967296 AS BIGINT) AS sum32 FROM
+(SELECT doc_id, b || repeat('0', (8 - length(b) % 8) % 8) AS h FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents))""")
 def u32_checksum(spark, d):
     ship(spark)
     return table(spark, d, "documents").select("doc_id", B.checksum(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("sum32"))
 
 
-@query()
-def image_metadata_audit(spark, d):
-    """Tally of files by what stripping would do to them."""
-    ship(spark)
-    return table(spark, d, "documents").select(B.metadata_status(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(sql(r"SELECT event_id, meta, regexp_full_match(meta, '[A-Za-z0-9_+.\-]*') AND length(meta) <= 40 AS accepted, replace(replace(replace(event || '<&>', '&', chr(92) || 'u0026'), '<', chr(92) || 'u003c'), '>', chr(92) || 'u003e') AS safe FROM activity_v", "activity_v"))
 def event_validation(spark, d):
     a = activity(spark, d)

@@ -94,3 +94,37 @@ def status_transition(spark, d):
     """A rebuilt table with a constant column, then a status change by key."""
     o = owned(spark, d).select("id", F.lit("font").alias("target_type"), F.lit("open").alias("status"))
     return T.patched(o, o.filter("id % 4 = 0").select("id", F.lit("resolved").alias("status")), ["id"], ["status"])
+
+
+_ACCOUNTS = """, gone AS (SELECT id FROM user_v WHERE id % 20 = 1), v0 AS (SELECT DISTINCT l_partkey % 1500 + 1 AS user_id, l_orderkey AS font_id FROM lineitem), f0 AS (SELECT o_orderkey AS id, o_custkey AS owner_id FROM orders),
+own AS (SELECT f0.id FROM f0 SEMI JOIN gone ON gone.id = f0.owner_id), c0 AS (SELECT font_id, count(*) AS n FROM v0 GROUP BY 1), v1 AS (SELECT * FROM v0 WHERE font_id NOT IN (SELECT id FROM own)),
+v2 AS (SELECT * FROM v1 WHERE user_id NOT IN (SELECT id FROM gone)), voted AS (SELECT DISTINCT font_id FROM v1 WHERE user_id IN (SELECT id FROM gone)), c2 AS (SELECT font_id, count(*) AS n FROM v2 GROUP BY 1),
+f2 AS (SELECT f0.id, CASE WHEN voted.font_id IS NOT NULL THEN coalesce(c2.n, 0) ELSE coalesce(c0.n, 0) END AS votes_count FROM f0 LEFT JOIN voted ON voted.font_id = f0.id LEFT JOIN c2 ON c2.font_id = f0.id LEFT JOIN c0 ON c0.font_id = f0.id WHERE f0.id NOT IN (SELECT id FROM own)),
+fav AS (SELECT DISTINCT l_suppkey AS user_id, l_orderkey AS font_id FROM lineitem), rep AS (SELECT event_id, event_id AS font_id, user_id AS reported_user_id, k AS reporter_id FROM activity_v)"""
+
+
+@query(sql(_ACCOUNTS + """ SELECT 'fonts' AS name, count(*) AS n, CAST(coalesce(sum(votes_count), 0) AS BIGINT) AS total FROM f2 UNION ALL SELECT 'votes', count(*), CAST(coalesce(sum(user_id), 0) AS BIGINT) FROM v2
+UNION ALL SELECT 'favorites', count(*), CAST(coalesce(sum(user_id), 0) AS BIGINT) FROM fav WHERE user_id NOT IN (SELECT id FROM gone) AND font_id NOT IN (SELECT id FROM own)
+UNION ALL SELECT 'reports', count(*), CAST(count(reporter_id) FILTER (WHERE reporter_id NOT IN (SELECT id FROM gone)) AS BIGINT) FROM rep WHERE font_id NOT IN (SELECT id FROM own) AND reported_user_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'bug_reports', count(*), CAST(coalesce(sum(user_id), 0) AS BIGINT) FROM activity_v WHERE event = 'build_fail' AND user_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'maker_reviews', count(*), CAST(coalesce(sum(user_id), 0) AS BIGINT) FROM activity_v WHERE event = 'build_ok' AND user_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'member_activity', count(*), CAST(coalesce(sum(user_id), 0) AS BIGINT) FROM activity_v WHERE user_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'session', count(*), CAST(sum(id) AS BIGINT) FROM user_v WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'account', count(*), CAST(sum(id) AS BIGINT) FROM user_v WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'users', count(*), CAST(sum(id) AS BIGINT) FROM user_v WHERE id NOT IN (SELECT id FROM gone)""", "user_v", "activity_v"))
+def account_deletion(spark, d):
+    """Every table after one account in twenty is deleted: rows that are left, and a sum over them (votes counted, users, reports with a sender)."""
+    u, a = users(spark, d).select("id"), activity(spark, d)
+    li = table(spark, d, "lineitem")
+    v = li.select((F.col("l_partkey") % 1500 + 1).alias("user_id"), F.col("l_orderkey").alias("font_id")).distinct()
+    f = T.recount(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner_id")), "id", v, "font_id", "votes_count")
+    by = lambda rows: rows.select("user_id")
+    same = u.select(F.col("id").alias("user_id"))
+    tables = {
+        "fonts": f, "votes": v, "favorites": li.select(F.col("l_suppkey").alias("user_id"), F.col("l_orderkey").alias("font_id")).distinct(),
+        "reports": a.select("event_id", F.col("event_id").alias("font_id"), F.col("user_id").alias("reported_user_id"), F.col("k").alias("reporter_id")),
+        "bug_reports": by(a.filter("event = 'build_fail'")), "maker_reviews": by(a.filter("event = 'build_ok'")), "member_activity": by(a), "session": same, "account": same, "users": u,
+    }
+    left, out = T.erased(tables, u.filter("id % 20 = 1")), None
+    measure = {"fonts": F.sum("votes_count"), "reports": F.count("reporter_id"), "users": F.sum("id")}
+    for name, df in left.items():
+        part = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(measure.get(name, F.sum("user_id") if "user_id" in df.columns else None), F.lit(0)).cast("long").alias("total")).select(F.lit(name).alias("name"), "n", "total")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -56,6 +56,36 @@ def publish(parts: dict[str, DataFrame], row: DataFrame, root: str, name: str) -
         raise
 
 
+def commit(tables: dict[str, DataFrame], root: str, name: str) -> None:
+    """Several tables at once, or none: all are written to a place of their own, then one small file names it. The file comes into being by a
+    rename, after which readers see all tables as they are there; where a step fails no reader sees any. A name is used once."""
+    spark = next(iter(tables.values())).sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place, said = f"{root}/batches/{name}", f"{root}/commits/{name}"
+    fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(hadoop.Path(said)) or fs.exists(hadoop.Path(place)):
+        raise FileExistsError(name)
+    try:
+        for table, df in tables.items():
+            df.write.parquet(f"{place}/{table}")
+        fs.mkdirs(hadoop.Path(f"{root}/commits"))
+        fs.create(hadoop.Path(f"{place}/_committed")).close()
+        if not fs.rename(hadoop.Path(f"{place}/_committed"), hadoop.Path(said)):
+            raise OSError(f"{said} could not be written")
+    except Exception:
+        fs.delete(hadoop.Path(place), True)
+        raise
+
+
+def committed(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """A table as the last commit by name left it; none before the first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(f"{root}/commits")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(top)) if fs.exists(top) else []
+    return spark.read.parquet(f"{root}/batches/{names[-1]}/{table}") if names else None
+
+
 def text_sink(df: DataFrame, line: Column, path: str) -> None:
     """One line of text per row."""
     df.select(line.alias("value")).write.mode("overwrite").text(path)
