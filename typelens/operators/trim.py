@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.semantics import clamp, upper_median
+
 #: Pairs at risk of being misread, in the order in which they are looked at (fixed values), and letters whose right side is theirs.
 PAIRS = "ri rn rm ru rh rl rb rk Ch Cl Ck Cb Cd Gh Gl Gn oi ol nn ll tt hi mi ui ft".split()
 RIGHT = "rCG"
@@ -47,3 +49,41 @@ def fold(letters: Column, pairs: Column, pad: int, pen: Column) -> Column:
         return F.transform(state, lambda g: g.withField("x1", (g["x1"] + more(g, p["l"], given)).cast("long")).withField("x0", (g["x0"] - more(g, p["r"], rest)).cast("long")))
 
     return F.aggregate(pairs, letters, step)
+
+
+#: Letters that leave by a descender, and those that leave high (fixed values).
+DESCENDER, HIGH = "gjqyz", "ovwbdsur"
+
+
+def tails(glyphs: DataFrame, gate: float = 0.6, most: float = 1.1, least: int = 4) -> DataFrame:
+    """Letters that join on their left (sheet_id, face, first, x0: ink and body, xh) -> (sheet_id, entry, scale): the length of the entry in x-heights, and by
+    what it is drawn towards the body.  Only in faces of ``least`` such letters and more whose median entry is over ``gate`` are entries over ``most`` shortened."""
+    g = glyphs.withColumn("entry", (F.col("x0") - F.col("first")) / F.col("xh"))
+    m = g.groupBy("face").agg(upper_median(F.col("entry")).alias("median"), F.count(F.lit(1)).alias("n"))
+    long = (F.col("n") >= least) & (F.col("median") > gate) & (F.col("entry") > most)
+    return g.join(m, "face").select("sheet_id", "entry", F.when(long, most / F.col("entry")).alias("scale"))
+
+
+def snaps(glyphs: DataFrame, gate: float = 0.2, spread: float = 0.12, low: float = 0.08, high: float = 0.3, down: float = 0.5, up: float = 0.25) -> DataFrame:
+    """Letters that join on both sides (sheet_id, face, ch, first, last, x0, x1, base, ly, ry: lines of the outermost ink in the joining band, xh) ->
+    (sheet_id, exit_dy, entry_dy): by how much ends of connectors move on to the face's join line, the median of its entries within ``low`` and ``high``.
+
+    Only in faces of four letters and more whose plain exits ride over their entries by more than ``gate``, or whose entries scatter by more than ``spread``;
+    there letters with high exits move too, and ends may also be raised.  All in x-heights; moves under a line are none.
+    """
+    entry, leave = (F.col("base") - F.col("ly")) / F.col("xh"), (F.col("base") - F.col("ry")) / F.col("xh")
+    plain = ~F.lit(DESCENDER + HIGH).contains(F.col("ch"))
+    g = glyphs.withColumns({"entry": entry, "plain": plain})
+    m = g.groupBy("face").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("plain").alias("k"), upper_median(F.col("entry")).alias("median"), upper_median(F.when(F.col("plain"), leave)).alias("leave"), F.stddev_pop("entry").alias("sd")
+    )
+    g = g.join(m.filter("n >= 4 and k >= 2"), "face").withColumn("scattered", F.col("sd") > spread).filter(F.col("scattered") | (F.col("leave") - F.col("median") > gate))
+    join = F.col("base") - clamp(F.col("median"), low, high) * F.col("xh")
+
+    def move(line, can):
+        raw = join - F.col(line)
+        dy = F.when(raw >= 0, F.least(down * F.col("xh"), raw)).when(F.col("scattered"), F.greatest(-up * F.col("xh"), raw)).otherwise(F.lit(0.0))
+        return F.when(can & (F.abs(dy) >= 1), dy).otherwise(F.lit(0.0))
+
+    leaves = (F.col("plain") | (F.col("scattered") & ~F.lit(DESCENDER).contains(F.col("ch")))) & (F.col("last") > F.col("x1"))
+    return g.select("sheet_id", move("ry", leaves).alias("exit_dy"), move("ly", F.col("first") < F.col("x0")).alias("entry_dy"))

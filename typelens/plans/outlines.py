@@ -95,12 +95,12 @@ _INKED = """, cl AS (SELECT sheet_id, x, count(*) FILTER (WHERE ink) AS n, min(y
 cg AS (SELECT sheet_id, min(x) FILTER (WHERE n > 0) AS a, max(x) FILTER (WHERE n > 0) AS z, sum(n) AS total, max(n) AS peak, max(y1) - min(y0) + 1 AS h FROM cl GROUP BY 1)"""
 
 
-def _bounds(name: str, area: float, most: float, thin: float) -> str:
+def _bounds(name: str, area: float, most: float, thin: float, extent: float = 0.04) -> str:
     edge = "NOT (thin AND {s} <= {area}e0 * total AND {far} < floor((z - a + 1) * {most}e0))"
     lo, hi = edge.format(s="l", far="x - a", area=area, most=most), edge.format(s="r", far="z - x", area=area, most=most)
     return f""", {name}_t AS (SELECT *, n < {thin}e0 * peak AND (n = 0 OR y1 - y0 + 1 <= 0.55e0 * h) AS thin, sum(n) OVER (PARTITION BY sheet_id ORDER BY x) AS l, sum(n) OVER (PARTITION BY sheet_id ORDER BY x DESC) AS r FROM cl JOIN cg USING (sheet_id) WHERE x BETWEEN a AND z),
 {name}_b AS (SELECT sheet_id, any_value(a) AS a, any_value(z) AS z, min(x) FILTER (WHERE {lo}) AS lo, max(x) FILTER (WHERE {hi}) AS hi FROM {name}_t GROUP BY 1),
-{name} AS (SELECT sheet_id, a, z, CASE WHEN lo - a < greatest(2, floor((z - a + 1) * 0.04e0 + 0.5)) THEN a ELSE lo END AS x0, CASE WHEN z - hi < greatest(2, floor((z - a + 1) * 0.04e0 + 0.5)) THEN z ELSE hi END AS x1 FROM {name}_b)"""
+{name} AS (SELECT sheet_id, a, z, CASE WHEN lo - a < greatest(2, floor((z - a + 1) * {extent}e0 + 0.5)) THEN a ELSE lo END AS x0, CASE WHEN z - hi < greatest(2, floor((z - a + 1) * {extent}e0 + 0.5)) THEN z ELSE hi END AS x1 FROM {name}_b)"""
 
 
 _TRIM = _PROF + _INKED + _bounds("bd", 0.08, 0.3, 0.5) + _bounds("sc", 1.0, 0.45, 0.65) + f""", fs AS (SELECT face, count(*) FILTER (WHERE greatest(x0 - a, z - x1) >= (z - a + 1) * 0.08e0) / count(*) >= 0.4e0 AS script FROM bd JOIN prof USING (sheet_id) GROUP BY 1),
@@ -133,3 +133,50 @@ def flourish_trim(spark, d):
     none = F.array().cast("array<struct<k:int,l:string,r:string,d:bigint>>")
     done = T.fold(F.col("letters"), F.coalesce("pairs", none), PAD, F.lit(PEN))
     return faces.select("face", "script", F.inline(done)).drop("cell")
+
+
+def joined(spark, d):
+    """Small letters with ink: their ink's and their body's columns by the joins' rules, and the lines where they reach furthest in the joining band."""
+    ink = lambda c: F.when(F.col("ink"), F.col(c))
+    px = pixels(spark, d)
+    cols = px.groupBy("sheet_id", "x").agg(F.count_if("ink").alias("n"), F.min(ink("y")).alias("y0"), F.max(ink("y")).alias("y1"))
+    span = cols.filter("n > 0").groupBy("sheet_id").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    xh = metrics(ascents(spark, d)).select("face", F.greatest(F.lit(1.0), F.col("xh")).alias("xh"))
+    g = profiles(spark, d).filter(F.col("ch").rlike("^[a-z]$")).select("sheet_id", "face", "ch").join(span, "sheet_id").join(body_bounds(cols, area=0.25, most=0.5, thin_share=0.6, extent=0.02), "sheet_id").join(xh, "face")
+    lines = px.filter("ink").groupBy("sheet_id", "y").agg(F.min("x").alias("left"), F.max("x").alias("right"))
+    at = lambda share: F.least(F.lit(7), F.greatest(F.lit(0), S.half_up(8 - F.col("xh") * share)))
+    band = lines.join(g.select("sheet_id", at(0.6).alias("top"), at(0.02).alias("bot")), "sheet_id").filter("y between top and bot")
+    ends = band.groupBy("sheet_id").agg(F.min_by("y", F.struct("left", "y")).alias("ly"), F.max_by("y", F.struct("right", (-F.col("y")).alias("y"))).alias("ry"))
+    return g.join(ends, "sheet_id", "left").withColumn("base", F.lit(8))
+
+
+_JOINED = _PROF + _INKED + _bounds("jb", 0.25, 0.5, 0.6, 0.02)
+_LETTERS = """, jl AS (SELECT p.sheet_id, p.face, p.ch, b.a AS first, b.z AS last, b.x0, b.x1, greatest(1, coalesce(CAST(m.xh AS DOUBLE), m.max_asc * 0.5e0)) AS xh FROM prof p JOIN jb b USING (sheet_id) JOIN met m ON m.face = p.face WHERE regexp_matches(p.ch, '^[a-z]$')),
+ln AS (SELECT sheet_id, y, min(x) AS lft, max(x) AS rgt FROM pixels_v WHERE ink GROUP BY 1, 2),
+je AS (SELECT j.sheet_id, arg_min(y, (lft, y)) AS ly, arg_max(y, (rgt, -y)) AS ry FROM jl j JOIN ln USING (sheet_id) WHERE y >= least(7, greatest(0, floor(8 - xh * 0.6e0 + 0.5))) AND y <= least(7, greatest(0, floor(8 - xh * 0.02e0 + 0.5))) GROUP BY 1),
+jo AS (SELECT jl.*, ly, ry FROM jl LEFT JOIN je USING (sheet_id))"""
+_MEDIAN = "list_sort(list({0}) FILTER (WHERE {1}))[count(*) FILTER (WHERE {1}) // 2 + 1]"
+GATE, MOST = -0.01, 0.15  # glyphs of eight columns have no long entries
+
+
+@query(sql(_MET.replace(_PROF, _JOINED, 1) + _LETTERS + f""", en AS (SELECT *, (x0 - first) / xh AS entry FROM jo), md AS (SELECT face, {_MEDIAN.format('entry', 'entry IS NOT NULL')} AS median, count(*) AS n FROM en GROUP BY 1)
+SELECT sheet_id, round(entry, 6) AS entry, CASE WHEN n >= 4 AND median > {GATE} AND entry > {MOST} THEN round({MOST} / entry, 6) END AS scale FROM en JOIN md USING (face)""", "pixels_v"))
+def connector_tails(spark, d):
+    """Entries of small letters, and what shortens those that are too long in faces where most are long."""
+    t = T.tails(joined(spark, d), GATE, MOST)
+    return t.select("sheet_id", F.round("entry", 6).alias("entry"), F.round("scale", 6).alias("scale"))
+
+
+def _move(line: str, can: str) -> str:
+    dy = f"CASE WHEN jy - {line} >= 0 THEN least(0.5e0 * xh, jy - {line}) WHEN scattered THEN greatest(-0.25e0 * xh, jy - {line}) ELSE 0 END"
+    return f"CASE WHEN ({can}) AND abs({dy}) >= 1 THEN round({dy}, 6) ELSE 0 END"
+
+
+@query(sql(_MET.replace(_PROF, _JOINED, 1) + _LETTERS + f""", se AS (SELECT *, (8 - ly) / xh AS entry, (8 - ry) / xh AS lv, NOT contains('{T.DESCENDER + T.HIGH}', ch) AS plain FROM jo WHERE ly IS NOT NULL),
+sm AS (SELECT face, count(*) AS n, count(*) FILTER (WHERE plain) AS k, {_MEDIAN.format('entry', 'true')} AS median, {_MEDIAN.format('lv', 'plain')} AS lv_m, stddev_pop(entry) AS sd FROM se GROUP BY 1),
+sj AS (SELECT se.*, sd > 0.12e0 AS scattered, 8 - least(0.3e0, greatest(0.08e0, median)) * xh AS jy FROM se JOIN sm USING (face) WHERE n >= 4 AND k >= 2 AND (sd > 0.12e0 OR lv_m - median > 0.2e0))
+SELECT sheet_id, {_move('ry', f"(plain OR (scattered AND NOT contains('{T.DESCENDER}', ch))) AND last > x1")} AS exit_dy, {_move('ly', 'first < x0')} AS entry_dy FROM sj""", "pixels_v"))
+def connector_snaps(spark, d):
+    """How far the ends of small letters' connectors move on to their face's join line."""
+    s = T.snaps(joined(spark, d).filter("ly is not null"))
+    return s.select("sheet_id", F.round("exit_dy", 6).alias("exit_dy"), F.round("entry_dy", 6).alias("entry_dy"))

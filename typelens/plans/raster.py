@@ -308,7 +308,7 @@ def dense_body_bounds(spark, d):
     return body_bounds(c)
 
 
-def body_bounds(cols, area=0.08, most=0.3, thin_share=0.5):
+def body_bounds(cols, area=0.08, most=0.3, thin_share=0.5, extent=0.04):
     """From (sheet_id, x, n, y0, y1): thin (under half the peak) and low (up to 0.55 of the height) columns go at either end, within 8 % of
     the ink and 30 % of the width, if that takes two columns and 4 % of the width at least; the shares can be others."""
     own, w = Window.partitionBy("sheet_id"), Window.partitionBy("sheet_id").orderBy("x")
@@ -324,5 +324,5 @@ def body_bounds(cols, area=0.08, most=0.3, thin_share=0.5):
         F.first("a").alias("a"), F.first("z").alias("z"), F.min(F.when(~goes(F.col("l"), F.col("x") - F.col("a")), F.col("x"))).alias("lo"),
         F.max(F.when(~goes(F.col("r"), F.col("z") - F.col("x")), F.col("x"))).alias("hi"),
     )
-    least = F.greatest(F.lit(2), S.half_up(width * 0.04))
+    least = F.greatest(F.lit(2), S.half_up(width * extent))
     return b.select("sheet_id", F.when(F.col("lo") - F.col("a") < least, F.col("a")).otherwise(F.col("lo")).alias("x0"), F.when(F.col("z") - F.col("hi") < least, F.col("z")).otherwise(F.col("hi")).alias("x1"))
