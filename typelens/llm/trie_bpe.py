@@ -49,6 +49,7 @@ class WordTrie:
         self.rank = {(raised(a), raised(b)): k for k, (a, b) in enumerate(merges)}
         self.heads = {w[:k] for w in self.ids for k in range(1, len(w) + 1)}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.ends: dict[str, tuple[tuple[int, int], ...]] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -78,18 +79,27 @@ class WordTrie:
             known = self.fits[left, right] = self.merged("".join(pair)) == pair
         return known
 
+    def tokens_at(self, head: str) -> tuple[tuple[int, int], ...]:
+        """(token, length) of the tokens that the beginning of a token ends with, the longest first."""
+        found = self.ends.get(head)
+        if found is None:
+            found = self.ends[head] = tuple((self.ids[head[-k:]], k) for k in range(len(head), 0, -1) if head[-k:] in self.ids)
+        return found
+
     def grow(self, word: str, path: list[int], depth: int) -> int:
         """A new node for the first ``depth`` symbols of a word; ``path`` has the nodes above it."""
-        reach = self.reach[path[-1]] + 1  # the longest end of the prefix that a token begins with
-        while reach and word[depth - reach : depth] not in self.heads:
-            reach -= 1
-        for k in range(reach, 0, -1):
-            token = self.ids.get(word[depth - k : depth])
-            if token is not None and self.follows(self.last[path[depth - k]], token):
-                self.last.append(token)
+        reach, heads, last, fits = self.reach[path[-1]] + 1, self.heads, self.last, self.fits  # reach: of the longest end that a token begins with
+        head = word[depth - reach : depth]
+        while head and head not in heads:
+            head = head[1:]
+        for token, k in self.tokens_at(head):
+            left = last[path[depth - k]]
+            known = fits.get((left, token))
+            if known or (known is None and self.follows(left, token)):
+                last.append(token)
                 self.before.append(path[depth - k])
-                self.reach.append(reach)
-                return len(self.last) - 1
+                self.reach.append(len(head))
+                return len(last) - 1
         raise ValueError("no token ends this prefix")
 
     def encode(self, words: list[str]) -> dict[str, list[int]]:
