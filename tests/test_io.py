@@ -79,3 +79,20 @@ def test_commit(spark, tmp_path):
     assert io.committed(spark, root, "a").count() == 5 and io.committed(spark, root, "b").count() == 3
     with pytest.raises(FileExistsError):
         io.commit({"a": a}, root, "0003")
+
+
+def test_sitemap(spark, tmp_path):
+    """Whole documents of bounded length, with every address once, escaped, in order; no date where there is none."""
+    import xml.etree.ElementTree as ET
+
+    rows = [(f"https://x/{k:03d}?a=1&b=<{k}>", None if k % 3 else f"2024-01-{k % 28 + 1:02d}") for k in range(95)]
+    io.sitemap_sink(spark.createDataFrame(rows, "loc string, lastmod string"), str(tmp_path / "map"), most=20)
+    seen, space = {}, "{http://www.sitemaps.org/schemas/sitemap/0.9}"
+    files = [p for p in (tmp_path / "map").rglob("part-*.txt")]
+    assert len(files) >= 5
+    for p in files:
+        urls = ET.fromstring(p.read_text().encode()).findall(f"{space}url")
+        locs = [u.find(f"{space}loc").text for u in urls]
+        assert 0 < len(locs) <= 20 and locs == sorted(locs)
+        seen |= {u.find(f"{space}loc").text: getattr(u.find(f"{space}lastmod"), "text", None) for u in urls}
+    assert seen == dict(rows)

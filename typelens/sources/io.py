@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,6 +91,22 @@ def text_sink(df: DataFrame, line: Column, path: str) -> None:
     df.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
+def sitemap_sink(df: DataFrame, path: str, most: int = 50_000) -> None:
+    """Site maps: XML documents of ``most`` addresses at most, one a file, in the order of the addresses; ``lastmod`` may be null.
+
+    Rows are cut by ranges of loc into parts of their own; a part of more is cut again by number, so that no document is too long.
+    """
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    url = F.concat(F.lit("  <url><loc>"), safe(F.col("loc")), F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), "lastmod", F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))
+    n = df.count()
+    parts = df.repartitionByRange(max(1, -(-n // most)), "loc").withColumn("part", F.spark_partition_id())
+    row = F.row_number().over(Window.partitionBy("part").orderBy("loc")) - 1
+    docs = parts.select("part", F.floor(row / most).alias("k"), "loc", url.alias("url")).groupBy("part", "k").agg(F.array_sort(F.collect_list(F.struct("loc", "url"))).alias("u"))
+    head, foot = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n', "\n</urlset>"
+    docs = docs.select("part", "k", F.concat(F.lit(head), F.array_join(F.transform("u", lambda x: x["url"]), "\n"), F.lit(foot)).alias("value"))
+    docs.withColumn("document", F.concat_ws("-", "part", "k")).select("value", "document").repartition("document").write.mode("overwrite").partitionBy("document").text(path)
+
+
 def manifest(files: DataFrame, path: str) -> None:
     """Names and sizes of files as JSON lines."""
     files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length").write.mode("overwrite").json(path)
