@@ -120,3 +120,58 @@ def test_ways(spark):
 def test_accents(spark):
     rows = spark.createDataFrame([("é",), ("é",), ("ø",), ("ß",), ("İ",), ("Å",), ("a",), ("й",)], "c string")
     assert [r[0] for r in rows.select(C.has_accent(F.col("c"))).collect()] == [True, True, False, False, True, True, False, False]
+
+
+def test_seam_by_loops():
+    """The least cost of all paths, by the definition; and the path costs it."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        band = rng.random((rng.integers(1, 9), rng.integers(1, 12))) < 0.5
+        lo = int(rng.integers(-2, band.shape[1]))
+        hi = lo + int(rng.integers(0, 6))
+        got = C.seam(band, lo, hi)
+        a, b = max(0, lo), min(band.shape[1] - 1, hi)
+        if b < a:
+            assert got is None
+            continue
+        cost, par = [[float(v) for v in band[0, a : b + 1]]], []
+        for line in band[1:, a : b + 1]:
+            now, ways = [], []
+            for x in range(b - a + 1):
+                best, at = 1e9, x
+                for p in (x - 1, x, x + 1):
+                    if 0 <= p <= b - a and cost[-1][p] < best:
+                        best, at = cost[-1][p], p
+                now.append(float(line[x]) + best + abs(x - at) * 0.001)
+                ways.append(at)
+            cost.append(now)
+            par.append(ways)
+        x = cost[-1].index(min(cost[-1]))
+        path = [x]
+        for ways in reversed(par):
+            x = ways[x]
+            path.append(x)
+        assert got.tolist() == [v + a for v in path[::-1]]
+
+
+def ends(band, n):
+    return [(int(a.min()), int(b.max())) for a, b in C.seam_cells(band, n)]
+
+
+def test_seam_cells():
+    three = canvas(60, 20, (5, 15, 0, 20), (20, 30, 0, 20), (40, 50, 0, 20))
+    assert ends(three, 3) == [(5, 15), (20, 30), (40, 50)]
+    assert ends(canvas(60, 20), 3) == [] and ends(three, 0) == []
+    joined = canvas(60, 20, (0, 10, 0, 20), (10, 14, 9, 11), (14, 24, 0, 20), (40, 50, 0, 20))  # two letters and the stroke between them, one letter
+    a, b, c = C.seam_cells(joined, 3)
+    assert (a[0] == 0).all() and (a[1] == b[0]).all() and ((a[1] >= 10) & (a[1] <= 14)).all() and (c[0] == 40).all() and (c[1] == 50).all()
+    more = ends(three, 2)  # more blobs than letters: an even pitch
+    assert more[0][0] == 5 and more[1][1] == 50 and len(more) == 2
+    assert C.shares([30, 10], 4, 10.0) == [3, 1] and C.shares([50, 10], 4, 10.0) == [3, 1] and C.shares([12, 12], 3, 20.0) == [2, 1] and C.shares([1, 1, 1], 2, 9.0) == [1, 1, 1]
+
+
+def test_wide_gaps(spark):
+    found = spark.createDataFrame([(1, 0, 0, 10), (1, 0, 13, 20), (1, 0, 30, 40), (1, 1, 0, 10), (1, 1, 11, 20), (2, 0, 0, 9)], "sheet_id long, row long, x0 long, x1 long")
+    n = spark.createDataFrame([(1, 0, 2), (1, 1, 2), (2, 0, 2)], "sheet_id long, row long, n long")
+    got = sorted((r.sheet_id, r.row, r.cell, r.x0, r.x1) for r in C.parted_cells(found, n).collect())
+    assert got == [(1, 0, 0, 0, 25), (1, 0, 1, 25, 40)]  # a gap of one column is none; one run has none

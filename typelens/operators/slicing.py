@@ -218,6 +218,96 @@ def gap_cells(found: DataFrame, rows: DataFrame, expected: Column) -> DataFrame:
     return g.select(*KEYS, F.posexplode(cells).alias("cell", "r")).select(*KEYS, F.col("cell").cast("long").alias("cell"), "r.x0", "r.x1")
 
 
+def parted_cells(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """Runs joined into as many cells (sheet_id, row, n: two and more) as a row has, cut in the middles of the widest gaps (of equals the first); only rows
+    with as many runs at least, all of whose cuts are wide: two columns, and 0.18 of a cell."""
+    line = Window.partitionBy(*KEYS).orderBy("x0")
+    row = Window.partitionBy(*KEYS)
+    r = found.join(expected, KEYS).filter("n > 1").withColumns({"next": F.lead("x0").over(line), "a": F.min("x0").over(row), "b": F.max("x1").over(row), "all": F.count(F.lit(1)).over(row)})
+    r = r.withColumn("gap", F.col("next") - F.col("x1")).filter("all >= n and b - a >= n")
+    r = r.withColumn("rank", F.row_number().over(row.orderBy(F.col("gap").desc_nulls_last(), "x0"))).filter("gap is not null and rank < n")
+    g = r.groupBy(*KEYS, "n", "a", "b").agg(F.min("gap").alias("least"), F.array_sort(F.collect_list(half_up((F.col("x1") + F.col("next")) / 2))).alias("cuts"))
+    g = g.filter(F.col("least") >= F.greatest(F.lit(2.0), (F.col("b") - F.col("a")) / F.col("n") * 0.18)).select(*KEYS, F.concat(F.array("a"), "cuts", F.array("b")).alias("e"))
+    cells = F.zip_with(F.slice("e", 1, F.size("e") - 1), F.slice("e", 2, F.size("e") - 1), lambda p, q: F.struct(p.alias("x0"), q.alias("x1")))
+    return g.select(*KEYS, F.posexplode(cells).alias("cell", "r")).select(*KEYS, F.col("cell").cast("long").alias("cell"), "r.x0", "r.x1")
+
+
+def seam(band: np.ndarray, lo: int, hi: int) -> np.ndarray | None:
+    """The column in each line of a path from top to bottom through the columns lo to hi that meets least ink, a step aside at most a line; steps aside
+    cost a little; of equal ways to a place that from the left, of equal paths the leftmost end."""
+    lo, hi = max(0, lo), min(band.shape[1] - 1, hi)
+    if hi < lo or not len(band):
+        return None
+    ink = band[:, lo : hi + 1].astype(float)
+    cost, back = ink[0], []
+    for line in ink[1:]:
+        ways = np.stack([np.append(np.inf, cost[:-1]), cost, np.append(cost[1:], np.inf)])
+        step = ways.argmin(0)
+        back.append(step - 1)
+        cost = line + ways.min(0) + 0.001 * (step != 1)
+    at = int(cost.argmin())
+    path = [at]
+    for step in reversed(back):
+        at += int(step[at])
+        path.append(at)
+    return np.array(path[::-1]) + lo
+
+
+def shares(widths: list[int], n: int, typical: float) -> list[int]:
+    """How many of n letters each blob holds: by its width, one at least; too many are taken from the fullest, missing ones go to the widest per letter."""
+    counts = [max(1, int(np.floor(w / typical + 0.5))) for w in widths]
+    while sum(counts) > n and max(counts) > 1:
+        counts[int(np.argmax(counts))] -= 1
+    while sum(counts) < n:
+        counts[int(np.argmax([w / c for w, c in zip(widths, counts)]))] += 1
+    return counts
+
+
+def seam_cells(band: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """n cells between seams (a column a line): a blob of columns each where there are n blobs; of fewer the wide ones are parted at seams; of more the
+    row is parted at an even pitch.  None for a row without ink, or that has no n cells."""
+    on = band.any(0)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8))).reshape(-1, 2).tolist()
+    if n < 1 or not edge:
+        return []
+    flat = lambda v: np.full(len(band), v)
+    nearest = lambda v: int(np.floor(v + 0.5))
+
+    def cut(at: float, half: float) -> np.ndarray:
+        found = seam(band, nearest(at - half), nearest(at + half))
+        return flat(nearest(at)) if found is None else found
+
+    def parts(a: int, b: int, k: int, half: float) -> list:
+        pitch = (b - a) / k
+        lines = [flat(a), *[cut(a + i * pitch, pitch * half) for i in range(1, k)], flat(b)]
+        return list(zip(lines, lines[1:]))
+
+    x0, x1 = edge[0][0], edge[-1][1]
+    if len(edge) > n:
+        return parts(x0, x1, n, 0.42)
+    counts = [1] * n if len(edge) == n else shares([b - a for a, b in edge], n, (x1 - x0) / n)
+    return [c for (a, b), k in zip(edge, counts) for c in parts(a, b, k, 0.45)]
+
+
+SEAMS = "sheet_id long, row long, cell long, lefts array<bigint>, rights array<bigint>, ink long"
+
+
+def seamed(rows: DataFrame, expected: Column) -> DataFrame:
+    """Each row's cells between seams, with the ink in them."""
+
+    def run(batches):
+        for r, mask, a, b in _rasters(batches):
+            band, out = mask[a:b], []
+            x = np.arange(band.shape[1])
+            for k, (left, right) in enumerate(seam_cells(band, int(r.n))):
+                inside = (x >= left[:, None]) & (x < right[:, None])
+                out.append((r.sheet_id, r.row, k, left.tolist(), right.tolist(), int((band & inside).sum())))
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in SEAMS.split(", ")])
+
+    return rows.withColumn("n", expected).mapInPandas(run, SEAMS)
+
+
 def numbered(ranges: DataFrame) -> DataFrame:
     return ranges.select(*KEYS, (F.row_number().over(Window.partitionBy(*KEYS).orderBy("x0")) - 1).cast("long").alias("cell"), "x0", "x1")
 

@@ -227,3 +227,21 @@ def accent_owners(spark, d):
     lab = settle(P.labelled(px, diagonal=True).select("sheet_id", "x", "y", "component"))
     at = lab.groupBy("sheet_id", F.col("component").alias("mark")).agg(F.min(F.struct("y", "x")).alias("at"))
     return M.owners(lab, cells).join(at, ["sheet_id", "mark"]).select("sheet_id", "row", "cell", "at.x", "at.y")
+
+
+@query(_ROW + _PROFILE + """, wr AS (SELECT sheet_id, row, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY sheet_id, row ORDER BY x) AS g FROM cols WHERE n > 0) GROUP BY sheet_id, row, g),
+ge AS (SELECT r.*, 2 + (r.sheet_id + r.row) % 3 AS n, lead(x0) OVER w AS nxt, min(x0) OVER p AS a, max(x1) OVER p AS b, count(*) OVER p AS k FROM wr r WINDOW p AS (PARTITION BY sheet_id, row), w AS (PARTITION BY sheet_id, row ORDER BY x0)),
+gr AS (SELECT *, nxt - x1 AS gap, row_number() OVER (PARTITION BY sheet_id, row ORDER BY nxt - x1 DESC NULLS LAST, x0) AS rank FROM ge WHERE k >= n AND b - a >= n),
+gc AS (SELECT sheet_id, row, list_concat([a], list_sort(list(CAST(floor((x1 + nxt) / 2 + 0.5) AS BIGINT))), [b]) AS e FROM gr WHERE gap IS NOT NULL AND rank < n GROUP BY sheet_id, row, a, b, n HAVING min(gap) >= greatest(2, (b - a) / n * 0.18e0))
+SELECT sheet_id, row, i - 1 AS cell, e[i] AS x0, e[i + 1] AS x1 FROM (SELECT *, unnest(range(1, len(e))) AS i FROM gc)""")
+def wide_gap_cells(spark, d):
+    """Two to four cells a row, cut at its widest gaps where all of these are real ones."""
+    rows = page_rows(spark, d)
+    return C.parted_cells(C.runs(rows).select("sheet_id", "row", "x0", "x1"), rows.select("sheet_id", "row", ((F.col("sheet_id") + F.col("row")) % 3 + 2).alias("n")))
+
+
+@query(None)
+def seam_cells(spark, d):
+    """Each row's characters as cells between seams: where they begin and end at the widest, and their ink."""
+    s = C.seamed(page_rows(spark, d), C.count_of(F.col("chars")))
+    return s.select("sheet_id", "row", "cell", F.array_min("lefts").alias("x0"), F.array_max("rights").alias("x1"), "ink")

@@ -11,6 +11,7 @@ from ..functions import color as C
 from ..functions import semantics as S
 from ..operators import components as K
 from ..operators import islands as I
+from ..operators import slicing as W
 from ..sources.bindings import INK, pixels, rasters, sql, table
 from ..sources.shipping import ship
 from . import query
@@ -269,28 +270,21 @@ def gradient_bins(spark, d):
     return j.select(F.col("label").cast("long").alias("label"), "bin", pick["b"].alias("from_bin"), F.round(pick["v"], 6).alias("v"))
 
 
-@query()
+_STEP = "list_sort(list_transform(list_filter([b - 1, b, b + 1], lambda p: p >= 1 AND p <= 8), lambda p: {'c': costs[p], 'p': p}))[1]"
+
+
+@query(sql(f""", ln AS (SELECT sheet_id, y, list(CASE WHEN ink THEN 1.0e0 ELSE 0.0e0 END ORDER BY x) AS k FROM pixels_v GROUP BY 1, 2),
+dp AS (SELECT sheet_id, y, k AS costs, ['0', '1', '2', '3', '4', '5', '6', '7'] AS paths FROM ln WHERE y = 0
+UNION ALL SELECT sheet_id, y, list_transform(range(1, 9), lambda b: k[b] + s[b].c + abs(b - s[b].p) * 0.001e0), list_transform(range(1, 9), lambda b: paths[s[b].p] || ',' || CAST(b - 1 AS VARCHAR)) FROM
+(SELECT dp.sheet_id, ln.y, ln.k, paths, list_transform(range(1, 9), lambda b: {_STEP}) AS s FROM dp JOIN ln ON ln.sheet_id = dp.sheet_id AND ln.y = dp.y + 1))
+SELECT sheet_id, paths[list_position(costs, list_min(costs))] AS seam FROM dp WHERE y = 7""", "pixels_v", recursive=True))
 def min_ink_seam(spark, d):
     """Per sheet, the path from top to bottom with the least ink, steps of at most one column."""
     ship(spark)
 
-    def seam(cost: np.ndarray) -> list[int]:
-        best, back = cost[0].astype(float), []
-        for row in cost[1:]:
-            options = np.stack([np.append(np.inf, best[:-1]) + 0.001, best, np.append(best[1:], np.inf) + 0.001])
-            step = options.argmin(0)
-            back.append(step - 1)
-            best = row + options.min(0)
-        x = int(best.argmin())
-        path = [x]
-        for step in reversed(back):
-            x += int(step[x])
-            path.append(x)
-        return path[::-1]
-
     def run(it):
         for pdf in it:
-            out = [seam((np.array(e, float).reshape(8, 8) > 0.12).astype(int)) for e in pdf["embedding"]]
+            out = [W.seam(np.array(e, float).reshape(8, 8) > INK, 0, 7) for e in pdf["embedding"]]
             yield pd.DataFrame({"sheet_id": pdf["vec_id"], "seam": [",".join(map(str, p)) for p in out]})
 
     return table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "sheet_id long, seam string")
