@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from typelens.llm import fill_middle, prefix_trie, trie_bpe
+from typelens.llm import exact_dedup, fill_middle, prefix_trie, simhash, substring, toxicity, trie_bpe
 
 SCHEMA = "doc_id long, text string, ids string, n string, output long, r int"
 PATH = P.path("word_bpe_49k.json")
@@ -206,3 +206,20 @@ def test_turnless_conversation(spark):
     got = prefix_trie.prefix_trie(*prefix_trie.rebuilt(spark.createDataFrame([(*r, 1, 2, "x") for r in rows], CONVS)))
     want = trie_model(rows)
     assert sorted([tuple(r) for r in got.select(*prefix_trie.COLUMNS).collect()], key=str) == want and want[0][3] > want[1][3]
+
+
+ODD = "doc_id long, text string, `a.b` string, score map<string,int>, row struct<x:map<int,int>>"
+
+
+def test_stages_with_odd_columns(spark):
+    """Columns with dots and maps go through every stage that keeps columns; repeated rows and nulls too."""
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, long, "p", {"k": 1}, ({1: 2},)), (2, long, "q", None, None), (3, long + " end", None, {}, ({},)), (3, long + " end", None, {}, ({},)), (4, None, "r", {"a": 2, "b": 3}, (None,)), (None, "", "s", None, None)]
+    docs = spark.createDataFrame(rows, ODD)
+    model = toxicity.fit(docs.select("doc_id", "text"), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    for stage, left in ((lambda d: toxicity.reject(d, model), 6), (exact_dedup.keep_first, 3), (simhash.keep_one_of_near, 2), (substring.remove_spans, 6)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert len(got) == left
+        assert {(r["doc_id"], r["a.b"], str(r["score"])) for r in got} <= {(r[0], r[2], str(r[3])) for r in rows}

@@ -15,7 +15,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the separator of words in every contract of this subpackage.
@@ -69,12 +69,15 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that the frame doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def with_maps(df: DataFrame) -> list[str]:
+    """Columns that hold a map somewhere: these have no order and no hash."""
+    return [f.name for f in df.schema if "map<" in f.dataType.simpleString()]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns, whatever their names; of those with maps their JSON text."""
+    maps = set(with_maps(df))
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) if c in maps else F.col(f"`{c}`") for c in df.columns])
 
 
 def mapped(df: DataFrame, fn, schema: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, texts
+from .common import SPACE, row_hash, table, texts
 
 
 def normalised(col):
@@ -47,11 +47,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Null texts count as empty; a null doc_id is the largest; of rows that repeat a doc_id the one with the smallest hash of
     all its columns stays; columns may have any names.
     """
-    every = [F.col(f"`{c}`") for c in docs.columns]
     others = [c for c in docs.columns if c != "text"]
     text = F.col("text").cast("string")
     norm = normalised(F.coalesce(text, F.lit("")))
-    tag = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*every))
+    tag = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), row_hash(docs))
     # only the kept row of each group carries its columns over the shuffle: the partial minimum is per partition;
     # its text goes with it only where it isn't its own normal form
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.when(text != norm, text).alias("t"), text.isNull().alias("none"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, free_name, mapped, table, texts
+from .common import batches, mapped, table, texts
 from .labelled import crc, sample
 
 EDGES = "\"'`.,;:!?()[]{}<>|/\\*#$%&@~^_-+=«»„“”‘’…¡¿"
@@ -249,16 +249,16 @@ def reject(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     Null and empty texts have the score of an empty one; null doc_ids and repeated rows are judged each on their own;
     columns may have any names.
     """
-    name = free_name(docs, "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index("text")
+    names = ["text" if k == at else f"c{k}" for k in range(len(docs.columns))]  # a name with a dot is no column's to the map below
+    schema = T.StructType([*[T.StructField(n, f.dataType, True) for n, f in zip(names, docs.schema)], T.StructField("score", T.DoubleType())])
 
     def run(it):
         for b in batches(it):
             scores = model.scores([t or "" for t in b.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*names, "score"])
 
-    return mapped(docs, run, schema).filter(F.col(name) < limit).drop(name)
+    return mapped(docs.toDF(*names), run, schema).filter(F.col("score") < limit).drop("score").toDF(*docs.columns)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
