@@ -153,7 +153,9 @@ def large_components(spark, d):
     return c.filter(F.col("area") >= F.greatest(F.lit(12), 0.03 * F.col("largest"))).select("sheet_id", "root", "area")
 
 
-@query()
+@query(sql(_COMP.format(near=_FOUR) + """, bx AS (SELECT root.sheet_id, root, min(x) AS x0, max(x) AS x1, count(*) AS area FROM root JOIN ink USING (sheet_id, p) GROUP BY 1, 2),
+rc AS (SELECT *, max(x1) OVER (PARTITION BY sheet_id ORDER BY x0, x1, root ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM bx), gr AS (SELECT *, sum((reach IS NULL OR x0 > reach)::INT) OVER (PARTITION BY sheet_id ORDER BY x0, x1, root) AS g FROM rc),
+sp AS (SELECT sheet_id, g, min(x0) AS x0, max(x1) AS x1, max(area) AS m FROM gr GROUP BY 1, 2) SELECT sheet_id, x0, x1 FROM sp QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY m DESC, x0) = 1""", "pixels_v", recursive=True))
 def body_extent(spark, d):
     """Columns of the largest component, widened by components that overlap it, again and again."""
     ship(spark)
