@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,26 +31,48 @@ def once_per_hour(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withColumn("bucket", bucket).withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "event_type", "bucket"])
 
 
-def admitted(events: DataFrame, limit: int, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
-    """At most ``limit`` events per user and epoch bucket, by a counter in state that goes with the watermark."""
+#: So many keys of state an hour: one call of Python serves all users of a shard, and its state is the counters of these.
+SHARDS = 8
+
+
+def first_of(user: np.ndarray, order: tuple, users: np.ndarray, counts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows that are among the first ``limit`` of their user in an order (keys as for lexsort), counted on from ``counts`` of ``users`` (ascending); the users, the counts."""
+    by = np.lexsort((*order, user))
+    new, start, size = np.unique(user[by], return_index=True, return_counts=True)
+    every = np.union1d(users, new)
+    total = np.zeros(len(every), np.int64)
+    total[np.searchsorted(every, users)] = counts
+    at = np.searchsorted(every, new)
+    rank = np.arange(len(by)) - np.repeat(start, size) + np.repeat(total[at], size)
+    total[at] += size
+    return by[rank < limit], every, total
+
+
+def admitted(events: DataFrame, limit: int, seconds: int = 3600, late: str = "1 hour", shards: int = SHARDS) -> DataFrame:
+    """At most ``limit`` events per user and epoch bucket, by counters in state that go with the watermark.  No user is one user; no time and no id come last."""
     ship(events.sparkSession)
 
     def run(key, batches, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        used = state.get[0] if state.exists else 0
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            ok = pdf.iloc[: max(0, limit - used)]
-            used += len(pdf)
-            if len(ok):
-                yield pd.DataFrame({"event_id": ok["event_id"], "user_id": ok["user_id"]})
-        state.update((used,))
-        state.setTimeoutTimestamp(max((int(key[1]) + 1) * seconds * 1000, state.getCurrentWatermarkMs() + 1))
-
-    rows = events.withWatermark("ts", late).withColumn("bucket", F.floor(F.unix_seconds("ts") / seconds))
-    return rows.groupBy("user_id", "bucket").applyInPandasWithState(run, "event_id long, user_id long", "used long", "append", GroupStateTimeout.EventTimeTimeout)
+        bucket, shard = key
+        users, counts = (np.array(x, np.int64) for x in (state.get if state.exists else ((), ())))
+        pdf = pd.concat(list(batches))  # a user's rows may come in several
+        user, seen, event = (pdf[c].to_numpy() for c in ("user", "seen", "event_id"))
+        ok, users, counts = first_of(user, (event, ~seen, pdf["ts"].to_numpy()), users, counts, limit)
+        if len(ok):
+            yield pd.DataFrame({"event_id": pd.arrays.IntegerArray(event[ok], ~seen[ok]), "user_id": pd.arrays.IntegerArray(user[ok], np.full(len(ok), shard < 0))})
+        state.update((users.tolist(), counts.tolist()))
+        end = 0 if pd.isna(bucket) else (int(bucket) + 1) * seconds * 1000
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+
+    whole = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)  # pandas keeps ids whole where none is null
+    rows = events.withWatermark("ts", late).select(
+        "ts", F.floor(F.unix_seconds("ts") / seconds).alias("bucket"), F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(shards))).alias("shard"),
+        whole("user_id").alias("user"), F.col("event_id").isNotNull().alias("seen"), whole("event_id"),
+    )
+    return rows.groupBy("bucket", "shard").applyInPandasWithState(run, "event_id long, user_id long", "users array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
