@@ -185,9 +185,15 @@ _LAB = (
 )
 
 
+def single(x: float):
+    return F.lit(x).cast("float")
+
+
 def lab_points(spark, d):
     e = table(spark, d, "embeddings")
-    byte = lambda k: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor((F.get("embedding", F.lit(k)).cast("double") + 0.5) * 255 + 0.5).cast("double")))
+    # in single precision, as the vectors are; cut off before the floor, which makes a long and so has no NaN and infinities
+    tone = lambda k: (F.get("embedding", F.lit(k)) + single(0.5)) * single(255) + single(0.5)
+    byte = lambda k: F.floor(F.least(single(255), F.greatest(single(0), tone(k)))).cast("double")
     l, a, b = C.lab(byte(0), byte(1), byte(2))
     return e.select("vec_id", l.alias("l"), a.alias("a"), b.alias("bb"))
 
@@ -262,7 +268,7 @@ SELECT CAST(label AS BIGINT) AS label, bin, from_bin, round(v, 6) AS v FROM j WH
 def gradient_bins(spark, d):
     """24 bins of means per group; an empty bin takes the nearest, the lower of two."""
     e = table(spark, d, "embeddings")
-    at = F.floor(F.least(F.lit(0.999), F.greatest(F.lit(0.0), F.get("embedding", F.lit(0)).cast("double") + 0.5)) * 24)
+    at = F.floor(F.least(single(0.999), F.greatest(single(0), F.get("embedding", F.lit(0)) + single(0.5))) * single(24))
     a = e.groupBy("label", at.alias("bin")).agg(F.avg(F.get("embedding", F.lit(1)).cast("double")).alias("v"))
     s = e.select("label").distinct().select("label", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("bin"))
     w = Window.partitionBy("label").orderBy("bin")
