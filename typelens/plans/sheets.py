@@ -426,16 +426,22 @@ FROM b m JOIN b c ON c.sheet = m.sheet AND m.k >= 8 AND c.k < 8) SELECT mark, ar
 def mark_owners(spark, d):
     """Detached marks and the accented cell of their sheet that they fit best; ink within a letter's height beside it is that letter's."""
     b = fonts(spark, d).select("id", F.col("glyph_count").alias("n")).selectExpr(*_box_columns())
-    side = lambda p, of: of.select("sheet", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "k", "x1", "y1", "w", "h")])
-    j = side("m", b.filter("k >= 8")).join(side("c", b.filter("k < 8")), "sheet")
-    c = {n: F.col(n) for n in j.columns}
-    off = lambda a, s: F.greatest(F.lit(0), c[f"c_{a}"] - c[f"m_{a}"] - c[f"m_{s}"], c[f"m_{a}"] - c[f"c_{a}"] - c[f"c_{s}"])
-    within = (c["m_y1"] >= c["c_y1"]) & (c["m_y1"] + c["m_h"] <= c["c_y1"] + c["c_h"]) & (off("x1", "w") <= F.greatest(F.lit(2.0), c["c_h"] * 0.12))
-    small = (c["m_h"] <= c["c_h"] * 0.55) & (c["m_w"] <= c["c_h"] * 0.9) & (c["m_w"] * c["m_h"] * 0.5 <= c["c_w"] * c["c_h"] * 0.6 * 0.75)
-    apart = F.abs((2 * c["m_x1"] + c["m_w"] - 2 * c["c_x1"] - c["c_w"]) / 2)
-    score = off("y1", "h") / c["c_h"] + 0.25 * apart / F.greatest(c["c_w"].cast("double"), c["c_h"] * 0.5)
-    best = F.min(F.when((c["c_k"] % 2 == 0) & small, F.struct(score.alias("s"), c["c_k"].alias("k"))))
-    g = j.groupBy(c["m_id"].alias("mark")).agg(F.bool_or(within).alias("within"), best.alias("best"))
+    box = ("k", "x1", "y1", "w", "h")
+    cells = b.filter("k < 8").groupBy("sheet").agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in box])).alias("cells"))
+    m = {n: F.col(n) for n in box}
+
+    def judged(c):
+        off = lambda a, s: F.greatest(F.lit(0), c[a] - m[a] - m[s], m[a] - c[a] - c[s])
+        within = (m["y1"] >= c["y1"]) & (m["y1"] + m["h"] <= c["y1"] + c["h"]) & (off("x1", "w") <= F.greatest(F.lit(2.0), c["h"] * 0.12))
+        small = (m["h"] <= c["h"] * 0.55) & (m["w"] <= c["h"] * 0.9) & (m["w"] * m["h"] * 0.5 <= c["w"] * c["h"] * 0.6 * 0.75)
+        apart = F.abs((2 * m["x1"] + m["w"] - 2 * c["x1"] - c["w"]) / 2)
+        score = off("y1", "h") / c["h"] + 0.25 * apart / F.greatest(c["w"].cast("double"), c["h"] * 0.5)
+        return F.struct(within.alias("within"), F.when((c["k"] % 2 == 0) & small, F.struct(score.alias("s"), c["k"].alias("k"))).alias("fit"))
+
+    # a mark is judged in its row, against the few cells of its sheet: pairs of marks and cells are not rows
+    j = b.filter("k >= 8").join(cells, "sheet").select(F.col("id").alias("mark"), F.transform("cells", judged).alias("j"))
+    each = j.select("mark", F.array_max("j.within").alias("within"), F.array_min("j.fit").alias("best"))
+    g = each.groupBy("mark").agg(F.bool_or("within").alias("within"), F.min("best").alias("best"))  # ids may come again
     return g.filter("not within and best is not null").select("mark", F.col("best.k").alias("cell"))
 
 
