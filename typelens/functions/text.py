@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import unicodedata
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructType
 
@@ -142,3 +144,29 @@ def edited_meta(raw: pd.Series, name: pd.Series, license: pd.Series, specimen_ch
         meta |= {"family": family, "license": terms} | ({"og": False} if drop else {})
         rows.append((json.dumps(meta, ensure_ascii=False, separators=(",", ":")), drop))
     return pd.DataFrame(rows, columns=["meta", "drop_og"])
+
+
+def repeats(text: str, without: str = "") -> tuple[int, int]:
+    """How many characters of a text differ, and how many of them come again."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    none = [ord(c) for c in without]
+    if codes.max(initial=0) < 1 << 16:
+        n = np.bincount(codes, minlength=max(none, default=0) + 1)
+        n[none] = 0
+    else:
+        found, n = np.unique(codes, return_counts=True)
+        n = n[~np.isin(found, none)]
+    return int((n > 0).sum()), int((n > 1).sum())
+
+
+def character_counts(docs: DataFrame, without: str = "", empty: int = 0) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, distinct_chars (``empty`` for an empty text), repeated; a null text has none.  A text is counted in its row, in one pass over its characters."""
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                found = [repeats(x, without) if x else (0 if x is None else empty, 0) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(list(c), pa.int64()) for c in zip(*found)]], ["doc_id", "distinct_chars", "repeated"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, distinct_chars long, repeated long")

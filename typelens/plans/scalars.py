@@ -114,10 +114,6 @@ def charset_lines(spark, d):
 @query("""SELECT doc_id, CAST(count(*) AS BIGINT) AS distinct_chars, CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS repeated FROM
 (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) WHERE c NOT IN (' ', chr(10)) GROUP BY 1, 2) GROUP BY doc_id""")
 def charset_problems(spark, d):
-    """Of all characters of a text, as a character set (spaces and line ends are none): how many differ, how many come again."""
-    chars = F.filter(F.split("text", ""), lambda c: ~c.isin(" ", "\n", ""))
-    rows = table(spark, d, "documents").select("doc_id", F.array_sort(chars).alias("c")).filter("size(c) > 0")
-    # in sorted order a character differs from the one before when it is new, and comes again when it is the second of its run
-    new = F.filter("c", lambda x, i: (i == 0) | (F.get("c", i - 1) != x))
-    again = F.filter("c", lambda x, i: (i > 0) & (F.get("c", i - 1) == x) & ((i == 1) | (F.get("c", i - 2) != x)))
-    return rows.select("doc_id", F.size(new).cast("long").alias("distinct_chars"), F.size(again).cast("long").alias("repeated"))
+    """Of all characters of a text, as a character set (spaces and line ends are none): how many differ, how many come again.  An empty text counts as one, as in the SQL."""
+    ship(spark)
+    return X.character_counts(table(spark, d, "documents").select("doc_id", "text"), " \n", empty=1).filter("distinct_chars > 0")
