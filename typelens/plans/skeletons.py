@@ -74,5 +74,5 @@ def skeleton_branches(spark, d):
 def page_strokes(spark, d):
     """What a pen would draw along the skeletons of pages: per stroke its length and the points that it needs."""
     ship(spark)
-    s = T.strokes(K.skeletons(page_rasters(spark, d)))
+    s = T.strokes_of(page_rasters(spark, d))
     return s.select("sheet_id", "stroke", "closed", F.round("length", 3).alias("length"), F.size("xs").cast("long").alias("points"), F.regexp_count("path", F.lit("C")).cast("long").alias("curves"))
