@@ -5,12 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import marks as M
 from ..operators import palette as P
 from ..operators import slicing as C
+from ..operators.skeleton import slices
 from ..sources.bindings import table
 from ..sources.shipping import settle, ship
 from . import query
@@ -28,16 +29,16 @@ def page_rasters(spark, d):
     g = v.groupBy(F.col("page").alias("sheet_id")).agg(F.collect_list(F.struct((F.col("vec_id") % 64).alias("k"), ink.alias("bits"))).alias("parts"))
 
     def run(batches):
-        for pdf in batches:
+        for part in slices(batches):
             out = []
-            for sheet, parts in zip(pdf["sheet_id"], pdf["parts"]):
+            for parts in part.column(1).to_pylist():
                 ink = np.zeros((8, 8, 8, 8), bool)  # cell row, line, cell column, column
                 for p in parts:
                     ink[p["k"] // 8, :, p["k"] % 8] = np.asarray(p["bits"]).reshape(8, 8)
-                out.append((sheet, SIDE, ink.reshape(-1).tolist()))
-            yield pd.DataFrame(out, columns=["sheet_id", "width", "ink"])
+                out.append(ink.ravel())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([SIDE] * len(out), pa.int64()), pa.array(out, pa.list_(pa.bool_()))], ["sheet_id", "width", "ink"])
 
-    return g.mapInPandas(run, "sheet_id long, width long, ink array<boolean>")
+    return g.mapInArrow(run, "sheet_id long, width long, ink array<boolean>")
 
 
 def page_rows(spark, d):
