@@ -1,6 +1,10 @@
 """Near copies by the exact Jaccard similarity of sets of five-word shingles: two texts are linked if it is 0.8 or more.
 
-Search by prefix filtering.  All shingles stand in one order (common ones last, then by hash).  Sets with a similarity of
+Search by SimHash first: fingerprints that differ in three bits or fewer (``simhash.near_links``) propose links, which the sets
+confirm or not.  Links between texts further apart in their fingerprints are then found by prefix filtering, among sets that
+SimHash has not connected.
+
+Prefix filtering: all shingles stand in one order (common ones last, then by hash).  Sets with a similarity of
 4 / 5 share a shingle among the first n - ceil(4 n / 5) + 1 of each, so every linked pair meets in the bucket of such a
 shingle, and at the first one they share, what follows in both is long enough for the overlap needed.  Which shingles are
 common is learnt from a sample of the texts; it decides the size of buckets, not the result.  Pairs of a bucket are
@@ -20,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import batches, mapped, row_hash, settle, with_maps
 from .components import components
 
@@ -95,7 +100,7 @@ def _buckets(it, width: int):
 
 
 def _candidates(rows: DataFrame, cap: int) -> DataFrame:
-    """rows (token, node, n, pos) -> pairs (a, b); members of larger buckets have a null b and are given back."""
+    """rows (token, node, n, pos, up) -> pairs (a, b) of different ``up``; members of larger buckets have a null b and are given back."""
 
     def made(a, b, *rest):
         cols = [pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)]
@@ -110,15 +115,15 @@ def _candidates(rows: DataFrame, cap: int) -> DataFrame:
             waiting.clear()
             return made(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
 
-        for token, node, n, pos in _buckets(it, 4):
+        for token, node, n, pos, up in _buckets(it, 5):
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             sizes = np.diff(np.append(starts, len(token)))
             bucket, large = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes > cap, sizes)
             small = ~large & np.repeat(sizes > 1, sizes)
-            found = [_pairs(node[small], n[small], pos[small], bucket[small])]
+            found = [_pairs(node[small], n[small], pos[small], bucket[small], up[small])]
             for s, e in zip(starts[sizes > cap].tolist(), (starts + sizes)[sizes > cap].tolist()):
                 for p in (s + np.lexsort((node[s:e], pos[s:e]))[:PIVOTS]).tolist():
-                    ok = (5 * n[s:e] >= 4 * n[p]) & (4 * n[s:e] <= 5 * n[p]) & (node[s:e] != node[p])
+                    ok = (5 * n[s:e] >= 4 * n[p]) & (4 * n[s:e] <= 5 * n[p]) & (up[s:e] != up[p])
                     found.append(np.stack([np.minimum(node[s:e][ok], node[p]), np.maximum(node[s:e][ok], node[p])], 1))
             waiting.append(np.unique(np.concatenate(found), axis=0))
             held += len(waiting[-1])
@@ -166,7 +171,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, sets_of) -> DataFrame:
     return settle(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
-def near_roots(docs: DataFrame, words: int = 5, cap: int = 64, one_in: int = 16, often: int = 8, most: int = 200_000) -> DataFrame:
+def near_roots(docs: DataFrame, words: int = 5, cap: int = 64, one_in: int = 16, often: int = 8, most: int = 200_000, distance: int = 3) -> DataFrame:
     """docs (doc_id, text, _tl_row) -> (doc_id, _tl_row, root): rows with one root are connected by links."""
 
     def sampled(it):
@@ -185,7 +190,8 @@ def near_roots(docs: DataFrame, words: int = 5, cap: int = 64, one_in: int = 16,
             node = np.array([xxh3_64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64)
             n = np.array([len(x) for x in own], np.int32)
             bits = pa.array([parities(x) for x in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node), pa.array(n), bits], ["doc_id", "_tl_row", "node", "n", "bits"])
+            fp = np.array([simhash.simhash(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node), pa.array(n), bits, pa.array(fp)], ["doc_id", "_tl_row", "node", "n", "bits", "fp"])
 
     def searched(it):
         from xxhash import xxh3_64_intdigest
@@ -195,11 +201,10 @@ def near_roots(docs: DataFrame, words: int = 5, cap: int = 64, one_in: int = 16,
             node = np.array([xxh3_64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([len(x) for x in own], pa.int32()), _lists([prefix(x, common) for x in own])], ["node", "n", "first"])
 
-    fps = settle(mapped(docs, sketched, "doc_id long, _tl_row long, node long, n int, bits binary"))
+    fps = settle(mapped(docs, sketched, "doc_id long, _tl_row long, node long, n int, bits binary, fp long"))
     nodes = fps.select("node", "n", "bits").dropDuplicates(["node"])
     # the texts are read again for the prefixes, so that these are not stored between
     rows = mapped(docs.select("text"), searched, "node long, n int, first array<long>").dropDuplicates(["node"])
-    rows = rows.select(F.posexplode("first").alias("pos", "token"), "node", "n").select("token", "node", "n", "pos")
 
     def own_sets(it):
         for b in batches(it):
@@ -213,8 +218,15 @@ def near_roots(docs: DataFrame, words: int = 5, cap: int = 64, one_in: int = 16,
         text = docs.join(one, (F.col("_tl_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("node", "text")
         return mapped(text, own_sets, "node long, own array<long>").dropDuplicates(["node"])
 
-    found = _candidates(rows, cap)
-    links = _linked(found.filter("b is not null").select("a", "b"), nodes, sets_of)
+    # first by SimHash: fingerprints within the distance, each link checked by the sets
+    none = F.lit(0).cast("long")
+    prints = fps.groupBy("node").agg(F.min("fp").alias("fp")).select("node", "fp", none.alias("v1"), none.alias("v2"))
+    close = simhash.near_links(settle(prints), distance).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = _linked(close.filter("a <> b"), nodes, sets_of)
+    # then, of sets that are not connected by that, those further apart in their fingerprints
+    rows = rows.join(components(links), "node", "left").select(F.posexplode("first").alias("pos", "token"), "node", "n", F.coalesce("root", "node").alias("up"))
+    found = _candidates(rows.select("token", "node", "n", "pos", "up"), cap)
+    links = settle(links.unionByName(_linked(found.filter("b is not null").select("a", "b"), nodes, sets_of)))
     roots = components(links)
     large = found.filter("b is null").select("token", F.col("a").alias("node"), "n", "pos")
     if not large.isEmpty():

@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import batches, mapped, settle, table, texts
 from .components import components
-from .jaccard import keep_one_of_near as keep_one_of_near
 
 SEED = 42
 STEP = 1 << 16
@@ -300,6 +299,13 @@ def near_groups(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame
     return grouped(fps, lambda nodes: near_links(nodes, distance)).select("doc_id", "fp", "component_id")
 
 
+def keep_one_of_near(docs: DataFrame, **settings) -> DataFrame:
+    """The documents, all columns, without near copies: see ``jaccard.keep_one_of_near``, which searches by these fingerprints first."""
+    from . import jaccard  # it imports this module
+
+    return jaccard.keep_one_of_near(docs, **settings)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"), words=3, distance=3)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
