@@ -54,9 +54,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/typelens-{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared checkpoint folder and go on from there (lineage is cut)."""
+def settle(df: DataFrame, rows: int | None = None, per_file: int = 50_000) -> DataFrame:
+    """Write a frame to the shared checkpoint folder and go on from there (lineage is cut).
+
+    ``rows``, if known: how many it may have.  It is then written by one task for each ``per_file`` of them, not one for
+    each partition of a shuffle: every file of a checkpoint starts processes (``chmod``) from the executor where Hadoop
+    has no native library, and such a process has the executor's whole memory once more until it is another program.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
     return df.checkpoint(eager=True)
 
 

@@ -26,12 +26,12 @@ def _small(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b) of two longs -> (node, root): the smallest node reachable, for every node that isn't its own root."""
-    links = settle(links.filter("a <> b").select("a", "b").distinct())
-    before = None
+    """links (a, b) of two longs, settled -> (node, root): the smallest node reachable, for every node that isn't its own root."""
+    before, most = None, links.count()
+    links = settle(links.filter("a <> b").select("a", "b").distinct(), most)
     while True:
-        links = settle(_small(_large(links)))
+        links = settle(_small(_large(links)), most)  # no step makes more links than it gets
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = tuple(now)
+        before, most = tuple(now), now[0]

@@ -32,6 +32,8 @@ PIVOTS = 4
 #: So many texts at most are picked (or dropped) by a broadcast list of their ids; more of them by a join of two shuffles.
 BROADCAST = 500_000
 HELD = 500_000
+#: Pairs of sets that a task compares.
+COMPARED = 2_000
 PAIRS = "a long, b long, token long, n int, pos int"
 
 
@@ -151,10 +153,11 @@ def _unconnected(rows: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, sets_of) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have a similarity of 4 / 5 or more.
+    """Those of the pairs (a, b), which are settled, whose sets have a similarity of 4 / 5 or more.
 
-    nodes (node, n, bits) has sizes and parities; sets_of gives (node, own) of some nodes.
+    nodes (node, n, bits) has sizes and parities; sets_of gives (node, own) of some nodes, so many at most.
     """
+    most = pairs.count()
     end = lambda k, *names: nodes.select(F.col("node").alias(k), *[F.col(c).alias(x) for c, x in zip(("n", "bits"), names)])
     known = pairs.distinct().join(end("a", "m", "x"), "a").join(end("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
 
@@ -165,14 +168,15 @@ def _linked(pairs: DataFrame, nodes: DataFrame, sets_of) -> DataFrame:
                 sizes = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + b.column(3).to_numpy(zero_copy_only=False)
                 yield b.select(["a", "b"]).filter(pa.array(9 * differ <= sizes))
 
-    pairs = settle(mapped(known, possible, "a long, b long"))
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    pairs = settle(mapped(known, possible, "a long, b long"), most)
+    most = pairs.count()
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * most)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    return settle(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+    return settle(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), most, COMPARED)
 
 
-def near_roots(docs: DataFrame, words: int = 5, cap: int = 64, one_in: int = 16, often: int = 8, most: int = 200_000, distance: int = 3) -> DataFrame:
-    """docs (doc_id, text, _tl_row) -> (doc_id, _tl_row, root): rows with one root are connected by links."""
+def near_roots(docs: DataFrame, words: int = 5, cap: int = 64, one_in: int = 16, often: int = 8, most: int = 200_000, distance: int = 3) -> tuple[DataFrame, int]:
+    """docs (doc_id, text, _tl_row) -> (doc_id, _tl_row, root) and the number of rows: those with one root are connected by links."""
 
     def sampled(it):
         for b in batches(it):
@@ -202,7 +206,7 @@ def near_roots(docs: DataFrame, words: int = 5, cap: int = 64, one_in: int = 16,
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([len(x) for x in own], pa.int32()), _lists([prefix(x, common) for x in own])], ["node", "n", "first"])
 
     fps = settle(mapped(docs, sketched, "doc_id long, _tl_row long, node long, n int, bits binary, fp long"))
-    nodes = fps.select("node", "n", "bits").dropDuplicates(["node"])
+    nodes, n_rows = fps.select("node", "n", "bits").dropDuplicates(["node"]), fps.count()
     # the texts are read again for the prefixes, so that these are not stored between
     rows = mapped(docs.select("text"), searched, "node long, n int, first array<long>").dropDuplicates(["node"])
 
@@ -210,9 +214,9 @@ def near_roots(docs: DataFrame, words: int = 5, cap: int = 64, one_in: int = 16,
         for b in batches(it):
             yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t, words) for t in b.column(1).to_pylist()])], ["node", "own"])
 
-    def sets_of(some: DataFrame) -> DataFrame:
+    def sets_of(some: DataFrame, most: int) -> DataFrame:
         one = fps.join(some, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_tl_row", "doc_id")).alias("k")).select("node", F.col("k._tl_row").alias("_r"), F.col("k.doc_id").alias("_d"))
-        one = settle(one)
+        one = settle(one, most)
         if one.count() <= BROADCAST:
             one = F.broadcast(one)
         text = docs.join(one, (F.col("_tl_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("node", "text")
@@ -221,20 +225,20 @@ def near_roots(docs: DataFrame, words: int = 5, cap: int = 64, one_in: int = 16,
     # first by SimHash: fingerprints within the distance, each link checked by the sets
     none = F.lit(0).cast("long")
     prints = fps.groupBy("node").agg(F.min("fp").alias("fp")).select("node", "fp", none.alias("v1"), none.alias("v2"))
-    close = simhash.near_links(settle(prints), distance).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    close = simhash.near_links(settle(prints, n_rows), distance).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = _linked(close.filter("a <> b"), nodes, sets_of)
     # then, of sets that are not connected by that, those further apart in their fingerprints
     rows = rows.join(components(links), "node", "left").select(F.posexplode("first").alias("pos", "token"), "node", "n", F.coalesce("root", "node").alias("up"))
     found = _candidates(rows.select("token", "node", "n", "pos", "up"), cap)
-    links = settle(links.unionByName(_linked(found.filter("b is not null").select("a", "b"), nodes, sets_of)))
+    links = links.unionByName(_linked(found.filter("b is not null").select("a", "b"), nodes, sets_of))
     roots = components(links)
     large = found.filter("b is null").select("token", F.col("a").alias("node"), "n", "pos")
-    if not large.isEmpty():
+    if n_large := large.count():
         placed = large.join(roots, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("up"))
-        more = _linked(_unconnected(placed), nodes, sets_of)
+        more = _linked(settle(_unconnected(placed), n_large), nodes, sets_of)
         if not more.isEmpty():
             roots = components(links.unionByName(more))
-    return fps.select("doc_id", "_tl_row", "node").join(roots, "node", "left").select("doc_id", "_tl_row", F.coalesce("root", "node").alias("root"))
+    return fps.select("doc_id", "_tl_row", "node").join(roots, "node", "left").select("doc_id", "_tl_row", F.coalesce("root", "node").alias("root")), n_rows
 
 
 def keep_one_of_near(docs: DataFrame, **settings) -> DataFrame:
@@ -245,10 +249,11 @@ def keep_one_of_near(docs: DataFrame, **settings) -> DataFrame:
     """
     every = [F.col(f"`{c}`") for c in docs.columns]
     tagged = docs.select(F.struct(*every).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row_hash(docs).alias("_tl_row"))
-    roots = near_roots(tagged.select("doc_id", "text", "_tl_row"), **settings)
+    roots, n_rows = near_roots(tagged.select("doc_id", "text", "_tl_row"), **settings)
     same = roots.groupBy("root", "doc_id", "_tl_row").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_tl_row"))).alias("rank"))
     least = same.groupBy("root").agg(F.min("rank").alias("least"))
-    judged = settle(same.join(least, "root").select(F.col("doc_id").alias("_d"), F.col("_tl_row").alias("_r"), "copies", F.col("rank").eqNullSafe(F.col("least")).alias("stays")))
+    judged = same.join(least, "root").select(F.col("doc_id").alias("_d"), F.col("_tl_row").alias("_r"), "copies", F.col("rank").eqNullSafe(F.col("least")).alias("stays"))
+    judged = settle(judged, n_rows)
     gone, again = judged.filter("not stays or copies > 1").select("_d", "_r"), judged.filter("stays and copies > 1").select("_d", "_r")
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST else df
     on = (F.col("_tl_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))

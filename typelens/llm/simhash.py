@@ -20,6 +20,7 @@ id unless it has no other; repeated doc_ids are separate rows; an empty table gi
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -273,13 +274,15 @@ def near_links(nodes: DataFrame, distance: int = 3, also: int = 128, cap: int =
     """
     parts, thresholds = plan(nodes, distance, choices)
     rows, links = _probe(nodes, parts, thresholds), None
+    probes = nodes.count() * sum(math.comb(len(part), r) for part, t in zip(parts, thresholds) for r in range(t + 1))
     while True:
         # a bucket may hold a node twice (own value and flipped): no harm
-        done = settle(_verify(rows.repartition("key").sortWithinPartitions("key", "node"), distance, also, cap))
+        done = settle(_verify(rows.repartition("key").sortWithinPartitions("key", "node"), distance, also, cap), probes)
         new = done.filter("key is null").select(F.col("node").alias("a"), F.col("fp").alias("b"))
         links = new if links is None else links.unionByName(new)
         rows = done.filter("key is not null")
-        if rows.isEmpty():
+        probes = rows.count()
+        if not probes:
             return links
 
 
