@@ -234,7 +234,8 @@ def word_bpe(path: str):
     space, which no token reaches over.  Each different piece is cut into words, each ended by a control character that it
     doesn't hold, and these go through tiktoken, where that character stands for the word end (ids are ranks, a character
     with its word end has a smaller one than any merge, so the merges are the same).  The ids of short pieces are kept in
-    a table of bounded size, as in ``ChunkIds``.  All other texts go through the tokenizers library, those that may hold
+    a table of bounded size, as in ``ChunkIds``; the pieces of about 3 million characters are looked up once each (an Arrow
+    dictionary) and their ids gathered from there.  All other texts go through the tokenizers library, those that may hold
     the string of an added token as they are.
     """
     if (path, "word") not in _ENCODERS:
@@ -246,57 +247,77 @@ def word_bpe(path: str):
         is_end = np.zeros(max(ranks.values()) + 1, bool)
         is_end[[i for w, i in ranks.items() if w.endswith(mark.encode())]] = True
         words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ſ]+|[0-9]|[^\sA-Za-z0-9À-ÖØ-öø-ſ]+").findall
-        plain = re.compile(r"[\x20-\x7e\t\n\r\x0b\x0cÀ-ſ]*").fullmatch
+        # the bytes of ASCII text and white space, and of U+00C0 to U+017F: three first bytes, any second
+        allowed = bytes([*range(0x20, 0x7F), *b"\t\n\r\x0b\x0c", *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
         others = hf_chunks(path, "")
-        known: dict[str, bytes] = {}
-
-        def encode_pieces(pieces: list[str]) -> None:
-            """Put the ids of new pieces into the table."""
-            cut = list(map(words, map(str.lower, pieces)))
-            flat = "".join([w + mark for x in cut for w in x])
-            ids = one.encode_to_numpy(flat, disallowed_special=()).astype("<u4")
-            ends = 4 * (np.flatnonzero(is_end[ids]) + 1)
-            if len(ends) != sum(map(len, cut)):
+        known: dict[str, int] = {}  # numbers of pieces; piece k has the ids from ends[k] to ends[k + 1]
+        ids, ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+        def add(pieces: list[str]) -> None:
+            """Number new pieces and put their ids behind the others."""
+            nonlocal ids, ends
+            parts = list(map(str.lower, pieces))  # letters alone are one word
+            sizes = np.ones(len(parts), np.int64)
+            for i in np.flatnonzero(~np.fromiter(map(str.isalpha, parts), bool, len(parts))).tolist():
+                own = words(parts[i])
+                parts[i], sizes[i] = mark.join(own), len(own)
+            flat = mark.join(parts) + mark  # a mark with no word before it has no id
+            more = one.encode_to_numpy(flat, disallowed_special=()).astype("<u4")
+            at = np.concatenate([[0], np.flatnonzero(is_end[more]) + 1])
+            if len(at) != sizes.sum() + 1:
                 raise ValueError("word ends and tokens disagree")
-            last = np.cumsum([len(x) for x in cut])
-            at = np.concatenate([[0], ends])[np.concatenate([[0], last])].tolist()
-            raw = ids.tobytes()
-            known.update(zip(pieces, [raw[s:e] for s, e in zip(at, at[1:])]))
+            known.update(zip(pieces, range(len(known), len(known) + len(pieces))))
+            ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + at[np.cumsum(sizes)]])
+
+        def keep(n: int) -> None:
+            """Forget all pieces but the first n."""
+            nonlocal ids, ends
+            for x in list(itertools.islice(known, n, None)):
+                del known[x]
+            ids, ends = ids[: ends[n]].copy(), ends[: n + 1].copy()
 
         def encode_group(texts: list[str]) -> list[bytes]:
-            parts = list(map(str.split, texts))
-            flat = list(itertools.chain.from_iterable(parts))
-            got = list(map(known.get, flat))
-            if None in got:
-                holes = [i for i, g in enumerate(got) if g is None]
-                new = list(dict.fromkeys(flat[i] for i in holes))
-                encode_pieces(new)
-                for i in holes:
-                    got[i] = known[flat[i]]
-                for x in new:
-                    if len(x) > 32:
-                        del known[x]
-            ends = [0, *itertools.accumulate(map(len, parts))]
-            return [b"".join(got[s:e]) for s, e in zip(ends, ends[1:])]
+            pieces = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+            coded = pieces.flatten().dictionary_encode()
+            own = coded.dictionary.to_numpy(zero_copy_only=False)
+            number = np.fromiter(map(known.get, own.tolist(), itertools.repeat(-1)), np.int32, len(own))
+            holes = np.flatnonzero(number < 0)
+            long = np.fromiter(map(len, own[holes]), np.int64, len(holes)) > 32
+            holes, kept = holes[np.argsort(long, kind="stable")], len(known) + len(holes) - long.sum()
+            number[holes] = np.arange(len(known), len(known) + len(holes))
+            add(own[holes].tolist())
+            k = number[coded.indices.to_numpy()]
+            size = np.diff(ends).astype(np.int32)[k]
+            to = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            raw = ids[np.repeat(ends[:-1][k] - to[:-1], size) + np.arange(to[-1])].tobytes()
+            if kept < len(known):
+                keep(kept)
+            at = (4 * to[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]).tolist()
+            return [raw[s:e] for s, e in zip(at, at[1:])]
 
         def encode(texts: list[str]) -> list[bytes]:
             out: list = [None] * len(texts)
             group, held = [], 0
+
+            def close():
+                nonlocal held
+                if len(known) > 600_000:
+                    keep(300_000)
+                for i, x in zip(group, encode_group([texts[i] for i in group])):
+                    out[i] = x
+                group.clear()
+                held = 0
+
             for k, t in enumerate(texts):
-                if not plain(t) or ADDED in t:
+                if t.encode().translate(None, allowed) or ADDED in t:
                     out[k] = others([t])[0]
                     continue
                 group.append(k)
                 held += len(t)
-                if held > 1_000_000 or k + 1 == len(texts):
-                    if len(known) > 600_000:
-                        for c in list(known)[300_000:]:
-                            del known[c]
-                    for i, x in zip(group, encode_group([texts[i] for i in group])):
-                        out[i] = x
-                    group, held = [], 0
-            for i, x in zip(group, encode_group([texts[i] for i in group])):
-                out[i] = x
+                if held > 3_000_000:
+                    close()
+            if group:
+                close()
             return out
 
         _ENCODERS[path, "word"] = encode
